@@ -18,12 +18,12 @@ from .render import BASE, table
 
 @check("""
 SELECT DISTINCT url FROM (SELECT '/e/' || user_id AS url, event_type FROM events)
-WHERE url NOT IN (SELECT '/e/' || user_id FROM events WHERE event_type = 'signup' AND value > 20)""")
+WHERE url NOT IN (SELECT '/e/' || user_id FROM events WHERE event_type = 'signup' AND value > 60)""")
 def direct_urls_events(spark, sf):
     events = table(spark, sf, "events")
     url = F.format_string("/e/%d", "user_id").alias("url")
     given = events.select(url).union(events.select(F.lit("").alias("url")))
-    return direct_urls(given, events.where("event_type = 'signup' AND value > 20").select(url))
+    return direct_urls(given, events.where("event_type = 'signup' AND value > 60").select(url))
 
 
 @check("""

@@ -84,7 +84,7 @@ def entity_pivot_profiles(spark, sf):
 
 
 @check("""
-SELECT c_custkey AS page_id, concat_ws(' ', CASE WHEN c_custkey % 5 = 0 THEN NULL END,
+SELECT c_custkey AS page_id, concat_ws(' ',
   CASE WHEN c_custkey % 3 = 0 THEN 'note 1 of ' || c_custkey || ' note 2 of ' || c_custkey END,
   CASE WHEN c_custkey % 2 = 0 THEN c_custkey END) AS misc
 FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""")
@@ -102,14 +102,10 @@ def pivot_conflict_rows(spark, sf):
 
 
 @check("""
-SELECT c_custkey AS page_id, label, count(*) AS n FROM customer, (VALUES ('DIRECTOR'), ('STARS'), ('NONE')) AS l(label)
-WHERE label <> 'NONE' OR c_custkey % 3 = 0 OR c_custkey % 2 = 0 GROUP BY c_custkey, label HAVING FALSE
-UNION ALL SELECT c_custkey, 'DIRECTOR', CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END FROM customer
+SELECT c_custkey AS page_id, 'DIRECTOR' AS label, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM customer
 UNION ALL SELECT c_custkey, 'STARS', 1 FROM customer
 UNION ALL SELECT c_custkey, 'NONE', CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END
-FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""".replace("""SELECT c_custkey AS page_id, label, count(*) AS n FROM customer, (VALUES ('DIRECTOR'), ('STARS'), ('NONE')) AS l(label)
-WHERE label <> 'NONE' OR c_custkey % 3 = 0 OR c_custkey % 2 = 0 GROUP BY c_custkey, label HAVING FALSE
-UNION ALL SELECT c_custkey, 'DIRECTOR', CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END FROM customer""", """SELECT c_custkey AS page_id, 'DIRECTOR' AS label, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM customer"""))
+FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""")
 def target_classification_labels(spark, sf):
     found = profile_leaves(spark, sf, specs.PROFILES["extraction"]["target"])
     return found.groupBy("page_id", F.coalesce("label", F.lit("NONE")).alias("label")).agg(F.count("*").alias("n"))

@@ -85,10 +85,12 @@ def next_candidates(pages: DataFrame, spec: dict) -> DataFrame:
         return F.coalesce(let(holder, lambda n: F.when(n.isNotNull(), links(n))), F.array().cast("array<string>"))
 
     entries = sorted(extraction.get("next") or [], key=lambda e: e.get("level") or 0)
-    listed = [
-        F.transform(hrefs(e), lambda h, i, k=k: F.struct(F.lit(k).alias("place"), i.alias("position"), h.alias("href")))
-        for k, e in enumerate(entries)
-    ]
+
+    def listed_at(place: int, entry: dict) -> Column:
+        row = lambda h, i: F.struct(F.lit(place).alias("place"), i.alias("position"), h.alias("href"))
+        return F.transform(hrefs(entry), row)
+
+    listed = [listed_at(place, entry) for place, entry in enumerate(entries)]
     found = F.flatten(F.array(*listed)) if listed else F.array().cast("array<struct<place:int,position:int,href:string>>")
     dom = parse_pages(pages.select("url", "html"))
     rows = dom.select(F.col("url").alias("src_url"), F.inline(found)).where("href IS NOT NULL")

@@ -21,13 +21,14 @@ def page_source(spark: SparkSession, directory: str, name: str = "pages") -> Dat
 def resolve_pages(urls: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Look requested URLs up in a snapshot: (found with `page_id, html`, missing for a retry).
 
-    Where the snapshot holds several copies of a URL the newest (`page_id`) answers. The copies are
-    reduced before the join, on the key of the join, so both share one shuffle; a URL requested very often
-    makes a large partition on the left side only, which adaptive execution splits.
+    Pages nobody asked for are dropped first, so a small request moves no page text. Where the snapshot
+    holds several copies of a URL the newest (`page_id`) answers. All three steps share the key `url` and
+    with it one shuffle; a URL requested very often makes a large partition on the left side only, which
+    adaptive execution splits.
     """
-    newest = pages.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("page"))
-    asked = urls.join(newest, "url", "left")
-    found = asked.where("page IS NOT NULL").select(*urls.columns, "page.*")
+    wanted = pages.join(urls.select("url"), "url", "left_semi")
+    newest = wanted.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("page"))
+    found = urls.join(newest, "url").select(*urls.columns, "page.*")
     missing = urls.join(pages.select("url"), "url", "left_anti")
     return found, missing
 

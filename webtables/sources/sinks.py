@@ -24,8 +24,8 @@ def save_atomic(df: DataFrame, path: str) -> str:
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path}/_current.{version}")
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT.{version}")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(staged)
     out.writeBytes(version)
@@ -39,7 +39,7 @@ def save_atomic(df: DataFrame, path: str) -> str:
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """The version `save_atomic` published last."""
-    version = spark.read.text(f"{path}/_current").first()[0]
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
     return spark.read.parquet(f"{path}/{version}")
 
 

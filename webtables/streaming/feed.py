@@ -18,10 +18,17 @@ from ..sources.pages import resolve_pages
 
 
 def url_stream(
-    spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", max_files: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    fmt: str = "parquet",
+    max_files: int | None = None,
+    files: str | None = None,
 ) -> DataFrame:
-    """A queue folder as a stream; `max_files` per batch is the rate limit."""
+    """A queue folder as a stream; `max_files` per batch is the rate limit, `files` a file name pattern."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)
