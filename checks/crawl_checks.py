@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webtables.operators.crawl import (
-    backtrack, crawl_frontier, crawl_to_queue, direct_urls, extract_links, find_next, paginate, start_url,
+    backtrack, crawl_frontier, crawl_sources, crawl_to_queue, direct_urls, extract_links, find_next, next_candidates, paginate,
+    start_url,
 )
 from webtables.session import scratch_path
 from webtables.sources.pages import page_source
@@ -89,6 +90,16 @@ def crawl_frontier_site(spark, sf):
     return crawl_frontier(extract_links(pages, specs.SITE_LINKS), pages.select("url").where(f"url LIKE '{BASE}/i/%'"))
 
 
+@check(f"""
+WITH page AS ({LISTING_SQL})
+SELECT CAST(s AS VARCHAR) AS source, '{BASE}/list/' || s || '/' || k AS url, CAST(k AS INTEGER) AS step FROM page""")
+def crawl_sources_listing(spark, sf):
+    """The pager leads both ways and detours tempt; each chain is still walked once, in order."""
+    pages = render.listings(spark, sf)
+    starts = pages.where("url LIKE '%/0'").select(F.regexp_extract("url", "list/([0-9]+)/", 1).alias("source"), "url")
+    return crawl_sources(next_candidates(pages, specs.LISTING), starts)
+
+
 @check("""SELECT '{"url":"' || url || '"}' AS body, 'Url' AS type FROM pages""")
 def crawl_to_queue_pages(spark, sf):
     path = scratch_path(spark, "queue")

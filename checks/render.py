@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from webtables.sources.pages import spread
+
 BASE = "https://shop.example"
 
 
@@ -79,7 +81,7 @@ def listings(spark: SparkSession, directory: str) -> DataFrame:
 def site(spark: SparkSession, directory: str) -> DataFrame:
     """Index pages of 50 customers -> customer pages -> order pages, which link back to the customer."""
     customer = table(spark, directory, "customer")
-    orders = table(spark, directory, "orders")
+    orders = spread(table(spark, directory, "orders"))
     block = "<div id=\"main\"><div class=\"list\">%s<div class=\"list\">%s</div></div></div>"
     entry = customer.select(
         F.expr("c_custkey div 50").alias("key"), "c_custkey", fill("<a href=\"/c/%d\">%s</a>", "c_custkey", "c_name").alias("html")
@@ -104,7 +106,7 @@ def site(spark: SparkSession, directory: str) -> DataFrame:
 
 def profiles(spark: SparkSession, directory: str) -> DataFrame:
     """One page per customer: a title, a plot (missing on every seventh), labelled and loose lines."""
-    customer = table(spark, directory, "customer").withColumn("page_id", F.col("c_custkey"))
+    customer = spread(table(spark, directory, "customer")).withColumn("page_id", F.col("c_custkey"))
     line = lambda label, value: F.concat(
         F.lit(f"<li class=\"item\"><span>{label}</span><div>"), F.col(value).cast("string"), F.lit("</div></li>")
     )

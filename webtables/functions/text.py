@@ -5,15 +5,20 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-from .match import blank, match_value
+from .match import blank, contains_alnum, match_value
 
 SEPARATOR = "-"
 
+# The Unicode white space characters.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def is_blank(c: Column) -> Column:
     return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
@@ -21,7 +26,7 @@ def is_blank(c: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Trim any Unicode white space, no-break space included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 # ---- regex actions -------------------------------------------------------------------------------
@@ -119,8 +124,6 @@ def clean_cell(c: Column) -> Column:
 
 def header_name(parts: Column) -> Column:
     """Header texts of one column, top to bottom: cleaned and joined, text already contained is skipped."""
-    from .match import contains_alnum
-
     def grow(name: Column, part: Column) -> Column:
         added = F.concat(name, clean_cell(decode_entities(part)), F.lit(SEPARATOR))
         return F.when(part.isNull() | contains_alnum(name, part), name).otherwise(added)
@@ -131,7 +134,3 @@ def header_name(parts: Column) -> Column:
 def safe_suffix(c: Column) -> Column:
     """Strip what is not an ASCII letter or digit, and an `s` right after a quote."""
     return F.regexp_replace(c, "(?i)(?:[^a-z0-9]|(?<=['\"])s)", "")
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -12,7 +12,7 @@ from ..sources.dom import parse_pages
 from .navigate import from_body, navigate
 from .select import children, children_by_tag, first_child, has_child, let
 
-ENTITY_TYPE = "url"
+URL_TYPE = "Url"
 
 
 def _attr(node: Column, name: str | None) -> Column:
@@ -122,7 +122,8 @@ def paginate(next_links: DataFrame, starts: DataFrame) -> DataFrame:
     so a chain of n pages needs about log2(n) rounds. A chain that runs into itself stops there.
     """
     jumps = written(next_links.select("src_url", "next_url"), "jumps")
-    reached = written(starts.select(F.col("url").alias("start"), "url", F.lit(0).cast("bigint").alias("step")), "reached")
+    first = starts.select(F.col("url").alias("start"), "url", F.lit(0).cast("bigint").alias("step"))
+    reached = written(first.distinct(), "reached")
     leap, size = 1, reached.count()
     while True:
         ahead = reached.join(jumps, reached["url"] == jumps["src_url"]).select(
@@ -159,10 +160,52 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = N
     return spark.read.schema("url STRING, depth INT").parquet(path)
 
 
+def crawl_sources(
+    candidates: DataFrame, starts: DataFrame, ledger: DataFrame | None = None, max_rounds: int | None = None
+) -> DataFrame:
+    """Crawl every source page by page, all sources side by side: `source, url, step`.
+
+    `candidates` are the `next_candidates` of the snapshot, `starts` one `source, url` each. A source moves
+    to the page `choose_next` picks among links it has not been to; without one it goes back to its newest
+    ledger entry not revisited yet, and ends when there is none. Step n of all sources is one job, so the
+    number of jobs is that of the longest crawl; for a fixed next link per page, `paginate` needs far fewer.
+    """
+    spark = candidates.sparkSession
+    links = written(candidates, "candidates")
+    known = None if ledger is None else written(ledger.select("source", "url", "crawl_ts"), "known")
+    path = scratch_path(spark, "crawl")
+    places = [row["place"] for row in links.select("place").distinct().collect()]  # one per `next` entry
+    columns = "source STRING, url STRING"
+    starts.select(F.col("source").cast("string"), "url").distinct().write.parquet(f"{path}/step=0")
+    step = 0
+    while max_rounds is None or step < max_rounds:
+        here = spark.read.schema(columns).parquet(f"{path}/step={step}")
+        been = spark.read.schema(columns).parquet(*[f"{path}/step={k}" for k in range(step + 1)])
+        closed = been if known is None else been.unionByName(known.select(F.col("source").cast("string"), "url"))
+        onward = here.withColumnRenamed("url", "src_url").join(links, "src_url")
+        onward = not_crawled(onward, closed, ["source", "url"])
+        first = lambda k: F.min(F.when(F.col("place") == k, F.struct("position", "href", "url")))
+        firsts = onward.groupBy("source").agg(F.array_compact(F.array(*[first(k) for k in places])).alias("c"))
+        smallest = F.array_min(F.transform("c", lambda c: F.struct(c["href"], c["url"])))
+        moves = firsts.select("source", smallest["url"].alias("url"))
+        if known is not None:
+            stuck = here.select("source").join(moves, "source", "left_anti")
+            back = backtrack(known.withColumn("source", F.col("source").cast("string")), been)
+            moves = moves.unionByName(stuck.join(back, "source"))
+        moves.write.parquet(f"{path}/step={step + 1}")
+        step += 1
+        if spark.read.schema(columns).parquet(f"{path}/step={step}").isEmpty():
+            break
+    visited = spark.read.schema(columns + ", step INT").parquet(path)
+    if known is None:
+        return visited
+    return visited.join(known.select(F.col("source").cast("string"), "url"), ["source", "url"], "left_anti")
+
+
 def url_messages(urls: DataFrame, class_type: str) -> DataFrame:
     return urls.select(F.to_json(F.struct("url")).alias("body"), F.lit(class_type).alias("type"))
 
 
-def crawl_to_queue(urls: DataFrame, path: str, class_type: str = ENTITY_TYPE) -> None:
+def crawl_to_queue(urls: DataFrame, path: str, class_type: str = URL_TYPE) -> None:
     """Append one `{url}` message with its type per target URL to a queue folder."""
     url_messages(urls, class_type).write.mode("append").parquet(path)

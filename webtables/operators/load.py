@@ -84,9 +84,12 @@ def load_insert_absent(
     return current.unionByName(absent(current, incoming, key, order_by))
 
 
-def load_update(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
+def load_update(
+    current: DataFrame, incoming: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None
+) -> DataFrame:
     """Rows whose key comes in are replaced whole; keys the table lacks are not added."""
-    new = incoming.select(*key, F.struct(*incoming.columns).alias("_new"))
+    fresh = dedup_natural_key(incoming, key, order_by) if order_by else incoming
+    new = fresh.select(*key, F.struct(*incoming.columns).alias("_new"))
     joined = current.join(new, list(key), "left")
     return joined.select(
         *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in current.columns]

@@ -47,9 +47,9 @@ ENDS["tbody"] = ENDS["tfoot"] = ENDS["thead"] = (("td", "th", "tr", "thead", "tb
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*+>"
-    r"|</\s*+(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    r"|<[!?][^<>]*+>"
+    r"|</\s*+([a-zA-Z][^\s/<>]*+)[^<>]*+>"  # end tag
+    r"|<([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",  # start tag, attributes
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -57,96 +57,112 @@ SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 RAW_END = {tag: re.compile(rf"</{tag}\s*>|\Z", re.I) for tag in RAW_TEXT}
 
 
-def body_nodes(html: str) -> list[list]:
-    """Nodes of the page body in document order, as lists shaped like NODES_TYPE; body is node 0."""
-    nodes: list[list] = []
-    stack: list[int] = []  # ids of the open elements
-    opened = defaultdict(list)  # tag -> stack positions where it is open
-    kids: list[int] = []  # number of children so far, per node
-    done = 0  # text before this offset is consumed
-
-    def add(tag, attrs, text, start, end):
-        parent = stack[-1] if stack else None
-        index = 0
-        if parent is not None:
-            index, kids[parent] = kids[parent], kids[parent] + 1
-        nodes.append([len(nodes), len(nodes), parent, index, len(stack), tag, attrs, text, start, end])
-        kids.append(0)
-
-    def push(tag):
-        opened[tag].append(len(stack))
-        stack.append(len(nodes) - 1)
-
-    def close_from(position, offset):
-        for node_id in stack[position:]:
-            opened[nodes[node_id][5]].pop()
-            nodes[node_id][1] = len(nodes) - 1
-            nodes[node_id][9] = offset
-        del stack[position:]
-
-    def take_text(upto):
-        if stack and upto > done:
-            add("#text", None, html[done:upto], done, upto)
-
-    offset = 0
-    while found := MARKUP.search(html, offset):
-        offset = found.end()
-        tag = (found["start"] or found["end"] or "").lower()
-        take_text(found.start())
-        done = offset
-        if found["start"]:
-            if tag in RAW_TEXT:
-                done = RAW_END[tag].search(html, offset).end()
-            if stack and tag != "body":
-                ends, limits = ENDS.get(tag, ((), ()))
-                limit = max((opened[t][-1] for t in limits if opened[t]), default=-1)
-                inside = [opened[t][k] for t in ends if (k := bisect_right(opened[t], limit)) < len(opened[t])]
-                if inside:
-                    close_from(min(inside), found.start())
-            if (stack and tag != "body") or (not nodes and tag == "body"):
-                attrs: dict[str, str] = {}
-                for name, double, single, bare in ATTRIBUTE.findall(found["attrs"]):
-                    attrs.setdefault(name.lower(), double or single or bare)
-                add(tag, attrs, None, offset, offset)
+class NodeColumns:
+    """The fields of NODE_TYPE as growing lists, for the pages of one batch."""
+
+    def __init__(self):
+        self.node_id, self.last_id, self.parent_id, self.sib_idx, self.depth = [], [], [], [], []
+        self.tag, self.text, self.h0, self.h1 = [], [], [], []
+        self.attr_offsets, self.keys, self.values = [0], [], []
+        self.page_offsets = [0]
+
+    def add_page(self, html: str | None) -> None:
+        if html:
+            self._read_body(html)
+        self.page_offsets.append(len(self.tag))
+
+    def _read_body(self, html: str) -> None:
+        """Append the nodes of the page body in document order; the body is node 0."""
+        first = len(self.tag)  # position of this page's node 0
+        stack: list[int] = []  # ids of the open elements
+        opened = defaultdict(list)  # tag -> stack places where it is open
+        kids: list[int] = []  # number of children so far, per node
+        done = 0  # text before this offset is consumed
+
+        def add(tag, attrs, text, start, end):
+            self.node_id.append(len(kids))
+            self.last_id.append(len(kids))
+            if stack:
+                parent = stack[-1]
+                self.parent_id.append(parent)
+                self.sib_idx.append(kids[parent])
+                kids[parent] += 1
+            else:
+                self.parent_id.append(None)
+                self.sib_idx.append(0)
+            self.depth.append(len(stack))
+            self.tag.append(tag)
+            self.text.append(text)
+            self.h0.append(start)
+            self.h1.append(end)
+            if attrs and not attrs.isspace():
+                seen = set()
+                for name, double, single, bare in ATTRIBUTE.findall(attrs):
+                    name = name.lower()
+                    if name not in seen:
+                        seen.add(name)
+                        self.keys.append(name)
+                        self.values.append(double or single or bare)
+            self.attr_offsets.append(len(self.keys))
+            kids.append(0)
+
+        def close_from(place, offset):
+            last = len(kids) - 1
+            for node_id in stack[place:]:
+                opened[self.tag[first + node_id]].pop()
+                self.last_id[first + node_id] = last
+                self.h1[first + node_id] = offset
+            del stack[place:]
+
+        offset = 0
+        while found := MARKUP.search(html, offset):
+            start, offset = found.span()
+            end_tag, start_tag, attrs = found.groups()
+            if stack and start > done:
+                add("#text", None, html[done:start], done, start)
+            done = offset
+            if start_tag:
+                tag = start_tag.lower()
                 if tag in RAW_TEXT:
-                    nodes[-1][9] = RAW_END[tag].search(html, offset).start()
-                elif tag not in VOID and (tag == "body" or not SELF_CLOSED.search(found["attrs"])):
-                    push(tag)
-            offset = done
-        elif found["end"]:
-            if tag in ("body", "html") and stack:
-                close_from(0, found.start())
-                break
-            if opened[tag]:
-                close_from(opened[tag][-1], found.start())
-        elif stack and found[0].startswith("<!--"):
-            add("#comment", None, None, found.start(), found.end())
-    if stack:
-        take_text(len(html))
-        close_from(0, len(html))
-    return nodes
-
-
-def nodes_array(pages: list[str | None]) -> pa.Array:
-    """Node lists of several pages as one Arrow array, built column by column."""
-    offsets, rows = [0], []
-    for html in pages:
-        rows.extend(body_nodes(html) if html else ())
-        offsets.append(len(rows))
-    fields = list(zip(*rows)) or [()] * 10
-    attr_offsets, keys, values = [0], [], []
-    for attrs in fields[6]:
-        if attrs:
-            keys.extend(attrs)
-            values.extend(attrs.values())
-        attr_offsets.append(len(keys))
-    attrs = pa.MapArray.from_arrays(
-        pa.array(attr_offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())
-    )
-    kinds = {5: pa.string(), 7: pa.string()}
-    arrays = [attrs if i == 6 else pa.array(fields[i], kinds.get(i, pa.int32())) for i in range(10)]
-    struct = pa.StructArray.from_arrays(arrays, names=NODE_TYPE.names)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
+                    closing = RAW_END[tag].search(html, offset)
+                    done = closing.end()
+                if stack and tag in ENDS:
+                    ends, limits = ENDS[tag]
+                    limit = max([opened[t][-1] for t in limits if opened[t]], default=-1)
+                    inside = [opened[t][k] for t in ends if (k := bisect_right(opened[t], limit)) < len(opened[t])]
+                    if inside:
+                        close_from(min(inside), start)
+                if (tag != "body") if stack else (tag == "body" and not kids):
+                    add(tag, attrs, None, offset, closing.start() if tag in RAW_TEXT else offset)
+                    if tag not in VOID and tag not in RAW_TEXT and not SELF_CLOSED.search(attrs):
+                        opened[tag].append(len(stack))
+                        stack.append(len(kids) - 1)
+                offset = done
+            elif end_tag:
+                tag = end_tag.lower()
+                if stack and tag in ("body", "html"):
+                    close_from(0, start)
+                    break
+                if opened[tag]:
+                    close_from(opened[tag][-1], start)
+            elif stack and html.startswith("<!--", start):
+                add("#comment", None, None, start, offset)
+        if stack:
+            if len(html) > done:
+                add("#text", None, html[done:], done, len(html))
+            close_from(0, len(html))
+
+    def to_arrow(self) -> pa.Array:
+        ints, strings = pa.int32(), pa.string()
+        attrs = pa.MapArray.from_arrays(
+            pa.array(self.attr_offsets, ints), pa.array(self.keys, strings), pa.array(self.values, strings)
+        )
+        columns = [
+            attrs if name == "attrs" else pa.array(getattr(self, name), strings if name in ("tag", "text") else ints)
+            for name in NODE_TYPE.names
+        ]
+        nodes = pa.StructArray.from_arrays(columns, names=NODE_TYPE.names)
+        return pa.ListArray.from_arrays(pa.array(self.page_offsets, ints), nodes)
 
 
 def parse_pages(pages: DataFrame, keep_html: bool = False, chunk_chars: int = 8 << 20) -> DataFrame:
@@ -161,16 +177,15 @@ def parse_pages(pages: DataFrame, keep_html: bool = False, chunk_chars: int = 8
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             html = batch.column("html")
-            start = size = 0
-            chunk: list[str | None] = []
+            start, size, nodes = 0, 0, NodeColumns()
             for row in range(batch.num_rows):
                 page = html[row].as_py()
-                chunk.append(page)
+                nodes.add_page(page)
                 size += len(page or "")
                 if size >= chunk_chars or row + 1 == batch.num_rows:
-                    columns = [batch.column(c).slice(start, len(chunk)) for c in kept]
-                    yield pa.RecordBatch.from_arrays([*columns, nodes_array(chunk)], names=[*kept, "nodes"])
-                    start, size, chunk = row + 1, 0, []
+                    columns = [batch.column(c).slice(start, row + 1 - start) for c in kept]
+                    yield pa.RecordBatch.from_arrays([*columns, nodes.to_arrow()], names=[*kept, "nodes"])
+                    start, size, nodes = row + 1, 0, NodeColumns()
 
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("nodes", NODES_TYPE)])
     return pages.mapInArrow(parse, schema)

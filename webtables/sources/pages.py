@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BODY_TAG = r"(?is)^(.*?<body(?:\s[^>]*)?>)"
 
 
-def page_source(spark: SparkSession, directory: str, name: str = "pages") -> DataFrame:
-    """`page_id, url, html` of a snapshot.
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, spread over the cores when it reads as fewer splits than there are.
 
-    Parsing is the heavy step, so a snapshot that reads as fewer splits than there are cores is spread
-    over them; a large one already has enough splits and is not shuffled.
+    For inputs whose next step is heavy, like parsing. A large input has enough splits and is not shuffled.
     """
-    pages = spark.read.parquet(f"{directory}/{name}.parquet").select("page_id", "url", "html")
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def page_source(spark: SparkSession, directory: str, name: str = "pages") -> DataFrame:
+    """`page_id, url, html` of a snapshot."""
+    return spread(spark.read.parquet(f"{directory}/{name}.parquet").select("page_id", "url", "html"))
 
 
 def resolve_pages(urls: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -48,12 +48,9 @@ def run(stream: DataFrame, each_batch, checkpoint: str, continuous: str | None =
 
 def earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
     """What batches before this one wrote; a batch that runs again does not see its own output."""
-    try:
-        table = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    if batch_id == 0:
         return spark.createDataFrame([], schema)
+    table = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
     return table.where(F.col("batch_id") < batch_id).drop("batch_id")
 
 
