@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webtables.operators.crawl import (
-    backtrack, crawl_frontier, crawl_sources, crawl_to_queue, direct_urls, extract_links, find_next, next_candidates, paginate,
+    backtrack, crawl_frontier, crawl_sources, crawl_to_queue, direct_urls, extract_links, find_next, paginate,
     start_url,
 )
 from webtables.session import scratch_path
@@ -54,21 +54,21 @@ def extract_links_nav(spark, sf):
 
 
 LISTING_SQL = f"""
-SELECT DISTINCT o_orderkey // 100 AS p, (o_orderkey // 100) // 16 AS s, (o_orderkey // 100) % 16 AS k FROM orders"""
+SELECT DISTINCT o_orderkey // 100 AS p, (o_orderkey // 100) // 8 AS s, (o_orderkey // 100) % 8 AS k FROM orders"""
 
 
 @check(f"""
 WITH page AS ({LISTING_SQL}),
-crawled AS (SELECT '/list/' || s || '/' || k AS href FROM page WHERE k < 8),
+crawled AS (SELECT '/list/' || s || '/' || k AS href FROM page WHERE k < 4),
 candidate AS (
   SELECT a.p, 0 AS place, 0 AS pos, '/list/' || a.s || '/' || (a.k - 1) AS href FROM page a WHERE a.k > 0
-  UNION ALL SELECT a.p, 0, 1, '/list/' || a.s || '/' || (a.k + 1) FROM page a JOIN page b ON b.p = a.p + 1 WHERE a.k < 15
+  UNION ALL SELECT a.p, 0, 1, '/list/' || a.s || '/' || (a.k + 1) FROM page a JOIN page b ON b.p = a.p + 1 WHERE a.k < 7
   UNION ALL SELECT a.p, 1, 0, '/more/' || a.p FROM page a WHERE a.k % 4 = 0),
 firsts AS (SELECT p, place, arg_min(href, pos) AS href FROM candidate WHERE href NOT IN (SELECT href FROM crawled) GROUP BY 1, 2)
 SELECT '{BASE}/list/' || s || '/' || k AS src_url, '{BASE}' || min(href) AS next_url FROM firsts JOIN page USING (p) GROUP BY p, s, k""")
 def find_next_listing(spark, sf):
     pages = render.listings(spark, sf)
-    crawled = pages.select("url").where(F.regexp_extract("url", "([0-9]+)$", 1).cast("int") < 8)
+    crawled = pages.select("url").where(F.regexp_extract("url", "([0-9]+)$", 1).cast("int") < 4)
     return find_next(pages, specs.LISTING, crawled)
 
 
@@ -97,7 +97,7 @@ def crawl_sources_listing(spark, sf):
     """The pager leads both ways and detours tempt; each chain is still walked once, in order."""
     pages = render.listings(spark, sf)
     starts = pages.where("url LIKE '%/0'").select(F.regexp_extract("url", "list/([0-9]+)/", 1).alias("source"), "url")
-    return crawl_sources(next_candidates(pages, specs.LISTING), starts)
+    return crawl_sources(pages, specs.LISTING, starts)
 
 
 @check("""SELECT '{"url":"' || url || '"}' AS body, 'Url' AS type FROM pages""")

@@ -61,20 +61,20 @@ def span_tables(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, directory: str) -> DataFrame:
-    """Orders in blocks of 100, 16 blocks to a chain: items, a pager to both sides, now and then a detour."""
+    """Orders in blocks of 100, 8 blocks to a chain: items, a pager to both sides, now and then a detour."""
     orders = table(spark, directory, "orders").withColumn("page_id", F.expr("o_orderkey div 100"))
     items = orders.withColumn("html", fill("<li><a href=\"/order/%d\">%s</a></li>", "o_orderkey", "o_orderstatus"))
     whole = items.groupBy("page_id").agg(joined("o_orderkey").alias("items"))
     after = whole.select((F.col("page_id") - 1).alias("page_id"), F.lit(True).alias("followed"))
-    place = F.col("page_id") % 16
-    link = lambda offset, text: fill(f"<a class=\"{text}\" href=\"/list/%d/%d\">{text}</a>", F.expr("page_id div 16"), place + offset)
+    place = F.col("page_id") % 8
+    link = lambda offset, text: fill(f"<a class=\"{text}\" href=\"/list/%d/%d\">{text}</a>", F.expr("page_id div 8"), place + offset)
     pager = F.concat(
         F.when(place > 0, link(-1, "prev")).otherwise(""),
-        F.when((place < 15) & F.col("followed"), link(1, "next")).otherwise(""),
+        F.when((place < 7) & F.col("followed"), link(1, "next")).otherwise(""),
     )
     detour = F.when(place % 4 == 0, fill("<div class=\"more\"><a href=\"/more/%d\">more</a></div>", "page_id")).otherwise("")
     body = F.concat(fill("<ul class=\"items\">%s</ul>", "items"), F.lit("<div class=\"pager\">"), pager, F.lit("</div>"), detour)
-    url = fill(BASE + "/list/%d/%d", F.expr("page_id div 16"), place)
+    url = fill(BASE + "/list/%d/%d", F.expr("page_id div 8"), place)
     return whole.join(after, "page_id", "left").select("page_id", url.alias("url"), page(body).alias("html"))
 
 

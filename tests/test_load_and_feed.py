@@ -10,7 +10,7 @@ from pyspark.sql import functions as F, types as T
 from webtables.functions.messages import ENTITY_MESSAGE, parse_message
 from webtables.functions.text import clean_cell, text_remove_ci
 from webtables.functions.urls import resolve_url
-from webtables.operators.crawl import crawl_frontier, crawl_sources, next_candidates, paginate, start_url
+from webtables.operators.crawl import crawl_frontier, crawl_sources, paginate, start_url
 from webtables.operators.errors import error_log_rows, retention
 from webtables.operators.load import (
     TABLE_B, check_constraints, load_insert_absent, load_update, load_upsert, pending_changes, rules_schema, to_typed_row,
@@ -160,10 +160,20 @@ def walk_pages(spark):
 
 def test_crawl_takes_the_first_open_link(spark):
     starts = spark.createDataFrame([("s", "/1"), ("t", "/2")], "source STRING, url STRING")
-    walked = crawl_sources(next_candidates(walk_pages(spark), NEXT), starts)
+    walked = crawl_sources(walk_pages(spark), NEXT, starts)
     assert rows(walked) == [("s", "/0", 1), ("s", "/1", 0), ("s", "/9", 2), ("t", "/0", 2), ("t", "/1", 1), ("t", "/2", 0), ("t", "/9", 3)]
 
 
+def test_long_crawl_is_compacted(spark, monkeypatch):
+    monkeypatch.setattr("webtables.operators.crawl.COMPACT_EVERY", 2)
+    chain = [(i, f"/{i}", f"<body><div><a href='/{i - 1}'>x</a><a href='/{i + 1}'>y</a></div>") for i in range(1, 9)]
+    pages = spark.createDataFrame(chain, "page_id BIGINT, url STRING, html STRING")
+    starts = spark.createDataFrame([("s", "/3")], "source STRING, url STRING")
+    walked = crawl_sources(pages, NEXT, starts)
+    assert rows(walked) == sorted(("s", f"/{u}", n) for n, u in enumerate((3, 2, 1, 0)))
+    assert rows(crawl_sources(pages, NEXT, starts.select("source", F.lit("/1").alias("url")), max_rounds=5))[-1][2] <= 5
+
+
 def test_crawl_resumes_and_backtracks(spark):
     ledger = spark.createDataFrame(
         [("s", "/2", datetime(2024, 1, 1)), ("s", "/3", datetime(2024, 1, 2)), ("s", "/1", datetime(2023, 1, 1))],
@@ -171,7 +181,7 @@ def test_crawl_resumes_and_backtracks(spark):
     )
     start = start_url("https://b", "/s", ledger)
     assert start.first().url == "/3" and start_url("https://b", "/s", ledger.limit(0)).first().url == "https://b/s"
-    walked = crawl_sources(next_candidates(walk_pages(spark), NEXT), start.select(F.lit("s").alias("source"), "url"), ledger)
+    walked = crawl_sources(walk_pages(spark), NEXT, start.select(F.lit("s").alias("source"), "url"), ledger)
     assert rows(walked) == [("s", "/0", 3), ("s", "/9", 4)]  # /3 and /2 lead nowhere new, /1 leads to /0
 
 

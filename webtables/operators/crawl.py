@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.match import tag_name
 from ..functions.text import apply_regex
 from ..functions.urls import resolve_url
-from ..session import scratch_path, written
+from ..session import bucketed, forget, scratch_path, written
 from ..sources.dom import parse_pages
 from .navigate import from_body, navigate
 from .select import children, children_by_tag, first_child, has_child, let
@@ -97,12 +97,12 @@ def next_candidates(pages: DataFrame, spec: dict) -> DataFrame:
     return rows.withColumn("url", resolve_url(F.lit(extraction.get("urlBase")).cast("string"), F.col("href")))
 
 
-def choose_next(candidates: DataFrame, places: int) -> DataFrame:
+def choose_next(candidates: DataFrame, places: int, by: str = "src_url") -> DataFrame:
     """Per page: the first candidate of each `next` entry, then the smallest of those texts."""
     first = lambda k: F.min(F.when(F.col("place") == k, F.struct("position", "href", "url")))
-    firsts = candidates.groupBy("src_url").agg(F.array_compact(F.array(*[first(k) for k in range(places)])).alias("c"))
+    firsts = candidates.groupBy(by).agg(F.array_compact(F.array(*[first(k) for k in range(places)])).alias("c"))
     smallest = F.array_min(F.transform("c", lambda c: F.struct(c["href"], c["url"])))
-    return firsts.select("src_url", smallest["url"].alias("next_url"))
+    return firsts.select(by, smallest["url"].alias("next_url"))
 
 
 def find_next(pages: DataFrame, spec: dict, ledger: DataFrame) -> DataFrame:
@@ -144,62 +144,69 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = N
 
     One level per round: the frontier's links, without duplicates and without URLs seen before. Levels are
     written to the shared folder, so the plan does not grow and a lost executor costs no earlier level.
-    The driver only learns whether a level is empty.
+    The links are bucketed once, so rounds shuffle the frontier only. The driver only learns whether a
+    level is empty.
     """
     spark = links.sparkSession
-    edges = written(links.select("src_url", "dst_url").where("dst_url IS NOT NULL").distinct(), "edges")
+    edges, table = bucketed(
+        links.select("src_url", "dst_url").where("dst_url IS NOT NULL").distinct(), "src_url", "edges"
+    )
     path = scratch_path(spark, "frontier")
-    level = lambda k: spark.read.schema("url STRING").parquet(f"{path}/depth={k}")
+    level = lambda *depths: spark.read.schema("url STRING").parquet(*[f"{path}/depth={k}" for k in depths])
     seeds.select("url").where("url IS NOT NULL").distinct().write.parquet(f"{path}/depth=0")
     depth = 0
     while (max_depth is None or depth < max_depth) and not level(depth).isEmpty():
-        seen = spark.read.schema("url STRING").parquet(*[f"{path}/depth={k}" for k in range(depth + 1)])
         found = level(depth).join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"))
-        found.distinct().join(seen, "url", "left_anti").write.parquet(f"{path}/depth={depth + 1}")
+        fresh = not_crawled(found.distinct(), level(*range(depth + 1)))
+        fresh.write.parquet(f"{path}/depth={depth + 1}")
         depth += 1
+    forget(spark, table)
     return spark.read.schema("url STRING, depth INT").parquet(path)
 
 
+COMPACT_EVERY = 25
+
+
 def crawl_sources(
-    candidates: DataFrame, starts: DataFrame, ledger: DataFrame | None = None, max_rounds: int | None = None
+    pages: DataFrame, spec: dict, starts: DataFrame, ledger: DataFrame | None = None, max_rounds: int | None = None
 ) -> DataFrame:
     """Crawl every source page by page, all sources side by side: `source, url, step`.
 
-    `candidates` are the `next_candidates` of the snapshot, `starts` one `source, url` each. A source moves
-    to the page `choose_next` picks among links it has not been to; without one it goes back to its newest
-    ledger entry not revisited yet, and ends when there is none. Step n of all sources is one job, so the
-    number of jobs is that of the longest crawl; for a fixed next link per page, `paginate` needs far fewer.
+    `starts` holds one `source, url` each. A source moves to the page `choose_next` picks among links it
+    has not been to; without one it goes back to its newest ledger entry not revisited yet, and ends when
+    there is none. Step n of all sources is one job, so the number of jobs is that of the longest crawl;
+    where each page has one fixed next link, `paginate` needs far fewer.
     """
-    spark = candidates.sparkSession
-    links = written(candidates, "candidates")
-    known = None if ledger is None else written(ledger.select("source", "url", "crawl_ts"), "known")
+    spark = pages.sparkSession
+    places = len(spec.get("extraction", spec).get("next") or [])
+    links, table = bucketed(next_candidates(pages, spec), "src_url", "candidates")
+    keys = "source STRING, url STRING"
+    known = None
+    if ledger is not None:
+        known = written(ledger.select(F.col("source").cast("string"), "url", "crawl_ts"), "known")
     path = scratch_path(spark, "crawl")
-    places = [row["place"] for row in links.select("place").distinct().collect()]  # one per `next` entry
-    columns = "source STRING, url STRING"
+    at = lambda *steps: spark.read.schema(keys).parquet(*[f"{path}/step={k}" for k in steps])
     starts.select(F.col("source").cast("string"), "url").distinct().write.parquet(f"{path}/step=0")
-    step = 0
-    while max_rounds is None or step < max_rounds:
-        here = spark.read.schema(columns).parquet(f"{path}/step={step}")
-        been = spark.read.schema(columns).parquet(*[f"{path}/step={k}" for k in range(step + 1)])
-        closed = been if known is None else been.unionByName(known.select(F.col("source").cast("string"), "url"))
-        onward = here.withColumnRenamed("url", "src_url").join(links, "src_url")
-        onward = not_crawled(onward, closed, ["source", "url"])
-        first = lambda k: F.min(F.when(F.col("place") == k, F.struct("position", "href", "url")))
-        firsts = onward.groupBy("source").agg(F.array_compact(F.array(*[first(k) for k in places])).alias("c"))
-        smallest = F.array_min(F.transform("c", lambda c: F.struct(c["href"], c["url"])))
-        moves = firsts.select("source", smallest["url"].alias("url"))
+    step, old, old_steps = 0, None, 0  # `old`: the first `old_steps` steps in one table
+    while places and (max_rounds is None or step < max_rounds) and not at(step).isEmpty():
+        recent = at(*range(old_steps, step + 1))
+        been = recent if old is None else old.unionByName(recent)
+        if step - old_steps >= COMPACT_EVERY:
+            been = old = written(been, "visited")
+            old_steps = step + 1
+        closed = been if known is None else been.unionByName(known.select("source", "url"))
+        onward = at(step).join(links.withColumnRenamed("url", "to"), F.col("url") == F.col("src_url"))
+        onward = onward.select("source", "place", "position", "href", F.col("to").alias("url"))
+        moves = choose_next(not_crawled(onward, closed, ["source", "url"]), places, "source")
+        moves = moves.select("source", F.col("next_url").alias("url"))
         if known is not None:
-            stuck = here.select("source").join(moves, "source", "left_anti")
-            back = backtrack(known.withColumn("source", F.col("source").cast("string")), been)
-            moves = moves.unionByName(stuck.join(back, "source"))
+            stuck = at(step).select("source").join(moves, "source", "left_anti")
+            moves = moves.unionByName(stuck.join(backtrack(known, been), "source"))
         moves.write.parquet(f"{path}/step={step + 1}")
         step += 1
-        if spark.read.schema(columns).parquet(f"{path}/step={step}").isEmpty():
-            break
-    visited = spark.read.schema(columns + ", step INT").parquet(path)
-    if known is None:
-        return visited
-    return visited.join(known.select(F.col("source").cast("string"), "url"), ["source", "url"], "left_anti")
+    forget(spark, table)
+    visited = spark.read.schema(keys + ", step INT").parquet(path)
+    return visited if known is None else not_crawled(visited, known, ["source", "url"])
 
 
 def url_messages(urls: DataFrame, class_type: str) -> DataFrame:

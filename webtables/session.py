@@ -61,3 +61,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
+    """Write to the shared folder in buckets of `key` and read back, with the table's name for `forget`.
+
+    For the side of a join that is used again and again: later joins on `key` read it without a shuffle.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"webtables_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return spark.table(table), table
+
+
+def forget(spark: SparkSession, table: str) -> None:
+    """Drop a table made by `bucketed` from the catalog."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
