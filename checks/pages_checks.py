@@ -39,8 +39,8 @@ def nodes():
     return F.col("nodes")
 
 
-def parsed(spark, sf, keep_html=False):
-    return parse_pages(page_source(spark, sf).select("page_id", "html"), keep_html)
+def parsed(spark, sf, detail=False):
+    return parse_pages(page_source(spark, sf).select("page_id", "html"), detail)
 
 
 def listed(pattern, names, source=BODY):
@@ -253,7 +253,7 @@ def own_text(spark, sf):
 @check(f"SELECT page_id, regexp_extract({BODY}, '<article>(.*?)</article>', 1, 's') AS html FROM pages")
 def inner_html(spark, sf):
     article = first_descendant(nodes(), root(nodes()), "article")
-    return parsed(spark, sf, keep_html=True).select("page_id", node_inner_html(F.col("html"), nodes(), article).alias("html"))
+    return parsed(spark, sf, detail=True).select("page_id", node_inner_html(F.col("html"), nodes(), article).alias("html"))
 
 
 @check(listed('<li><a href="([^"]*)"', "value").replace("unnest(l)", "replace(unnest(l), '/', '')"))

@@ -22,8 +22,8 @@ def dom_of(spark):
     """Parse pages given as HTML texts; `page_id` is the position."""
     from webtables.sources.dom import parse_pages
 
-    def parse(*pages, keep_html=False):
-        return parse_pages(spark.createDataFrame(list(enumerate(pages)), "page_id BIGINT, html STRING"), keep_html)
+    def parse(*pages, detail=False):
+        return parse_pages(spark.createDataFrame(list(enumerate(pages)), "page_id BIGINT, html STRING"), detail)
 
     return parse
 

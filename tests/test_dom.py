@@ -11,7 +11,7 @@ from webtables.sources.dom import NodeColumns, dom_nodes, page_text, parse_pages
 
 
 def nodes_of(html):
-    columns = NodeColumns()
+    columns = NodeColumns(detail=True)
     columns.add_page(html)
     return columns.to_arrow()[0].as_py()
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from webtables.functions.messages import ENTITY_MESSAGE, parse_message
+from webtables.functions.messages import ENTITY_MESSAGE, URL_MESSAGE, parse_message
 from webtables.functions.text import clean_cell, text_remove_ci
 from webtables.functions.urls import resolve_url
 from webtables.operators.crawl import crawl_frontier, crawl_sources, paginate, start_url
@@ -17,6 +17,8 @@ from webtables.operators.load import (
     with_row_identity,
 )
 from webtables.operators.queues import bounded_queue, failure_policy
+from webtables.plans.crawl import crawl
+from webtables.session import written
 from webtables.sources.sinks import entity_ddl, read_current, save_atomic
 from webtables.streaming.feed import EntityTable, entity_stream_load, stream_extract, url_stream
 
@@ -185,6 +187,54 @@ def test_crawl_resumes_and_backtracks(spark):
     assert rows(walked) == [("s", "/0", 3), ("s", "/9", 4)]  # /3 and /2 lead nowhere new, /1 leads to /0
 
 
+def test_crawl_scrape_and_load_a_small_site(spark, tmp_path):
+    """Two listing pages lead to three articles, which end up as rows; a second crawl finds nothing new."""
+    listing = lambda n, links, onward: (
+        n, f"https://s.example/list/{n}",
+        "<body><ul class='items'>" + "".join(f"<li><a href='{a}'>x</a></li>" for a in links) + f"</ul><div class='pager'>{onward}</div>",
+    )
+    article = lambda n, title: (n, f"https://s.example/a/{n}", f"<body><article><h1>{title}</h1><p>plot {n}<p>d{n}</article>")
+    pages = spark.createDataFrame(
+        [listing(1, ["/a/7", "/a/8"], "<a href='/list/2'>2</a>"), listing(2, ["/a/9", "/a/404"], "<a href='/list/1'>1</a>"),
+         article(7, "T7"), article(8, "T8"), article(9, "T7")],
+        "page_id BIGINT, url STRING, html STRING",
+    )
+    spec = {
+        "name": "site", "urlBase": "https://s.example", "urlSuffix": "/list/1", "directUrls": ["https://s.example/a/7", ""],
+        "navigation": {"tag": "ul", "nav": {"tag": "li"}}, "target": {"tag": "a", "value": "href", "classType": "Url"},
+        "next": [{"level": 1, "tag": "a", "value": "href", "navigation": {"tag": "div", "keyProperty": "class", "valueProperty": "pager"}}],
+    }
+    empty = spark.createDataFrame([], "source STRING, url STRING, crawl_ts TIMESTAMP")
+    as_of = F.lit("2024-01-01").cast("timestamp")
+    messages, entries = crawl(pages, spec, empty, as_of)
+    sent = parse_message(F.col("body"), URL_MESSAGE)["url"]
+    assert rows(messages.select(sent)) == [(f"https://s.example/a/{n}",) for n in (404, 7, 7, 8, 9)]
+    assert rows(entries.select("url")) == [("https://s.example/a/7",), ("https://s.example/list/1",), ("https://s.example/list/2",)]
+    again, none = crawl(pages, spec, written(entries, "ledger"), as_of)
+    assert rows(again) == [] == rows(none)
+
+    queue, out = str(tmp_path / "queue"), str(tmp_path / "out")
+    messages.select(sent.alias("url")).write.parquet(queue)
+    title = {"tag": "h1", "reconValue": "InnerText", "classification": [{"name": "TITLE"}]}
+    scrape = {
+        "navigation": {"tag": "article", "nav": {"tag": "p", "recon": [title]}},
+        "target": {
+            "value": "InnerText", "classType": "Film", "recon": {"classification": [{"name": "PLOT"}]},
+            "HCValues": [{"name": "DIRECTOR", "value": "d"}],
+        },
+    }
+    finish(stream_extract(url_stream(spark, queue, "url STRING"), pages, scrape, out, f"{out}-scrape"))
+    schema = "type STRING, EntityData MAP<STRING,STRING>, ts TIMESTAMP"
+    entities = spark.read.parquet(f"{out}/entities").select(
+        F.col("class_type").alias("type"), F.col("data").alias("EntityData"), as_of.alias("ts")
+    )
+    entities.write.parquet(f"{out}/queue")
+    film = EntityTable(f"{out}/Film", TABLE_B, ["TITLE"])
+    finish(entity_stream_load(url_stream(spark, f"{out}/queue", schema), {"Film": film}, f"{out}/rejects", f"{out}-load"))
+    assert rows(spark.read.parquet(film.path).select("TITLE")) == [("T7",), ("T8",)]
+    assert [r.url for r in spark.read.parquet(f"{out}/retry").collect()] == ["https://s.example/a/404"]
+
+
 # ---- streams -------------------------------------------------------------------------------------
 
 LINES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.match import blank, match_value
+from ..functions.match import blank, match_value, tag_name
 from ..functions.text import first_classification
 from .navigate import RECONS
 from .select import first_child, let, node_text, target_value
@@ -29,6 +29,8 @@ def target_classification(nodes: Column, anchor: Column, target: dict) -> Column
     recon = target.get("recon") or {}
     if (target.get("reconRelation") or "").upper() not in LABELLED or not recon.get("tag"):
         return F.lit(None).cast("string")
+    if tag_name(recon.get("reconValue") or "") != "innertext":
+        raise ValueError("a target's recon classifies by InnerText")
     child = first_child(nodes, anchor, recon["tag"], recon.get("keyProperty"), recon.get("valueProperty"))
     label = lambda t: first_classification(t, recon.get("classification") or ())
     return let(child, lambda n: F.when(n.isNotNull(), let(node_text(nodes, n), label)))
