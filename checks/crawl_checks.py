@@ -82,9 +82,9 @@ def paginate_listing(spark, sf):
 
 
 @check(f"""
-SELECT DISTINCT '{BASE}/i/' || (c_custkey // 50) AS url, 0 AS depth FROM customer
-UNION ALL SELECT '{BASE}/c/' || c_custkey, 1 FROM customer
-UNION ALL SELECT '{BASE}/o/' || o_orderkey, 2 FROM orders""")
+SELECT DISTINCT '{BASE}/i/' || (o_orderkey // 100) AS url, 0 AS depth FROM orders
+UNION ALL SELECT '{BASE}/o/' || o_orderkey, 1 FROM orders
+UNION ALL SELECT DISTINCT '{BASE}/c/' || o_custkey, 2 FROM orders""")
 def crawl_frontier_site(spark, sf):
     pages = render.site(spark, sf)
     return crawl_frontier(extract_links(pages, specs.SITE_LINKS), pages.select("url").where(f"url LIKE '{BASE}/i/%'"))

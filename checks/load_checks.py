@@ -6,7 +6,6 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F, types as T
 
-from webtables.functions.messages import entity_text  # noqa: F401
 from webtables.operators.errors import error_log_rows, retention
 from webtables.operators.load import (
     check_constraints, check_unique, dedup_natural_key, get_all, get_one, get_where, load_delete, load_insert,

@@ -188,9 +188,9 @@ def first_descendant_of_article(spark, sf):
 
 
 @check("""
-SELECT '/i/' || (c_custkey // 50) AS path, string_agg(c_name, '' ORDER BY c_custkey) || 'none' AS text FROM customer GROUP BY 1
-UNION ALL SELECT '/c/' || o_custkey, 'up' || string_agg(o_orderstatus, '' ORDER BY o_orderkey) FROM orders GROUP BY 1, o_custkey
-UNION ALL SELECT '/o/' || o_orderkey, 'up' FROM orders""")
+SELECT '/i/' || (o_orderkey // 100) AS path, string_agg(o_orderstatus, '' ORDER BY o_orderkey) || 'none' AS text FROM orders GROUP BY 1
+UNION ALL SELECT '/o/' || o_orderkey, 'buyerup' FROM orders
+UNION ALL SELECT '/c/' || c_custkey, c_name FROM customer""")
 def node_by_id_main(spark, sf):
     dom = parse_pages(render.site(spark, sf).select("url", "html"))
     main = node_by_id(nodes(), root(nodes()), "main")
@@ -281,10 +281,10 @@ def navigate_3(spark, sf):
 
 
 @check("""
-SELECT '/i/' || (c_custkey // 50) AS path, '/c/' || c_custkey AS href, 1 AS n FROM customer
-UNION ALL SELECT '/c/' || o_custkey, '/o/' || o_orderkey, 2 FROM orders
-UNION ALL SELECT DISTINCT '/c/' || o_custkey, '/i/' || (o_custkey // 50), 1 FROM orders
-UNION ALL SELECT '/o/' || o_orderkey, '/c/' || o_custkey, 1 FROM orders""")
+SELECT '/i/' || (o_orderkey // 100) AS path, '/o/' || o_orderkey AS href, 1 AS n FROM orders
+UNION ALL SELECT '/o/' || o_orderkey, '/c/' || o_custkey, 1 FROM orders
+UNION ALL SELECT '/o/' || o_orderkey, '/i/' || (o_orderkey // 100), 2 FROM orders
+UNION ALL SELECT '/c/' || c_custkey, '/i/' || (c_custkey // 100), 1 FROM customer""")
 def navigate_bag(spark, sf):
     steps = [
         {"tag": "div", "keyProperty": "id", "valueProperty": "main"},

@@ -79,26 +79,25 @@ def listings(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def site(spark: SparkSession, directory: str) -> DataFrame:
-    """Index pages of 50 customers -> customer pages -> order pages, which link back to the customer."""
-    customer = table(spark, directory, "customer")
+    """Index pages of 100 orders -> order pages -> customer pages, which link back to an index page."""
     orders = spread(table(spark, directory, "orders"))
+    customer = table(spark, directory, "customer")
     block = "<div id=\"main\"><div class=\"list\">%s<div class=\"list\">%s</div></div></div>"
-    entry = customer.select(
-        F.expr("c_custkey div 50").alias("key"), "c_custkey", fill("<a href=\"/c/%d\">%s</a>", "c_custkey", "c_name").alias("html")
+    entry = orders.select(
+        F.expr("o_orderkey div 100").alias("key"),
+        "o_orderkey",
+        fill("<a href=\"/o/%d\">%s</a>", "o_orderkey", "o_orderstatus").alias("html"),
     )
-    index = entry.groupBy("key").agg(joined("c_custkey").alias("links")).select(
+    index = entry.groupBy("key").agg(joined("o_orderkey").alias("links")).select(
         fill("/i/%d", "key").alias("path"), fill(block, "links", F.lit("<b>none</b>")).alias("body")
     )
-    order_links = orders.select(
-        F.col("o_custkey").alias("key"), "o_orderkey", fill("<a href=\"/o/%d\">%s</a>", "o_orderkey", "o_orderstatus").alias("html")
-    )
-    home = order_links.groupBy("key").agg(joined("o_orderkey").alias("links")).select(
-        fill("/c/%d", "key").alias("path"), fill(block, fill("<a href=\"/i/%d\">up</a>", F.expr("key div 50")), "links").alias("body")
-    )
-    leaf = orders.select(
-        fill("/o/%d", "o_orderkey").alias("path"), fill(block, fill("<a href=\"/c/%d\">up</a>", "o_custkey"), F.lit("")).alias("body")
+    up = fill("<a href=\"/i/%d\">up</a>", F.expr("o_orderkey div 100"))
+    order = orders.select(
+        fill("/o/%d", "o_orderkey").alias("path"), fill(block, fill("<a href=\"/c/%d\">buyer</a>", "o_custkey"), up).alias("body")
     )
-    whole = index.unionByName(home).unionByName(leaf)
+    home = fill("<a href=\"/i/%d\">%s</a>", F.expr("c_custkey div 100"), "c_name")
+    buyer = customer.select(fill("/c/%d", "c_custkey").alias("path"), fill(block, home, F.lit("")).alias("body"))
+    whole = index.unionByName(order).unionByName(buyer)
     return whole.select(
         F.xxhash64("path").alias("page_id"), F.concat(F.lit(BASE), "path").alias("url"), page(F.col("body")).alias("html")
     )

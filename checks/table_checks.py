@@ -192,8 +192,8 @@ SELECT page_id, table_no, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS col_
   SELECT DISTINCT p_partkey // 10 AS page_id, 0 AS table_no, ['Key', 'Spec-Brand', 'Spec-Type', 'Left', 'Sid'] AS l FROM part
   UNION ALL SELECT DISTINCT p_partkey // 10, 1, ['A', 'B', 'C'] FROM part)""")
 def table_headers_wide(spark, sf):
-    tables = wides(spark, sf).where("error IS NULL")
-    return tables.select("page_id", F.col("path_id").alias("table_no"), F.posexplode("columns").alias("col_idx", "name"))
+    named = headers_table(wides(spark, sf).where("error IS NULL"))
+    return named.select("page_id", F.when(F.col("table_id") == 1, 0).otherwise(1).alias("table_no"), "col_idx", "name")
 
 
 @check("SELECT DISTINCT p_partkey // 10 AS page_id, 'Left' AS a, 'Sid' AS b FROM part")
@@ -217,8 +217,7 @@ SELECT page_id, row_idx, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS col_i
        unnest(['Nation', 'Key', 'Name', 'Segment', 'Balance']) AS name, unnest(l) AS text FROM (
   SELECT page_id, row_idx, [CAST(c_nationkey AS VARCHAR), CAST(c_custkey AS VARCHAR), c_name, c_mktsegment || ' & co', balance] AS l FROM ({GRID_SQL}))""")
 def parse_table_round_trip(spark, sf):
-    tables = grids(spark, sf)
-    return cells_table(tables).join(headers_table(tables), ["page_id", "table_id", "col_idx"]).drop("table_id")
+    return cells_table(grids(spark, sf)).drop("table_id")
 
 
 @check(f"""

@@ -23,9 +23,9 @@ def _attr(node: Column, name: str | None) -> Column:
 
 
 def not_crawled(urls: DataFrame, ledger: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """URLs the ledger does not hold. The ledger side is reduced to its distinct keys by the anti join."""
+    """URLs the ledger does not hold. A URL the ledger holds very often is reduced before the shuffle."""
     on = on or ["url"]
-    return urls.join(ledger.select(*on), on, "left_anti")
+    return urls.join(ledger.select(*on).distinct(), on, "left_anti")
 
 
 def direct_urls(urls: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -119,9 +119,10 @@ def paginate(next_links: DataFrame, starts: DataFrame) -> DataFrame:
     """Follow `src_url -> next_url` from each `url` of `starts` to the end: `start, url, step`.
 
     Instead of one job per page, the jump table is composed with itself: after round k it leaps 2^k pages,
-    so a chain of n pages needs about log2(n) rounds. A chain that runs into itself stops there.
+    so a chain of n pages needs about log2(n) rounds. A chain that runs into itself stops there. Of several
+    next links of a page the smallest counts.
     """
-    jumps = written(next_links.select("src_url", "next_url"), "jumps")
+    jumps = written(next_links.groupBy("src_url").agg(F.min("next_url").alias("next_url")), "jumps")
     first = starts.select(F.col("url").alias("start"), "url", F.lit(0).cast("bigint").alias("step"))
     reached = written(first.distinct(), "reached")
     leap, size = 1, reached.count()

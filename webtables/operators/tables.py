@@ -226,8 +226,11 @@ def headers_table(tables: DataFrame) -> DataFrame:
 
 
 def cells_table(tables: DataFrame) -> DataFrame:
-    rows = tables.select("page_id", "table_id", F.posexplode("rows").alias("row_idx", "r"))
-    return rows.select("page_id", "table_id", "row_idx", F.posexplode("r").alias("col_idx", "text"))
+    """One row per body cell, with the name of its column."""
+    named = lambda r: F.zip_with("columns", r, lambda n, t: F.struct(n.alias("name"), t.alias("text")))
+    rows = tables.select("page_id", "table_id", F.posexplode(F.transform("rows", named)).alias("row_idx", "r"))
+    cells = rows.select("page_id", "table_id", "row_idx", F.posexplode("r").alias("col_idx", "c"))
+    return cells.select("page_id", "table_id", "row_idx", "col_idx", "c.*")
 
 
 def min_columns_guard(tables: DataFrame, n: int = MIN_COLUMNS) -> tuple[DataFrame, DataFrame]:

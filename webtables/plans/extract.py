@@ -41,16 +41,23 @@ def assemble(dom: DataFrame, spec: dict) -> DataFrame:
     return made.select("page_id", "entity_idx", "data", F.lit(target.get("classType")).alias("class_type"), "error")
 
 
-def extract_entities(pages: DataFrame, spec: dict) -> DataFrame:
-    """`page_id, entity_idx, data, class_type`. `entity_idx` orders the entities of a page."""
-    return assemble(spec_pages(pages, spec), spec).where("error IS NULL").drop("error")
+def extract_entities(pages: DataFrame, spec: dict, dom: DataFrame | None = None) -> DataFrame:
+    """`page_id, entity_idx, data, class_type`. `entity_idx` orders the entities of a page.
 
+    `dom`: the parsed pages (`spec_pages`, stored with `store_dom`) when several extractions share them.
+    """
+    dom = spec_pages(pages, spec) if dom is None else dom
+    return assemble(dom, spec).where("error IS NULL").drop("error")
 
-def extract_errors(pages: DataFrame, spec: dict) -> DataFrame:
-    """What the extraction could not use: `page_id, message, detail`."""
+
+def extract_errors(pages: DataFrame, spec: dict, dom: DataFrame | None = None) -> DataFrame:
+    """What the extraction could not use: `page_id, message, detail`.
+
+    Each kind of error is a pass over the parsed pages, so on many pages give a stored `dom`.
+    """
     extraction = extraction_of(spec)
     target = extraction["target"]
-    dom = spec_pages(pages, spec)
+    dom = spec_pages(pages, spec) if dom is None else dom
     matches = navigate(F.col("nodes"), extraction.get("navigation"))
     failed = assemble(dom, spec).where("error IS NOT NULL").select(
         "page_id", F.col("error").alias("message"), F.to_json("data").alias("detail")

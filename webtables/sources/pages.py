@@ -21,19 +21,22 @@ def page_source(spark: SparkSession, directory: str, name: str = "pages") -> Dat
     return spread(spark.read.parquet(f"{directory}/{name}.parquet").select("page_id", "url", "html"))
 
 
-def resolve_pages(urls: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """`url, page_id` of the newest copy of each URL. Reads the two small columns only."""
+    return pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
+
+
+def resolve_pages(urls: DataFrame, pages: DataFrame, newest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Look requested URLs up in a snapshot: (found with `page_id, html`, missing for a retry).
 
-    Pages nobody asked for are dropped first, so a small request moves no page text. Where the snapshot
-    holds several copies of a URL the newest (`page_id`) answers. All three steps share the key `url` and
-    with it one shuffle; a URL requested very often makes a large partition on the left side only, which
-    adaptive execution splits.
+    Where the snapshot holds several copies of a URL the newest (`page_id`) answers; `newest` can be given
+    when many lookups share it. Copies are reduced on ids, before page text is touched, and the text is then
+    fetched by `page_id`, which is unique: a URL with very many copies or requests makes no large group.
     """
-    wanted = pages.join(urls.select("url"), "url", "left_semi")
-    newest = wanted.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("page"))
-    found = urls.join(newest, "url").select(*urls.columns, "page.*")
-    missing = urls.join(pages.select("url"), "url", "left_anti")
-    return found, missing
+    newest = newest_pages(pages) if newest is None else newest
+    found = urls.join(newest, "url").join(pages.select("page_id", "html"), "page_id")
+    missing = urls.join(newest.select("url"), "url", "left_anti")
+    return found.select(*urls.columns, "page_id", "html"), missing
 
 
 def _position(marker: str):

@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.load import absent, check_constraints, dedup_natural_key, rules_schema, to_typed_row, with_row_identity
 from ..operators.queues import retry_or_dead_letter, route_by_type
 from ..plans.extract import extract_entities
-from ..sources.pages import resolve_pages
+from ..session import written
+from ..sources.pages import newest_pages, resolve_pages
 
 
 def url_stream(
@@ -55,12 +56,17 @@ def earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType)
 
 
 def stream_extract(stream: DataFrame, pages: DataFrame, spec: dict, out: str, checkpoint: str, k: int = 3) -> StreamingQuery:
-    """URL messages -> entities in `out/entities`; URLs without a page in `out/retry`, after `k` tries in `out/dead`."""
+    """URL messages -> entities in `out/entities`; URLs without a page in `out/retry`, after `k` tries in `out/dead`.
+
+    The URLs of the snapshot are indexed once per start. A batch still scans the pages for the text of those
+    it asks for, so on a large snapshot let batches be large.
+    """
+    newest = written(newest_pages(pages), "newest")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         urls = batch.select("url")
-        found, missing = resolve_pages(urls, pages)
+        found, missing = resolve_pages(urls, pages, newest)
         entities = extract_entities(found, spec)
         entities.write.mode("overwrite").parquet(f"{out}/entities/batch_id={batch_id}")
         tries_schema = T.StructType().add("url", T.StringType()).add("attempts", T.IntegerType())
