@@ -301,7 +301,7 @@ def rate_limit_stream(spark, sf):
 
 
 @check(f"""
-SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS entity_idx, unnest(l) AS paragraph
+SELECT page_id, generate_subscripts(l, 1) - 1 AS entity_idx, unnest(l) AS paragraph
 FROM (SELECT page_id, regexp_extract_all({BODY}, '<p>(?:<b>)?([^<]*)', 1) AS l FROM pages)
 UNION ALL SELECT -1, 1, url || '/missing' FROM pages""")
 def stream_extract_articles(spark, sf):

@@ -500,7 +500,7 @@ def flatten_record_events(spark, sf):
 
 
 @check(f"""
-SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS entity_idx, title, unnest(l) AS paragraph,
+SELECT page_id, generate_subscripts(l, 1) - 1 AS entity_idx, title, unnest(l) AS paragraph,
        'SNAPSHOT' AS source, 'Paragraph' AS class_type
 FROM (SELECT page_id, regexp_extract({BODY}, '<h1>([^<]*)', 1) AS title,
              regexp_extract_all({BODY}, '<p>(?:<b>)?([^<]*)', 1) AS l FROM pages)""")

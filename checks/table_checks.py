@@ -32,7 +32,7 @@ def dom(pages):
 
 @check("""
 SELECT c_custkey // 50 AS page_id, c_mktsegment AS word_type, c_name AS word_value, 'SHOP' AS source,
-       CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment, c_custkey) - 1 AS INTEGER) AS entity_idx
+       row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment, c_custkey) - 1 AS entity_idx
 FROM customer""")
 def extract_words(spark, sf):
     found = extract_entities(render.sections(spark, sf), specs.WORDS)
@@ -226,7 +226,7 @@ def table_entities(spark, sf):
     found = extract_entities(render.span_tables(spark, sf), specs.GRIDS)
     data = F.col("data")
     return found.select(
-        "page_id", F.col("entity_idx.row_idx").alias("row_idx"), data["NATION"].alias("nation"), data["CUSTOMER"].alias("customer"),
+        "page_id", F.col("entity_idx").cast("int").alias("row_idx"), data["NATION"].alias("nation"), data["CUSTOMER"].alias("customer"),
         data["BALANCE"].alias("balance"), data["SOURCE"].alias("source"), F.size("data").alias("fields"),
     )
 

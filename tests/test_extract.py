@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from webtables.operators.select import (
     descendants, first_child, first_descendant, has_child, node_attr, node_by_id, node_own_text, node_text, root, target_value,
 )
 from webtables.plans.extract import extract_entities, extract_errors
+from webtables.sources.dom import NodeColumns
 
 
 def recon(tag, name, **more):
@@ -183,3 +186,61 @@ def test_leaves_are_in_document_order(dom_of):
     dom = dom_of("<body><ul><li>1<li>2</ul><ul><li>3</ul>")
     rows = leaves(dom, navigate(F.col("nodes"), [{"tag": "ul"}, {"tag": "li"}]), {"value": "InnerText"}).orderBy("path_id").collect()
     assert [r.value for r in rows] == ["1", "2", "3"]
+
+
+# ---- random pages against a plain recursive reading -----------------------------------------------
+
+PIECES = ["<div class='a'>", "<div class='b'>", "</div>", "<ul>", "</ul>", "<li>", "<i>x</i>", "<h2>h</h2>", "<p>y", "word", "<b>"]
+STEPS = {
+    "bag": [{"tag": "div"}, {"tag": "li"}],
+    "attribute": [{"tag": "div", "keyProperty": "class", "valueProperty": "a|c"}, {"tag": "ul"}, {"tag": "i"}],
+    "gate": [{"tag": "div"}, {"tag": "li", "recon": [recon("i", "I"), recon("h2", "H")]}, {"tag": "p"}],
+    "sections": [{"tag": "div"}, {"tag": "li", "recon": [recon("h2", "H", reconRelation="REPEATING")]}],
+    "two headers": [{"tag": "div"}, {"tag": "i", "recon": [recon("h2", "H", reconRelation="REPEATING"), recon("p", "P", reconRelation="REPEATING")]}],
+}
+
+
+def plain_walk(found, steps):
+    """Node ids and recons in visiting order, by direct recursion over a page's nodes."""
+    inner = lambda n: "".join(m["text"] or "" for m in found[n["node_id"]:n["last_id"] + 1])
+    below = lambda n: found[n["node_id"] + 1:n["last_id"] + 1]
+    kids = lambda n: [m for m in below(n) if m["parent_id"] == n["node_id"]]
+
+    def fits(n, rule):
+        values = (rule.get("valueProperty") or "").split("|")
+        return n["tag"] == rule["tag"] and (not rule.get("keyProperty") or dict(n["attrs"]).get(rule["keyProperty"]) in values)
+
+    def visit(n, left, recons):
+        if not left:
+            return [(n["node_id"], recons)]
+        step, rules = left[0], left[0].get("recon") or []
+        if rules and all(r.get("reconRelation") == "REPEATING" for r in rules):
+            out, now, opened = [], dict(recons), False
+            for kid in kids(n):
+                for rule in rules:
+                    if fits(kid, rule):
+                        now, opened = now | {rule["classification"][0]["name"]: inner(kid) or None}, True
+                if opened:
+                    out += [hit for m in [kid, *below(kid)] if fits(m, step) for hit in visit(m, left[1:], now)]
+            return out
+        for rule in rules:
+            hits = [m for m in kids(n) if fits(m, rule)] or [m for m in below(n) if fits(m, rule)]
+            if not hits or not inner(hits[0]).strip():
+                return []
+            recons = recons | {rule["classification"][0]["name"]: inner(hits[0])}
+        return [hit for m in below(n) if fits(m, step) for hit in visit(m, left[1:], recons)]
+
+    return visit(found[0], steps, {}) if found else []
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_navigation_equals_a_plain_recursion(dom_of, name):
+    draw = random.Random(7)
+    pages = ["<body>" + "".join(draw.choices(PIECES, k=draw.randrange(40))) for _ in range(150)]
+    found = navigate(F.col("nodes"), STEPS[name])
+    got = {r.page_id: [(m.node_id, m.recons) for m in r.m] for r in dom_of(*pages).select("page_id", found.alias("m")).collect()}
+    for number, page in enumerate(pages):
+        columns = NodeColumns()
+        columns.add_page(page)
+        assert got[number] == plain_walk(columns.to_arrow()[0].as_py(), STEPS[name]), page
+    assert any(got.values())

@@ -11,6 +11,7 @@ from .select import first_child, let, node_text, target_value
 
 MISC = "MISC"
 LABELLED = ("SIBLING", "CHILD")
+ROWS = 1 << 32  # row r of the n-th table of a page is entity n * ROWS + r
 
 
 def is_single_field(target: dict) -> bool:
@@ -63,7 +64,7 @@ def entity_per_node(found: DataFrame, target: dict) -> DataFrame:
     """One entity per leaf: `{name: value}` plus group data. A leaf without a value fails."""
     name = F.lit(target["recon"]["classification"][0]["name"])
     rows = found.select(
-        "page_id", F.col("path_id").alias("entity_idx"), F.create_map(name, "value").alias("data"), "recons", "value"
+        "page_id", F.col("path_id").cast("bigint").alias("entity_idx"), F.create_map(name, "value").alias("data"), "recons", "value"
     )
     made = attach_group_data(rows, constants(target))
     lost = F.when(F.col("value").isNull(), F.lit("no target value"))
@@ -87,7 +88,7 @@ def entity_pivot(found: DataFrame, target: dict) -> DataFrame:
     loose = has & F.col("label").isNull()
     misc = misc_bucket(F.when(loose, F.col("value")), F.when(loose, F.col("path_id")))
     held = found.where(has).groupBy("page_id", "recons").agg(
-        F.min("path_id").alias("entity_idx"),
+        F.min("path_id").cast("bigint").alias("entity_idx"),
         F.array(*[first(n) for n in names], misc).cast("array<string>").alias("_values"),
     )
     data = F.map_filter(
@@ -123,7 +124,7 @@ def entity_from_table_row(tables: DataFrame, classifications: list[dict], fixed:
     entries = F.transform(present, lambda p: F.struct(p["name"], F.get(F.col("row"), p["at"] - 1)))
     filled = rows.select(
         "page_id",
-        F.struct("path_id", "row_idx").alias("entity_idx"),
+        (F.col("path_id") * F.lit(ROWS) + F.col("row_idx")).alias("entity_idx"),
         F.map_from_entries(entries).alias("data"),
         "recons",
     )
