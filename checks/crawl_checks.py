@@ -12,24 +12,24 @@ from webtables.session import scratch_path
 from webtables.sources.pages import page_source
 
 from . import render, specs
-from .pages_checks import BODY, ledger, listed
+from .pages_checks import ledger, listed
 from .registry import check
 from .render import BASE, table
 
 
 @check("""
 SELECT DISTINCT url FROM (SELECT '/e/' || user_id AS url, event_type FROM events)
-WHERE url NOT IN (SELECT '/e/' || user_id FROM events WHERE event_type = 'signup' AND value > 60)""")
+WHERE url NOT IN (SELECT '/e/' || user_id FROM events WHERE event_type = 'signup' AND value > 85)""", name="direct_urls")
 def direct_urls_events(spark, sf):
     events = table(spark, sf, "events")
     url = F.format_string("/e/%d", "user_id").alias("url")
     given = events.select(url).union(events.select(F.lit("").alias("url")))
-    return direct_urls(given, events.where("event_type = 'signup' AND value > 60").select(url))
+    return direct_urls(given, events.where("event_type = 'signup' AND value > 85").select(url))
 
 
 @check("""
 SELECT arg_max('/e/' || event_id, (ts, event_id)) AS url, 'resumed' AS kind FROM events
-UNION ALL SELECT 'https://shop.example/list/0/0', 'fresh' FROM (SELECT count(*) FROM events)""")
+UNION ALL SELECT 'https://shop.example/list/0/0', 'fresh' FROM (SELECT count(*) FROM events)""", name="start_url")
 def start_url_events(spark, sf):
     known = ledger(spark, sf)
     base = "https://shop.example"
@@ -38,7 +38,7 @@ def start_url_events(spark, sf):
 
 
 @check("""
-SELECT event_type AS source, arg_max('/e/' || event_id, ts) AS url FROM events WHERE value <= 20 GROUP BY 1""")
+SELECT event_type AS source, arg_max('/e/' || event_id, ts) AS url FROM events WHERE value <= 20 GROUP BY 1""", name="backtrack")
 def backtrack_events(spark, sf):
     events = table(spark, sf, "events")
     checked = events.where("value > 20").select(F.col("event_type").alias("source"), F.format_string("/e/%d", "event_id").alias("url"))
@@ -48,7 +48,7 @@ def backtrack_events(spark, sf):
 @check(f"""
 SELECT src_url, i AS position, CASE WHEN regexp_matches(href, '[\\s"<>\\\\^`{{|}}]|%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN href
        ELSE '{BASE}' || href END AS dst_url
-FROM ({listed('<a href="([^"]*)"', "href")}) JOIN (SELECT page_id, url AS src_url FROM pages) USING (page_id)""")
+FROM ({listed('<a href="([^"]*)"', "href")}) JOIN (SELECT page_id, url AS src_url FROM pages) USING (page_id)""", name="extract_links")
 def extract_links_nav(spark, sf):
     return extract_links(page_source(spark, sf), specs.NAV_LINKS)
 
@@ -65,7 +65,7 @@ candidate AS (
   UNION ALL SELECT a.p, 0, 1, '/list/' || a.s || '/' || (a.k + 1) FROM page a JOIN page b ON b.p = a.p + 1 WHERE a.k < 7
   UNION ALL SELECT a.p, 1, 0, '/more/' || a.p FROM page a WHERE a.k % 4 = 0),
 firsts AS (SELECT p, place, arg_min(href, pos) AS href FROM candidate WHERE href NOT IN (SELECT href FROM crawled) GROUP BY 1, 2)
-SELECT '{BASE}/list/' || s || '/' || k AS src_url, '{BASE}' || min(href) AS next_url FROM firsts JOIN page USING (p) GROUP BY p, s, k""")
+SELECT '{BASE}/list/' || s || '/' || k AS src_url, '{BASE}' || min(href) AS next_url FROM firsts JOIN page USING (p) GROUP BY p, s, k""", name="find_next")
 def find_next_listing(spark, sf):
     pages = render.listings(spark, sf)
     crawled = pages.select("url").where(F.regexp_extract("url", "([0-9]+)$", 1).cast("int") < 4)
@@ -74,7 +74,7 @@ def find_next_listing(spark, sf):
 
 @check(f"""
 WITH page AS ({LISTING_SQL})
-SELECT '{BASE}/list/' || s || '/0' AS start, '{BASE}/list/' || s || '/' || k AS url, k AS step FROM page""")
+SELECT '{BASE}/list/' || s || '/0' AS start, '{BASE}/list/' || s || '/' || k AS url, k AS step FROM page""", name="paginate")
 def paginate_listing(spark, sf):
     pages = render.listings(spark, sf)
     links = extract_links(pages, specs.PAGER_LINKS).select("src_url", F.col("dst_url").alias("next_url"))
@@ -84,7 +84,7 @@ def paginate_listing(spark, sf):
 @check(f"""
 SELECT DISTINCT '{BASE}/i/' || (o_orderkey // 100) AS url, 0 AS depth FROM orders
 UNION ALL SELECT '{BASE}/o/' || o_orderkey, 1 FROM orders
-UNION ALL SELECT DISTINCT '{BASE}/c/' || o_custkey, 2 FROM orders""")
+UNION ALL SELECT DISTINCT '{BASE}/c/' || o_custkey, 2 FROM orders""", name="crawl_frontier")
 def crawl_frontier_site(spark, sf):
     pages = render.site(spark, sf)
     return crawl_frontier(extract_links(pages, specs.SITE_LINKS), pages.select("url").where(f"url LIKE '{BASE}/i/%'"))
@@ -92,7 +92,7 @@ def crawl_frontier_site(spark, sf):
 
 @check(f"""
 WITH page AS ({LISTING_SQL})
-SELECT CAST(s AS VARCHAR) AS source, '{BASE}/list/' || s || '/' || k AS url, CAST(k AS INTEGER) AS step FROM page""")
+SELECT CAST(s AS VARCHAR) AS source, '{BASE}/list/' || s || '/' || k AS url, CAST(k AS INTEGER) AS step FROM page""", name="crawl_sources")
 def crawl_sources_listing(spark, sf):
     """The pager leads both ways and detours tempt; each chain is still walked once, in order."""
     pages = render.listings(spark, sf)
@@ -100,7 +100,7 @@ def crawl_sources_listing(spark, sf):
     return crawl_sources(pages, specs.LISTING, starts)
 
 
-@check("""SELECT '{"url":"' || url || '"}' AS body, 'Url' AS type FROM pages""")
+@check("""SELECT '{"url":"' || url || '"}' AS body, 'Url' AS type FROM pages""", name="crawl_to_queue")
 def crawl_to_queue_pages(spark, sf):
     path = scratch_path(spark, "queue")
     crawl_to_queue(page_source(spark, sf), path, "Url")

@@ -44,7 +44,7 @@ CUSTOMER = T.StructType().add("NAME", T.StringType()).add("NATION", T.IntegerTyp
 
 @check("""
 SELECT c_custkey, c_name AS NAME, c_nationkey AS NATION, CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS BALANCE,
-       CAST(NULL AS VARCHAR) AS PHONE FROM customer""")
+       CAST(NULL AS VARCHAR) AS PHONE FROM customer""", name="to_typed_row")
 def to_typed_row_customers(spark, sf):
     return to_typed_row(entities(spark, sf), CUSTOMER, keep=["c_custkey"])[0]
 
@@ -55,7 +55,7 @@ def to_typed_row_unknown(spark, sf):
 
 
 @check(f"""
-SELECT c_custkey, sha256(c_name || chr(31) || c_nationkey) AS id, TIMESTAMP '{SEEN}' AS dt_creation, TIMESTAMP '{SEEN}' AS dt_update FROM customer""")
+SELECT c_custkey, sha256(c_name || chr(31) || c_nationkey) AS id, TIMESTAMP '{SEEN}' AS dt_creation, TIMESTAMP '{SEEN}' AS dt_update FROM customer""", name="with_row_identity")
 def row_identity_customers(spark, sf):
     as_of = F.lit(SEEN).cast("timestamp_ntz")
     rows = with_row_identity(table(spark, sf, "customer"), ["c_name", "c_nationkey"], as_of)
@@ -67,18 +67,18 @@ DOCUMENT_RULES = {"text": (True, 4000), "lang": (True, 1), "source": (False, 4)}
 
 @check("""
 SELECT doc_id, concat_ws('; ', CASE WHEN text IS NULL THEN 'text is required' END, CASE WHEN length(text) > 4000 THEN 'text is longer than 4000' END,
-  CASE WHEN length(lang) > 1 THEN 'lang is longer than 1' END, CASE WHEN length(source) > 4 THEN 'source is longer than 4' END) AS broken FROM documents""")
+  CASE WHEN length(lang) > 1 THEN 'lang is longer than 1' END, CASE WHEN length(source) > 4 THEN 'source is longer than 4' END) AS broken FROM documents""", name="check_constraints")
 def check_constraints_documents(spark, sf):
     good, bad = check_constraints(table(spark, sf, "documents"), DOCUMENT_RULES)
     return bad.select("doc_id", F.array_join("violations", "; ").alias("broken")).union(good.select("doc_id", F.lit("")))
 
 
-@check("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@check("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", name="check_unique")
 def check_unique_lineitem(spark, sf):
     return check_unique(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@check("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+@check("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text", name="dedup_natural_key")
 def dedup_natural_key_documents(spark, sf):
     return dedup_natural_key(table(spark, sf, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
 
@@ -96,66 +96,66 @@ def states(spark, sf):
     return old, new
 
 
-@check(f"SELECT * FROM ({OLD}) UNION ALL SELECT * FROM ({NEW})")
+@check(f"SELECT * FROM ({OLD}) UNION ALL SELECT * FROM ({NEW})", name="load_insert")
 def load_insert_orders(spark, sf):
     return load_insert(*states(spark, sf))
 
 
-@check(f"SELECT * FROM ({OLD}) UNION ALL SELECT * FROM ({NEW}) WHERE id NOT IN (SELECT id FROM ({OLD}))")
+@check(f"SELECT * FROM ({OLD}) UNION ALL SELECT * FROM ({NEW}) WHERE id NOT IN (SELECT id FROM ({OLD}))", name="load_insert_absent")
 def load_insert_absent_orders(spark, sf):
     old, new = states(spark, sf)
     return load_insert_absent(old, new.union(new), ["id"], ["price", "status"])
 
 
 @check(f"""
-SELECT o.id, coalesce(n.status, o.status) AS status, coalesce(n.price, o.price) AS price FROM ({OLD}) o LEFT JOIN ({NEW}) n USING (id)""")
+SELECT o.id, coalesce(n.status, o.status) AS status, coalesce(n.price, o.price) AS price FROM ({OLD}) o LEFT JOIN ({NEW}) n USING (id)""", name="load_update")
 def load_update_orders(spark, sf):
     old, new = states(spark, sf)
     return load_update(old, new, ["id"])
 
 
-@check(f"SELECT * FROM ({OLD}) WHERE id NOT IN (SELECT id FROM ({NEW})) UNION ALL SELECT * FROM ({NEW})")
+@check(f"SELECT * FROM ({OLD}) WHERE id NOT IN (SELECT id FROM ({NEW})) UNION ALL SELECT * FROM ({NEW})", name="load_upsert")
 def load_upsert_orders(spark, sf):
     old, new = states(spark, sf)
     return load_upsert(old, new, ["id"])
 
 
-@check(f"SELECT * FROM ({OLD}) WHERE id NOT IN (SELECT id FROM ({NEW}))")
+@check(f"SELECT * FROM ({OLD}) WHERE id NOT IN (SELECT id FROM ({NEW}))", name="load_delete")
 def load_delete_orders(spark, sf):
     old, new = states(spark, sf)
     return load_delete(old, new, ["id"])
 
 
-@check("SELECT * FROM supplier")
+@check("SELECT * FROM supplier", name="get_all")
 def get_all_suppliers(spark, sf):
     return get_all(table(spark, sf, "supplier"))
 
 
-@check("SELECT * FROM supplier WHERE s_acctbal > 5000")
+@check("SELECT * FROM supplier WHERE s_acctbal > 5000", name="get_where")
 def get_where_suppliers(spark, sf):
     return get_where(table(spark, sf, "supplier"), F.col("s_acctbal") > 5000)
 
 
-@check("SELECT * FROM supplier WHERE s_acctbal > 5000 ORDER BY s_suppkey LIMIT 1")
+@check("SELECT * FROM supplier WHERE s_acctbal > 5000 ORDER BY s_suppkey LIMIT 1", name="get_one")
 def get_one_supplier(spark, sf):
     return get_one(table(spark, sf, "supplier"), F.col("s_acctbal") > 5000, ["s_suppkey"])
 
 
 @check(f"""
 SELECT id, CASE WHEN o.status IS NULL THEN 'added' WHEN n.status IS NULL THEN 'deleted' ELSE 'modified' END AS change
-FROM ({OLD}) o FULL JOIN ({NEW}) n USING (id)""")
+FROM ({OLD}) o FULL JOIN ({NEW}) n USING (id)""", name="pending_changes")
 def pending_changes_orders(spark, sf):
     old, new = states(spark, sf)
     return pending_changes(old, new, ["id"])
 
 
-@check("SELECT c_nationkey AS nation, c_mktsegment AS word FROM customer EXCEPT SELECT s_nationkey, 'BUILDING' FROM supplier")
+@check("SELECT c_nationkey AS nation, c_mktsegment AS word FROM customer EXCEPT SELECT s_nationkey, 'BUILDING' FROM supplier", name="set_difference")
 def set_difference_nations(spark, sf):
     total = table(spark, sf, "customer").selectExpr("c_nationkey AS nation", "c_mktsegment AS word")
     return set_difference(total, table(spark, sf, "supplier").selectExpr("s_nationkey AS nation", "'BUILDING' AS word"))
 
 
-@check(f"SELECT * FROM ({OLD}) WHERE id NOT IN (SELECT id FROM ({NEW})) UNION ALL SELECT * FROM ({NEW})")
+@check(f"SELECT * FROM ({OLD}) WHERE id NOT IN (SELECT id FROM ({NEW})) UNION ALL SELECT * FROM ({NEW})", name="save_atomic")
 def save_atomic_orders(spark, sf):
     """Two states saved one after the other: the reader sees the second."""
     old, new = states(spark, sf)
@@ -165,7 +165,7 @@ def save_atomic_orders(spark, sf):
     return read_current(spark, path)
 
 
-@check("SELECT c_custkey, c_name FROM customer")
+@check("SELECT c_custkey, c_name FROM customer", name="entity_sink")
 def entity_sink_customers(spark, sf):
     path = scratch_path(spark, "customers")
     entity_sink(table(spark, sf, "customer").select("c_custkey", "c_name"), path)
@@ -179,18 +179,18 @@ def messages(spark, sf):
     return table(spark, sf, "events").select("event_id", F.col("event_type").alias("queue"), "ts", F.col("event_type").alias("type"))
 
 
-@check("SELECT event_type AS queue, count(*) AS depth FROM events GROUP BY 1")
+@check("SELECT event_type AS queue, count(*) AS depth FROM events GROUP BY 1", name="queue_depth")
 def queue_depth_events(spark, sf):
     return queue_depth(messages(spark, sf))
 
 
-@check("SELECT event_id FROM events WHERE event_type = 'purchase'")
+@check("SELECT event_id FROM events WHERE event_type = 'purchase'", name="route_by_type")
 def route_by_type_events(spark, sf):
     return route_by_type(messages(spark, sf), "purchase").select("event_id")
 
 
 @check("""
-SELECT event_id, event_type AS queue, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 150 AS kept FROM events""")
+SELECT event_id, event_type AS queue, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 150 AS kept FROM events""", name="bounded_queue")
 def bounded_queue_events(spark, sf):
     kept, overflow = bounded_queue(messages(spark, sf), 150, ["ts", "event_id"])
     row = lambda df, flag: df.select("event_id", "queue", F.lit(flag).alias("kept"))
@@ -199,7 +199,7 @@ def bounded_queue_events(spark, sf):
 
 @check("""
 SELECT o_orderkey AS message_id, CAST(coalesce(n, 0) + 1 AS INTEGER) AS attempts, coalesce(n, 0) + 1 >= 5 AS dead FROM orders
-LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""", name="retry_or_dead_letter")
 def retry_or_dead_letter_orders(spark, sf):
     failed = table(spark, sf, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey AS message_id")
     tries = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("message_id")).agg(F.count("*").cast("int").alias("attempts"))
@@ -207,7 +207,7 @@ def retry_or_dead_letter_orders(spark, sf):
     return retry.withColumn("dead", F.lit(False)).union(dead.withColumn("dead", F.lit(True)))
 
 
-@check("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'ack' ELSE 'retry' END AS action FROM part")
+@check("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'ack' ELSE 'retry' END AS action FROM part", name="failure_policy")
 def failure_policy_parts(spark, sf):
     inner = F.concat(F.lit("Cannot insert duplicate key in "), "p_type")
     causes = F.when(F.col("p_size") > 25, F.array("p_name", inner)).otherwise(F.array("p_name"))
@@ -231,19 +231,19 @@ SELECT 'feed' AS service, CAST(user_id AS VARCHAR) AS source, props AS message,
 FROM events WHERE event_type = 'error'"""
 
 
-@check(LOG_SQL)
+@check(LOG_SQL, name="error_log_rows")
 def error_log_rows_events(spark, sf):
     return error_log_rows(failures(spark, sf))
 
 
-@check(LOG_SQL)
+@check(LOG_SQL, name="error_log_sink")
 def error_log_sink_events(spark, sf):
     path = scratch_path(spark, "errors")
     error_log_sink(error_log_rows(failures(spark, sf)), path)
     return spark.read.parquet(path)
 
 
-@check("SELECT doc_id, 'text is longer than 4000' AS message FROM documents WHERE length(text) > 4000")
+@check("SELECT doc_id, 'text is longer than 4000' AS message FROM documents WHERE length(text) > 4000", name="error_rows")
 def error_rows_documents(spark, sf):
     _, bad = check_constraints(table(spark, sf, "documents"), {"text": (True, 4000)})
     return bad.select("doc_id", F.array_join("violations", "; ").alias("message"))
@@ -257,7 +257,7 @@ def extract_errors_marker(spark, sf):
 
 @check("""
 SELECT event_id, 'day' AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-08' - INTERVAL 1 DAY
-UNION ALL SELECT event_id, 'minutes' FROM events WHERE ts >= TIMESTAMP '2024-01-08' - INTERVAL 30 MINUTE""")
+UNION ALL SELECT event_id, 'minutes' FROM events WHERE ts >= TIMESTAMP '2024-01-08' - INTERVAL 30 MINUTE""", name="retention")
 def retention_events(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts")
     as_of = F.lit("2024-01-08").cast("timestamp_ntz")
@@ -291,7 +291,7 @@ def url_queue(spark, sf, files=4):
     return path
 
 
-@check("SELECT 'all' AS kind, 2 * count(*) AS n, 4 AS batches FROM pages")
+@check("SELECT 'all' AS kind, 2 * count(*) AS n, 4 AS batches FROM pages", name="rate_limit")
 def rate_limit_stream(spark, sf):
     out = scratch_path(spark, "limited")
     stream = url_stream(spark, url_queue(spark, sf), "url STRING", max_files=1)
@@ -303,7 +303,7 @@ def rate_limit_stream(spark, sf):
 @check(f"""
 SELECT page_id, generate_subscripts(l, 1) - 1 AS entity_idx, unnest(l) AS paragraph
 FROM (SELECT page_id, regexp_extract_all({BODY}, '<p>(?:<b>)?([^<]*)', 1) AS l FROM pages)
-UNION ALL SELECT -1, 1, url || '/missing' FROM pages""")
+UNION ALL SELECT -1, 1, url || '/missing' FROM pages""", name="stream_extract")
 def stream_extract_articles(spark, sf):
     out = scratch_path(spark, "extracted")
     stream = url_stream(spark, url_queue(spark, sf), "url STRING", max_files=2)
@@ -330,7 +330,7 @@ def word_queue(spark, sf):
 @check("""
 SELECT DISTINCT 'Part' AS type, p_type AS word_type, p_name AS word_value, sha256(p_type || chr(31) || p_name) AS id FROM part
 UNION ALL SELECT 'rejected', c_mktsegment, c_name, 'WORD_VALUE is longer than 16' FROM customer
-UNION ALL SELECT 'rejected', c_mktsegment, c_name, 'WORD_VALUE is longer than 16' FROM customer""")
+UNION ALL SELECT 'rejected', c_mktsegment, c_name, 'WORD_VALUE is longer than 16' FROM customer""", name="stream_load")
 def stream_load_words(spark, sf):
     out = scratch_path(spark, "loaded")
     targets = {
@@ -349,7 +349,7 @@ def stream_load_words(spark, sf):
     return loaded.union(rejects)
 
 
-@check("SELECT url FROM pages UNION ALL SELECT url || '/missing' FROM pages")
+@check("SELECT url FROM pages UNION ALL SELECT url || '/missing' FROM pages", name="stream_not_crawled")
 def stream_not_crawled_urls(spark, sf):
     """The same URLs arrive twice and the stream is started twice: each is sent on once."""
     queue, out = url_queue(spark, sf), scratch_path(spark, "sent")
@@ -360,7 +360,7 @@ def stream_not_crawled_urls(spark, sf):
     return spark.read.parquet(out).select("url")
 
 
-@check("SELECT DISTINCT user_id, event_type FROM events")
+@check("SELECT DISTINCT user_id, event_type FROM events", name="stream_dedup")
 def stream_dedup_events(spark, sf):
     out = scratch_path(spark, "deduped")
     events = table(spark, sf, "events")

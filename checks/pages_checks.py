@@ -12,9 +12,7 @@ from webtables.functions.text import (
 from webtables.functions.urls import resolve_url, url_host, url_path
 from webtables.operators.crawl import not_crawled
 from webtables.operators.errors import level_filter
-from webtables.operators.navigate import (
-    classify_node, group_containers, matches_table, navigate, navigate_flat, recon_carry,
-)
+from webtables.operators.navigate import classify_node, group_containers, matches_table, navigate, navigate_flat
 from webtables.operators.select import (
     children_by_tag, descendants, first_child, first_descendant, has_child, node_attr, node_by_id, node_inner_html,
     node_own_text, node_text, recon_value, root, target_value,
@@ -60,7 +58,7 @@ def pages_scan(spark, sf):
 
 @check("""
 SELECT url, CAST(length(html) AS INTEGER) AS n FROM pages
-UNION ALL SELECT url || '/missing' AS url, -1 AS n FROM pages""")
+UNION ALL SELECT url || '/missing' AS url, -1 AS n FROM pages""", name="resolve_pages")
 def resolve_pages_lookup(spark, sf):
     pages = page_source(spark, sf)
     urls = pages.select("url").union(pages.select(F.concat("url", F.lit("/missing"))))
@@ -83,12 +81,12 @@ def dom_tag_counts(spark, sf):
 
 @check(f"""
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace({BODY}, '</body>.*', '', 's'),
-       '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g') AS text FROM pages""")
+       '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g') AS text FROM pages""", name="page_text")
 def visible_text(spark, sf):
     return page_text(parsed(spark, sf))
 
 
-@check("SELECT page_id, '<body>' || substr(html, strpos(html, '<article>')) AS html FROM pages")
+@check("SELECT page_id, '<body>' || substr(html, strpos(html, '<article>')) AS html FROM pages", name="truncate_before")
 def truncate_before_marker(spark, sf):
     return truncate_before(page_source(spark, sf), "<article>")[0].select("page_id", "html")
 
@@ -162,26 +160,26 @@ def match_attr(spark, sf):
     return parsed(spark, sf).select("page_id", F.posexplode(ads).alias("i", "text"))
 
 
-@check(listed('<li>(.*?)</li>', "text").replace("unnest(l)", "regexp_replace(unnest(l), '<[^>]*>', '', 'g')"))
+@check(listed('<li>(.*?)</li>', "text").replace("unnest(l)", "regexp_replace(unnest(l), '<[^>]*>', '', 'g')"), name="children_by_tag")
 def children_of_list(spark, sf):
     items = lambda n: F.transform(children_by_tag(nodes(), n, "li"), lambda c: node_text(nodes(), c))
     first_list = first_descendant(nodes(), root(nodes()), "ul")
     return parsed(spark, sf).select("page_id", F.posexplode(items(first_list)).alias("i", "text"))
 
 
-@check(f"SELECT page_id, regexp_extract({BODY}, '<ul><li><a [^>]*>([^<]*)', 1) AS text FROM pages")
+@check(f"SELECT page_id, regexp_extract({BODY}, '<ul><li><a [^>]*>([^<]*)', 1) AS text FROM pages", name="first_child")
 def first_child_of_list(spark, sf):
     item = first_child(nodes(), first_descendant(nodes(), root(nodes()), "ul"), "li")
     return parsed(spark, sf).select("page_id", node_text(nodes(), item).alias("text"))
 
 
-@check(listed('<a href="([^"]*)"', "href"))
+@check(listed('<a href="([^"]*)"', "href"), name="descendants")
 def descendants_of_nav(spark, sf):
     links = F.transform(descendants(nodes(), first_descendant(nodes(), root(nodes()), "nav"), "a"), lambda n: n["attrs"]["href"])
     return parsed(spark, sf).select("page_id", F.posexplode(links).alias("i", "href"))
 
 
-@check(f"SELECT page_id, regexp_extract({BODY}, '<article>.*?<p>(?:<b>)?([^<]*)', 1, 's') AS text FROM pages")
+@check(f"SELECT page_id, regexp_extract({BODY}, '<article>.*?<p>(?:<b>)?([^<]*)', 1, 's') AS text FROM pages", name="first_descendant")
 def first_descendant_of_article(spark, sf):
     first = first_descendant(nodes(), first_descendant(nodes(), root(nodes()), "article"), "p")
     return parsed(spark, sf).select("page_id", node_text(nodes(), first).alias("text"))
@@ -190,20 +188,20 @@ def first_descendant_of_article(spark, sf):
 @check("""
 SELECT '/i/' || (o_orderkey // 100) AS path, string_agg(o_orderstatus, '' ORDER BY o_orderkey) || 'none' AS text FROM orders GROUP BY 1
 UNION ALL SELECT '/o/' || o_orderkey, 'buyerup' FROM orders
-UNION ALL SELECT '/c/' || c_custkey, c_name FROM customer""")
+UNION ALL SELECT '/c/' || c_custkey, c_name FROM customer""", name="node_by_id")
 def node_by_id_main(spark, sf):
     dom = parse_pages(render.site(spark, sf).select("url", "html"))
     main = node_by_id(nodes(), root(nodes()), "main")
     return dom.select(F.replace("url", F.lit(render.BASE), F.lit("")).alias("path"), node_text(nodes(), main).alias("text"))
 
 
-@check(f"SELECT page_id, CAST(len(regexp_extract_all({BODY}, '<p><b>')) AS INTEGER) AS n FROM pages")
+@check(f"SELECT page_id, CAST(len(regexp_extract_all({BODY}, '<p><b>')) AS INTEGER) AS n FROM pages", name="has_child")
 def has_child_b(spark, sf):
     owners = F.filter(descendants(nodes(), root(nodes()), "p"), lambda n: has_child(nodes(), n, "b"))
     return parsed(spark, sf).select("page_id", F.size(owners).alias("n"))
 
 
-@check("SELECT '/c/' || c_custkey AS url FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+@check("SELECT '/c/' || c_custkey AS url FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", name="not_crawled")
 def not_crawled_customers(spark, sf):
     urls = table(spark, sf, "customer").select(F.format_string("/c/%d", "c_custkey").alias("url"))
     urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
@@ -211,13 +209,13 @@ def not_crawled_customers(spark, sf):
 
 
 @check("""
-SELECT p_partkey, contains(regexp_replace(p_brand, '[^a-zA-Z0-9]', '', 'g'), 'Brand' || p_size) AS found FROM part""")
+SELECT p_partkey, contains(regexp_replace(p_brand, '[^a-zA-Z0-9]', '', 'g'), 'Brand' || p_size) AS found FROM part""", name="contains_alnum")
 def contains_alnum_brand(spark, sf):
     other = F.format_string("Br-and #%d!", "p_size")
     return table(spark, sf, "part").select("p_partkey", contains_alnum(F.col("p_brand"), other).alias("found"))
 
 
-@check("SELECT event_id, event_type FROM events WHERE event_type IN ('purchase', 'error')")
+@check("SELECT event_id, event_type FROM events WHERE event_type IN ('purchase', 'error')", name="level_filter")
 def level_filter_events(spark, sf):
     order = ("view", "click", "signup", "purchase", "error")
     return level_filter(table(spark, sf, "events"), "purchase", "event_type", order).select("event_id", "event_type")
@@ -256,14 +254,14 @@ def inner_html(spark, sf):
     return parsed(spark, sf, detail=True).select("page_id", node_inner_html(F.col("html"), nodes(), article).alias("html"))
 
 
-@check(listed('<li><a href="([^"]*)"', "value").replace("unnest(l)", "replace(unnest(l), '/', '')"))
+@check(listed('<li><a href="([^"]*)"', "value").replace("unnest(l)", "replace(unnest(l), '/', '')"), name="target_value")
 def target_value_href(spark, sf):
     target = {"tag": "a", "value": "Href", "regex": {"action": "REMOVE", "regex": "/"}}
     values = F.transform(descendants(nodes(), root(nodes()), "li"), lambda n: target_value(nodes(), n, target))
     return parsed(spark, sf).select("page_id", F.posexplode(values).alias("i", "value"))
 
 
-@check("SELECT c_custkey AS page_id, 'Original title: ' || c_name AS value FROM customer")
+@check("SELECT c_custkey AS page_id, 'Original title: ' || c_name AS value FROM customer", name="recon_value")
 def recon_value_title(spark, sf):
     dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
     h1 = first_descendant(nodes(), root(nodes()), "h1")
@@ -300,7 +298,7 @@ def navigate_bag(spark, sf):
 @check("""
 SELECT c_custkey // 50 AS page_id, c_name AS text,
        CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment, c_custkey) AS INTEGER) AS place
-FROM customer""")
+FROM customer""", name="navigate_flat")
 def navigate_flat_words(spark, sf):
     dom = parse_pages(render.sections(spark, sf).select("page_id", "html"))
     flat = navigate_flat(dom, specs.WORD_STEPS)
@@ -322,7 +320,7 @@ def recon_gate(spark, sf):
 
 @check("""
 SELECT c_custkey AS page_id, 'Plot of ' || c_mktsegment AS title, 'Original title: ' || c_name AS name
-FROM customer WHERE c_custkey % 7 <> 0""")
+FROM customer WHERE c_custkey % 7 <> 0""", name="recon_carry")
 def recon_carry_deepest(spark, sf):
     dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
     steps = [
@@ -349,7 +347,7 @@ def repeating_sections(spark, sf):
 @check("""
 SELECT c_custkey // 50 AS page_id, c_mktsegment AS word_type, count(*) AS n_leaves,
        CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment) AS INTEGER) AS place
-FROM customer GROUP BY 1, 2""")
+FROM customer GROUP BY 1, 2""", name="group_containers")
 def group_containers_words(spark, sf):
     dom = parse_pages(render.sections(spark, sf).select("page_id", "html"))
     grouped = group_containers(matches_table(dom, specs.WORD_STEPS))
@@ -365,7 +363,7 @@ def group_containers_words(spark, sf):
 
 @check("""
 SELECT event_id, replace(CASE WHEN event_type LIKE 'er%' THEN 'bad event' WHEN event_type LIKE '%i%' THEN event_type END, 'e', '') AS value
-FROM events""")
+FROM events""", name="classify_node")
 def classify_node_events(spark, sf):
     recon = {
         "reconValue": "InnerText",
@@ -378,7 +376,7 @@ def classify_node_events(spark, sf):
 
 @check("""
 SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'look' END AS both,
-       CASE WHEN event_type LIKE 's%' THEN event_type END AS found, 'fixed' AS fixed, event_type AS plain FROM events""")
+       CASE WHEN event_type LIKE 's%' THEN event_type END AS found, 'fixed' AS fixed, event_type AS plain FROM events""", name="classification_value")
 def classification_value_events(spark, sf):
     c = F.col("event_type")
     return table(spark, sf, "events").select(
@@ -391,30 +389,30 @@ def classification_value_events(spark, sf):
 
 
 @check("""
-SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'LOOK' WHEN event_type LIKE '%e%' THEN 'E' END AS label FROM events""")
+SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'LOOK' WHEN event_type LIKE '%e%' THEN 'E' END AS label FROM events""", name="first_classification")
 def first_classification_events(spark, sf):
     kinds = [{"name": "LOOK", "findBy": "view|click"}, {"name": "BLANK", "value": " ", "findBy": "error"}, {"name": "E", "findBy": "%e%"}]
     return table(spark, sf, "events").select("event_id", first_classification(F.col("event_type"), kinds).alias("label"))
 
 
-@check("SELECT doc_id, replace(text, 'the', '') AS text FROM documents")
+@check("SELECT doc_id, replace(text, 'the', '') AS text FROM documents", name="text_remove")
 def text_remove_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text_remove(F.col("text"), "the").alias("text"))
 
 
-@check("SELECT doc_id, regexp_replace(text, 'THE', '', 'gi') AS text FROM documents")
+@check("SELECT doc_id, regexp_replace(text, 'THE', '', 'gi') AS text FROM documents", name="text_remove_ci")
 def text_remove_ci_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text_remove_ci(F.col("text"), "THE").alias("text"))
 
 
-@check("SELECT doc_id, CASE WHEN length(text) > 0 THEN 'gone' END AS text FROM documents")
+@check("SELECT doc_id, CASE WHEN length(text) > 0 THEN 'gone' END AS text FROM documents", name="text_replace")
 def text_replace_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text_replace(F.col("text"), "gone").alias("text"))
 
 
 @check("""
 SELECT p_partkey, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS i, unnest(l) AS word
-FROM (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part)""")
+FROM (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part)""", name="text_split")
 def text_split_names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.posexplode(text_split(F.col("p_name"))).alias("i", "word"))
 
@@ -423,7 +421,7 @@ DECODED = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'
 
 
 @check(f"""
-SELECT page_id, trim(replace({DECODED.format("regexp_extract(" + BODY + ", '<footer>([^<]*)', 1)")}, chr(10), '')) AS text FROM pages""")
+SELECT page_id, trim(replace({DECODED.format("regexp_extract(" + BODY + ", '<footer>([^<]*)', 1)")}, chr(10), '')) AS text FROM pages""", name="clean_cell")
 def clean_cell_footers(spark, sf):
     footer = first_descendant(nodes(), root(nodes()), "footer")
     return parsed(spark, sf).select("page_id", clean_cell(node_text(nodes(), footer)).alias("text"))
@@ -432,7 +430,7 @@ def clean_cell_footers(spark, sf):
 @check(f"""
 SELECT page_id, i, CASE WHEN regexp_matches(href, '[\\s"<>\\\\^`{{|}}]|%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN href
        ELSE regexp_extract(url, '^[a-z]+://[^/]*') || href END AS url
-FROM ({listed('<a href="([^"]*)"', "href")}) JOIN (SELECT page_id, url FROM pages) USING (page_id)""")
+FROM ({listed('<a href="([^"]*)"', "href")}) JOIN (SELECT page_id, url FROM pages) USING (page_id)""", name="resolve_url")
 def resolve_url_nav(spark, sf):
     hrefs = F.transform(descendants(nodes(), first_descendant(nodes(), root(nodes()), "nav"), "a"), lambda n: n["attrs"]["href"])
     rows = parse_pages(page_source(spark, sf)).select("page_id", "url", F.posexplode(hrefs).alias("i", "href"))
@@ -440,22 +438,22 @@ def resolve_url_nav(spark, sf):
     return rows.select("page_id", "i", resolve_url(base, F.col("href")).alias("url"))
 
 
-@check("SELECT regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+@check("SELECT regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY 1", name="url_host")
 def url_host_counts(spark, sf):
     return page_source(spark, sf).groupBy(url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@check("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path FROM pages")
+@check("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path FROM pages", name="url_path")
 def url_paths(spark, sf):
     return page_source(spark, sf).select("page_id", url_path(F.col("url")).alias("path"))
 
 
-@check("SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9]', '', 'g') AS suffix FROM pages")
+@check("SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9]', '', 'g') AS suffix FROM pages", name="safe_suffix")
 def safe_suffix_urls(spark, sf):
     return page_source(spark, sf).select("page_id", safe_suffix(F.col("url")).alias("suffix"))
 
 
-@check("""SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type = 'error' AS broken FROM events""")
+@check("""SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type = 'error' AS broken FROM events""", name="parse_message")
 def parse_message_props(spark, sf):
     events = table(spark, sf, "events")
     from pyspark.sql import types as T
@@ -467,21 +465,21 @@ def parse_message_props(spark, sf):
     )
 
 
-@check("""SELECT event_id, '{"url":"/e/' || event_id || '","type":"' || event_type || '"}' AS body FROM events""")
+@check("""SELECT event_id, '{"url":"/e/' || event_id || '","type":"' || event_type || '"}' AS body FROM events""", name="message_json")
 def message_json_events(spark, sf):
     message = F.struct(F.format_string("/e/%d", "event_id").alias("url"), F.col("event_type").alias("type"))
     return table(spark, sf, "events").select("event_id", message_json(message).alias("body"))
 
 
 @check("""
-SELECT c_custkey, 'NAME: ' || c_name || chr(10) || 'NATION: ' || c_nationkey || chr(10) || 'SEGMENT: ' || c_mktsegment AS text FROM customer""")
+SELECT c_custkey, 'NAME: ' || c_name || chr(10) || 'NATION: ' || c_nationkey || chr(10) || 'SEGMENT: ' || c_mktsegment AS text FROM customer""", name="entity_text")
 def entity_text_customers(spark, sf):
     data = F.create_map(F.lit("SEGMENT"), "c_mktsegment", F.lit("NAME"), "c_name", F.lit("NATION"), F.col("c_nationkey").cast("string"))
     return table(spark, sf, "customer").select("c_custkey", entity_text(data).alias("text"))
 
 
 @check("""
-SELECT event_id, event_type AS type, CAST(user_id AS VARCHAR) AS owner, props, '["' || event_type || '","x"]' AS tags FROM events""")
+SELECT event_id, event_type AS type, CAST(user_id AS VARCHAR) AS owner, props, '["' || event_type || '","x"]' AS tags FROM events""", name="flatten_record")
 def flatten_record_events(spark, sf):
     record = F.struct(
         F.col("event_type").alias("type"),

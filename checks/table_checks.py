@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webtables.operators.entities import attach_group_data, entity_pivot, leaves, missing_classifications, pivot_conflicts
-from webtables.operators.navigate import matches_table, navigate
-from webtables.operators.select import descendants, root, target_value
+from webtables.operators.navigate import navigate
+from webtables.operators.select import descendants, root
 from webtables.operators.tables import (
     cells_table, cut_tables, expand_colspan, expand_rowspan, find_tables, headers_table, min_columns_guard, parse_table,
     place_units, spans_to_place, table_sections,
@@ -47,7 +47,7 @@ def extract_words(spark, sf):
 SELECT page_id, label, any_value(value) AS value FROM (
   SELECT c_custkey // 50 AS page_id, c_mktsegment AS label,
          first_value(c_name) OVER (PARTITION BY c_custkey // 50, c_mktsegment ORDER BY c_custkey) AS value FROM customer)
-GROUP BY 1, 2""")
+GROUP BY 1, 2""", name="entity_per_node")
 def entity_per_node_first_item(spark, sf):
     """A target with a tag reads only the first matching child of each leaf."""
     navigation = {"tag": "article", "nav": {"tag": "ul", "recon": [specs.HEADING]}}
@@ -76,7 +76,7 @@ def profile_leaves(spark, sf, target):
 
 
 @check("""
-SELECT c_custkey AS page_id, CAST(c_nationkey AS VARCHAR) AS director, c_mktsegment AS stars FROM customer""")
+SELECT c_custkey AS page_id, CAST(c_nationkey AS VARCHAR) AS director, c_mktsegment AS stars FROM customer""", name="entity_pivot")
 def entity_pivot_profiles(spark, sf):
     target = specs.PROFILES["extraction"]["target"]
     found = entity_pivot(profile_leaves(spark, sf, target), target)
@@ -87,7 +87,7 @@ def entity_pivot_profiles(spark, sf):
 SELECT c_custkey AS page_id, concat_ws(' ',
   CASE WHEN c_custkey % 3 = 0 THEN 'note 1 of ' || c_custkey || ' note 2 of ' || c_custkey END,
   CASE WHEN c_custkey % 2 = 0 THEN c_custkey END) AS misc
-FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""")
+FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""", name="misc_bucket")
 def misc_bucket_profiles(spark, sf):
     target = specs.PROFILES["extraction"]["target"]
     found = entity_pivot(profile_leaves(spark, sf, target), target)
@@ -95,7 +95,7 @@ def misc_bucket_profiles(spark, sf):
 
 
 @check("""
-SELECT c_custkey AS page_id, 'DIRECTOR' AS label, c_mktsegment AS value, 'label set twice' AS error FROM customer WHERE c_custkey % 5 = 0""")
+SELECT c_custkey AS page_id, 'DIRECTOR' AS label, c_mktsegment AS value, 'label set twice' AS error FROM customer WHERE c_custkey % 5 = 0""", name="pivot_conflicts")
 def pivot_conflict_rows(spark, sf):
     target = specs.PROFILES["extraction"]["target"]
     return pivot_conflicts(profile_leaves(spark, sf, target)).select("page_id", "label", "value", "error")
@@ -105,7 +105,7 @@ def pivot_conflict_rows(spark, sf):
 SELECT c_custkey AS page_id, 'DIRECTOR' AS label, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM customer
 UNION ALL SELECT c_custkey, 'STARS', 1 FROM customer
 UNION ALL SELECT c_custkey, 'NONE', CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END
-FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""")
+FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""", name="target_classification")
 def target_classification_labels(spark, sf):
     found = profile_leaves(spark, sf, specs.PROFILES["extraction"]["target"])
     return found.groupBy("page_id", F.coalesce("label", F.lit("NONE")).alias("label")).agg(F.count("*").alias("n"))
@@ -113,7 +113,7 @@ def target_classification_labels(spark, sf):
 
 @check("""
 SELECT event_id, CASE WHEN value > 50 OR event_type = 'click' THEN 'field set twice' END AS error,
-       CASE WHEN value > 50 OR event_type = 'click' THEN 1 ELSE 3 END AS fields FROM events""")
+       CASE WHEN value > 50 OR event_type = 'click' THEN 1 ELSE 3 END AS fields FROM events""", name="attach_group_data")
 def attach_group_data_events(spark, sf):
     events = table(spark, sf, "events").select(
         "event_id",
@@ -148,7 +148,7 @@ def first_cells(spark, sf, pages):
 
 @check("""
 SELECT page_id, 'grid' AS kind, 1 AS headers, n AS body FROM (SELECT c_custkey // 20 AS page_id, CAST(count(*) AS INTEGER) AS n FROM customer GROUP BY 1)
-UNION ALL SELECT page_id, 'wide', 2, n FROM (SELECT p_partkey // 10 AS page_id, CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1)""")
+UNION ALL SELECT page_id, 'wide', 2, n FROM (SELECT p_partkey // 10 AS page_id, CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1)""", name="table_sections")
 def table_sections_counts(spark, sf):
     def counted(pages, kind):
         table_node = F.get(descendants(nodes(), root(nodes()), "table"), F.lit(0))
@@ -162,7 +162,7 @@ def table_sections_counts(spark, sf):
 
 @check(f"""
 SELECT page_id, row_idx, CAST(CASE WHEN row_number() OVER (PARTITION BY page_id, c_nationkey ORDER BY c_custkey) = 1 THEN 5 ELSE 4 END AS INTEGER) AS cells
-FROM ({GRID_SQL})""")
+FROM ({GRID_SQL})""", name="table_cells")
 def table_cells_counts(spark, sf):
     rows = first_cells(spark, sf, render.span_tables(spark, sf)).select("page_id", F.posexplode("body").alias("row_idx", "r"))
     return rows.select("page_id", "row_idx", F.size("r").alias("cells"))
@@ -170,7 +170,7 @@ def table_cells_counts(spark, sf):
 
 @check("""
 SELECT page_id, row_idx, col_idx, text FROM (SELECT DISTINCT p_partkey // 10 AS page_id FROM part), (VALUES
-  (0, 0, 'Key'), (0, 1, 'Spec'), (0, 2, 'Spec'), (0, 3, 'Left'), (0, 4, ' Sid'), (1, 0, 'Brand'), (1, 1, 'Type')) AS h(row_idx, col_idx, text)""")
+  (0, 0, 'Key'), (0, 1, 'Spec'), (0, 2, 'Spec'), (0, 3, 'Left'), (0, 4, ' Sid'), (1, 0, 'Brand'), (1, 1, 'Type')) AS h(row_idx, col_idx, text)""", name="expand_colspan")
 def expand_colspan_headers(spark, sf):
     cut = first_cells(spark, sf, render.wide_tables(spark, sf))
     rows = cut.select("page_id", F.posexplode(expand_colspan(F.col("header"), True)).alias("row_idx", "r"))
@@ -178,7 +178,7 @@ def expand_colspan_headers(spark, sf):
     return units.select("page_id", "row_idx", "col_idx", "u.text")
 
 
-@check(f"""SELECT page_id, row_idx, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS VARCHAR) AS custkey FROM ({GRID_SQL})""")
+@check(f"""SELECT page_id, row_idx, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS VARCHAR) AS custkey FROM ({GRID_SQL})""", name="expand_rowspan")
 def expand_rowspan_body(spark, sf):
     cut = first_cells(spark, sf, render.span_tables(spark, sf))
     units = cut.select("page_id", expand_colspan(F.col("body"), False).alias("u"))
@@ -190,13 +190,13 @@ def expand_rowspan_body(spark, sf):
 @check("""
 SELECT page_id, table_no, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS col_idx, unnest(l) AS name FROM (
   SELECT DISTINCT p_partkey // 10 AS page_id, 0 AS table_no, ['Key', 'Spec-Brand', 'Spec-Type', 'Left', 'Sid'] AS l FROM part
-  UNION ALL SELECT DISTINCT p_partkey // 10, 1, ['A', 'B', 'C'] FROM part)""")
+  UNION ALL SELECT DISTINCT p_partkey // 10, 1, ['A', 'B', 'C'] FROM part)""", name="table_headers")
 def table_headers_wide(spark, sf):
     named = headers_table(wides(spark, sf).where("error IS NULL"))
     return named.select("page_id", F.when(F.col("table_id") == 1, 0).otherwise(1).alias("table_no"), "col_idx", "name")
 
 
-@check("SELECT DISTINCT p_partkey // 10 AS page_id, 'Left' AS a, 'Sid' AS b FROM part")
+@check("SELECT DISTINCT p_partkey // 10 AS page_id, 'Left' AS a, 'Sid' AS b FROM part", name="split_wide_header")
 def split_wide_header_pieces(spark, sf):
     tables = wides(spark, sf).where("error IS NULL AND path_id = 0")
     return tables.select("page_id", F.get("columns", F.lit(3)).alias("a"), F.get("columns", F.lit(4)).alias("b"))
@@ -205,7 +205,7 @@ def split_wide_header_pieces(spark, sf):
 @check("""
 SELECT p_partkey // 10 AS page_id, CAST(p_partkey % 10 AS INTEGER) AS row_idx, p_type AS type,
        CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS size,
-       CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS name FROM part""")
+       CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS name FROM part""", name="pad_short_rows")
 def pad_short_rows_wide(spark, sf):
     rows = wides(spark, sf).where("path_id = 0").select("page_id", F.posexplode("rows").alias("row_idx", "r"))
     cell = lambda i: F.get("r", F.lit(i))
@@ -215,7 +215,7 @@ def pad_short_rows_wide(spark, sf):
 @check(f"""
 SELECT page_id, row_idx, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS col_idx,
        unnest(['Nation', 'Key', 'Name', 'Segment', 'Balance']) AS name, unnest(l) AS text FROM (
-  SELECT page_id, row_idx, [CAST(c_nationkey AS VARCHAR), CAST(c_custkey AS VARCHAR), c_name, c_mktsegment || ' & co', balance] AS l FROM ({GRID_SQL}))""")
+  SELECT page_id, row_idx, [CAST(c_nationkey AS VARCHAR), CAST(c_custkey AS VARCHAR), c_name, c_mktsegment || ' & co', balance] AS l FROM ({GRID_SQL}))""", name="parse_table")
 def parse_table_round_trip(spark, sf):
     return cells_table(grids(spark, sf)).drop("table_id")
 
@@ -231,14 +231,14 @@ def table_entities(spark, sf):
     )
 
 
-@check("SELECT DISTINCT c_custkey // 20 AS page_id, 'PHONE' AS classification FROM customer")
+@check("SELECT DISTINCT c_custkey // 20 AS page_id, 'PHONE' AS classification FROM customer", name="missing_classifications")
 def missing_table_columns(spark, sf):
     return missing_classifications(grids(spark, sf), specs.GRIDS["extraction"]["target"]["recon"]["classification"]).drop("table_id")
 
 
 @check("""
 SELECT DISTINCT p_partkey // 10 AS page_id, 0 AS path_id, CAST(NULL AS VARCHAR) AS error FROM part
-UNION ALL SELECT DISTINCT p_partkey // 10, 1, 'too few columns' FROM part""")
+UNION ALL SELECT DISTINCT p_partkey // 10, 1, 'too few columns' FROM part""", name="min_columns_guard")
 def min_columns_guard_wide(spark, sf):
     wide, narrow = min_columns_guard(wides(spark, sf))
     return wide.unionByName(narrow).select("page_id", "path_id", "error")

@@ -13,8 +13,8 @@ from webtables.operators.navigate import matches_table, navigate
 from webtables.operators.select import (
     descendants, first_child, first_descendant, has_child, node_attr, node_by_id, node_own_text, node_text, root, target_value,
 )
-from webtables.plans.extract import extract_entities, extract_errors
-from webtables.sources.dom import NodeColumns
+from webtables.plans.extract import extract_entities, extract_errors, spec_pages
+from webtables.sources.dom import NodeColumns, store_dom
 
 
 def recon(tag, name, **more):
@@ -182,6 +182,13 @@ def test_extraction_needs_no_shuffle(pages_of, spark, tmp_path):
     assert plan.count("MapInArrow") == 1
 
 
+def test_extractions_share_a_stored_parse(pages_of, tmp_path):
+    pages = pages_of("<body><section><h1>T</h1><p>P</p>" + LINES)
+    dom = store_dom(spec_pages(pages, FILM), str(tmp_path / "dom"))
+    assert [r.data["DIRECTOR"] for r in extract_entities(pages, FILM, dom).collect()] == ["D1"]
+    assert extract_errors(pages, FILM, dom).count() == 2
+
+
 def test_leaves_are_in_document_order(dom_of):
     dom = dom_of("<body><ul><li>1<li>2</ul><ul><li>3</ul>")
     rows = leaves(dom, navigate(F.col("nodes"), [{"tag": "ul"}, {"tag": "li"}]), {"value": "InnerText"}).orderBy("path_id").collect()

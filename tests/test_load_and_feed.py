@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from webtables.functions.messages import ENTITY_MESSAGE, URL_MESSAGE, parse_message
 from webtables.functions.text import clean_cell, text_remove_ci
@@ -19,6 +19,7 @@ from webtables.operators.load import (
 from webtables.operators.queues import bounded_queue, failure_policy
 from webtables.plans.crawl import crawl
 from webtables.session import written
+from webtables.sources.pages import resolve_pages
 from webtables.sources.sinks import entity_ddl, read_current, save_atomic
 from webtables.streaming.feed import EntityTable, entity_stream_load, stream_extract, url_stream
 
@@ -108,6 +109,13 @@ def test_entity_ddl(spark, tmp_path):
     spark.sql("DROP TABLE film")
 
 
+def test_lookup_takes_the_newest_copy_once_per_request(spark):
+    pages = spark.createDataFrame([(1, "/a", "old"), (2, "/a", "new"), (3, "/b", "b")], "page_id BIGINT, url STRING, html STRING")
+    urls = spark.createDataFrame([("/a",), ("/a",), ("/c",)], "url STRING")
+    found, missing = resolve_pages(urls, pages)
+    assert rows(found) == [("/a", 2, "new"), ("/a", 2, "new")] and rows(missing) == [("/c",)]
+
+
 def test_bounded_queue_on_a_hot_queue(spark):
     messages = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.col("id") % 40).otherwise(-1).cast("string").alias("queue"), F.col("id").alias("ts")
@@ -155,8 +163,11 @@ NEXT = {"urlBase": "", "next": [{"level": 1, "tag": "a", "value": "href", "navig
 
 
 def walk_pages(spark):
-    page = lambda url, *hrefs: (0, url, "<body><div>" + "".join(f"<a href='{h}'>x</a>" for h in hrefs) + "</div>")
-    pages = [page("/1", "/0", "/2"), page("/2", "/1", "/3"), page("/3", "/2"), page("/0", "/1", "/9"), page("/9")]
+    page = lambda n, url, *hrefs: (n, url, "<body><div>" + "".join(f"<a href='{h}'>x</a>" for h in hrefs) + "</div>")
+    pages = [
+        page(1, "/1", "/0", "/2"), page(2, "/2", "/1", "/3"), page(3, "/3", "/2"), page(4, "/0", "/1", "/9"), page(5, "/9"),
+        page(0, "/2", "/old"),  # an older copy
+    ]
     return spark.createDataFrame(pages, "page_id BIGINT, url STRING, html STRING")
 
 

@@ -9,6 +9,7 @@ from ..functions.text import apply_regex
 from ..functions.urls import resolve_url
 from ..session import bucketed, forget, scratch_path, written
 from ..sources.dom import parse_pages
+from ..sources.pages import newest_pages
 from .navigate import from_body, navigate
 from .select import children, children_by_tag, first_child, has_child, let
 
@@ -70,7 +71,7 @@ def extract_links(pages: DataFrame, spec: dict) -> DataFrame:
 
 
 def next_candidates(pages: DataFrame, spec: dict) -> DataFrame:
-    """All links that may lead on: `src_url, place` (of the `next` entry by level), `position, href, url`."""
+    """All links that may lead on: `page_id, src_url, place` (of the `next` entry by level), `position, href, url`."""
     extraction = spec.get("extraction", spec)
     nodes = F.col("nodes")
 
@@ -92,8 +93,8 @@ def next_candidates(pages: DataFrame, spec: dict) -> DataFrame:
 
     listed = [listed_at(place, entry) for place, entry in enumerate(entries)]
     found = F.flatten(F.array(*listed)) if listed else F.array().cast("array<struct<place:int,position:int,href:string>>")
-    dom = parse_pages(pages.select("url", "html"))
-    rows = dom.select(F.col("url").alias("src_url"), F.inline(found)).where("href IS NOT NULL")
+    dom = parse_pages(pages.select("page_id", "url", "html"))
+    rows = dom.select("page_id", F.col("url").alias("src_url"), F.inline(found)).where("href IS NOT NULL")
     return rows.withColumn("url", resolve_url(F.lit(extraction.get("urlBase")).cast("string"), F.col("href")))
 
 
@@ -106,7 +107,7 @@ def choose_next(candidates: DataFrame, places: int, by: str = "src_url") -> Data
 
 
 def find_next(pages: DataFrame, spec: dict, ledger: DataFrame) -> DataFrame:
-    """`src_url, next_url`: where each page leads on to, among URLs not crawled yet."""
+    """`src_url, next_url`: where each page leads on to, among URLs not crawled yet. One page per URL."""
     places = len(spec.get("extraction", spec).get("next") or [])
     open_links = not_crawled(next_candidates(pages, spec), ledger)
     return choose_next(open_links, places) if places else open_links.selectExpr("src_url", "url AS next_url").limit(0)
@@ -175,12 +176,14 @@ def crawl_sources(
 
     `starts` holds one `source, url` each. A source moves to the page `choose_next` picks among links it
     has not been to; without one it goes back to its newest ledger entry not revisited yet, and ends when
-    there is none. Step n of all sources is one job, so the number of jobs is that of the longest crawl;
+    there is none. Of several copies of a page the newest counts. Step n of all sources is one job, so the number of jobs is that of the longest crawl;
     where each page has one fixed next link, `paginate` needs far fewer.
     """
     spark = pages.sparkSession
     places = len(spec.get("extraction", spec).get("next") or [])
-    links, table = bucketed(next_candidates(pages, spec), "src_url", "candidates")
+    copies = newest_pages(pages).withColumnRenamed("url", "src_url")
+    candidates = next_candidates(pages, spec).join(copies, ["src_url", "page_id"], "left_semi")
+    links, table = bucketed(candidates.drop("page_id"), "src_url", "candidates")
     keys = "source STRING, url STRING"
     known = None
     if ledger is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.match import match_element, tag_name
 from ..functions.text import apply_regex, first_classified_value
-from .select import all_children, below, descendants, first_child, first_descendant, let, node_attr, node_text
+from .select import below, descendants, first_child, first_descendant, let, node_attr, node_text
 
 RECONS = "map<string,string>"
 

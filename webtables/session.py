@@ -45,18 +45,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/webtables/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back, for a result that several later steps scan.
 
-    Unlike a checkpoint it is columnar, so those scans read only the columns and rows they need.
+    Cuts the lineage and survives lost executors like a checkpoint, but is columnar, so those scans read
+    only the columns and rows they need.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
