@@ -112,6 +112,8 @@ def pivot_conflicts(found: DataFrame) -> DataFrame:
 
 def entity_from_table_row(tables: DataFrame, classifications: list[dict], fixed: Column) -> DataFrame:
     """One entity per table row: per classification the first column whose name satisfies `findBy`."""
+    if len({k["name"] for k in classifications}) < len(classifications):
+        raise ValueError("classifications of a table need different names")
     wanted = lambda k: lambda n: F.lit(True) if blank(k.get("findBy")) else match_value(n, k["findBy"])
     place = lambda k: F.array_position(F.transform("columns", wanted(k)), True)
     indexes = F.array(*[place(k) for k in classifications]).cast("array<int>")

@@ -64,7 +64,8 @@ def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"webtables_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
     return spark.table(table), table
 
