@@ -21,7 +21,7 @@ from webtables.plans.crawl import crawl
 from webtables.session import written
 from webtables.sources.pages import resolve_pages
 from webtables.sources.sinks import entity_ddl, read_current, save_atomic
-from webtables.streaming.feed import EntityTable, entity_stream_load, stream_extract, url_stream
+from webtables.streaming.feed import EntityTable, entity_stream_load, run, stream_extract, url_stream
 
 
 def rows(df):
@@ -271,6 +271,15 @@ def test_stream_extract_retries_then_gives_up(spark, tmp_path, pages_of):
     assert rows(spark.read.parquet(f"{out}/dead").select("url", "attempts")) == [("https://gone.example/", 3)]
 
 
+@pytest.mark.parametrize("limit, batches", [({"max_files": 1}, 3), ({"max_bytes": "1"}, 3), ({"max_files": 2}, 2), ({}, 1)])
+def test_rate_limit(spark, tmp_path, limit, batches):
+    queue, seen = str(tmp_path / "queue"), []
+    spark.range(30).selectExpr("CAST(id AS STRING) AS url").repartition(3).write.parquet(queue)
+    stream = url_stream(spark, queue, "url STRING", **limit)
+    finish(run(stream, lambda batch, n: seen.append(batch.count()), str(tmp_path / "checkpoint")))
+    assert len(seen) == batches and sum(seen) == 30
+
+
 def test_stream_load_inserts_once(spark, tmp_path):
     queue, out = str(tmp_path / "queue"), str(tmp_path / "out")
     schema = "type STRING, EntityData MAP<STRING,STRING>, ts TIMESTAMP"

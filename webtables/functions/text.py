@@ -96,22 +96,34 @@ def named_entities() -> dict[str, str]:
     return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 
-def _decoded_token(token: Column) -> Column:
-    """One `&...;` token; tokens that name no character stay as written."""
-    body = F.substring(token, 2, 1 << 30)
-    name = F.regexp_replace(body, ";$", "")
-    digits = F.regexp_extract(name, "^#([0-9]{1,10})$", 1)
-    hexed = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,8})$", 1)
-    code = F.coalesce(digits.try_cast("bigint"), F.conv(F.nullif(hexed, F.lit("")), 16, 10).try_cast("bigint"))
-    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    named = F.try_element_at(F.from_json(F.lit(json.dumps(named_entities())), "map<string,string>"), name)
-    return F.coalesce(F.when(name.startswith("#"), F.when(valid, char)).otherwise(named), token)
+def _decoder() -> str:
+    """SQL lambda for one token: what names a character becomes it, anything else stays as written."""
+    table = json.dumps(named_entities()).replace("'", "\\u0027")
+    return f"""t -> CASE
+        WHEN NOT (startswith(t, '&') AND endswith(t, ';')) THEN t
+        WHEN startswith(t, '&#') THEN coalesce(
+            get(
+                transform(
+                    filter(
+                        array(coalesce(
+                            try_cast(regexp_extract(t, '^&#([0-9]{{1,10}});$', 1) AS BIGINT),
+                            try_cast(conv(nullif(regexp_extract(t, '^&#[xX]([0-9a-fA-F]{{1,8}});$', 1), ''), 16, 10) AS BIGINT)
+                        )),
+                        c -> c BETWEEN 1 AND {0xD7FF} OR c BETWEEN {0xE000} AND {0x10FFFF}
+                    ),
+                    c -> decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32')
+                ),
+                0
+            ),
+            t
+        )
+        ELSE coalesce(try_element_at(from_json(r'{table}', 'map<string,string>'), substring(t, 2, length(t) - 2)), t)
+    END"""
 
 
 def decode_entities(c: Column) -> Column:
     parts = F.regexp_extract_all(c, F.lit("&[^;&]*;|&|[^&]+"), F.lit(0))
-    decoded = F.transform(parts, lambda t: F.when(t.startswith("&") & t.endswith(";"), _decoded_token(t)).otherwise(t))
+    decoded = F.call_function("transform", parts, F.expr(_decoder()))
     return F.when(c.contains("&"), F.array_join(decoded, "")).otherwise(c)
 
 

@@ -24,14 +24,18 @@ def url_stream(
     schema: T.StructType | str,
     fmt: str = "parquet",
     max_files: int | None = None,
+    max_bytes: str | None = None,
     files: str | None = None,
 ) -> DataFrame:
-    """A queue folder as a stream; `max_files` per batch is the rate limit, `files` a file name pattern."""
+    """A queue folder as a stream. The rate limit is `max_files` or `max_bytes` (like `10g`) per batch;
+    `files` is a file name pattern."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files:
         reader = reader.option("pathGlobFilter", files)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     return reader.load(path)
 
 
