@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from checks.registry import REGISTRY
 
 DIRECTORY = "/root/testdata/sf0.001"
 
@@ -30,7 +31,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_sql(spark, duck, name):
     found = __spark_entry__.queries()[name](spark, DIRECTORY)
     columns = sorted(found.columns)

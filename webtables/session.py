@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,13 @@ def build_session(app: str = "webtables", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
 
-    Only a local session may fall back to a folder on this machine: on a cluster the other executors
-    could not read it.
+    Only where it is unset and driver and executors are one process, as in tests, a folder on this machine
+    is set instead: on a cluster the other executors could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="webtables-")
     spark.conf.set("spark.checkpoint.dir", made)
