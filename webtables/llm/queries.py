@@ -1,5 +1,5 @@
 """All registered queries of the subpackage: name -> (Spark query, DuckDB SQL or None)."""
 
-from webtables.llm import bpe, exact_dedup, line_dedup, sharding, simhash, token_files
+from webtables.llm import bpe, decontaminate, exact_dedup, line_dedup, sharding, simhash, token_files
 
-QUERIES = {name: query for module in (simhash, sharding, bpe, token_files, line_dedup, exact_dedup) for name, query in module.QUERIES.items()}
+QUERIES = {name: query for module in (simhash, sharding, decontaminate, bpe, token_files, line_dedup, exact_dedup) for name, query in module.QUERIES.items()}
