@@ -136,7 +136,7 @@ def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     gone = stored(repeated_lines(docs, words), "repeated-lines")
     split = F.split("text", "\n")
-    rows = keyed(docs).join(gone, KEY, "left")
+    rows = keyed(docs).join(gone.hint("merge"), KEY, "left")  # one plan at every size
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     # the outer transform splits once; inside the inner one the split would run again for every line
     kept = F.array_join(F.transform(F.array(split), lambda whole: F.transform(stay, lambda i: F.get(whole, i)))[0], "\n")
