@@ -145,27 +145,39 @@ def telling(windows: DataFrame, share: float) -> DataFrame:
     return rows.filter(F.col("_rank") <= F.col("_n") - F.ceil(F.col("_n") * share - 1e-9) + 1).select("item", "h")
 
 
-def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, _key, h: windows of documents whose hash is among `wanted`, and a few that only look so in the bitmap."""
-    slots = wanted.select(F.col("h").bitwiseAND((1 << BITMAP) - 1).cast("int").alias("slot")).distinct().toPandas()  # 2 ** BITMAP at most
-    bitmap = np.zeros(1 << BITMAP, bool)
-    bitmap[slots["slot"].to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two entries of the bitmap that stand for a hash."""
     mask = np.uint64((1 << BITMAP) - 1)
+    return hashes & mask, hashes >> np.uint64(32) & mask
+
+
+def bitmap_of(wanted: DataFrame) -> np.ndarray:
+    low, high = F.col("h"), F.shiftrightunsigned("h", 32)
+    entry = F.explode(F.array(*(x.bitwiseAND((1 << BITMAP) - 1).cast("int") for x in (low, high))))
+    entries = wanted.select(entry.alias("entry")).distinct().toPandas()["entry"].to_numpy()  # 2 ** BITMAP at most
+    bitmap = np.zeros(1 << BITMAP, bool)
+    bitmap[entries] = True
+    return bitmap
+
+
+def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, _key, text, h: documents with windows whose hash is among `wanted`, or only looks so in the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch["text"]):
                 hashes = window_hashes(text.as_py() or "")
-                hashes = hashes[shared.value[hashes & mask]]
+                for side in (0, 1):
+                    hashes = hashes[shared.value[places(hashes)[side]]]
                 if len(hashes):
                     at.append(i)
                     found.append(np.unique(hashes).view(np.int64))
             kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept["doc_id"], kept["_key"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_key", "h"])
+            yield pa.RecordBatch.from_arrays([kept["doc_id"], kept["_key"], kept["text"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_key", "text", "h"])
 
-    return docs.mapInArrow(run, "doc_id long, _key long, h array<bigint>").select("doc_id", "_key", F.explode("h").alias("h"))
+    return docs.select("doc_id", "_key", "text").mapInArrow(run, "doc_id long, _key long, text string, h array<bigint>")
 
 
 # word by word
@@ -231,8 +243,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     items = benchmark.filter("text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id"))
     items = stored(items.withColumn("item", F.xxhash64("text")), "items")
     wanted = stored(telling(item_windows(items), share), "item-windows")
-    hits = document_hits(keyed, wanted)
-    pairs = hits.join(wanted, "h").select("doc_id", "_key", "item").distinct()
+    hits = stored(document_hits(keyed, wanted), "leak-hits")  # whole texts, of documents that share a telling window
+    pairs = hits.select("doc_id", "_key", F.explode("h").alias("h")).join(wanted, "h").select("doc_id", "_key", "item").distinct()
     asked = pairs.join(items, "item").groupBy("doc_id", "_key").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"))).alias("items"))
     asked = stored(asked, "leak-candidates").withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
 
@@ -247,7 +259,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
                         rows.append((doc["doc_id"], doc["_key"], item["item_id"], *found))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=LEAK_COLUMNS).astype(LEAK_KINDS), schema=LEAK_ARROW, preserve_index=False)
 
-    both = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("doc_id", "_key", "text", "items")
+    both = hits.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("doc_id", "_key", "text", "items")
     return both.mapInArrow(run, "doc_id long, _key long, item_id long, share double, first_word long, end_word long, reparameterised boolean").distinct()
 
 
