@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from webtables.llm.common import documents, free_name
+from webtables.llm.common import documents, free_name, widened
 
 #: Entries of a worker's memory of chunks, and of its table of transitions, before it starts anew.
 REMEMBERED = 1_000_000
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.frombuffer(encoder.value.encode((t or "").encode()), "<u4").astype(np.int32) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "array<int>"))
+    return docs.mapInArrow(run, widened(docs, name, "array<int>"))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -239,7 +239,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [None if x is None else b"".join(encoder.value.decode(np.array(x, "<u4").tobytes())).decode() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
-    return rows.mapInArrow(run, rows.schema.add(name, "string"))
+    return rows.mapInArrow(run, widened(rows, name, "string"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from webtables.session import written as stored  # noqa: F401
 
@@ -28,6 +29,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def widened(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of `df` with one column more (`df.schema` itself must not change)."""
+    return StructType([*df.schema.fields, StructField(name, _parse_datatype_string(kind))])
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """Whether a row belongs to the fold that no model learns from: crc32 of the id as text, mod `folds`, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
