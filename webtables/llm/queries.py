@@ -1,5 +1,5 @@
 """All registered queries of the subpackage: name -> (Spark query, DuckDB SQL or None)."""
 
-from webtables.llm import bpe, decontaminate, exact_dedup, line_dedup, sharding, simhash, token_files, toxicity
+from webtables.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, secrets, sharding, simhash, token_files, toxicity
 
-QUERIES = {name: query for module in (simhash, sharding, toxicity, decontaminate, bpe, token_files, line_dedup, exact_dedup) for name, query in module.QUERIES.items()}
+QUERIES = {name: query for module in (simhash, sharding, toxicity, secrets, decontaminate, bpe, token_files, line_dedup, exact_dedup, quality) for name, query in module.QUERIES.items()}
