@@ -29,6 +29,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns c0, c1, ..., so that helper columns can have any other name, and the old names' new ones."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def widened(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of `df` with one column more (`df.schema` itself must not change)."""
     return StructType([*df.schema.fields, StructField(name, _parse_datatype_string(kind))])

@@ -272,8 +272,8 @@ LEAK_KINDS = {"doc_id": "Int64", "_key": "int64", "item_id": "Int64", "share": "
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of `docs` that hold no item of the benchmark, with their own columns."""
-    found = stored(leaks(docs, benchmark, share).select("doc_id", "_key").distinct(), "leaks").withColumnsRenamed({"doc_id": "_leak_id", "_key": "_leak_key"})
-    held = F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64("text") == F.col("_leak_key"))
+    found = stored(leaks(docs, benchmark, share).select("doc_id", "_key").distinct(), "leaks").hint("merge")  # one plan at every size
+    held = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["_key"])
     return docs.join(found, held, "left_anti")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from webtables.llm.common import documents, full_text, stored
+from webtables.llm.common import documents, full_text, numbered, stored
 
 #: Salts of a digest: the most rows of one text that meet in the last stage.
 SALTS = 16
@@ -43,34 +43,43 @@ def winners(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame:
-    """Adds to every row of `docs` (doc_id, text, more): digest, keep_id, group_size, kept.
-
-    Null texts count as empty. Rows without doc_id never win while another row of the group has one; a group without
-    any has a null keep_id and its rows are kept (none can be told from the others). Rows that repeat the smallest
-    doc_id with an equal text are the same document and all count as kept. Columns named like the new ones are
-    replaced by them. An empty table gives an empty table.
-    """
+def grouped(docs: DataFrame, digest, salts: int) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of `docs`, columns numbered, with digest, keep_id, group_size and kept; and the names of the columns."""
     found = winners(docs, digest, salts)
     by_digest = stored(
         found.groupBy("digest").agg(F.count("*").alias("contents"), F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size")),
         "exact-winners",
     )
-    new = ("digest", "keep_id", "group_size", "kept", "contents", "content")
-    rows = docs.drop(*new).withColumn("digest", digest(normalised(full_text())))
-    sole = rows.join(by_digest.filter("contents = 1").drop("contents"), "digest")
+    rows, names = numbered(docs)
+    content = normalised(full_text(names["text"]))
+    rows = rows.withColumn("digest", digest(content))
+    found_rows = rows.join(by_digest.filter("contents = 1").drop("contents"), "digest")
     shared = by_digest.filter("contents > 1")
     if not shared.isEmpty():  # different texts of one digest: join by the text itself
         contested = found.join(shared.select("digest"), "digest")
-        sole = sole.unionByName(
-            rows.withColumn("content", normalised(full_text())).join(contested, ["digest", "content"]).drop("content")
-        )
-    return sole.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        found_rows = found_rows.unionByName(rows.withColumn("content", content).join(contested, ["digest", "content"]).drop("content"))
+    return found_rows.withColumn("kept", F.col(names["doc_id"]).eqNullSafe(F.col("keep_id"))), names
+
+
+NEW = ("digest", "keep_id", "group_size", "kept")
+
+
+def exact_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame:
+    """The rows of `docs` (doc_id, text, more) with digest, keep_id, group_size and kept.
+
+    Null texts count as empty. Rows without doc_id never win while another row of the group has one; a group without
+    any has a null keep_id and its rows are kept (none can be told from the others). Rows that repeat the smallest
+    doc_id with an equal text are the same document and all count as kept. Columns named like the new ones are
+    replaced by them. An empty table gives an empty table.
+    """
+    rows, names = grouped(docs, digest, salts)
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items() if c not in NEW), *NEW)
 
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of `docs` that stay, with their own columns."""
-    return exact_groups(docs, salts=salts).filter("kept").select(*docs.columns)
+    """The rows of `docs` that stay, with their own columns, whatever their names."""
+    rows, names = grouped(docs, sha256, salts)
+    return rows.filter("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from webtables.llm.common import documents, free_name, stored
+from webtables.llm.common import documents, free_name, full_text, numbered, stored
 
 #: Words that a window covers: every repeated run of as many words is found.
 WORDS = 30
@@ -23,11 +23,9 @@ SPAN, AROUND = 64, 64
 KEY = ["_doc", "_hash"]  # a document: its id, and a hash of its text
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows equal in doc_id and text are one document; a null id sorts before all others."""
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(
-        "_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    )
+    return docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64(full_text(text)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -135,13 +133,15 @@ def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     counts as the first. If n_lines or n_removed exist, the new columns get underscores in front.
     """
     gone = stored(repeated_lines(docs, words), "repeated-lines")
-    split = F.split("text", "\n")
-    rows = keyed(docs).join(gone.hint("merge"), KEY, "left")  # one plan at every size
+    rows, names = numbered(docs)
+    text = F.col(names["text"])
+    split = F.split(text, "\n")
+    rows = keyed(rows, names["doc_id"], names["text"]).join(gone.hint("merge"), KEY, "left")  # one plan at every size
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     # the outer transform splits once; inside the inner one the split would run again for every line
     kept = F.array_join(F.transform(F.array(split), lambda whole: F.transform(stay, lambda i: F.get(whole, i)))[0], "\n")
     return rows.select(
-        *(F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(F.when(F.col("gone").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(n).alias(c) for c, n in names.items()),
         F.coalesce(F.size(split), F.lit(0)).alias(free_name(docs, "n_lines")),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias(free_name(docs, "n_removed")),
     )

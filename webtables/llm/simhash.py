@@ -241,7 +241,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFra
     Rows that repeat that doc_id all stay; so do the rows without doc_id of a component that has none.
     """
     keep = stored(simhash_groups(docs, shingle, budget).filter("doc_id <=> component_id").select("doc_id").distinct(), "kept-ids")
-    return docs.join(keep.withColumnRenamed("doc_id", "_keep_id"), F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
+    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")  # one plan at every size
 
 
 def hexadecimal(fp):
