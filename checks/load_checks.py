@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
+from functools import reduce
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from webtables.operators.errors import error_log_rows, retention
 from webtables.operators.load import (
     check_constraints, check_unique, dedup_natural_key, get_all, get_one, get_where, load_delete, load_insert,
     load_insert_absent, load_update, load_upsert, pending_changes, set_difference, to_typed_row, with_row_identity,
 )
+from webtables.operators.crawl import url_messages
 from webtables.operators.queues import bounded_queue, failure_policy, queue_depth, retry_or_dead_letter, route_by_type
 from webtables.plans.extract import extract_errors
 from webtables.session import scratch_path
 from webtables.sources.pages import page_source
-from webtables.sources.sinks import entity_sink, error_log_sink, read_current, save_atomic
+from webtables.sources.sinks import EntityColumn, entity_ddl, entity_sink, error_log_sink
 from webtables.streaming.feed import (
     EntityTable, entity_stream_load, run, stream_dedup, stream_extract, stream_not_crawled, url_stream,
 )
@@ -155,16 +158,6 @@ def set_difference_nations(spark, sf):
     return set_difference(total, table(spark, sf, "supplier").selectExpr("s_nationkey AS nation", "'BUILDING' AS word"))
 
 
-@check(f"SELECT * FROM ({OLD}) WHERE id NOT IN (SELECT id FROM ({NEW})) UNION ALL SELECT * FROM ({NEW})", name="save_atomic")
-def save_atomic_orders(spark, sf):
-    """Two states saved one after the other: the reader sees the second."""
-    old, new = states(spark, sf)
-    path = scratch_path(spark, "orders")
-    save_atomic(old, path)
-    save_atomic(load_upsert(read_current(spark, path), new, ["id"]), path)
-    return read_current(spark, path)
-
-
 @check("SELECT c_custkey, c_name FROM customer", name="entity_sink")
 def entity_sink_customers(spark, sf):
     path = scratch_path(spark, "customers")
@@ -172,6 +165,46 @@ def entity_sink_customers(spark, sf):
     return spark.read.parquet(path)
 
 
+HALF = "SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS k, o_orderpriority AS p, max(o_orderkey) AS v FROM orders"
+
+
+@check(f"""
+WITH old AS ({HALF} WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), new AS ({HALF} WHERE o_orderkey % 2 = 1 GROUP BY 1, 2)
+SELECT 'absent' AS load, * FROM old
+UNION ALL SELECT 'absent', * FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.k IS NOT DISTINCT FROM new.k AND old.p = new.p)
+UNION ALL SELECT 'update', o.k, o.p, coalesce(n.v, o.v) FROM old o LEFT JOIN new n ON o.k IS NOT DISTINCT FROM n.k AND o.p = n.p
+UNION ALL SELECT 'upsert', * FROM new
+UNION ALL SELECT 'upsert', * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE old.k IS NOT DISTINCT FROM new.k AND old.p = new.p)
+UNION ALL SELECT 'delete', * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE old.k IS NOT DISTINCT FROM new.k AND old.p = new.p)""")
+def loads_with_null_keys(spark, sf):
+    """Keys with nulls; incoming keys come twice and the greatest order wins."""
+    orders = table(spark, sf, "orders").selectExpr("CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS k", "o_orderpriority AS p", "o_orderkey AS v")
+    of = lambda odd: orders.where(F.col("v") % 2 == odd)
+    old = of(0).groupBy("k", "p").agg(F.max("v").alias("v"))
+    newest = of(1).withColumn("_o", -F.col("v"))
+    new = dedup_natural_key(newest, ["k", "p"], ["_o"]).drop("_o")
+    key, twice = ["k", "p"], new.union(new)
+    made = {
+        "absent": load_insert_absent(old, twice, key, ["v"]), "update": load_update(old, new, key),
+        "upsert": load_upsert(old, twice, key, ["v"]), "delete": load_delete(old, twice, key),
+    }
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("load"), "k", "p", "v") for name, df in made.items()])
+
+
+@check("""
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 7 END AS size, true AS stamped FROM part""", name="entity_ddl")
+def entity_ddl_parts(spark, sf):
+    """A created table fills its defaults and times."""
+    name = f"parts_{uuid.uuid4().hex}"
+    columns = {"name": EntityColumn(required=True), "size": EntityColumn(T.IntegerType(), default="7")}
+    entity_ddl(spark, name, columns, scratch_path(spark, "parts"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("int").alias("size"), "p_partkey")
+    for view, rows, fields in (("even", part.where("p_partkey % 2 = 0"), "id, name, size"), ("odd", part.where("p_partkey % 2 = 1"), "id, name")):
+        rows.createOrReplaceTempView(f"{name}_{view}")
+        spark.sql(f"INSERT INTO {name} ({fields}) SELECT {fields} FROM {name}_{view}")
+    return spark.table(name).select("id", "name", "size", (F.col("dt_creation").isNotNull() & F.col("dt_update").isNotNull()).alias("stamped"))
+
+
 # ---- queues --------------------------------------------------------------------------------------
 
 
@@ -197,6 +230,12 @@ def bounded_queue_events(spark, sf):
     return row(kept, True).union(row(overflow, False))
 
 
+@check("""
+SELECT event_id, event_type AS queue FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 1500""")
+def bounded_queue_long(spark, sf):
+    return bounded_queue(messages(spark, sf), 1500, ["ts", "event_id"], part_rows=2000)[0].select("event_id", "queue")
+
+
 @check("""
 SELECT o_orderkey AS message_id, CAST(coalesce(n, 0) + 1 AS INTEGER) AS attempts, coalesce(n, 0) + 1 >= 5 AS dead FROM orders
 LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""", name="retry_or_dead_letter")
@@ -301,52 +340,90 @@ def rate_limit_stream(spark, sf):
 
 
 @check(f"""
-SELECT page_id, generate_subscripts(l, 1) - 1 AS entity_idx, unnest(l) AS paragraph
-FROM (SELECT page_id, regexp_extract_all({BODY}, '<p>(?:<b>)?([^<]*)', 1) AS l FROM pages)
-UNION ALL SELECT -1, 1, url || '/missing' FROM pages""", name="stream_extract")
+WITH p AS (SELECT page_id, url, regexp_extract_all({BODY}, '<p>(?:<b>)?([^<]*)', 1) AS l FROM pages)
+SELECT 'entity' AS kind, page_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS text FROM p
+UNION ALL SELECT 'no page', -1, 2, url || '/missing' FROM pages
+UNION ALL SELECT 'no entities', -1, 2, url FROM p WHERE len(l) = 0
+UNION ALL SELECT 'malformed message', -1, 0, NULL""", name="stream_extract")
 def stream_extract_articles(spark, sf):
-    out = scratch_path(spark, "extracted")
-    stream = url_stream(spark, url_queue(spark, sf), "url STRING", max_files=2)
-    finished(stream_extract(stream, page_source(spark, sf), specs.ARTICLES, out, f"{out}-checkpoint"))
-    found = spark.read.parquet(f"{out}/entities").select("page_id", "entity_idx", F.col("data")["PARAGRAPH"].alias("paragraph"))
-    retry = spark.read.parquet(f"{out}/retry")
-    return found.union(retry.select(F.lit(-1), "attempts", "url"))
+    """Every message ends as entities, dead after two tries, or among the errors."""
+    out, queue = scratch_path(spark, "extracted"), url_queue(spark, sf)
+    extract = lambda: finished(stream_extract(
+        url_stream(spark, queue, "url STRING", max_files=2), page_source(spark, sf), specs.ARTICLES, out, f"{out}-checkpoint", k=2
+    ))
+    extract()
+    spark.createDataFrame([(None,)], "url STRING").write.mode("append").parquet(queue)  # the last batch takes the last retries
+    extract()
+    found = spark.read.parquet(f"{out}/entities").select(F.lit("entity").alias("kind"), "page_id", F.col("entity_idx").alias("n"), F.col("data")["PARAGRAPH"].alias("text"))
+    dead = spark.read.parquet(f"{out}/dead").select("reason", F.lit(-1), "attempts", "url")
+    errors = spark.read.parquet(f"{out}/errors").select("message", F.lit(-1), F.lit(0), "log_message")
+    return found.union(dead).union(errors)
 
 
-WORD_RULES = {"WORD_TYPE": (True, 600), "WORD_VALUE": (True, 16)}
+MEMBER_RULES = {"SEGMENT": (True, 600), "MEMBER": (True, 16)}
 
 
-def word_queue(spark, sf):
-    """Entity messages: parts and customers, every one twice, in several files."""
+def member_queue(spark, sf):
+    """Entity messages: parts, customers, some of another type and some without data, every one twice, in several files."""
     path = scratch_path(spark, "words")
-    word = lambda kind, value, n: F.create_map(F.lit("WORD_TYPE"), kind, F.lit("WORD_VALUE"), value, F.lit("N"), F.col(n).cast("string"))
+    word = lambda kind, value, n: F.create_map(F.lit("SEGMENT"), kind, F.lit("MEMBER"), value, F.lit("N"), F.col(n).cast("string"))
     parts = table(spark, sf, "part").select(F.lit("Part").alias("type"), word("p_type", "p_name", "p_partkey").alias("EntityData"))
     names = table(spark, sf, "customer").select(F.lit("Name").alias("type"), word("c_mktsegment", "c_name", "c_custkey").alias("EntityData"))
-    both = parts.union(names).withColumn("ts", F.lit(SEEN).cast("timestamp"))
+    region = table(spark, sf, "region")
+    other = region.select(F.lit("Other"), F.create_map(F.lit("SEGMENT"), "r_name", F.lit("MEMBER"), F.lit("x")))
+    empty = region.select(F.lit("Part"), F.lit(None).cast("map<string,string>"))
+    both = parts.union(names).union(other).union(empty).withColumn("ts", F.lit(SEEN).cast("timestamp"))
     both.union(both).repartition(4).write.parquet(path)
     return path
 
 
 @check("""
-SELECT DISTINCT 'Part' AS type, p_type AS word_type, p_name AS word_value, sha256(p_type || chr(31) || p_name) AS id FROM part
-UNION ALL SELECT 'rejected', c_mktsegment, c_name, 'WORD_VALUE is longer than 16' FROM customer
-UNION ALL SELECT 'rejected', c_mktsegment, c_name, 'WORD_VALUE is longer than 16' FROM customer""", name="stream_load")
-def stream_load_words(spark, sf):
+SELECT DISTINCT 'Part' AS type, p_type AS segment, p_name AS member, sha256(p_type || chr(31) || p_name) AS id FROM part
+UNION ALL SELECT 'Name: MEMBER is longer than 16', c_mktsegment, c_name, NULL FROM customer, range(2)
+UNION ALL SELECT 'Part: unknown field N', NULL, NULL, NULL FROM part, range(2)
+UNION ALL SELECT 'Name: unknown field N', NULL, NULL, NULL FROM customer, range(2)
+UNION ALL SELECT 'Other: unknown type', r_name, 'x', NULL FROM region, range(2)
+UNION ALL SELECT 'Part: malformed message', NULL, NULL, NULL FROM region, range(2)""", name="stream_load")
+def stream_load_members(spark, sf):
+    """Every message is loaded once or among the rejects, with the reason."""
     out = scratch_path(spark, "loaded")
     targets = {
-        name: EntityTable(f"{out}/{name}", WORD_RULES, ["WORD_TYPE", "WORD_VALUE"]) for name in ("Part", "Name")
+        name: EntityTable(f"{out}/{name}", MEMBER_RULES, ["SEGMENT", "MEMBER"]) for name in ("Part", "Name")
     }
     schema = "type STRING, EntityData MAP<STRING,STRING>, ts TIMESTAMP"
-    stream = url_stream(spark, word_queue(spark, sf), schema, max_files=1)
+    stream = url_stream(spark, member_queue(spark, sf), schema, max_files=1)
     finished(entity_stream_load(stream, targets, f"{out}/rejects", f"{out}-checkpoint"))
-    loaded = spark.read.parquet(f"{out}/Part").select(
-        F.lit("Part").alias("type"), F.col("WORD_TYPE").alias("word_type"), F.col("WORD_VALUE").alias("word_value"), "id"
-    )
+    loaded = [
+        spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("type"), F.col("SEGMENT").alias("segment"), F.col("MEMBER").alias("member"), "id")
+        for name in targets
+    ]
     row = F.from_json("row", "map<string,string>")
     rejects = spark.read.parquet(f"{out}/rejects").select(
-        F.lit("rejected"), row["WORD_TYPE"], row["WORD_VALUE"], "message"
+        F.concat("type", F.lit(": "), "message"), row["SEGMENT"], row["MEMBER"], F.lit(None).cast("string")
     )
-    return loaded.union(rejects)
+    return loaded[0].union(loaded[1]).union(rejects)
+
+
+@check("""
+SELECT 'row' AS kind, h || ': ' || p AS text FROM (
+  SELECT regexp_extract(html, '<h1>([^<]*)', 1) AS h, unnest(regexp_extract_all(substr(html, strpos(html, '<body>')), '<p>(?:<b>)?([^<]*)', 1)) AS p FROM pages)
+GROUP BY 2
+UNION ALL SELECT 'malformed message', 'not JSON'""", name="crawl_extract_load")
+def crawl_extract_load(spark, sf):
+    """Messages of a crawl, read as they were sent, through extraction into a typed table, without steps by hand."""
+    queue, out = scratch_path(spark, "sent"), scratch_path(spark, "flow")
+    url_messages(page_source(spark, sf).select("url"), "Url").write.parquet(queue)
+    spark.createDataFrame([("not JSON", "Url")], "body STRING, type STRING").write.mode("append").parquet(queue)
+    spec = specs.ARTICLES["extraction"]
+    sent = url_stream(spark, queue, "body STRING, type STRING")
+    finished(stream_extract(sent, page_source(spark, sf), spec, out, f"{out}-extract"))
+    rules = {"TITLE": (True, None), "PARAGRAPH": (True, None), "SOURCE": (False, 600)}
+    targets = {"Paragraph": EntityTable(f"{out}-table", rules, ["TITLE", "PARAGRAPH"])}
+    made = url_stream(spark, f"{out}/entities", "data MAP<STRING,STRING>, class_type STRING")
+    finished(entity_stream_load(made, targets, f"{out}-rejects", f"{out}-load"))
+    loaded = spark.read.parquet(f"{out}-table").select(F.lit("row").alias("kind"), F.concat_ws(": ", "TITLE", "PARAGRAPH").alias("text"))
+    errors = spark.read.parquet(f"{out}/errors").select("message", "log_message")
+    return loaded.union(errors)
 
 
 @check("SELECT url FROM pages UNION ALL SELECT url || '/missing' FROM pages", name="stream_not_crawled")

@@ -27,8 +27,8 @@ from .registry import check
 from .render import table
 
 BODY = "substr(html, strpos(html, '<body>'))"
-WORDS_SQL = """
-SELECT c_custkey // 50 AS page_id, c_mktsegment AS word_type, c_name AS word_value,
+MEMBERS_SQL = """
+SELECT c_custkey // 50 AS page_id, c_mktsegment AS segment, c_name AS member,
        CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment, c_custkey) - 1 AS INTEGER) AS i
 FROM customer"""
 
@@ -261,11 +261,11 @@ def target_value_href(spark, sf):
     return parsed(spark, sf).select("page_id", F.posexplode(values).alias("i", "value"))
 
 
-@check("SELECT c_custkey AS page_id, 'Original title: ' || c_name AS value FROM customer", name="recon_value")
+@check("SELECT c_custkey AS page_id, 'Account of ' || c_name AS value FROM customer", name="recon_value")
 def recon_value_title(spark, sf):
     dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
-    h1 = first_descendant(nodes(), root(nodes()), "h1")
-    return dom.select("page_id", recon_value(nodes(), h1, {"reconValue": "InnerText"}).alias("value"))
+    h2 = first_descendant(nodes(), root(nodes()), "h2")
+    return dom.select("page_id", recon_value(nodes(), h2, {"reconValue": "InnerText"}).alias("value"))
 
 
 # ---- navigation ----------------------------------------------------------------------------------
@@ -301,7 +301,7 @@ SELECT c_custkey // 50 AS page_id, c_name AS text,
 FROM customer""", name="navigate_flat")
 def navigate_flat_words(spark, sf):
     dom = parse_pages(render.sections(spark, sf).select("page_id", "html"))
-    flat = navigate_flat(dom, specs.WORD_STEPS)
+    flat = navigate_flat(dom, specs.DIRECTORY_STEPS)
     ordered = flat.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "node_id", "last_id"))).alias("found"))
     texts = ordered.join(dom, "page_id").select(
         "page_id", F.posexplode(F.transform("found", lambda m: node_text(nodes(), m))).alias("place", "text")
@@ -310,52 +310,52 @@ def navigate_flat_words(spark, sf):
 
 
 @check("""
-SELECT c_custkey AS page_id, c_name AS title, 'Plot of ' || c_mktsegment AS plot FROM customer WHERE c_custkey % 7 <> 0""")
+SELECT c_custkey AS page_id, c_name AS holder, 'Trades in ' || c_mktsegment AS summary FROM customer WHERE c_custkey % 7 <> 0""")
 def recon_gate(spark, sf):
     dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
-    return matches_table(dom, specs.PROFILE_STEPS[:3]).select(
-        "page_id", F.col("recons")["TITLE"].alias("title"), F.col("recons")["PLOT"].alias("plot")
+    return matches_table(dom, specs.ACCOUNT_STEPS[:3]).select(
+        "page_id", F.col("recons")["HOLDER"].alias("holder"), F.col("recons")["SUMMARY"].alias("summary")
     )
 
 
 @check("""
-SELECT c_custkey AS page_id, 'Plot of ' || c_mktsegment AS title, 'Original title: ' || c_name AS name
+SELECT c_custkey AS page_id, 'Trades in ' || c_mktsegment AS title, 'Account of ' || c_name AS name
 FROM customer WHERE c_custkey % 7 <> 0""", name="recon_carry")
 def recon_carry_deepest(spark, sf):
     dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
     steps = [
         {"tag": "section"},
-        {"tag": "div", "keyProperty": "role", "recon": [specs.recon("h1", "TITLE"), specs.recon("h1", "NAME")]},
-        {"tag": "ul", "recon": [specs.recon("p", "TITLE")]},
+        {"tag": "div", "keyProperty": "data-part", "recon": [specs.recon("h2", "TITLE"), specs.recon("h2", "NAME")]},
+        {"tag": "dl", "recon": [specs.recon("p", "TITLE")]},
     ]
     return matches_table(dom, steps).select(
         "page_id", F.col("recons")["TITLE"].alias("title"), F.col("recons")["NAME"].alias("name")
     )
 
 
-@check(WORDS_SQL)
+@check(MEMBERS_SQL)
 def repeating_sections(spark, sf):
     dom = parse_pages(render.sections(spark, sf).select("page_id", "html"))
     found = F.transform(
-        navigate(nodes(), specs.WORD_STEPS),
-        lambda m: F.struct(m["recons"]["WORD_TYPE"].alias("word_type"), node_text(nodes(), m).alias("word_value")),
+        navigate(nodes(), specs.DIRECTORY_STEPS),
+        lambda m: F.struct(m["recons"]["SEGMENT"].alias("segment"), node_text(nodes(), m).alias("member")),
     )
     rows = dom.select("page_id", F.posexplode(found).alias("i", "m"))
-    return rows.select("page_id", "m.word_type", "m.word_value", "i")
+    return rows.select("page_id", "m.segment", "m.member", "i")
 
 
 @check("""
-SELECT c_custkey // 50 AS page_id, c_mktsegment AS word_type, count(*) AS n_leaves,
+SELECT c_custkey // 50 AS page_id, c_mktsegment AS segment, count(*) AS n_leaves,
        CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment) AS INTEGER) AS place
 FROM customer GROUP BY 1, 2""", name="group_containers")
 def group_containers_words(spark, sf):
     dom = parse_pages(render.sections(spark, sf).select("page_id", "html"))
-    grouped = group_containers(matches_table(dom, specs.WORD_STEPS))
+    grouped = group_containers(matches_table(dom, specs.DIRECTORY_STEPS))
     ordered = grouped.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("first_path", F.col("recons")["WORD_TYPE"].alias("word_type"), "n_leaves"))).alias("c")
+        F.array_sort(F.collect_list(F.struct("first_path", F.col("recons")["SEGMENT"].alias("segment"), "n_leaves"))).alias("c")
     )
     rows = ordered.select("page_id", F.posexplode("c").alias("place", "c"))
-    return rows.select("page_id", "c.word_type", "c.n_leaves", (F.col("place") + 1).alias("place"))
+    return rows.select("page_id", "c.segment", "c.n_leaves", (F.col("place") + 1).alias("place"))
 
 
 # ---- scalars -------------------------------------------------------------------------------------

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webtables.sources.pages import spread
-
 BASE = "https://shop.example"
 
 
@@ -32,10 +30,10 @@ def page(body):
 def sections(spark: SparkSession, directory: str) -> DataFrame:
     """Customers in blocks of 50: a heading per market segment, names listed under it."""
     customer = table(spark, directory, "customer").withColumn("page_id", F.expr("c_custkey div 50"))
-    items = customer.withColumn("html", fill("<li>%s</li>", "c_name"))
+    items = customer.withColumn("html", fill("<dd>%s</dd>", "c_name"))
     parts = items.groupBy("page_id", "c_mktsegment").agg(joined("c_custkey").alias("items"))
-    parts = parts.withColumn("html", fill("<h2>%s</h2>\n<ul>%s</ul>\n", "c_mktsegment", "items"))
-    body = fill("<article id=\"the-post\"><p>Intro</p><ul><li>Before</li></ul>%s</article>", "parts")
+    parts = parts.withColumn("html", fill("<h3>%s</h3>\n<dl>%s</dl>\n", "c_mktsegment", "items"))
+    body = fill("<main class=\"directory\"><p>Intro</p><dl><dd>Before</dd></dl>%s</main>", "parts")
     whole = parts.groupBy("page_id").agg(joined("c_mktsegment").alias("parts"))
     return whole.select("page_id", fill(BASE + "/words/%d", "page_id").alias("url"), page(body).alias("html"))
 
@@ -80,7 +78,7 @@ def listings(spark: SparkSession, directory: str) -> DataFrame:
 
 def site(spark: SparkSession, directory: str) -> DataFrame:
     """Index pages of 100 orders -> order pages -> customer pages, which link back to an index page."""
-    orders = spread(table(spark, directory, "orders"))
+    orders = table(spark, directory, "orders")
     customer = table(spark, directory, "customer")
     block = "<div id=\"main\"><div class=\"list\">%s<div class=\"list\">%s</div></div></div>"
     entry = orders.select(
@@ -104,23 +102,23 @@ def site(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, directory: str) -> DataFrame:
-    """One page per customer: a title, a plot (missing on every seventh), labelled and loose lines."""
-    customer = spread(table(spark, directory, "customer")).withColumn("page_id", F.col("c_custkey"))
+    """One page per customer: a holder, a summary (missing on every seventh), labelled and loose lines."""
+    customer = table(spark, directory, "customer").withColumn("page_id", F.col("c_custkey"))
     line = lambda label, value: F.concat(
-        F.lit(f"<li class=\"item\"><span>{label}</span><div>"), F.col(value).cast("string"), F.lit("</div></li>")
+        F.lit(f"<dd class=\"fact\"><b>{label}</b><i>"), F.col(value).cast("string"), F.lit("</i></dd>")
     )
-    loose = lambda n: fill("<li class=\"item\"><div>note %d of %d</div></li>", F.lit(n), "c_custkey")
+    loose = lambda n: fill("<dd class=\"fact\"><i>note %d of %d</i></dd>", F.lit(n), "c_custkey")
     lines = F.concat(
-        line("Director", "c_nationkey"),
-        F.when(F.col("c_custkey") % 5 == 0, line("Director", "c_mktsegment")).otherwise(""),
-        line("Stars", "c_mktsegment"),
+        line("Region", "c_nationkey"),
+        F.when(F.col("c_custkey") % 5 == 0, line("Region", "c_mktsegment")).otherwise(""),
+        line("Market", "c_mktsegment"),
         F.when(F.col("c_custkey") % 3 == 0, F.concat(loose(1), loose(2))).otherwise(""),
         F.when(F.col("c_custkey") % 2 == 0, line("Other", "c_custkey")).otherwise(""),
     )
-    plot = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(fill("<p>Plot of <b>%s</b></p>", "c_mktsegment"))
+    summary = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(fill("<p>Trades in <b>%s</b></p>", "c_mktsegment"))
     body = F.concat(
-        F.lit("<section class=\"box bp-xs wide\"><div role=\"presentation\"><h1 textlength=\"9\">Original title: "),
-        F.col("c_name"), F.lit("</h1>"), plot, F.lit("<ul class=\"meta\">"), lines, F.lit("</ul></div></section>"),
+        F.lit("<section class=\"card wide\"><div data-part=\"account\"><h2 data-kind=\"holder\">Account of "),
+        F.col("c_name"), F.lit("</h2>"), summary, F.lit("<dl class=\"facts\">"), lines, F.lit("</dl></div></section>"),
     )
     return customer.select("page_id", fill(BASE + "/p/%d", "page_id").alias("url"), page(body).alias("html"))
 

@@ -31,14 +31,14 @@ def dom(pages):
 
 
 @check("""
-SELECT c_custkey // 50 AS page_id, c_mktsegment AS word_type, c_name AS word_value, 'SHOP' AS source,
+SELECT c_custkey // 50 AS page_id, c_mktsegment AS segment, c_name AS member, 'SHOP' AS source,
        row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment, c_custkey) - 1 AS entity_idx
 FROM customer""")
 def extract_words(spark, sf):
-    found = extract_entities(render.sections(spark, sf), specs.WORDS)
+    found = extract_entities(render.sections(spark, sf), specs.DIRECTORY)
     data = F.col("data")
     return found.select(
-        "page_id", data["WORD_TYPE"].alias("word_type"), data["WORD_VALUE"].alias("word_value"),
+        "page_id", data["SEGMENT"].alias("segment"), data["MEMBER"].alias("member"),
         data["SOURCE"].alias("source"), "entity_idx",
     )
 
@@ -50,37 +50,37 @@ SELECT page_id, label, any_value(value) AS value FROM (
 GROUP BY 1, 2""", name="entity_per_node")
 def entity_per_node_first_item(spark, sf):
     """A target with a tag reads only the first matching child of each leaf."""
-    navigation = {"tag": "article", "nav": {"tag": "ul", "recon": [specs.HEADING]}}
-    extraction = specs.WORDS["extraction"]
-    spec = extraction | {"navigation": navigation, "target": extraction["target"] | {"tag": "li"}}
+    navigation = {"tag": "main", "nav": {"tag": "dl", "recon": [specs.SEGMENT_HEADING]}}
+    extraction = specs.DIRECTORY["extraction"]
+    spec = extraction | {"navigation": navigation, "target": extraction["target"] | {"tag": "dd"}}
     found = extract_entities(render.sections(spark, sf), spec)
-    return found.select("page_id", F.col("data")["WORD_TYPE"].alias("label"), F.col("data")["WORD_VALUE"].alias("value"))
+    return found.select("page_id", F.col("data")["SEGMENT"].alias("label"), F.col("data")["MEMBER"].alias("value"))
 
 
 @check("""
-SELECT c_custkey AS page_id, c_name AS title, 'Plot of ' || c_mktsegment AS plot, CAST(c_nationkey AS VARCHAR) AS director,
-       CAST(NULL AS VARCHAR) AS writers, c_mktsegment AS stars,
+SELECT c_custkey AS page_id, c_name AS holder, 'Trades in ' || c_mktsegment AS summary, CAST(c_nationkey AS VARCHAR) AS region,
+       CAST(NULL AS VARCHAR) AS agent, c_mktsegment AS market,
        nullif(concat_ws(' ', CASE WHEN c_custkey % 3 = 0 THEN 'note 1 of ' || c_custkey || ' note 2 of ' || c_custkey END,
                         CASE WHEN c_custkey % 2 = 0 THEN c_custkey END), '') AS misc
 FROM customer WHERE c_custkey % 7 <> 0""")
 def extract_profiles(spark, sf):
     data = F.col("data")
-    names = ("TITLE", "PLOT", "DIRECTOR", "WRITERS", "STARS", "MISC")
-    found = extract_entities(render.profiles(spark, sf), specs.PROFILES)
+    names = ("HOLDER", "SUMMARY", "REGION", "AGENT", "MARKET", "MISC")
+    found = extract_entities(render.profiles(spark, sf), specs.ACCOUNTS)
     return found.select("page_id", *[data[n].alias(n.lower()) for n in names])
 
 
 def profile_leaves(spark, sf, target):
-    steps = [*specs.PROFILE_STEPS[:2], {"tag": "ul", "keyProperty": "class"}, specs.PROFILE_STEPS[3]]
+    steps = [*specs.ACCOUNT_STEPS[:2], {"tag": "dl", "keyProperty": "class"}, specs.ACCOUNT_STEPS[3]]
     return leaves(dom(render.profiles(spark, sf)), navigate(nodes(), steps), target)
 
 
 @check("""
-SELECT c_custkey AS page_id, CAST(c_nationkey AS VARCHAR) AS director, c_mktsegment AS stars FROM customer""", name="entity_pivot")
+SELECT c_custkey AS page_id, CAST(c_nationkey AS VARCHAR) AS region, c_mktsegment AS market FROM customer""", name="entity_pivot")
 def entity_pivot_profiles(spark, sf):
-    target = specs.PROFILES["extraction"]["target"]
+    target = specs.ACCOUNTS["extraction"]["target"]
     found = entity_pivot(profile_leaves(spark, sf, target), target)
-    return found.select("page_id", F.col("data")["DIRECTOR"].alias("director"), F.col("data")["STARS"].alias("stars"))
+    return found.select("page_id", F.col("data")["REGION"].alias("region"), F.col("data")["MARKET"].alias("market"))
 
 
 @check("""
@@ -89,25 +89,25 @@ SELECT c_custkey AS page_id, concat_ws(' ',
   CASE WHEN c_custkey % 2 = 0 THEN c_custkey END) AS misc
 FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""", name="misc_bucket")
 def misc_bucket_profiles(spark, sf):
-    target = specs.PROFILES["extraction"]["target"]
+    target = specs.ACCOUNTS["extraction"]["target"]
     found = entity_pivot(profile_leaves(spark, sf, target), target)
     return found.select("page_id", F.col("data")["MISC"].alias("misc")).where("misc IS NOT NULL")
 
 
 @check("""
-SELECT c_custkey AS page_id, 'DIRECTOR' AS label, c_mktsegment AS value, 'label set twice' AS error FROM customer WHERE c_custkey % 5 = 0""", name="pivot_conflicts")
+SELECT c_custkey AS page_id, 'REGION' AS label, c_mktsegment AS value, 'label set twice' AS error FROM customer WHERE c_custkey % 5 = 0""", name="pivot_conflicts")
 def pivot_conflict_rows(spark, sf):
-    target = specs.PROFILES["extraction"]["target"]
+    target = specs.ACCOUNTS["extraction"]["target"]
     return pivot_conflicts(profile_leaves(spark, sf, target)).select("page_id", "label", "value", "error")
 
 
 @check("""
-SELECT c_custkey AS page_id, 'DIRECTOR' AS label, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM customer
-UNION ALL SELECT c_custkey, 'STARS', 1 FROM customer
+SELECT c_custkey AS page_id, 'REGION' AS label, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM customer
+UNION ALL SELECT c_custkey, 'MARKET', 1 FROM customer
 UNION ALL SELECT c_custkey, 'NONE', CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END
 FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""", name="target_classification")
 def target_classification_labels(spark, sf):
-    found = profile_leaves(spark, sf, specs.PROFILES["extraction"]["target"])
+    found = profile_leaves(spark, sf, specs.ACCOUNTS["extraction"]["target"])
     return found.groupBy("page_id", F.coalesce("label", F.lit("NONE")).alias("label")).agg(F.count("*").alias("n"))
 
 

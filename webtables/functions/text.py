@@ -90,6 +90,11 @@ def first_classified_value(c: Column, classifications: Sequence[dict]) -> Column
 
 # ---- entities and cells --------------------------------------------------------------------------
 
+# Patterns that results must agree with.
+REFERENCE_PAIR = "&#[0-9]+;[a-z0-9]?&#[0-9]+;"
+REFERENCE = "&#[0-9]+;"
+NO_SUFFIX = "(?i)(?:[^a-z0-9]|(?<=['\"])s)"
+
 
 def named_entities() -> dict[str, str]:
     """HTML 4 character names, from the standard library's table, plus the XML apostrophe."""
@@ -97,7 +102,10 @@ def named_entities() -> dict[str, str]:
 
 
 def _decoder() -> str:
-    """SQL lambda for one token: what names a character becomes it, anything else stays as written."""
+    """SQL lambda for one token: what names a character becomes it, anything else stays as written.
+
+    Any number of leading zeros is read; a number of more than eight hex digits after them is no character.
+    """
     table = json.dumps(named_entities()).replace("'", "\\u0027")
     return f"""t -> CASE
         WHEN NOT (startswith(t, '&') AND endswith(t, ';')) THEN t
@@ -106,8 +114,8 @@ def _decoder() -> str:
                 transform(
                     filter(
                         array(coalesce(
-                            try_cast(regexp_extract(t, '^&#([0-9]{{1,10}});$', 1) AS BIGINT),
-                            try_cast(conv(nullif(regexp_extract(t, '^&#[xX]([0-9a-fA-F]{{1,8}});$', 1), ''), 16, 10) AS BIGINT)
+                            try_cast(regexp_extract(t, '^&#([0-9]+);$', 1) AS BIGINT),
+                            try_cast(conv(nullif(regexp_extract(t, '^&#[xX]0*([0-9a-fA-F]{{1,8}});$', 1), ''), 16, 10) AS BIGINT)
                         )),
                         c -> c BETWEEN 1 AND {0xD7FF} OR c BETWEEN {0xE000} AND {0x10FFFF}
                     ),
@@ -130,8 +138,7 @@ def decode_entities(c: Column) -> Column:
 def clean_cell(c: Column) -> Column:
     """Decode entities, trim, drop line breaks, then delete numeric references that were escaped twice."""
     flat = F.translate(trimmed(decode_entities(c)), "\r\n", "")
-    pairs = F.regexp_replace(flat, "&#[0-9]+;[a-z0-9]?&#[0-9]+;", "")
-    return F.regexp_replace(pairs, "&#[0-9]+;", "")
+    return F.regexp_replace(F.regexp_replace(flat, REFERENCE_PAIR, ""), REFERENCE, "")
 
 
 def header_name(parts: Column) -> Column:
@@ -145,4 +152,4 @@ def header_name(parts: Column) -> Column:
 
 def safe_suffix(c: Column) -> Column:
     """Strip what is not an ASCII letter or digit, and an `s` right after a quote."""
-    return F.regexp_replace(c, "(?i)(?:[^a-z0-9]|(?<=['\"])s)", "")
+    return F.regexp_replace(c, NO_SUFFIX, "")

@@ -21,8 +21,16 @@ def is_single_field(target: dict) -> bool:
 
 
 def constants(target: dict) -> Column:
-    pairs = [F.lit(x) for v in target.get("HCValues") or () for x in (v["name"], v["value"])]
-    return F.create_map(*pairs).cast(RECONS)
+    """Constants of the target by name; of a name given twice the first (`given_twice` then fails the entities)."""
+    values: dict[str, str] = {}
+    for v in target.get("HCValues") or ():
+        values.setdefault(v["name"], v["value"])
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair]).cast(RECONS)
+
+
+def given_twice(target: dict) -> bool:
+    names = [v["name"] for v in target.get("HCValues") or ()]
+    return len(set(names)) < len(names)
 
 
 def target_classification(nodes: Column, anchor: Column, target: dict) -> Column:
@@ -51,10 +59,13 @@ def leaves(dom: DataFrame, matches: Column, target: dict) -> DataFrame:
     return rows.select("page_id", "path_id", "x.*")
 
 
-def attach_group_data(entities: DataFrame, fixed: Column) -> DataFrame:
-    """Merge `recons` and constants into `data`. A field set twice fails the entity: `error` says so."""
+def attach_group_data(entities: DataFrame, fixed: Column, broken: Column | bool = False) -> DataFrame:
+    """Merge `recons` and constants into `data`. A field set twice fails the entity: `error` says so.
+
+    `broken`: where a field was set twice before, in data or constants.
+    """
     keys = F.concat(F.map_keys("data"), F.map_keys("recons"), F.map_keys(fixed))
-    twice = F.size(F.array_distinct(keys)) < F.size(keys)
+    twice = (F.size(F.array_distinct(keys)) < F.size(keys)) | broken
     merged = F.when(~twice, F.map_concat("data", "recons", fixed))
     reason = F.when(twice, F.lit("field set twice"))
     return entities.withColumns({"error": reason, "data": F.coalesce(merged, F.col("data"))}).drop("recons")
@@ -66,7 +77,7 @@ def entity_per_node(found: DataFrame, target: dict) -> DataFrame:
     rows = found.select(
         "page_id", F.col("path_id").cast("bigint").alias("entity_idx"), F.create_map(name, "value").alias("data"), "recons", "value"
     )
-    made = attach_group_data(rows, constants(target))
+    made = attach_group_data(rows, constants(target), given_twice(target))
     lost = F.when(F.col("value").isNull(), F.lit("no target value"))
     return made.withColumn("error", F.coalesce("error", lost)).drop("value")
 
@@ -80,12 +91,13 @@ def misc_bucket(value: Column, order: Column) -> Column:
 def entity_pivot(found: DataFrame, target: dict) -> DataFrame:
     """One entity per container (equal recons): the first value of each label, the rest in MISC.
 
-    The labels are known from the spec, so this is one aggregation with a conditional first per label.
+    The labels are known from the spec, so this is one aggregation with a conditional first per label. A label
+    that is MISC itself shares the field with the unlabelled values.
     """
-    names = list(dict.fromkeys(c["name"] for c in (target.get("recon") or {}).get("classification") or ()))
+    names = list(dict.fromkeys(c["name"] for c in (target.get("recon") or {}).get("classification") or () if c["name"] != MISC))
     has = F.col("value").isNotNull()
     first = lambda n: F.min_by(F.when(F.col("label") == n, F.col("value")), F.when(has & (F.col("label") == n), F.col("path_id")))
-    loose = has & F.col("label").isNull()
+    loose = has & F.coalesce(F.col("label") == MISC, F.lit(True))
     misc = misc_bucket(F.when(loose, F.col("value")), F.when(loose, F.col("path_id")))
     held = found.where(has).groupBy("page_id", "recons").agg(
         F.min("path_id").cast("bigint").alias("entity_idx"),
@@ -94,7 +106,7 @@ def entity_pivot(found: DataFrame, target: dict) -> DataFrame:
     data = F.map_filter(
         F.map_from_arrays(F.array(*[F.lit(n) for n in [*names, MISC]]), F.col("_values")), lambda k, v: v.isNotNull()
     )
-    return attach_group_data(held.withColumn("data", data).drop("_values"), constants(target))
+    return attach_group_data(held.withColumn("data", data).drop("_values"), constants(target), given_twice(target))
 
 
 def pivot_conflicts(found: DataFrame) -> DataFrame:
@@ -103,17 +115,18 @@ def pivot_conflicts(found: DataFrame) -> DataFrame:
     order = Window.partitionBy("page_id", "_container", "label").orderBy("path_id")
     kept = F.first("value", ignorenulls=True).over(order)
     seen = found.withColumn("_container", container).withColumn("_kept", kept)
-    clash = F.col("label").isNotNull() & (F.col("value") != F.col("_kept"))
+    clash = (F.col("label") != MISC) & (F.col("value") != F.col("_kept"))
     reason = F.when(F.col("value").isNull(), "no target value").when(clash, "label set twice")
     return seen.withColumn("error", reason).where("error IS NOT NULL").select(
         "page_id", "path_id", "label", "value", "error"
     )
 
 
-def entity_from_table_row(tables: DataFrame, classifications: list[dict], fixed: Column) -> DataFrame:
-    """One entity per table row: per classification the first column whose name satisfies `findBy`."""
-    if len({k["name"] for k in classifications}) < len(classifications):
-        raise ValueError("classifications of a table need different names")
+def entity_from_table_row(tables: DataFrame, classifications: list[dict], fixed: Column, broken: bool = False) -> DataFrame:
+    """One entity per table row: per classification the first column whose name satisfies `findBy`.
+
+    Classifications may share a name: the one that finds a column fills the field; a row where both do fails.
+    """
     wanted = lambda k: lambda n: F.lit(True) if blank(k.get("findBy")) else match_value(n, k["findBy"])
     place = lambda k: F.array_position(F.transform("columns", wanted(k)), True)
     indexes = F.array(*[place(k) for k in classifications]).cast("array<int>")
@@ -124,13 +137,16 @@ def entity_from_table_row(tables: DataFrame, classifications: list[dict], fixed:
     pairs = F.arrays_zip(names.alias("name"), F.col("_at").alias("at"))
     present = F.filter(pairs, lambda p: p["at"] > 0)
     entries = F.transform(present, lambda p: F.struct(p["name"], F.get(F.col("row"), p["at"] - 1)))
+    found = F.transform(present, lambda p: p["name"])
+    once = F.filter(entries, lambda e, i: F.array_position(found, e["name"]) == i + 1)
     filled = rows.select(
         "page_id",
         (F.col("path_id") * F.lit(ROWS) + F.col("row_idx")).alias("entity_idx"),
-        F.map_from_entries(entries).alias("data"),
+        F.map_from_entries(once).alias("data"),
         "recons",
+        (F.size(once) < F.size(entries)).alias("_twice"),
     )
-    return attach_group_data(filled, fixed)
+    return attach_group_data(filled, fixed, F.col("_twice") | broken).drop("_twice")
 
 
 def missing_classifications(tables: DataFrame, classifications: list[dict]) -> DataFrame:

@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Rules of the sample entities: column -> (required, greatest length).
-TABLE_A = {"WORD_TYPE": (True, 600), "WORD_VALUE": (True, 600), "SOURCE": (True, 600)}
-TABLE_B = {
-    "TITLE": (True, 300), "PLOT": (True, 4000), "DIRECTOR": (True, 600),
-    "WRITERS": (False, 600), "STARS": (False, 600), "MISC": (False, 600),
-}
-
-
 def rules_schema(rules: dict) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in rules])
 
@@ -56,13 +50,38 @@ def check_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def key_digest(key: Sequence[str]) -> Column:
+    """256-bit hash of the key; null is a value, and no two keys share the text it is made of."""
+    part = lambda c: F.when(c.isNull(), "-").otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c))
+    return F.unhex(F.sha2(F.concat(*[part(F.col(k).cast("string")) for k in key]), 256))
+
+
+def same_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
+    """Equal keys; null equals null. `right` has its key columns as `_k0`, `_k1`, ..."""
+    return reduce(and_, (left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(key)))
+
+
+def keys_of(df: DataFrame, key: Sequence[str], *more: Column) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *more)
+
+
 def dedup_natural_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The first row of each key by `order_by`, which must be unique within a key.
 
-    An aggregation and not a window: copies of a hot key are reduced before the shuffle.
+    An aggregation and not a window: copies of a hot key are reduced before the shuffle. It groups by a hash of
+    the key, so that long keys travel once, in the row.
     """
     row = F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("_row")
-    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(row).select("_row.*")
+    return df.groupBy(key_digest(key).alias("_digest")).agg(row).select("_row.*")
+
+
+def one_per_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None) -> DataFrame:
+    """The first row of each key by `order_by`; without it, a key that comes twice fails the job."""
+    if order_by:
+        return dedup_natural_key(df, key, order_by)
+    names = F.lit(f"a key ({', '.join(key)}) comes twice: give order_by")
+    rows = df.groupBy(key_digest(key).alias("_digest")).agg(F.any_value(F.struct(*df.columns)).alias("_row"), F.count("*").alias("_n"))
+    return rows.select(F.when(F.col("_n") > 1, F.raise_error(names)).otherwise(F.col("_row")).alias("_row")).select("_row.*")
 
 
 # ---- writes as new table states ------------------------------------------------------------------
@@ -73,9 +92,9 @@ def load_insert(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def absent(current: DataFrame, incoming: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
-    """Incoming rows whose key the table lacks, one per key when `order_by` is given."""
-    fresh = dedup_natural_key(incoming, key, order_by) if order_by else incoming
-    return fresh.join(current.select(*key), list(key), "left_anti").select(*incoming.columns)
+    """Incoming rows whose key the table lacks, one per key; null is a value of a key."""
+    fresh, known = one_per_key(incoming, key, order_by), keys_of(current, key)
+    return fresh.join(known, same_key(fresh, known, key), "left_anti").select(*incoming.columns)
 
 
 def load_insert_absent(
@@ -88,11 +107,10 @@ def load_update(
     current: DataFrame, incoming: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None
 ) -> DataFrame:
     """Rows whose key comes in are replaced whole; keys the table lacks are not added."""
-    fresh = dedup_natural_key(incoming, key, order_by) if order_by else incoming
-    new = fresh.select(*key, F.struct(*incoming.columns).alias("_new"))
-    joined = current.join(new, list(key), "left")
+    new = keys_of(one_per_key(incoming, key, order_by), key, F.struct(*incoming.columns).alias("_new"))
+    joined = current.join(new, same_key(current, new, key), "left")
     return joined.select(
-        *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in current.columns]
+        *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(current[c]).alias(c) for c in current.columns]
     )
 
 
@@ -100,12 +118,13 @@ def load_upsert(
     current: DataFrame, incoming: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None
 ) -> DataFrame:
     """Insert and update together; `order_by` picks among incoming rows of one key."""
-    new = dedup_natural_key(incoming, key, order_by) if order_by else incoming
-    return current.join(new.select(*key).distinct(), list(key), "left_anti").select(*current.columns).unionByName(new)
+    new = one_per_key(incoming, key, order_by)
+    return load_delete(current, new, key).unionByName(new)
 
 
 def load_delete(current: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
-    return current.join(gone.select(*key).distinct(), list(key), "left_anti").select(*current.columns)
+    known = keys_of(gone, key).distinct()
+    return current.join(known, same_key(current, known, key), "left_anti").select(*current.columns)
 
 
 # ---- reads and change sets -----------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 QUEUE_LIMIT = 10_000
-SALTS = 64
+PART_ROWS = 1_000_000  # messages of a part of a queue, about
 
 
 def queue_depth(messages: DataFrame) -> DataFrame:
@@ -18,14 +18,15 @@ def route_by_type(messages: DataFrame, class_type: str) -> DataFrame:
     return messages.where(F.col("type") == class_type)
 
 
-def bounded_queue(messages: DataFrame, n: int = QUEUE_LIMIT, order_by: Sequence[str] = ("ts",)) -> tuple[DataFrame, DataFrame]:
+def bounded_queue(messages: DataFrame, n: int = QUEUE_LIMIT, order_by: Sequence[str] = ("ts",), part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """(the newest `n` messages per queue, the overflow). `order_by` must be unique within a queue.
 
     Only the n-th newest message matters. It is found in two rounds, the first within salted parts of a
-    queue, so that no task sorts a whole hot queue; every message is then compared with it.
+    queue, so that no task sorts a whole hot queue; every message is then compared with it. There are as many
+    parts as the messages need, which are counted first.
     """
     place = F.struct(*order_by)
-    salt = F.pmod(F.xxhash64(*order_by), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(*order_by), F.lit(max(1, -(-messages.count() // part_rows))))
     newest_first = lambda *by: Window.partitionBy(*by).orderBy(F.desc("_at"))
     keyed = messages.select("queue", place.alias("_at"), salt.alias("_salt"))
     part = keyed.withColumn("_rn", F.row_number().over(newest_first("queue", "_salt"))).where(F.col("_rn") <= n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.match import tag_name
 from ..operators.entities import (
-    constants, entity_from_table_row, entity_per_node, entity_pivot, is_single_field, leaves, pivot_conflicts,
+    constants, entity_from_table_row, entity_per_node, entity_pivot, given_twice, is_single_field, leaves, pivot_conflicts,
 )
 from ..operators.navigate import navigate
 from ..operators.tables import find_tables, min_columns_guard, parse_table
@@ -35,7 +35,7 @@ def assemble(dom: DataFrame, spec: dict) -> DataFrame:
     elif tag_name(target.get("value") or "") == "table":
         wide, _ = min_columns_guard(parse_table(find_tables(dom, matches)))
         classifications = (target.get("recon") or {}).get("classification") or []
-        made = entity_from_table_row(wide, classifications, constants(target))
+        made = entity_from_table_row(wide, classifications, constants(target), given_twice(target))
     else:
         made = entity_pivot(leaves(dom, matches, target), target)
     return made.select("page_id", "entity_idx", "data", F.lit(target.get("classType")).alias("class_type"), "error")

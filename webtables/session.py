@@ -15,6 +15,7 @@ def build_session(app: str = "webtables", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.optimizer.windowGroupLimitThreshold": "10000",  # so that `bounded_queue` limits groups before the shuffle
         "spark.ui.enabled": "false",
     } | conf
     builder = SparkSession.builder.appName(app)
@@ -57,16 +58,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> tuple[DataFrame, str]:
     """Write to the shared folder in buckets of `key` and read back, with the table's name for `forget`.
 
-    For the side of a join that is used again and again: later joins on `key` read it without a shuffle.
+    For the side of a join that is used again and again: later joins on `key` read it without a shuffle. The
+    number of buckets is the caller's, by default that of shuffle partitions; size it to the data.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"webtables_{uuid.uuid4().hex}"
-    cores = spark.sparkContext.defaultParallelism
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
     return spark.table(table), table
 

@@ -7,18 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BODY_TAG = r"(?is)^(.*?<body(?:\s[^>]*)?>)"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan, spread over the cores when it reads as fewer splits than there are.
-
-    For inputs whose next step is heavy, like parsing. A large input has enough splits and is not shuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def page_source(spark: SparkSession, directory: str, name: str = "pages") -> DataFrame:
-    """`page_id, url, html` of a snapshot."""
-    return spread(spark.read.parquet(f"{directory}/{name}.parquet").select("page_id", "url", "html"))
+    """`page_id, url, html` of a snapshot, in the splits that the reader's settings give (`spark.sql.files.*`)."""
+    return spark.read.parquet(f"{directory}/{name}.parquet").select("page_id", "url", "html")
 
 
 def newest_pages(pages: DataFrame) -> DataFrame:

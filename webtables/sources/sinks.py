@@ -1,8 +1,8 @@
-"""Sinks: entity tables, error log, atomic replacement."""
+"""Sinks: entity tables and the error log."""
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -15,36 +15,27 @@ def error_log_sink(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def save_atomic(df: DataFrame, path: str) -> str:
-    """Replace a table as a whole: write a new version, then switch the pointer in one rename.
+@dataclass(frozen=True)
+class EntityColumn:
+    """A column of an entity table: type, whether it may be null, default as a SQL expression."""
 
-    Readers see the old version until the switch; a failed write leaves it in place. Returns the version.
+    kind: T.DataType = T.StringType()
+    required: bool = False
+    default: str | None = None
+
+
+def entity_ddl(spark: SparkSession, name: str, columns: T.StructType | dict[str, EntityColumn], path: str | None = None) -> None:
+    """Drop and create an entity table, with an id, creation and update times, NOT NULL and defaults.
+
+    Spark does not enforce NOT NULL on Parquet tables; `check_constraints` does before a load.
     """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT.{version}")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(staged)
-    out.writeBytes(version)
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(staged, target, overwrite)
-    return version
-
-
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The version `save_atomic` published last."""
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{version}")
-
-
-def entity_ddl(spark: SparkSession, name: str, schema: T.StructType, path: str | None = None) -> None:
-    """Drop and create an entity table."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    if isinstance(columns, T.StructType):
+        columns = {f.name: EntityColumn(f.dataType, not f.nullable) for f in columns}
+    stamped = EntityColumn(T.TimestampType(), True, "current_timestamp()")
+    whole = {"id": EntityColumn(required=True)} | columns | {"dt_creation": stamped, "dt_update": stamped}
+    parts = [
+        f"`{column}` {c.kind.simpleString()}" + " NOT NULL" * c.required + (f" DEFAULT {c.default}" if c.default else "")
+        for column, c in whole.items()
+    ]
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
+    spark.sql(f"CREATE TABLE {name} ({', '.join(parts)}) USING parquet" + (f" LOCATION '{path}'" if path else ""))

@@ -7,13 +7,16 @@ to its own `batch_id=N` folder and overwrites it, which makes a batch that runs
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.messages import ENTITY_MESSAGE, URL_MESSAGE, parse_message
+from ..operators.errors import error_log_rows
 from ..operators.load import absent, check_constraints, dedup_natural_key, rules_schema, to_typed_row, with_row_identity
 from ..operators.queues import retry_or_dead_letter, route_by_type
-from ..plans.extract import extract_entities
+from ..plans.extract import assemble, spec_pages
 from ..session import written
 from ..sources.pages import newest_pages, resolve_pages
 
@@ -51,16 +54,40 @@ def run(stream: DataFrame, each_batch, checkpoint: str, continuous: str | None =
     return writer.trigger(**trigger).start()
 
 
-def earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """What batches before this one wrote; a batch that runs again does not see its own output."""
+def earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType, since: int = 0) -> DataFrame:
+    """What batches before this one, from `since` on, wrote; a batch that runs again does not see its own output."""
     if batch_id == 0:
         return spark.createDataFrame([], schema)
     table = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
-    return table.where(F.col("batch_id") < batch_id).drop("batch_id")
+    return table.where((F.col("batch_id") < batch_id) & (F.col("batch_id") >= since)).drop("batch_id")
+
+
+def url_messages_of(batch: DataFrame) -> DataFrame:
+    """`url, raw` of messages that come as `url` or as JSON in `body`; a malformed message has no url."""
+    if "body" in batch.columns:
+        return batch.select(parse_message(F.col("body"), URL_MESSAGE)["url"].alias("url"), F.col("body").alias("raw"))
+    return batch.select("url", F.col("url").alias("raw"))
+
+
+def log_rows(service: str, failed: DataFrame) -> DataFrame:
+    """`source, message, detail` in the shape of the error log."""
+    return error_log_rows(
+        failed.select(
+            F.lit(service).alias("service"), "source", "message", F.col("detail").alias("log_message"),
+            F.lit(None).cast("string").alias("exception"), F.current_timestamp().alias("ts"),
+        )
+    )
+
+
+RETRY = T.StructType().add("url", T.StringType()).add("reason", T.StringType()).add("attempts", T.IntegerType())
 
 
 def stream_extract(stream: DataFrame, pages: DataFrame, spec: dict, out: str, checkpoint: str, k: int = 3) -> StreamingQuery:
-    """URL messages -> entities in `out/entities`; URLs without a page in `out/retry`, after `k` tries in `out/dead`.
+    """URL messages (`url`, or JSON in `body`) -> entities in `out/entities`; every message has an end.
+
+    A URL without a page, or whose page gives no entity, goes to `out/retry` and comes again with the next batch; its
+    k-th failure takes it to `out/dead`. Malformed messages and failed entities are in `out/errors`, in the shape of
+    the error log. A URL that a batch has several times is looked up once.
 
     The URLs of the snapshot are indexed once per start. A batch still scans the pages for the text of those
     it asks for, so on a large snapshot let batches be large.
@@ -69,16 +96,24 @@ def stream_extract(stream: DataFrame, pages: DataFrame, spec: dict, out: str, ch
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        urls = batch.select("url")
-        found, missing = resolve_pages(urls, pages, newest)
-        entities = extract_entities(found, spec)
-        entities.write.mode("overwrite").parquet(f"{out}/entities/batch_id={batch_id}")
-        tries_schema = T.StructType().add("url", T.StringType()).add("attempts", T.IntegerType())
-        tries = earlier(spark, f"{out}/retry", batch_id, tries_schema)
-        before = tries.groupBy("url").agg(F.max("attempts").alias("attempts"))
-        retry, dead = retry_or_dead_letter(missing.distinct(), before, k, ["url"])
-        retry.write.mode("overwrite").parquet(f"{out}/retry/batch_id={batch_id}")
-        dead.write.mode("overwrite").parquet(f"{out}/dead/batch_id={batch_id}")
+        to = lambda name: f"{out}/{name}/batch_id={batch_id}"
+        sent = url_messages_of(batch)
+        again = earlier(spark, f"{out}/retry", batch_id, RETRY, since=batch_id - 1).select("url", "attempts")
+        asked = sent.where("url IS NOT NULL").select("url").union(again.select("url")).distinct()
+        found, missing = resolve_pages(asked, pages, newest)
+        made = written(assemble(spec_pages(found, spec), spec), "assembled")
+        good = made.where("error IS NULL").drop("error")
+        good.write.mode("overwrite").parquet(to("entities"))
+        at = newest.join(asked, "url", "left_semi")  # url, page_id of what was found
+        empty = at.join(good.select("page_id").distinct(), "page_id", "left_anti")
+        failed = missing.select("url", F.lit("no page").alias("reason")).union(empty.select("url", F.lit("no entities")))
+        retry, dead = retry_or_dead_letter(failed, again, k, ["url"])
+        retry.select(*RETRY.names).write.mode("overwrite").parquet(to("retry"))
+        dead.select(*RETRY.names).write.mode("overwrite").parquet(to("dead"))
+        broken = made.where("error IS NOT NULL").join(at, "page_id")
+        broken = broken.select(F.col("url").alias("source"), F.col("error").alias("message"), F.to_json("data").alias("detail"))
+        malformed = sent.where("url IS NULL").select(F.lit(None).cast("string").alias("source"), F.lit("malformed message").alias("message"), F.col("raw").alias("detail"))
+        log_rows("extract", broken.union(malformed)).write.mode("overwrite").parquet(to("errors"))
 
     return run(stream, each_batch, checkpoint)
 
@@ -96,28 +131,48 @@ class EntityTable:
         return rules_schema(self.rules)
 
 
+def entity_messages_of(batch: DataFrame) -> DataFrame:
+    """`type, data, ts, raw` of entity messages: JSON in `body`, `EntityData` maps, or rows that `stream_extract` wrote."""
+    kind = F.col("type" if "type" in batch.columns else "class_type")
+    if "body" in batch.columns:
+        data, raw = parse_message(F.col("body"), ENTITY_MESSAGE)["EntityData"], F.col("body")
+    else:
+        data = F.col("EntityData" if "EntityData" in batch.columns else "data")
+        raw = F.to_json(data)
+    ts = F.col("ts") if "ts" in batch.columns else F.current_timestamp()
+    return batch.select(kind.alias("type"), data.alias("data"), ts.alias("ts"), raw.alias("raw"))
+
+
 def entity_stream_load(
     stream: DataFrame, targets: dict[str, EntityTable], rejects: str, checkpoint: str
 ) -> StreamingQuery:
-    """Entity messages (`type`, `EntityData`, `ts`) -> one table per type, inserted when the key is absent.
+    """Entity messages (see `entity_messages_of`) -> one table per type, inserted when the key is absent.
 
-    A batch appends its new rows only; rows that break a rule go to `rejects` as JSON.
+    A batch appends its new rows only. What is not loaded goes to `rejects` (type, message, row as JSON): rows that
+    break a rule, messages of an unknown type, malformed ones; so do the names of fields that a table lacks.
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        sent = entity_messages_of(batch).persist()
+        known_type = F.coalesce(F.col("type").isin(*targets), F.lit(False))
+        lost = [
+            sent.where(~known_type).select("type", F.lit("unknown type").alias("message"), F.col("raw").alias("row")),
+            sent.where(known_type & F.col("data").isNull()).select("type", F.lit("malformed message"), "raw"),
+        ]
         for class_type, table in targets.items():
-            routed = route_by_type(batch, class_type).withColumnRenamed("EntityData", "data")
-            rows, _ = to_typed_row(routed, table.schema, keep=["ts"])
+            routed = route_by_type(sent, class_type).where("data IS NOT NULL")
+            rows, unknown = to_typed_row(routed, table.schema, keep=["ts"])
             good, bad = check_constraints(rows, table.rules)
             key = table.key or list(table.rules)
             ordered = dedup_natural_key(good, key, ["ts", *table.rules]).select(*table.rules)
             known = earlier(spark, table.path, batch_id, table.schema)
-            fresh = with_row_identity(absent(known, ordered, key), key, F.current_timestamp())
+            fresh = with_row_identity(absent(known, ordered, key, list(table.rules)), key, F.current_timestamp())
             fresh.write.mode("overwrite").parquet(f"{table.path}/batch_id={batch_id}")
-            bad.select(
-                F.lit(class_type).alias("type"), F.array_join("violations", "; ").alias("message"), F.to_json(F.struct(*table.rules)).alias("row")
-            ).write.mode("overwrite").parquet(f"{rejects}/type={class_type}/batch_id={batch_id}")
+            lost.append(bad.select(F.lit(class_type), F.array_join("violations", "; "), F.to_json(F.struct(*table.rules))))
+            lost.append(unknown.select(F.lit(class_type), F.concat(F.lit("unknown field "), "unknown_field"), F.lit(None).cast("string")))
+        reduce(DataFrame.union, lost).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+        sent.unpersist()
 
     return run(stream, each_batch, checkpoint)
 
