@@ -126,15 +126,15 @@ def near_values(n, seed):
 def test_walk_finds_every_pair(budget):
     values = near_values(120, budget)
     array = np.array(values, np.uint64)
-    found = {(min(a, b), max(a, b)) for x, y in simhash.walk(array, None, 0, 0, budget) for a, b in zip(x.tolist(), y.tolist())}
+    found = {(min(a, b), max(a, b)) for x, y in simhash.walk(array, simhash.whole(len(array)), 0, budget) for a, b in zip(x.tolist(), y.tolist())}
     assert found == {(i, j) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= budget}
 
 
 def test_walk_in_small_frontiers(monkeypatch):
     array = np.array(near_values(100, 9), np.uint64)
-    whole = {tuple(p) for x, y in simhash.walk(array, None, 0, 0, 2) for p in zip(x.tolist(), y.tolist())}
+    every = {tuple(p) for x, y in simhash.walk(array, simhash.whole(len(array)), 0, 2) for p in zip(x.tolist(), y.tolist())}
     monkeypatch.setattr(simhash, "FRONTIER", 5)
-    assert {tuple(p) for x, y in simhash.walk(array, None, 0, 0, 2) for p in zip(x.tolist(), y.tolist())} == whole
+    assert {tuple(p) for x, y in simhash.walk(array, simhash.whole(len(array)), 0, 2) for p in zip(x.tolist(), y.tolist())} == every
 
 
 @pytest.mark.parametrize("cell", [1000, 20, 2])

@@ -130,6 +130,15 @@ def test_lookup_takes_the_newest_copy_once_per_request(spark):
     assert rows(found) == [("/a", 2, "new"), ("/a", 2, "new")] and rows(missing) == [("/c",)]
 
 
+def test_lookup_of_few_urls_moves_no_page(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    spark.range(2000).selectExpr("id AS page_id", "concat('/', id) AS url", "repeat('x', 100) AS html").write.parquet(path)
+    found, _ = resolve_pages(spark.createDataFrame([("/7",)], "url STRING"), spark.read.parquet(path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert rows(found) == [("/7", 7, "x" * 100)]
+
+
 def test_bounded_queue_on_a_hot_queue(spark):
     messages = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.col("id") % 40).otherwise(-1).cast("string").alias("queue"), F.col("id").alias("ts")

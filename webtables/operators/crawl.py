@@ -155,14 +155,16 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = N
     )
     path = scratch_path(spark, "frontier")
     level = lambda *depths: spark.read.schema("url STRING").parquet(*[f"{path}/depth={k}" for k in depths])
-    seeds.select("url").where("url IS NOT NULL").distinct().write.parquet(f"{path}/depth=0")
     depth = 0
-    while (max_depth is None or depth < max_depth) and not level(depth).isEmpty():
-        found = level(depth).join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"))
-        fresh = not_crawled(found.distinct(), level(*range(depth + 1)))
-        fresh.write.parquet(f"{path}/depth={depth + 1}")
-        depth += 1
-    forget(spark, table)
+    try:
+        seeds.select("url").where("url IS NOT NULL").distinct().write.parquet(f"{path}/depth=0")
+        while (max_depth is None or depth < max_depth) and not level(depth).isEmpty():
+            found = level(depth).join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"))
+            seen = level(*range(depth + 1))  # levels are disjoint and without duplicates
+            found.distinct().join(seen, "url", "left_anti").write.parquet(f"{path}/depth={depth + 1}")
+            depth += 1
+    finally:
+        forget(spark, table)
     return spark.read.schema("url STRING, depth INT").parquet(path)
 
 
@@ -190,25 +192,29 @@ def crawl_sources(
         known = written(ledger.select(F.col("source").cast("string"), "url", "crawl_ts"), "known")
     path = scratch_path(spark, "crawl")
     at = lambda *steps: spark.read.schema(keys).parquet(*[f"{path}/step={k}" for k in steps])
-    starts.select(F.col("source").cast("string"), "url").distinct().write.parquet(f"{path}/step=0")
     step, old, old_steps = 0, None, 0  # `old`: the first `old_steps` steps in one table
-    while places and (max_rounds is None or step < max_rounds) and not at(step).isEmpty():
-        recent = at(*range(old_steps, step + 1))
-        been = recent if old is None else old.unionByName(recent)
-        if step - old_steps >= COMPACT_EVERY:
-            been = old = written(been, "visited")
-            old_steps = step + 1
-        closed = been if known is None else been.unionByName(known.select("source", "url"))
-        onward = at(step).join(links.withColumnRenamed("url", "to"), F.col("url") == F.col("src_url"))
-        onward = onward.select("source", "place", "position", "href", F.col("to").alias("url"))
-        moves = choose_next(not_crawled(onward, closed, ["source", "url"]), places, "source")
-        moves = moves.select("source", F.col("next_url").alias("url"))
-        if known is not None:
-            stuck = at(step).select("source").join(moves, "source", "left_anti")
-            moves = moves.unionByName(stuck.join(backtrack(known, been), "source"))
-        moves.write.parquet(f"{path}/step={step + 1}")
-        step += 1
-    forget(spark, table)
+    try:
+        starts.select(F.col("source").cast("string"), "url").distinct().write.parquet(f"{path}/step=0")
+        while places and (max_rounds is None or step < max_rounds) and not at(step).isEmpty():
+            recent = at(*range(old_steps, step + 1))
+            been = recent if old is None else old.unionByName(recent)
+            if step - old_steps >= COMPACT_EVERY:
+                been = old = written(been, "visited")
+                old_steps = step + 1
+            closed = been if known is None else been.unionByName(known.select("source", "url"))
+            onward = at(step).join(links.withColumnRenamed("url", "to"), F.col("url") == F.col("src_url"))
+            onward = onward.select("source", "place", "position", "href", F.col("to").alias("url"))
+            moves = choose_next(not_crawled(onward, closed, ["source", "url"]), places, "source")
+            moves = moves.select("source", F.col("next_url").alias("url"))
+            if known is not None:
+                stuck = at(step).select("source").join(moves, "source", "left_anti")
+                left = written(stuck, "stuck")  # few: the ledger and the visited pages are cut to their sources first
+                mine = lambda df: df.join(left, "source", "left_semi")
+                moves = moves.unionByName(left.join(backtrack(mine(known), mine(been)), "source"))
+            moves.write.parquet(f"{path}/step={step + 1}")
+            step += 1
+    finally:
+        forget(spark, table)
     visited = spark.read.schema(keys + ", step INT").parquet(path)
     return visited if known is None else not_crawled(visited, known, ["source", "url"])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import written
+
 BODY_TAG = r"(?is)^(.*?<body(?:\s[^>]*)?>)"
 
 
@@ -22,10 +24,13 @@ def resolve_pages(urls: DataFrame, pages: DataFrame, newest: DataFrame | None =
 
     Where the snapshot holds several copies of a URL the newest (`page_id`) answers; `newest` can be given
     when many lookups share it. Copies are reduced on ids, before page text is touched, and the text is then
-    fetched by `page_id`, which is unique: a URL with very many copies or requests makes no large group.
+    fetched by `page_id`, which is unique: a URL with very many copies or requests makes no large group. The ids
+    asked for are written first, so that their size is known: where Spark can broadcast them, no page moves, and
+    beyond that it filters the pages by them before the shuffle.
     """
     newest = newest_pages(pages) if newest is None else newest
-    found = urls.join(newest, "url").join(pages.select("page_id", "html"), "page_id")
+    asked = written(urls.join(newest, "url"), "asked")
+    found = asked.join(pages.select("page_id", "html"), "page_id")
     missing = urls.join(newest.select("url"), "url", "left_anti")
     return found.select(*urls.columns, "page_id", "html"), missing
 
