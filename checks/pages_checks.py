@@ -261,11 +261,12 @@ def target_value_href(spark, sf):
     return parsed(spark, sf).select("page_id", F.posexplode(values).alias("i", "value"))
 
 
-@check("SELECT c_custkey AS page_id, 'Account of ' || c_name AS value FROM customer", name="recon_value")
+@check("SELECT c_custkey AS page_id, 'Account of ' || c_name AS value, 'No ' || c_custkey AS title, '' AS other FROM customer", name="recon_value")
 def recon_value_title(spark, sf):
     dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
     h2 = first_descendant(nodes(), root(nodes()), "h2")
-    return dom.select("page_id", recon_value(nodes(), h2, {"reconValue": "InnerText"}).alias("value"))
+    kinds = {"value": "InnerText", "title": "Title", "other": "Else"}
+    return dom.select("page_id", *[recon_value(nodes(), h2, {"reconValue": kind}).alias(name) for name, kind in kinds.items()])
 
 
 # ---- navigation ----------------------------------------------------------------------------------

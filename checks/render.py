@@ -117,7 +117,7 @@ def profiles(spark: SparkSession, directory: str) -> DataFrame:
     )
     summary = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(fill("<p>Trades in <b>%s</b></p>", "c_mktsegment"))
     body = F.concat(
-        F.lit("<section class=\"card wide\"><div data-part=\"account\"><h2 data-kind=\"holder\">Account of "),
+        fill("<section class=\"card wide\"><div data-part=\"account\"><h2 data-kind=\"holder\" title=\"No %d\">Account of ", "c_custkey"),
         F.col("c_name"), F.lit("</h2>"), summary, F.lit("<dl class=\"facts\">"), lines, F.lit("</dl></div></section>"),
     )
     return customer.select("page_id", fill(BASE + "/p/%d", "page_id").alias("url"), page(body).alias("html"))

@@ -140,21 +140,26 @@ def wides(spark, sf):
     return parse_table(find_tables(dom(render.wide_tables(spark, sf)), navigate(nodes(), [{"tag": "table"}])))
 
 
-def first_cells(spark, sf, pages):
-    """The first table of every page with its cut cells."""
-    table_node = F.get(descendants(nodes(), root(nodes()), "table"), F.lit(0))
-    return dom(pages).select("page_id", cut_tables(nodes(), table_node).alias("t")).select("page_id", "t.*")
+def every_table(pages, of, name):
+    """`page_id, table_no` and what `of` gives, for all tables of every page."""
+    found = F.transform(descendants(nodes(), root(nodes()), "table"), lambda t: of(nodes(), t))
+    return dom(pages).select("page_id", F.posexplode(found).alias("table_no", name))
+
+
+def all_cells(pages):
+    """All tables of every page with their cut cells."""
+    return every_table(pages, cut_tables, "t").select("page_id", "table_no", "t.*")
 
 
 @check("""
-SELECT page_id, 'grid' AS kind, 1 AS headers, n AS body FROM (SELECT c_custkey // 20 AS page_id, CAST(count(*) AS INTEGER) AS n FROM customer GROUP BY 1)
-UNION ALL SELECT page_id, 'wide', 2, n FROM (SELECT p_partkey // 10 AS page_id, CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1)""", name="table_sections")
+SELECT page_id, 'grid' AS kind, 0 AS table_no, 1 AS headers, n AS body FROM (SELECT c_custkey // 20 AS page_id, CAST(count(*) AS INTEGER) AS n FROM customer GROUP BY 1)
+UNION ALL SELECT page_id, 'wide', 0, 2, n FROM (SELECT p_partkey // 10 AS page_id, CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1)
+UNION ALL SELECT DISTINCT p_partkey // 10, 'wide', 1, 1, 1 FROM part""", name="table_sections")
 def table_sections_counts(spark, sf):
     def counted(pages, kind):
-        table_node = F.get(descendants(nodes(), root(nodes()), "table"), F.lit(0))
-        parts = dom(pages).select("page_id", table_sections(nodes(), table_node).alias("s"))
+        parts = every_table(pages, table_sections, "s")
         return parts.select(
-            "page_id", F.lit(kind).alias("kind"), F.size("s.header").alias("headers"), F.size("s.body").alias("body")
+            "page_id", F.lit(kind).alias("kind"), "table_no", F.size("s.header").alias("headers"), F.size("s.body").alias("body")
         )
 
     return counted(render.span_tables(spark, sf), "grid").union(counted(render.wide_tables(spark, sf), "wide"))
@@ -164,23 +169,24 @@ def table_sections_counts(spark, sf):
 SELECT page_id, row_idx, CAST(CASE WHEN row_number() OVER (PARTITION BY page_id, c_nationkey ORDER BY c_custkey) = 1 THEN 5 ELSE 4 END AS INTEGER) AS cells
 FROM ({GRID_SQL})""", name="table_cells")
 def table_cells_counts(spark, sf):
-    rows = first_cells(spark, sf, render.span_tables(spark, sf)).select("page_id", F.posexplode("body").alias("row_idx", "r"))
+    rows = all_cells(render.span_tables(spark, sf)).select("page_id", F.posexplode("body").alias("row_idx", "r"))
     return rows.select("page_id", "row_idx", F.size("r").alias("cells"))
 
 
 @check("""
-SELECT page_id, row_idx, col_idx, text FROM (SELECT DISTINCT p_partkey // 10 AS page_id FROM part), (VALUES
-  (0, 0, 'Key'), (0, 1, 'Spec'), (0, 2, 'Spec'), (0, 3, 'Left'), (0, 4, ' Sid'), (1, 0, 'Brand'), (1, 1, 'Type')) AS h(row_idx, col_idx, text)""", name="expand_colspan")
+SELECT page_id, table_no, row_idx, col_idx, text FROM (SELECT DISTINCT p_partkey // 10 AS page_id FROM part), (VALUES
+  (0, 0, 0, 'Key'), (0, 0, 1, 'Spec'), (0, 0, 2, 'Spec'), (0, 0, 3, 'Left'), (0, 0, 4, ' Sid'), (0, 1, 0, 'Brand'), (0, 1, 1, 'Type'),
+  (1, 0, 0, 'A'), (1, 0, 1, 'B'), (1, 0, 2, 'C')) AS h(table_no, row_idx, col_idx, text)""", name="expand_colspan")
 def expand_colspan_headers(spark, sf):
-    cut = first_cells(spark, sf, render.wide_tables(spark, sf))
-    rows = cut.select("page_id", F.posexplode(expand_colspan(F.col("header"), True)).alias("row_idx", "r"))
-    units = rows.select("page_id", "row_idx", F.posexplode("r").alias("col_idx", "u"))
-    return units.select("page_id", "row_idx", "col_idx", "u.text")
+    cut = all_cells(render.wide_tables(spark, sf))
+    rows = cut.select("page_id", "table_no", F.posexplode(expand_colspan(F.col("header"), True)).alias("row_idx", "r"))
+    units = rows.select("page_id", "table_no", "row_idx", F.posexplode("r").alias("col_idx", "u"))
+    return units.select("page_id", "table_no", "row_idx", "col_idx", "u.text")
 
 
 @check(f"""SELECT page_id, row_idx, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS VARCHAR) AS custkey FROM ({GRID_SQL})""", name="expand_rowspan")
 def expand_rowspan_body(spark, sf):
-    cut = first_cells(spark, sf, render.span_tables(spark, sf))
+    cut = all_cells(render.span_tables(spark, sf))
     units = cut.select("page_id", expand_colspan(F.col("body"), False).alias("u"))
     placed = units.withColumn("p", place_units(spans_to_place(F.col("u"))))
     grid = placed.select("page_id", F.posexplode(expand_rowspan(F.col("u"), F.col("p"), keep_carried=True)).alias("row_idx", "r"))
@@ -203,13 +209,14 @@ def split_wide_header_pieces(spark, sf):
 
 
 @check("""
-SELECT p_partkey // 10 AS page_id, CAST(p_partkey % 10 AS INTEGER) AS row_idx, p_type AS type,
+SELECT p_partkey // 10 AS page_id, 0 AS path_id, CAST(p_partkey % 10 AS INTEGER) AS row_idx, p_type AS type,
        CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS size,
-       CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS name FROM part""", name="pad_short_rows")
+       CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS name FROM part
+UNION ALL SELECT DISTINCT p_partkey // 10, 1, 0, '3', NULL, NULL FROM part""", name="pad_short_rows")
 def pad_short_rows_wide(spark, sf):
-    rows = wides(spark, sf).where("path_id = 0").select("page_id", F.posexplode("rows").alias("row_idx", "r"))
+    rows = wides(spark, sf).select("page_id", "path_id", F.posexplode("rows").alias("row_idx", "r"))
     cell = lambda i: F.get("r", F.lit(i))
-    return rows.select("page_id", "row_idx", cell(2).alias("type"), cell(3).alias("size"), cell(4).alias("name"))
+    return rows.select("page_id", "path_id", "row_idx", cell(2).alias("type"), cell(3).alias("size"), cell(4).alias("name"))
 
 
 @check(f"""
