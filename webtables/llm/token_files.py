@@ -33,7 +33,7 @@ FITTING = 0.9
 #: Ids after which a segment ends with the document.
 SEGMENT = 1 << 20
 #: Chunks whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 
 # blocks
@@ -128,20 +128,83 @@ def read_segment(data: bytes) -> np.ndarray:
 # ids
 
 
-class Encoded(dict):
-    """Chunks between ASCII white space -> ids as bytes, from the tokenizers library; nothing in it reaches over such space."""
+#: ASCII signs that end a chunk without being part of its word: all but the apostrophe and what begins a special token.
+SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: Below this code point letters keep their Unicode normal form, whatever stands beside them.
+LATIN = "ɐ"
+#: Documents that are encoded together hold about as many bytes.
+TOGETHER = 1 << 20
+
+
+class Encoded:
+    """Chunks between ASCII white space -> ids as bytes, from the tokenizers library; nothing in it reaches over such space.
+
+    New chunks are encoded many at a time: the simple words of all of them as one text, which is cut after each token
+    that ends a word; others one by one. A tokenizer without such tokens gets all chunks one by one.
+    """
 
     def __init__(self, library: Tokenizer):
-        self.library = library
+        self.library, self.chunks, self.words = library, {}, {}
         library.no_truncation()
         library.no_padding()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.library.encode(chunk.decode(), add_special_tokens=False).ids
-        self[chunk] = found = np.array(ids, "<u4").tobytes()
-        return found
+        suffix = getattr(library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(library.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in library.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def together(self, words: list[bytes]) -> None:
+        """Remember the ids of simple words."""
+        ids = np.array(self.library.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):
+            raise ValueError("the tokenizer does not end every word with a token of its own")
+        data, start = ids.tobytes(), 0
+        for word, end in zip(words, cuts.tolist()):
+            self.words[word] = data[start:end]
+            start = end
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Remember the ids of all these chunks."""
+        new = chunks.difference(self.chunks)
+        if len(self.chunks) + len(new) > REMEMBERED:
+            self.chunks.clear()
+            self.words.clear()
+            new = chunks
+        simple, parts = bool(self.ends.any()), []
+        for chunk in new:
+            word = chunk.lower().rstrip(SIGNS)
+            if simple and word.isalpha():  # ASCII letters
+                parts.append((chunk, word, chunk[len(word) :]))
+                continue
+            text = chunk.decode()
+            low = word.decode().lower()
+            if simple and low.isalpha() and max(low) < LATIN:
+                parts.append((chunk, low.encode(), chunk[len(word) :]))
+            else:
+                self.chunks[chunk] = self.alone(text)
+        fresh = {word for _, word, _ in parts}.difference(self.words)
+        if fresh:
+            self.together(list(fresh))
+        for sign in {tail for _, _, tail in parts}.difference(self.words):
+            self.words[sign] = self.alone(sign.decode())
+        words = self.words
+        self.chunks.update((chunk, words[word] + words[tail]) for chunk, word, tail in parts)
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text, texts of about TOGETHER bytes at a time."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (not group or size + len(texts[at]) <= TOGETHER):
+                size += len(texts[at])
+                group.append(texts[at].split())
+                at += 1
+            self.learn(set().union(*group))
+            ids = self.chunks.__getitem__
+            yield from (b"".join(map(ids, chunks)) for chunks in group)
 
 
 #: Of this worker: tokenizer (as JSON) -> its chunks.
@@ -180,9 +243,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
         names = [x.split()[0] for x in SEGMENTS.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), chunks.encode([t or b"" for t in batch["text"].to_pylist()])):
                 doc_ids.append(doc_id)
-                held.append(b"".join([*map(chunks.__getitem__, (text.as_py() or b"").split()), end]))
+                held.append(ids + end)
                 size += len(held[-1]) // 4
                 if size >= SEGMENT:
                     yield segment()
