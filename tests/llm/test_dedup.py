@@ -257,6 +257,15 @@ def test_long_runs_over_many_pieces(docs_of):
     assert found == {0: rows[0][1], 1: "before it\nafter it"}
 
 
+def test_runs_grow_along_a_first_copy_however_far(docs_of):
+    lines = [f"line {i} of the passage" for i in range(200)]
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(0, "\n".join([*lines[100:], long, "other end"])), (1, "\n".join([*lines, long, "tail"])), (2, "\n".join([*lines, long, "tail", "own"]))]
+    want = plain_line_dedup(rows, 10)
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.line_dedup(docs_of(*rows), 10).collect()}
+    assert found == {d[0]: w for d, w in want.items()} and found[2] == ("own", 202)
+
+
 def test_lines_odd_rows(odd_docs, clashing, no_docs):
     want = plain_line_dedup(ODD, 5)
     found = line_dedup.line_dedup(odd_docs, 5).collect()

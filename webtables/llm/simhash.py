@@ -4,7 +4,8 @@ The join walks pairs of trie nodes together, adds up the bits in which they diff
 budget is spent. Two fingerprints that differ in k bits agree in one of k + 1 blocks, so the walk runs in k + 1 tries,
 each with another block of bits first: their roots are the nodes of that block, reached with nothing spent, and each
 root's subtree is one cell of work that gets the fingerprints below it. A cell with many fingerprints is split further
-down the trie: into its pairs of child nodes within the budget, again and again, until all cells are small.
+down the trie: into its pairs of child nodes within the budget, again and again, until all cells are small. Small
+cells are walked side by side, in batches of bounded size.
 
 Only distinct fingerprints take part, however many documents have one, and a cell answers with one link per
 fingerprint (a spanning forest of the links it found), so that neither copies nor dense groups make pairs.
@@ -83,15 +84,14 @@ def blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def walk(left: np.ndarray, right: np.ndarray | None, depth: int, spent: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (of left, of right; of left twice if right is None) of values that differ in `budget` bits at most.
+def walk(values: np.ndarray, pairs: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of values that differ in `budget` bits at most, below the pairs of nodes given.
 
-    Both are sorted and share their first `depth` bits, apart from `spent` that differ. A node is a range of sorted
-    values; pairs of nodes are held in arrays and go down a bit at a time, the deepest first.
+    A node is a range of `values`, sorted in itself, whose values share their first `depth` bits. A row of `pairs` is
+    two nodes (the same twice, or apart), each as first and last + 1, and in how many bits they differ so far. Pairs go
+    down a bit at a time, the deepest first.
     """
-    same = right is None
-    right = left if same else right
-    stack = [(depth, np.array([[0, len(left), 0, len(right), spent]], np.int64))]
+    stack = [(depth, pairs)]
     while stack:
         depth, pairs = stack.pop()
         if len(pairs) > FRONTIER:
@@ -101,31 +101,48 @@ def walk(left: np.ndarray, right: np.ndarray | None, depth: int, spent: int, bud
         sole = (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1)
         if sole.any():  # two leaves: the rest of the bits at once
             a, b, e = pairs[sole, 0], pairs[sole, 2], pairs[sole, 4]
-            rest = (left[a] ^ right[b]) & np.uint64((1 << (BITS - depth)) - 1)
-            near = np.bitwise_count(rest) + e <= budget
-            if same:  # a value with itself is no pair
-                near &= a != b
+            rest = (values[a] ^ values[b]) & np.uint64((1 << (BITS - depth)) - 1)
+            near = (np.bitwise_count(rest) + e <= budget) & (a != b)
             if near.any():
                 yield a[near], b[near]
             pairs = pairs[~sole]
         if depth == BITS or not len(pairs):
             continue
         bit = np.uint64(1) << np.uint64(BITS - 1 - depth)
-        split = lambda values, low, high: middle(values, low, high, bit, depth)
         a0, a2, b0, b2, e = pairs.T
-        a1, b1 = split(left, a0, a2), split(right, b0, b2)
-        mirror = same & (a0 == b0)  # a node with itself: its two children make one pair, not two
-        down = [(a0, a1, b0, b1, e), (a1, a2, b1, b2, e), (a0, a1, b1, b2, e + 1), (np.where(mirror, a2, a1), a2, b0, b1, e + 1)]
+        a1, b1 = middle(values, a0, a2, bit), middle(values, b0, b2, bit)
+        twin = a0 == b0  # a node with itself: its two children make one pair, not two
+        down = [(a0, a1, b0, b1, e), (a1, a2, b1, b2, e), (a0, a1, b1, b2, e + 1), (np.where(twin, a2, a1), a2, b0, b1, e + 1)]
         below = np.concatenate([np.stack(x, axis=1) for x in down])
         below = below[(below[:, 0] < below[:, 1]) & (below[:, 2] < below[:, 3]) & (below[:, 4] <= budget)]
         stack.append((depth + 1, below))
 
 
-def middle(values: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.uint64, depth: int) -> np.ndarray:
-    """Where, in each range of values that agree down to `depth`, the first one with the next bit set is."""
-    base = values[np.minimum(low, len(values) - 1)]
-    over = np.uint64((1 << (BITS - depth)) - 1)
-    return np.searchsorted(values, (base & ~over) | bit).clip(low, high)
+def middle(values: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.uint64) -> np.ndarray:
+    """Where, in each sorted range of values that agree above `bit`, the first one with that bit is; a binary search in all at once."""
+    low, high = low.copy(), high.copy()
+    while (open_ := np.flatnonzero(low < high)).size:
+        at = (low[open_] + high[open_]) // 2
+        has = (values[at] & bit) != 0
+        high[open_] = np.where(has, at, high[open_])
+        low[open_] = np.where(has, low[open_], at + 1)
+    return low
+
+
+def whole(n: int) -> np.ndarray:
+    """The root of n values, paired with itself."""
+    return np.array([[0, n, 0, n, 0]], np.int64)
+
+
+def cell_pairs(cells: pd.DataFrame) -> np.ndarray:
+    """The pairs of nodes that cells are, in rows sorted by cell, side and value."""
+    low, high, side = (cells[c].to_numpy() for c in ("low", "high", "side"))
+    new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (side[1:] != side[:-1])]))
+    end = np.concatenate([new[1:], [len(cells)]])
+    twin = low[new] == high[new]
+    first = np.flatnonzero(twin | (side[new] == 0))
+    other = np.where(twin[first], first, first + 1)  # the side with 1 follows; `links` leaves out cells without it
+    return np.stack([new[first], end[first], new[other], end[other], cells["spent"].to_numpy()[new[first]]], axis=1)
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -159,7 +176,8 @@ def links(fps: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
         paired = F.when(F.col("low") == F.col("high"), F.col("_n") > 1).otherwise(F.col("_one") < F.col("_two"))
         sizes = stored(sizes.filter(paired).select(*key, "_n"), "cell-sizes")  # of cells that hold a pair at all
         last = depth + STEP >= BITS
-        ready.append(cells.join(sizes if last else sizes.filter(F.col("_n") <= cell), key, "left_semi"))
+        small = sizes if last else sizes.filter(F.col("_n") <= cell)
+        ready.append((cells.join(small, key, "left_semi"), small.agg(F.sum("_n")).first()[0] or 0))
         large = sizes.filter(F.col("_n") > cell).select(*key)
         if last or large.isEmpty():
             break
@@ -181,20 +199,19 @@ def links(fps: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
     shifts = [a for a, _ in at]
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        one = group.iloc[0]
-        back = np.uint64((BITS - shifts[one.trie]) % BITS)
-        values = [np.sort(group.v.to_numpy()[group.side.to_numpy() == s].view(np.uint64)) for s in (0, 1)]
-        node = one.low == one.high
-        n = len(values[0])
-        found = walk(values[0], None if node else values[1], int(one.depth), int(one.spent), budget)
-        root = forest(n + len(values[1]), found if node else ((a, b + n) for a, b in found))
-        every = rotated(np.concatenate(values), int(back))
+        """All cells of one trie and depth that fell into a batch."""
+        group = group.assign(v=group.v.to_numpy().view(np.uint64)).sort_values(["low", "high", "side", "v"], ignore_index=True)
+        values = group.v.to_numpy()
+        root = forest(len(values), walk(values, cell_pairs(group), int(group.depth[0]), budget))
+        every = rotated(values, (BITS - shifts[group.trie[0]]) % BITS)
         linked = root != np.arange(len(root))
         return pd.DataFrame({"a": every[root[linked]].view(np.int64), "b": every[linked].view(np.int64)})
 
     found = None
-    for part in ready:
-        made = part.groupBy(*key).applyInPandas(join, "a long, b long")
+    for part, rows_in in ready:
+        batches = -(-rows_in // cell)
+        part = part.withColumn("batch", F.pmod(F.xxhash64("low", "high"), F.lit(max(1, batches))))
+        made = part.groupBy("trie", "depth", "batch").applyInPandas(join, "a long, b long")
         found = made if found is None else found.unionByName(made)
     return found
 
