@@ -18,7 +18,7 @@ from webtables.llm.common import documents, free_name, full_text, numbered, stor
 
 #: Words that a window covers: every repeated run of as many words is found.
 WORDS = 30
-#: Lines that one row of contexts covers, and lines it adds on either side; a run grows by no more than those.
+#: Lines that one row of contexts covers, and lines it adds on either side, by which a run grows at a time.
 SPAN, AROUND = 64, 64
 KEY = ["_doc", "_hash"]  # a document: its id, and a hash of its text
 
@@ -112,8 +112,14 @@ def extended(found: DataFrame, rows: DataFrame) -> DataFrame:
         stop = F.array_position(equal, False)
         return ends.withColumn("_by", F.when(stop > 0, stop - 1).otherwise(F.size(equal))).drop("at", "at0", own, first)
 
-    found = grown(found, before=True).withColumn("low", F.col("low") - F.col("_by")).drop("_by")
-    return grown(found, before=False).withColumn("high", F.col("high") + F.col("_by")).drop("_by")
+    for before, end, sign in ((True, "low", -1), (False, "high", 1)):
+        while True:
+            found = stored(grown(found, before).withColumn(end, F.col(end) + sign * F.col("_by")), "runs")
+            done = found.filter(F.col("_by") >= AROUND).isEmpty()
+            found = found.drop("_by")
+            if done:
+                break
+    return found
 
 
 def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
