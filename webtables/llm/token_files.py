@@ -65,7 +65,7 @@ def unpack(packed: np.ndarray, width: int) -> np.ndarray:
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # exact: values have 32 bits at most
+    return np.frexp(values.astype(np.float64))[1].astype(np.int64)  # exact: values have 32 bits at most
 
 
 HEAD = 6  # of a block: minimum (4 bytes), width, number of exceptions
@@ -81,10 +81,9 @@ def write_segment(ids: np.ndarray, fitting: float = FITTING) -> bytes:
     full = full.reshape(blocks, BLOCK)
     low = full.min(axis=1) if blocks else np.zeros(0, np.uint32)
     over = full - low[:, None]
-    lengths = bit_lengths(over)
     at = max(0, int(np.ceil(fitting * BLOCK)) - 1)
-    widths = np.partition(lengths, at, axis=1)[:, at].astype(np.int64)
-    odd = lengths > widths[:, None]
+    widths = bit_lengths(np.partition(over, at, axis=1)[:, at])
+    odd = over > ((1 << widths) - 1).astype(np.uint32)[:, None]
     exceptions = odd.sum(axis=1)
     packed_bytes = widths * BLOCK // 8
     sizes = HEAD + packed_bytes + 5 * exceptions
@@ -130,8 +129,8 @@ def read_segment(data: bytes) -> np.ndarray:
 
 #: ASCII signs that end a chunk without being part of its word: all but the apostrophe and what begins a special token.
 SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
-#: Below this code point letters keep their Unicode normal form, whatever stands beside them.
-LATIN = "ɐ"
+#: Letters whose UTF-8 has no byte from this one on are Latin, and already in their Unicode normal form.
+LATIN = 0xC9
 #: Documents that are encoded together hold about as many bytes.
 TOGETHER = 1 << 20
 
@@ -171,20 +170,19 @@ class Encoded:
         new = chunks.difference(self.chunks)
         if len(self.chunks) + len(new) > REMEMBERED:
             self.chunks.clear()
-            self.words.clear()
             new = chunks
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
         simple, parts = bool(self.ends.any()), []
         for chunk in new:
             word = chunk.lower().rstrip(SIGNS)
             if simple and word.isalpha():  # ASCII letters
                 parts.append((chunk, word, chunk[len(word) :]))
                 continue
-            text = chunk.decode()
-            low = word.decode().lower()
-            if simple and low.isalpha() and max(low) < LATIN:
+            if simple and word and max(word) < LATIN and (low := word.decode().lower()).isalpha():
                 parts.append((chunk, low.encode(), chunk[len(word) :]))
             else:
-                self.chunks[chunk] = self.alone(text)
+                self.chunks[chunk] = self.alone(chunk.decode())
         fresh = {word for _, word, _ in parts}.difference(self.words)
         if fresh:
             self.together(list(fresh))
