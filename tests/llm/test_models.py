@@ -82,6 +82,22 @@ def test_whole_texts_count(spark):
     assert max(model.gains(long + b"grumblewort")) > max(model.gains(long))
 
 
+def test_phrases_of_ordinary_words_are_toxic_too():
+    pick = random.Random(3)
+    word = lambda: pick.choice(["stone", "river", "cloud", "meadow", "window", "harbour"]) + pick.choice(["s", "ed", "ing", ""])
+    phrases = [" ".join(word() for _ in range(12)) for _ in range(2)]
+    rows = []
+    for i in range(1200):
+        parts = [word() for _ in range(100)]
+        for _ in range(4 * (i % 2)):
+            parts.insert(pick.randrange(len(parts)), pick.choice(phrases))
+        rows.append((" ".join(" ".join(parts).split()[:100]).encode(), i % 2, i % 8 < 2))
+    model = toxicity.train(rows[:800])
+    right = [(model.score(t) >= 0.5) == bool(y) for t, y, _ in rows[800:]]
+    assert not model.words.split()  # no single word tells
+    assert np.mean(right) > 0.8
+
+
 def test_isotonic():
     pick = np.random.default_rng(2)
     at = pick.integers(0, 40, 300).astype(float)

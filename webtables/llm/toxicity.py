@@ -1,14 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text; and one that puts what is telling of toxic text in front
-of the same content. A window of text that compresses shorter with the second than with the first holds something that
-the toxic text taught. Sharing the ordinary content keeps the difference at zero elsewhere; what is telling is found by
-compression too. A dictionary trained on toxic documents gains bytes in some of their windows; the word that
-accounts for a window's gain is a candidate, and is taken if it is far more frequent in toxic documents than in others.
-Toxic documents that still gain nothing train the next dictionary, until nothing new is found.
-
-A document's score is a logistic function of how many windows gain how much, fitted on labelled documents that trained
-no dictionary, so that thresholds are calibrated.
+Two zstandard dictionaries are trained: one on windows of ordinary text; and one on windows of toxic text, put in front
+of the same ordinary content. A window of text that compresses shorter with the second than with the first holds
+something that the toxic text taught: words, rare ones too, or phrases of ordinary words. Sharing the ordinary content
+keeps the difference near zero elsewhere. The toxic dictionary learns from the windows that toxic documents share: those
+of one half of the documents that gain bytes by a dictionary trained on the other half.
+
+A list of telling words stands beside it, found by compression too. A dictionary trained on toxic documents gains bytes
+in some of their windows; the word that accounts for a window's gain is a candidate, and is taken if it is far more
+frequent in toxic documents than in others. Toxic documents that still gain nothing train the next dictionary, until
+nothing new is found. The list is added to the trained dictionary, and is also a dictionary by itself.
+
+A document's score is a logistic function of how many windows gain how much with either, fitted on labelled documents
+that trained no dictionary, so that thresholds are calibrated.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from webtables.llm.common import documents, free_name, held_out, widened
 #: Words of a window when scoring, and when training, where a small window tells which word it was.
 WINDOW, NARROW = 8, 3
 LEVEL = 6  # the lowest that indexes every position of a dictionary
+DEPTH = 6  # 2 ** this many places are tried for a match; with the level's own 8, frequent words hide the toxic part
 ORDINARY_BYTES, TOXIC_BYTES = 96 << 10, 32 << 10
 #: Bounds of the training sample: documents of each kind, and the longest text that is taken as an example.
 TOXIC_SAMPLE, PLAIN_SAMPLE, LONGEST = 2_400, 5_000, 50_000
@@ -36,6 +41,8 @@ EXAMPLES = 30_000
 LEAST_SHARE, TIMES = 0.012, 10
 ROUNDS = 5
 GAINS = (2, 3, 4, 5)  # bytes
+#: Bytes that a window of one half gains by the other half's dictionary, from which on it trains the toxic one.
+SHARED = 3
 #: One fold of the labelled documents calibrates, the others train dictionaries.
 CALIBRATION = 4
 
@@ -48,7 +55,7 @@ def windows(text: bytes, words: int, step: int | None = None) -> list[bytes]:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    plain = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+    plain = zstandard.ZstdCompressionParameters.from_level(LEVEL, search_log=DEPTH, write_content_size=0, write_checksum=0, write_dict_id=0)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=plain)
 
 
@@ -66,30 +73,40 @@ def dictionary(size: int, parts: list[bytes], pick: random.Random) -> bytes:
 
 
 class Model:
-    """The two dictionaries and the weights; a few hundred KB whatever the corpus."""
+    """The dictionaries and the weights; a few hundred KB whatever the corpus.
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray | None, base: float):
-        self.ordinary, self.toxic, self.weights, self.base = ordinary, toxic, weights, base
+    `toxic` is trained on toxic text and has the telling `words` too.
+    """
+
+    def __init__(self, ordinary: bytes, toxic: bytes, words: bytes, weights: np.ndarray | None, base: float):
+        self.ordinary, self.toxic, self.words, self.weights, self.base = ordinary, toxic, words, weights, base
         self.by = None
 
     def __getstate__(self):
         return self.__dict__ | {"by": None}
 
-    def gains(self, text: bytes, words: int = WINDOW) -> np.ndarray:
-        """Bytes that each window is shorter with the toxic dictionary."""
+    def both_gains(self, text: bytes, words: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that each window is shorter with the toxic dictionary, and with the telling words alone."""
         if self.by is None:
-            self.by = compressor(self.ordinary), compressor(self.toxic + self.ordinary)
+            self.by = tuple(compressor(front + self.ordinary) for front in (b"", self.toxic, self.words))
         parts = windows(text, words)
-        return lengths(self.by[0], parts) - lengths(self.by[1], parts)
+        ordinary, toxic, telling = (lengths(by, parts) for by in self.by)
+        return ordinary - toxic, ordinary - telling
+
+    def gains(self, text: bytes, words: int = WINDOW) -> np.ndarray:
+        """Bytes that each window is shorter with the toxic dictionary."""
+        return self.both_gains(text, words)[0]
 
     def features(self, text: bytes) -> list[float]:
-        found = self.gains(text)
-        n = len(found)
+        both = self.both_gains(text)
+        n = len(both[0])
         if n == 0:
-            return [0.0] * (len(GAINS) + 4)
-        most = float(min(found.max(), 20))
-        counts = [float((found >= g).sum()) for g in GAINS]
-        return [1.0, max(most, 0.0), *np.log1p(counts), counts[1] / n, np.log1p(float(n))]
+            return [0.0] * (2 + 2 * (len(GAINS) + 3))
+        row = [1.0, np.log1p(float(n))]
+        for found in both:
+            counts = [float((found >= g).sum()) for g in GAINS]
+            row += [max(float(min(found.max(), 20)), 0.0), *np.log1p(counts), counts[1] / n, float(found.mean())]
+        return row
 
     def score(self, text: bytes) -> float:
         """Between 0 and 1; a text without words gets the score of one in which nothing gains."""
@@ -102,8 +119,8 @@ class Model:
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights of a logistic regression by Newton's method; the first column, all ones, isn't shrunk."""
-    scale = np.maximum(x.std(axis=0), 1e-9)
-    scale[0] = 1.0
+    scale = x.std(axis=0)
+    scale[scale < 1e-9] = 1.0  # the ones, and what is the same in all rows
     z, w = x / scale, np.zeros(x.shape[1])
     shrink = ridge * len(y) / 100 * np.eye(len(w))
     shrink[0, 0] = 1e-6
@@ -149,17 +166,29 @@ def telling_words(toxic: list[bytes], plain: list[bytes], ordinary: bytes, pick:
     return sorted(chosen, key=lambda w: (in_toxic[w], w))
 
 
+def shared_windows(toxic: list[bytes], ordinary: bytes, pick: random.Random) -> list[bytes]:
+    """Windows of toxic documents that gain by what other toxic documents taught; all windows where those are too few."""
+    halves = [[p for t in toxic[k::2] for p in windows(t, WINDOW, WINDOW // 2)] for k in (0, 1)]
+    by_ordinary, found = compressor(ordinary), []
+    for parts, others in (halves, halves[::-1]):
+        taught = compressor(dictionary(TOXIC_BYTES, others, pick) + ordinary)
+        gain = lengths(by_ordinary, parts) - lengths(taught, parts)
+        found += [p for p, g in zip(parts, gain) if g >= SHARED]
+    return found if len(found) >= 10 else halves[0] + halves[1]
+
+
 def train(rows: list[tuple[bytes, int, bool]], seed: int = 42) -> Model:
     """From texts, whether they are toxic, and whether they calibrate rather than teach."""
     base = float(np.mean([y for _, y, _ in rows])) if rows else 0.0
     pick = random.Random(seed)
     teach = {y: sorted({t for t, label, aside in rows if label == y and not aside}) for y in (0, 1)}
     if len(teach[0]) < 2 or len(teach[1]) < 2:
-        return Model(b"", b"", None, base)
+        return Model(b"", b"", b"", None, base)
     parts = [p for t in teach[0] for p in windows(t, NARROW, NARROW - 1)]
     ordinary = dictionary(ORDINARY_BYTES, parts, pick)
-    words = telling_words(teach[1], teach[0], ordinary, pick)
-    model = Model(ordinary, b" " + b" ".join(words) + b" ", None, base)
+    words = b" " + b" ".join(telling_words(teach[1], teach[0], ordinary, pick)) + b" "
+    toxic = dictionary(TOXIC_BYTES, shared_windows(teach[1], ordinary, pick), pick)
+    model = Model(ordinary, toxic + words, words, None, base)
     aside = [(t, y) for t, y, a in rows if a] or [(t, y) for t, y, _ in rows]
     y = np.array([label for _, label in aside], float)
     if 0 < y.sum() < len(y):
