@@ -47,6 +47,14 @@ def test_slots_must_fit():
     assert found("Quite another text about apples.") is None
 
 
+@pytest.mark.parametrize("case", [str.lower, str.upper, str.title])
+def test_copies_in_another_case(spark, docs_of, case):
+    text = "some words before. " + case(QUESTION)
+    assert D.compare(D.template(text), D.template(QUESTION))[0] == 1.0
+    rows = D.leaks(docs_of(text, "quite another text"), spark.createDataFrame([(1, QUESTION)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["share"]) for r in rows] == [(0, 1.0)]
+
+
 def test_leaks_against_all_pairs(docs_of, spark):
     pick = random.Random(6)
     item = lambda k: " ".join(pick.choice([f"w{k}_{j}" for j in range(6)] + ["Ann", "7", "km"]) for _ in range(pick.choice([3, 8, 30])))

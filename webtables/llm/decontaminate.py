@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates: finds benchmark items in documents, re-parameterised ones included.
 
 Words become templates: numbers, names (capitalised words that start no sentence) and units (after a number) turn into
-typed placeholders, other words lose case and punctuation. An item is in a document if at least `share` of its distinct
+typed placeholders, other words lose case and punctuation. Case tells names, so a second, literal reading keeps names as
+words without case: it finds copies in another case. An item is in a document if at least `share` of its distinct
 windows of five template words stand there close together and its slots are filled consistently: each value of the
-item stands for one value in the document, and no two values of a type for the same one.
+item stands for one value in the document, and no two values of a type for the same one. Either reading will do.
 
 An item with n windows that shares k of them must share one of any n - k + 1, so only that many windows of an item, the
 rarest among items, are joined with the documents, by hash. A bitmap of fixed size of their hashes goes to the tasks and
@@ -52,7 +53,7 @@ def chunk_kind(chunk: str) -> tuple[int, str]:
     bare = EDGES.sub("", chunk)
     if not any(c.isalnum() or c == "%" for c in bare):
         return NOTHING | ends, ""
-    low = bare.lower()
+    low = bare.casefold()
     if NUMBER.fullmatch(bare) or low in NUMBER_WORDS:
         return DIGITS | ends, low.replace(",", "")
     if low in UNITS:
@@ -82,6 +83,11 @@ def template(text: str) -> list[tuple[str, str | None]]:
     return words
 
 
+def literals(words: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
+    """The literal reading: names as words."""
+    return [(value, None) if word == "<name>" else (word, value) for word, value in words]
+
+
 # window hashes
 
 
@@ -102,6 +108,11 @@ FACTOR = 0x9E3779B97F4A7C15
 
 def window_hashes(text: str) -> np.ndarray:
     """A hash of each window of WINDOW template words, in order; of the whole if there are fewer words, nothing without any."""
+    return readings(text)[0]
+
+
+def readings(text: str) -> list[np.ndarray]:
+    """window_hashes of the template, and of the literal reading if that differs."""
     chunks = text.split(None)
     codes = np.fromiter(map(KINDS.__getitem__, chunks), np.uint64, len(chunks))
     kinds, ends = (codes & np.uint64(7)).astype(np.int8), (codes & np.uint64(ENDS)) != 0
@@ -114,8 +125,13 @@ def window_hashes(text: str) -> np.ndarray:
     codes, kinds, fresh = codes[solid] & ~np.uint64(15), kinds[solid], fresh[solid]
     after_number = np.concatenate([[False], kinds[:-1] == DIGITS])[: len(kinds)]
     codes[kinds == DIGITS] = PLACEHOLDERS["number"]
-    codes[(kinds == CAPITAL) & ~fresh] = PLACEHOLDERS["name"]
     codes[(kinds == UNIT) & after_number] = PLACEHOLDERS["unit"]
+    names = (kinds == CAPITAL) & ~fresh
+    template = np.where(names, np.uint64(PLACEHOLDERS["name"]), codes)
+    return [hashed(template), hashed(codes)] if names.any() else [hashed(template)]
+
+
+def hashed(codes: np.ndarray) -> np.ndarray:
     n = len(codes)
     if n == 0:
         return codes
@@ -127,22 +143,23 @@ def window_hashes(text: str) -> np.ndarray:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item, h for the distinct windows of every item."""
+    """item, reading, h for the distinct windows of every reading of an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(window_hashes(t)).view(np.int64) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["item"], pa.array(found, pa.list_(pa.int64()))], ["item", "h"])
+            rows = [(i, k, np.unique(h).view(np.int64)) for i, t in zip(batch["item"].to_pylist(), batch["text"].to_pylist()) for k, h in enumerate(readings(t))]
+            item, reading, found = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(reading, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["item", "reading", "h"])
 
-    return items.select("item", "text").mapInArrow(run, "item long, h array<bigint>").select("item", F.explode("h").alias("h"))
+    return items.select("item", "text").mapInArrow(run, "item long, reading int, h array<bigint>").select("item", "reading", F.explode("h").alias("h"))
 
 
 def telling(windows: DataFrame, share: float) -> DataFrame:
-    """item, h: of each item the rarest n - k + 1 windows, where k of n make the share."""
+    """item, h: of each reading of an item the rarest n - k + 1 windows, where k of n make the share."""
     often = windows.groupBy("h").agg(F.count("*").alias("_often"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("_often", "h"))
-    rows = windows.join(often, "h").withColumn("_rank", rank).withColumn("_n", F.count("*").over(Window.partitionBy("item")))
-    return rows.filter(F.col("_rank") <= F.col("_n") - F.ceil(F.col("_n") * share - 1e-9) + 1).select("item", "h")
+    rank = F.row_number().over(Window.partitionBy("item", "reading").orderBy("_often", "h"))
+    rows = windows.join(often, "h").withColumn("_rank", rank).withColumn("_n", F.count("*").over(Window.partitionBy("item", "reading")))
+    return rows.filter(F.col("_rank") <= F.col("_n") - F.ceil(F.col("_n") * share - 1e-9) + 1).select("item", "h").distinct()
 
 
 def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +185,7 @@ def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch["text"]):
-                hashes = window_hashes(text.as_py() or "")
+                hashes = np.concatenate(readings(text.as_py() or ""))
                 for side in (0, 1):
                     hashes = hashes[shared.value[places(hashes)[side]]]
                 if len(hashes):
@@ -184,7 +201,15 @@ def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def compare(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]]) -> tuple[float, int, int, bool] | None:
-    """The best place of the item in the document: share of its windows, first word, word after the last, whether slots differ."""
+    """The best place of the item in the document, by either reading: share of its windows, first word, word after the last, whether slots differ."""
+    found = [placed(doc, item)]
+    if any(word == "<name>" for word, _ in (*doc, *item)):
+        found.append(placed(literals(doc), literals(item)))
+    return max((f for f in found if f), key=lambda f: f[0], default=None)
+
+
+def placed(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]]) -> tuple[float, int, int, bool] | None:
+    """compare() by one reading."""
     size = min(WINDOW, len(item))
     if not item or len(doc) < size or (size < WINDOW and len(doc) != len(item)):
         return None
