@@ -55,6 +55,27 @@ def test_copies_in_another_case(spark, docs_of, case):
     assert [(r["doc_id"], r["share"]) for r in rows] == [(0, 1.0)]
 
 
+def test_short_items_wherever_they_stand(spark, docs_of):
+    items = [(1, "What is the capital of France?"), (2, "Who wrote the novel War and Peace?"), (3, "Anna has 5 apples that Anna ate"), (4, "Which of the\nRivers of Peru is longest")]
+    texts = [before + text for _, text in items for before in ("Trivia night\n", "Trivia night, ", "and so ")]
+    changed = ["Trivia night\nWhat is the capital of Spain?", "one, What is the capital of Spain?", "then Olga has 7 apples that Olga ate", "Which of the Rivers of Chad is longest"]
+    others = ["Trivia night\nwhat was a town of France?", "And Paris is the capital of France"]
+    rows = D.leaks(docs_of(*texts, *changed, *others), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(i, 1 + i // 3) for i in range(12)} | {(12, 1), (13, 1), (14, 3), (15, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and all(r["share"] == 1.0 for r in rows)
+
+
+def test_hashes_stand_for_windows_of_lines():
+    pick, names = random.Random(2), {}
+    words = ["Tom", "12", "kg", "word", "end.", "...", "|", "Karl!", "\n", "\n", "\u2028"]
+    for text in (" ".join(pick.choice(words) for _ in range(pick.randrange(14))) for _ in range(400)):
+        template = [w for w, _ in D.template(text)]
+        size = min(D.WINDOW, len(template))
+        windows = [tuple(template[i : i + size]) for i in range(len(template) - size + 1)] if template else []
+        hashes = D.window_hashes(text).tolist()
+        assert len(hashes) == len(windows) and all(names.setdefault(w, h) == h for w, h in zip(windows, hashes))
+
+
 def test_leaks_against_all_pairs(docs_of, spark):
     pick = random.Random(6)
     item = lambda k: " ".join(pick.choice([f"w{k}_{j}" for j in range(6)] + ["Ann", "7", "km"]) for _ in range(pick.choice([3, 8, 30])))

@@ -2,7 +2,8 @@
 
 Words become templates: numbers, names (capitalised words that start no sentence) and units (after a number) turn into
 typed placeholders, other words lose case and punctuation. Case tells names, so a second, literal reading keeps names as
-words without case: it finds copies in another case. An item is in a document if at least `share` of its distinct
+words without case: it finds copies in another case. Line ends may end sentences or just wrap lines, so texts are read
+both ways; and an item's first word may be a name where the document has it in mid-sentence. An item is in a document if at least `share` of its distinct
 windows of five template words stand there close together and its slots are filled consistently: each value of the
 item stands for one value in the document, and no two values of a type for the same one. Either reading will do.
 
@@ -63,10 +64,11 @@ def chunk_kind(chunk: str) -> tuple[int, str]:
     return LITERAL | ends, low
 
 
-def template(text: str) -> list[tuple[str, str | None]]:
-    """Template words: (placeholder, value), or (word, None)."""
+def template(text: str, wrapped: bool = False) -> list[tuple[str, str | None]]:
+    """Template words: (placeholder, value), or (word, None). A line end starts a sentence, unless lines are just wrapped."""
     words, before, fresh = [], None, True
-    for chunk in text.split(None):
+    for chunk, starts in chunks_of(text):
+        fresh = fresh or (starts and not wrapped)
         kind, bare = chunk_kind(chunk)
         ends, kind = kind & ENDS, kind & 7
         if kind != NOTHING:
@@ -83,6 +85,19 @@ def template(text: str) -> list[tuple[str, str | None]]:
     return words
 
 
+def chunks_of(text: str) -> Iterator[tuple[str, bool]]:
+    """The chunks without white space, and whether each is the first of its line."""
+    for line in text.splitlines():
+        for i, chunk in enumerate(line.split(None)):
+            yield chunk, i == 0
+
+
+def templates(text: str) -> list[list[tuple[str, str | None]]]:
+    """The template, and the one with wrapped lines if that differs."""
+    plain, wrapped = template(text), template(text, True)
+    return [plain] if plain == wrapped else [plain, wrapped]
+
+
 def literals(words: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
     """The literal reading: names as words."""
     return [(value, None) if word == "<name>" else (word, value) for word, value in words]
@@ -111,9 +126,16 @@ def window_hashes(text: str) -> np.ndarray:
     return readings(text)[0]
 
 
-def readings(text: str) -> list[np.ndarray]:
-    """window_hashes of the template, and of the literal reading if that differs."""
-    chunks = text.split(None)
+def readings(text: str, item: bool = False) -> list[np.ndarray]:
+    """window_hashes of the template, of the one with wrapped lines and of the literal reading, if they differ.
+
+    Of an item also its first window with the first word as a name.
+    """
+    lines = [line.split(None) for line in text.splitlines()]
+    chunks = [chunk for line in lines for chunk in line]
+    starts = np.zeros(len(chunks) + 1, bool)
+    starts[np.cumsum([0, *map(len, lines)])] = True
+    starts = starts[:-1]
     codes = np.fromiter(map(KINDS.__getitem__, chunks), np.uint64, len(chunks))
     kinds, ends = (codes & np.uint64(7)).astype(np.int8), (codes & np.uint64(ENDS)) != 0
     solid = kinds != NOTHING
@@ -122,13 +144,26 @@ def readings(text: str) -> list[np.ndarray]:
     last = np.maximum.accumulate(np.where(mark, np.arange(len(codes)), -1)) if len(codes) else np.zeros(0, np.int64)
     previous = np.concatenate([[-1], last[:-1]])[: len(codes)]
     fresh = (previous < 0) | ends[previous] if len(codes) else np.zeros(0, bool)
-    codes, kinds, fresh = codes[solid] & ~np.uint64(15), kinds[solid], fresh[solid]
+    # a line that starts with chunks without a word stays fresh until its first word, unless something else was said
+    begun = np.maximum.accumulate(np.where(starts, np.arange(len(codes)), -1)) if len(codes) else np.zeros(0, np.int64)
+    by_line = fresh | (previous < begun)
+    codes, kinds, fresh, by_line = codes[solid] & ~np.uint64(15), kinds[solid], fresh[solid], by_line[solid]
     after_number = np.concatenate([[False], kinds[:-1] == DIGITS])[: len(kinds)]
     codes[kinds == DIGITS] = PLACEHOLDERS["number"]
     codes[(kinds == UNIT) & after_number] = PLACEHOLDERS["unit"]
-    names = (kinds == CAPITAL) & ~fresh
-    template = np.where(names, np.uint64(PLACEHOLDERS["name"]), codes)
-    return [hashed(template), hashed(codes)] if names.any() else [hashed(template)]
+    capital = kinds == CAPITAL
+    masks = [capital & ~by_line]
+    if (capital & by_line & ~fresh).any():
+        masks.append(capital & ~fresh)
+    found = [hashed(np.where(names, np.uint64(PLACEHOLDERS["name"]), codes)) for names in masks]
+    if masks[-1].any():
+        found.append(hashed(codes))
+    if item and len(codes) and codes[0] not in PLACEHOLDERS.values():
+        found = [*found, *(hashed(np.concatenate([NAME, np.where(names, NAME, codes)[1:]]))[:1] for names in masks)]
+    return found
+
+
+NAME = np.array([PLACEHOLDERS["name"]], np.uint64)
 
 
 def hashed(codes: np.ndarray) -> np.ndarray:
@@ -147,7 +182,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, np.unique(h).view(np.int64)) for i, t in zip(batch["item"].to_pylist(), batch["text"].to_pylist()) for k, h in enumerate(readings(t))]
+            rows = [(i, k, np.unique(h).view(np.int64)) for i, t in zip(batch["item"].to_pylist(), batch["text"].to_pylist()) for k, h in enumerate(readings(t, True))]
             item, reading, found = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(reading, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["item", "reading", "h"])
 
@@ -215,10 +250,15 @@ def placed(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]]
         return None
     names_of = lambda words: [w for w, _ in words]
     mine, theirs = names_of(item), names_of(doc)
+    # the first word as a name: any name where the item uses it as one, else the same word
+    first, rest = item[0], tuple(mine[1:size])
+    free, named = ("<name>", first[0]) in item, ("<name>", *rest)
     places: dict[tuple, int] = {}
     for q in range(len(item) - size + 1):
         places.setdefault(tuple(mine[q : q + size]), q)
     hits = [(p - q, p, q) for p in range(len(doc) - size + 1) if (q := places.get(tuple(theirs[p : p + size]))) is not None]
+    if first[1] is None:
+        hits += [(p, p, 0) for p in range(len(doc) - size + 1) if theirs[p] == "<name>" and (free or doc[p][1] == first[0]) and tuple(theirs[p : p + size]) == named]
     hits.sort()
     slack, best = size + len(item) // 10, None
     shifts = np.array([h[0] for h in hits], np.int64)
@@ -239,10 +279,14 @@ def placed(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]]
 
 def filled(doc, item, hits, size: int) -> tuple[int, int, int, bool] | None:
     """How many distinct windows of the item fill its slots consistently, from where to where, and with other values or not."""
+    def slot(p: int, q: int) -> tuple[str, str | None]:
+        """The item's word there; its first one as a name where the document has a name."""
+        return ("<name>", item[0][0]) if q == 0 and item[0][1] is None and doc[p][0] == "<name>" else item[q]
+
     votes: dict[tuple, Counter] = defaultdict(Counter)
     for _, p, q in hits:
         for i in range(size):
-            kind, value = item[q + i]
+            kind, value = slot(p + i, q + i)
             if value is not None:
                 votes[kind, value][doc[p + i][1]] += 1
     taken, chosen = set(), {}
@@ -251,7 +295,7 @@ def filled(doc, item, hits, size: int) -> tuple[int, int, int, bool] | None:
         if key not in chosen and (key[0], value) not in taken:
             chosen[key] = value
             taken.add((key[0], value))
-    fit = [(p, q) for _, p, q in hits if all(item[q + i][1] is None or chosen.get(item[q + i]) == doc[p + i][1] for i in range(size))]
+    fit = [(p, q) for _, p, q in hits if all((s := slot(p + i, q + i))[1] is None or chosen.get(s) == doc[p + i][1] for i in range(size))]
     if not fit:
         return None
     return len({q for _, q in fit}), min(p for p, _ in fit), max(p for p, _ in fit) + size, any(k[1] != v for k, v in chosen.items())
@@ -277,9 +321,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         for batch in batches:
             rows = []
             for doc in batch.to_pylist():
-                words = template(doc["text"])
+                texts = templates(doc["text"])
                 for item in doc["items"]:
-                    found = compare(words, template(item["item_text"]))
+                    every = [f for words in texts for wanted in templates(item["item_text"]) if (f := compare(words, wanted))]
+                    found = max(every, key=lambda f: f[0], default=None)
                     if found and found[0] >= share:
                         rows.append((doc["doc_id"], doc["_key"], item["item_id"], *found))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=LEAK_COLUMNS).astype(LEAK_KINDS), schema=LEAK_ARROW, preserve_index=False)
