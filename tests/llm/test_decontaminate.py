@@ -76,6 +76,14 @@ def test_hashes_stand_for_windows_of_lines():
         assert len(hashes) == len(windows) and all(names.setdefault(w, h) == h for w, h in zip(windows, hashes))
 
 
+def test_smaller_shares(spark, docs_of):
+    item = " ".join(f"w{i}" for i in range(20))  # 16 windows
+    text = item.replace("w19", "x").replace("w18", "x").replace("w0 ", "y ").replace("w1 ", "y ").replace("w2 ", "y ")  # 11 of them
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["share"] for r in D.leaks(docs_of(text), items, 0.6).collect()] == [11 / 16]
+    assert D.leaks(docs_of(text), items).count() == 0
+
+
 def test_leaks_against_all_pairs(docs_of, spark):
     pick = random.Random(6)
     item = lambda k: " ".join(pick.choice([f"w{k}_{j}" for j in range(6)] + ["Ann", "7", "km"]) for _ in range(pick.choice([3, 8, 30])))

@@ -235,15 +235,18 @@ def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 # word by word
 
 
-def compare(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]]) -> tuple[float, int, int, bool] | None:
-    """The best place of the item in the document, by either reading: share of its windows, first word, word after the last, whether slots differ."""
-    found = [placed(doc, item)]
+def compare(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]], share: float = SHARE) -> tuple[float, int, int, bool] | None:
+    """The best place of the item in the document, by either reading: share of its windows, first word, word after the last, whether slots differ.
+
+    Places with less than `share` are not looked at further.
+    """
+    found = [placed(doc, item, share)]
     if any(word == "<name>" for word, _ in (*doc, *item)):
-        found.append(placed(literals(doc), literals(item)))
+        found.append(placed(literals(doc), literals(item), share))
     return max((f for f in found if f), key=lambda f: f[0], default=None)
 
 
-def placed(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]]) -> tuple[float, int, int, bool] | None:
+def placed(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]], share: float) -> tuple[float, int, int, bool] | None:
     """compare() by one reading."""
     size = min(WINDOW, len(item))
     if not item or len(doc) < size or (size < WINDOW and len(doc) != len(item)):
@@ -269,7 +272,7 @@ def placed(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]]
             continue
         near = hits[np.searchsorted(shifts, shift - slack) : np.searchsorted(shifts, shift + slack, "right")]
         done.update(h[0] for h in near if abs(h[0] - shift) <= 1)
-        if len({q for _, _, q in near}) < SHARE * len(places):
+        if len({q for _, _, q in near}) < share * len(places) - 1e-9:
             continue
         found = filled(doc, item, near, size)
         if found and (best is None or found[0] / len(places) > best[0]):
@@ -323,7 +326,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
             for doc in batch.to_pylist():
                 texts = templates(doc["text"])
                 for item in doc["items"]:
-                    every = [f for words in texts for wanted in templates(item["item_text"]) if (f := compare(words, wanted))]
+                    every = [f for words in texts for wanted in templates(item["item_text"]) if (f := compare(words, wanted, share))]
                     found = max(every, key=lambda f: f[0], default=None)
                     if found and found[0] >= share:
                         rows.append((doc["doc_id"], doc["_key"], item["item_id"], *found))
