@@ -165,6 +165,17 @@ def test_models_find_what_no_rule_does(spark):
     assert [model.spans(c.encode()) for c in clean] == [[]] * len(clean)
 
 
+def test_runs_that_set_the_threshold_are_chosen_by_hash(spark, docs_of, monkeypatch):
+    pick = random.Random(8)
+    run = lambda: "".join(pick.choice("abcdefghijklmnop_") for _ in range(30))
+    docs = docs_of(*(" ".join(run() for _ in range(20)) for _ in range(60)))
+    monkeypatch.setattr(secrets, "Model", lambda random, ordinary, calibration: calibration)
+    every = secrets.fit(docs)
+    monkeypatch.setattr(secrets, "CALIBRATION", 20)
+    hashed = spark.createDataFrame([(r,) for r in every], "run binary").orderBy(F.xxhash64("run")).limit(20).collect()
+    assert len(every) > 60 and secrets.fit(docs) == sorted(bytes(r["run"]) for r in hashed)
+
+
 def test_secrets_odd_rows(spark, odd_docs, clashing, no_docs):
     more = odd_docs.unionByName(spark.createDataFrame([(20, "é key: token = abcdef12 " + "0f" * 12)], "doc_id long, text string"))
     found = {(r["doc_id"], tuple((s["kind"], s["start"], s["end"]) for s in r["spans"])) for r in secrets.secret_spans(more, secrets.fit(more)).collect()}
