@@ -193,41 +193,24 @@ def test_near_odd_rows(odd_docs, clashing, no_docs):
 
 
 def plain_line_dedup(rows, words):
-    """Every window against all places before it; runs extended along the first one."""
-    seen, docs = set(), []
-    for i, t in rows:
-        if (i, t) not in seen:
-            seen.add((i, t))
-            docs.append((i, t))
+    """Every line that lies in any run of `words` words or more of which any copy begins earlier."""
+    docs = list(dict.fromkeys(rows))
     lines = {}
     for i, t in docs:
         kept = [(k, x.strip(" \t\r\x0b\x0c")) for k, x in enumerate((t or "").split("\n"))]
         lines[i, t] = [(k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in kept if x]
-    first, gone = {}, defaultdict(set)
+    seen, gone = set(), defaultdict(set)
     for d in sorted(lines, key=lambda d: (-(1 << 63) if d[0] is None else d[0])):
         own = lines[d]
-        for n in range(len(own)):
-            content, total = [], 0
-            for _, x, w in own[n:]:
+        for low in range(len(own)):
+            total, content, fresh = 0, (), []
+            for high in range(low, len(own)):
+                total, content = total + own[high][2], hash((content, own[high][1]))
                 if total >= words:
-                    break
-                content.append(x)
-                total += w
-            if total < words:
-                continue
-            key = tuple(content)
-            if key not in first:
-                first[key] = (d, n)
-                continue
-            d0, n0 = first[key]
-            other = lines[d0]
-            low, low0 = n, n0
-            while low > 0 and low0 > 0 and own[low - 1][1] == other[low0 - 1][1]:
-                low, low0 = low - 1, low0 - 1
-            high, high0 = n + len(content), n0 + len(content)
-            while high < len(own) and high0 < len(other) and own[high][1] == other[high0][1]:
-                high, high0 = high + 1, high0 + 1
-            gone[d] |= {own[k][0] for k in range(low, high)}
+                    if content in seen:
+                        gone[d] |= {own[k][0] for k in range(low, high + 1)}
+                    fresh.append(content)
+            seen.update(fresh)
     return {d: (None if d[1] is None else "\n".join(x for k, x in enumerate(d[1].split("\n")) if k not in gone[d]), len(gone[d])) for d in lines}
 
 
@@ -266,6 +249,33 @@ def test_runs_grow_along_a_first_copy_however_far(docs_of):
     assert found == {d[0]: w for d, w in want.items()} and found[2] == ("own", 202)
 
 
+def test_a_run_may_go_on_along_another_copy(docs_of):
+    long, l2, l3 = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 40), ("b", 10), ("c", 10)))
+    rows = [(1, f"{long}\nsomething else"), (2, f"own two\n{long}\n{l2}\n{l3}"), (3, f"own three\n{long}\n{l2}\n{l3}\nown end")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs_of(*rows)).collect()}
+    assert found == {1: rows[0][1], 2: f"own two\n{l2}\n{l3}", 3: "own three\nown end"}
+
+
+def test_random_runs_of_few_lines(docs_of):
+    pick = random.Random(4)
+    rows = [(i, "\n".join(pick.choice(["a", "b b", "c c c", "d", ""]) for _ in range(pick.randrange(14)))) for i in range(150)]
+    for words in (3, 6):
+        want = plain_line_dedup(rows, words)
+        found = line_dedup.line_dedup(docs_of(*rows), words).collect()
+        assert {(r["doc_id"], r["text"], r["n_removed"]) for r in found} == {(d[0], t, n) for d, (t, n) in want.items()}
+
+
+def test_many_equal_lines(spark, docs_of):
+    """20,000 lines of one document: jobs and rows do not depend on how often they repeat."""
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n in (50, 20_000):
+        spark.sparkContext.setJobGroup(f"equal-{n}", "equal lines")
+        (row,) = line_dedup.line_dedup(docs_of("\n".join(["the same line again"] * n))).collect()
+        assert (row["text"], row["n_lines"], row["n_removed"]) == ("the same line again", n, n - 1)
+        jobs.append(len(tracker.getJobIdsForGroup(f"equal-{n}")))
+    assert abs(jobs[0] - jobs[1]) <= 2
+
+
 def test_lines_odd_rows(odd_docs, clashing, no_docs):
     want = plain_line_dedup(ODD, 5)
     found = line_dedup.line_dedup(odd_docs, 5).collect()

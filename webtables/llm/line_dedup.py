@@ -4,7 +4,9 @@ A window is a line and the lines that start within the next `words` words. Its m
 whatever stands around it, a repeated run of `words` words or more holds a whole window, so both copies select the
 same fingerprints. Only windows whose fingerprint occurs again go on; equal windows meet by fingerprint and content,
 each with its first position alone, so a passage of a million copies makes a million matches, not their square.
-Matches are merged to runs and extended line by line both ways along the first copy; then all lines of later runs go.
+Matches of a document are merged to runs and extended both ways to where any earlier copy reaches: every line of a run
+from which a window fits has a match of its own, and past the last of these windows *ending* at a line are matched. So a
+line goes exactly if it lies in a run of `words` words or more that occurs earlier, in any copy.
 
 Lines are compared by two hashes (64 and 32 bits) of the line without white space at its ends; lines without a word
 are no part of runs and stay.
@@ -18,8 +20,6 @@ from webtables.llm.common import documents, free_name, full_text, numbered, stor
 
 #: Words that a window covers: every repeated run of as many words is found.
 WORDS = 30
-#: Lines that one row of contexts covers, and lines it adds on either side, by which a run grows at a time.
-SPAN, AROUND = 64, 64
 KEY = ["_doc", "_hash"]  # a document: its id, and a hash of its text
 
 
@@ -40,94 +40,76 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def windows(rows: DataFrame, words: int) -> DataFrame:
-    """Each line's window: start (words before the line), size in lines and words, content hash, and the fingerprint."""
+    """Each line's window, from it and up to it: size in lines and words, content hash; and the fingerprint of the former."""
     document = Window.partitionBy(*KEY).orderBy("line")
-    rows = rows.withColumn("n", F.row_number().over(document).cast("long")).withColumn("start", F.sum("words").over(document) - F.col("words"))
-    window = Window.partitionBy(*KEY).orderBy("start").rangeBetween(Window.currentRow, words - 1)
-    return rows.select(
-        *KEY, "line", "n", "h", "check", "words",
-        F.min("h").over(window).alias("fingerprint"),
-        F.count("h").over(window).alias("size"),
-        F.sum("words").over(window).alias("covers"),
-        F.collect_list(F.struct("h", "check")).over(window).alias("content"),
-    ).withColumn("content", F.struct(F.xxhash64("content").alias("a"), F.hash("content").alias("b")))
+    rows = rows.withColumn("n", F.row_number().over(document).cast("long")).withColumn("end", F.sum("words").over(document))
+    rows = rows.withColumn("start", F.col("end") - F.col("words"))
+    ahead = Window.partitionBy(*KEY).orderBy("start").rangeBetween(Window.currentRow, words - 1)
+    behind = Window.partitionBy(*KEY).orderBy("end").rangeBetween(1 - words, Window.currentRow)
+    content = lambda w: F.collect_list(F.struct("h", "check")).over(w)
+    rows = rows.select(
+        *KEY, "line", "n",
+        F.min("h").over(ahead).alias("fingerprint"),
+        F.count("h").over(ahead).alias("size"),
+        F.sum("words").over(ahead).alias("covers"),
+        content(ahead).alias("content"),
+        F.count("h").over(behind).alias("back_size"),
+        F.sum("words").over(behind).alias("back_covers"),
+        content(behind).alias("back"),
+    )
+    return rows.withColumns({c: F.struct(F.xxhash64(c).alias("a"), F.hash(c).alias("b")) for c in ("content", "back")})
+
+
+def place() -> Column:
+    return F.struct(*KEY, "n")
 
 
 def matches(found: DataFrame, words: int) -> DataFrame:
-    """Windows that occur earlier: where they start (n), their size, and the first place (doc0, hash0, n0)."""
+    """Windows that occur earlier: where they start (n) and their size."""
     whole = found.filter(F.col("covers") >= words)
     repeated = whole.groupBy("fingerprint").agg(F.count("*").alias("_times")).filter("_times > 1").select("fingerprint")
     candidates = whole.select(*KEY, "n", "fingerprint", "content", "size").join(repeated, "fingerprint", "left_semi")
     first = (
         candidates.groupBy("fingerprint", "content")
-        .agg(F.min(F.struct(*KEY, "n")).alias("first"), F.count("*").alias("_times"))
+        .agg(F.min(place()).alias("first"), F.count("*").alias("_times"))
         .filter("_times > 1").drop("_times")
     )
-    return candidates.join(first, ["fingerprint", "content"]).filter(F.struct(*KEY, "n") > F.col("first")).select(
-        *KEY, "n", "size", F.col("first._doc").alias("doc0"), F.col("first._hash").alias("hash0"), F.col("first.n").alias("n0")
-    )
+    return candidates.join(first, ["fingerprint", "content"]).filter(place() > F.col("first")).select(*KEY, "n", "size")
 
 
 def runs(matched: DataFrame) -> DataFrame:
-    """Overlapping or adjacent matches along one first copy as runs: lines low to high, and shift to the copy's lines."""
-    along = ["doc0", "hash0", "shift"]
-    matched = matched.withColumn("shift", F.col("n0") - F.col("n")).withColumn("end", F.col("n") + F.col("size"))
-    order = Window.partitionBy(*KEY, *along).orderBy("n")
+    """Overlapping or adjacent matches of a document as runs, whatever copies they have: lines low to high."""
+    matched = matched.withColumn("end", F.col("n") + F.col("size"))
+    order = Window.partitionBy(*KEY).orderBy("n")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     matched = matched.withColumn("_new", F.when(F.col("n") <= reached, 0).otherwise(1))
     matched = matched.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return matched.groupBy(*KEY, *along, "_run").agg(F.min("n").alias("low"), (F.max("end") - 1).alias("high")).drop("_run")
+    return matched.groupBy(*KEY, "_run").agg(F.min("n").alias("low"), (F.max("end") - 1).alias("high")).drop("_run")
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """The line hashes of each document in overlapping pieces: piece k has SPAN lines from k * SPAN, and AROUND on either side."""
-    whole = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("n", "h", "check"))).alias("_all"))
-    piece = lambda k: F.struct(
-        k.alias("piece"), F.slice("_all", F.greatest(F.lit(1), k * SPAN + 1 - AROUND).cast("int"), F.lit(SPAN + 2 * AROUND)).alias("around")
-    )
-    pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.size("_all") - 1) / SPAN).cast("long")), piece)
-    return whole.select(*KEY, F.inline(pieces))
-
-
-def extended(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """Runs with low and high moved outwards while the lines equal those of the first copy."""
-    held = contexts(rows.select(*KEY, "n", "h", "check"))
-
-    def towards(around: Column, at: str, before: bool) -> Column:
-        """Hashes of the lines before (nearest first) or after line `at`."""
-        side = F.filter(around, lambda x: x["n"] < F.col(at) if before else x["n"] > F.col(at))
-        bare = F.transform(F.reverse(side) if before else side, lambda x: F.struct(x["h"], x["check"]))
-        return F.slice(bare, 1, AROUND)
-
-    def grown(ends: DataFrame, before: bool) -> DataFrame:
-        """By how many lines each run grows on one side."""
-        at, own, first = ("low" if before else "high"), "_own", "_first"
-        piece = lambda column: F.floor((column - 1) / SPAN).cast("long")
-        ends = ends.withColumn("at", F.col(at)).withColumn("at0", F.col(at) + F.col("shift"))
-        mine = held.withColumnRenamed("around", own)
-        ends = ends.withColumn("piece", piece(F.col("at"))).join(mine, [*KEY, "piece"]).withColumn(own, towards(F.col(own), "at", before)).drop("piece")
-        theirs = held.select(F.col("_doc").alias("doc0"), F.col("_hash").alias("hash0"), F.col("piece"), F.col("around").alias(first))
-        ends = ends.withColumn("piece", piece(F.col("at0"))).join(theirs, ["doc0", "hash0", "piece"]).withColumn(first, towards(F.col(first), "at0", before)).drop("piece")
-        equal = F.zip_with(own, first, lambda a, b: F.coalesce(a == b, F.lit(False)))
-        stop = F.array_position(equal, False)
-        return ends.withColumn("_by", F.when(stop > 0, stop - 1).otherwise(F.size(equal))).drop("at", "at0", own, first)
-
-    for before, end, sign in ((True, "low", -1), (False, "high", 1)):
-        while True:
-            found = stored(grown(found, before).withColumn(end, F.col(end) + sign * F.col("_by")), "runs")
-            done = found.filter(F.col("_by") >= AROUND).isEmpty()
-            found = found.drop("_by")
-            if done:
-                break
-    return found
+def extended(found: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """Runs with `high` moved to where any earlier copy reaches.
+
+    To the left a run is whole: each of its lines from which a window still fits has matched. On the right fewer than
+    `words` words are missing, so the lines that follow are asked whether the window that *ends* there, and begins in the
+    run, occurs earlier anywhere.
+    """
+    found = stored(found, "runs")
+    after = found.select(*KEY, "low", "high", F.explode(F.sequence(F.col("high") + 1, F.col("high") + words - 1)).alias("n")) if words > 1 else found.withColumn("n", F.lit(0))
+    tails = after.join(rows.select(*KEY, "n", "back", "back_size", "back_covers"), [*KEY, "n"])
+    tails = stored(tails.filter((F.col("back_covers") >= words) & (F.col("n") - F.col("back_size") < F.col("high"))).select(*KEY, "low", "n", "back"), "run-tails")
+    first = rows.filter(F.col("back_covers") >= words).select(*KEY, "n", "back").join(tails.select("back").distinct(), "back", "left_semi")
+    first = first.groupBy("back").agg(F.min(place()).alias("first"))
+    reached = tails.join(first, "back").filter(place() > F.col("first")).groupBy(*KEY, "low").agg(F.max("n").alias("_to"))
+    return found.join(reached, [*KEY, "low"], "left").select(*KEY, "low", F.greatest("high", "_to").alias("high"))
 
 
 def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """_doc, _hash, and `gone`: the sorted indexes (from 0) of the lines that repeat a run which occurs earlier."""
     rows = stored(windows(lines(docs), words), "line-windows")
-    later = extended(runs(matches(rows, words)), rows)
-    gone = later.select(*KEY, F.explode(F.sequence("low", "high")).alias("n")).distinct()
-    return gone.join(rows.select(*KEY, "n", "line"), [*KEY, "n"]).groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    later = extended(runs(matches(rows, words)), rows, words)
+    gone = later.select(*KEY, F.explode(F.sequence("low", "high")).alias("n"))
+    return gone.join(rows.select(*KEY, "n", "line"), [*KEY, "n"]).groupBy(*KEY).agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
