@@ -27,10 +27,10 @@ from .registry import check
 from .render import table
 
 BODY = "substr(html, strpos(html, '<body>'))"
-MEMBERS_SQL = """
-SELECT c_custkey // 50 AS page_id, c_mktsegment AS segment, c_name AS member,
-       CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment, c_custkey) - 1 AS INTEGER) AS i
-FROM customer"""
+BOOK_SQL = """
+SELECT o_orderkey // 40 AS page_id, CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderstatus AS status, CAST(o_orderkey AS VARCHAR) AS "order",
+       row_number() OVER (PARTITION BY o_orderkey // 40 ORDER BY year(o_orderdate), o_orderstatus, o_orderkey) - 1 AS i
+FROM orders"""
 
 
 def nodes():
@@ -261,12 +261,14 @@ def target_value_href(spark, sf):
     return parsed(spark, sf).select("page_id", F.posexplode(values).alias("i", "value"))
 
 
-@check("SELECT c_custkey AS page_id, 'Account of ' || c_name AS value, 'No ' || c_custkey AS title, '' AS other FROM customer", name="recon_value")
+@check("""
+SELECT p_partkey // 5 AS page_id, arg_min(p_name || ' ' || p_partkey, p_partkey) AS value, 'No ' || min(p_partkey) AS title, '' AS other
+FROM part GROUP BY 1""", name="recon_value")
 def recon_value_title(spark, sf):
-    dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
-    h2 = first_descendant(nodes(), root(nodes()), "h2")
+    dom = parse_pages(render.part_cards(spark, sf).select("page_id", "html"))
+    summary = first_descendant(nodes(), root(nodes()), "summary")
     kinds = {"value": "InnerText", "title": "Title", "other": "Else"}
-    return dom.select("page_id", *[recon_value(nodes(), h2, {"reconValue": kind}).alias(name) for name, kind in kinds.items()])
+    return dom.select("page_id", *[recon_value(nodes(), summary, {"reconValue": kind}).alias(name) for name, kind in kinds.items()])
 
 
 # ---- navigation ----------------------------------------------------------------------------------
@@ -291,72 +293,74 @@ def navigate_bag(spark, sf):
         {"tag": "a"},
     ]
     dom = parse_pages(render.site(spark, sf).select("url", "html"))
-    hrefs = F.transform(navigate(nodes(), steps), lambda m: node_attr(nodes(), m, "href"))
-    rows = dom.select(F.replace("url", F.lit(render.BASE), F.lit("")).alias("path"), F.explode(hrefs).alias("href"))
-    return rows.groupBy("path", "href").agg(F.count("*").cast("int").alias("n"))
+    hrefs = F.transform(navigate(nodes(), steps), lambda m: F.struct(node_attr(nodes(), m, "href").alias("href"), m["n"].alias("n")))
+    rows = dom.select(F.replace("url", F.lit(render.BASE), F.lit("")).alias("path"), F.inline(hrefs))
+    return rows.groupBy("path", "href").agg(F.sum("n").cast("int").alias("n"))
 
 
-@check("""
-SELECT c_custkey // 50 AS page_id, c_name AS text,
-       CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment, c_custkey) AS INTEGER) AS place
-FROM customer""", name="navigate_flat")
-def navigate_flat_words(spark, sf):
-    dom = parse_pages(render.sections(spark, sf).select("page_id", "html"))
-    flat = navigate_flat(dom, specs.DIRECTORY_STEPS)
+@check(f"""SELECT page_id, "order" AS text, CAST(i + 1 AS INTEGER) AS place FROM ({BOOK_SQL})""", name="navigate_flat")
+def navigate_flat_orders(spark, sf):
+    dom = parse_pages(render.order_books(spark, sf).select("page_id", "html"))
+    flat = navigate_flat(dom, specs.BOOK_STEPS)
     ordered = flat.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "node_id", "last_id"))).alias("found"))
-    texts = ordered.join(dom, "page_id").select(
-        "page_id", F.posexplode(F.transform("found", lambda m: node_text(nodes(), m))).alias("place", "text")
-    )
+    number = lambda m: F.replace(node_attr(nodes(), first_descendant(nodes(), m, "a"), "href"), F.lit("/o/"), F.lit(""))
+    texts = ordered.join(dom, "page_id").select("page_id", F.posexplode(F.transform("found", number)).alias("place", "text"))
     return texts.select("page_id", "text", (F.col("place") + 1).alias("place"))
 
 
 @check("""
-SELECT c_custkey AS page_id, c_name AS holder, 'Trades in ' || c_mktsegment AS summary FROM customer WHERE c_custkey % 7 <> 0""")
+SELECT p_partkey // 5 AS page_id, p_name || ' ' || p_partkey AS part, replace(p_brand, 'Brand#', '') AS brand FROM part WHERE p_partkey % 6 <> 0""")
 def recon_gate(spark, sf):
-    dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
-    return matches_table(dom, specs.ACCOUNT_STEPS[:3]).select(
-        "page_id", F.col("recons")["HOLDER"].alias("holder"), F.col("recons")["SUMMARY"].alias("summary")
-    )
+    """A card without the element that a recon asks for leads nowhere."""
+    dom = parse_pages(render.part_cards(spark, sf).select("page_id", "html"))
+    steps = [{"tag": "details"}, {"tag": "div", "recon": specs.CARD_RECONS}]
+    return matches_table(dom, steps).select("page_id", F.col("recons")["PART"].alias("part"), F.col("recons")["BRAND"].alias("brand"))
 
 
 @check("""
-SELECT c_custkey AS page_id, 'Trades in ' || c_mktsegment AS title, 'Account of ' || c_name AS name
-FROM customer WHERE c_custkey % 7 <> 0""", name="recon_carry")
+SELECT p_partkey // 5 AS page_id, p_brand AS title, p_name || ' ' || p_partkey AS name
+FROM part, range(3 + CAST(p_partkey % 4 = 0 AS INTEGER) + 2 * CAST(p_partkey % 3 = 0 AS INTEGER) + CAST(p_partkey % 2 = 0 AS INTEGER))
+WHERE p_partkey % 6 <> 0""", name="recon_carry")
 def recon_carry_deepest(spark, sf):
-    dom = parse_pages(render.profiles(spark, sf).select("page_id", "html"))
+    dom = parse_pages(render.part_cards(spark, sf).select("page_id", "html"))
+    brand = {"tag": "meter", "reconValue": "Class", "classification": [{"name": "TITLE"}]}
     steps = [
-        {"tag": "section"},
-        {"tag": "div", "keyProperty": "data-part", "recon": [specs.recon("h2", "TITLE"), specs.recon("h2", "NAME")]},
-        {"tag": "dl", "recon": [specs.recon("p", "TITLE")]},
+        {"tag": "details"},
+        {"tag": "div", "recon": [specs.recon("summary", "TITLE"), specs.recon("summary", "NAME")]},
+        {"tag": "p", "recon": [brand]},
     ]
     return matches_table(dom, steps).select(
         "page_id", F.col("recons")["TITLE"].alias("title"), F.col("recons")["NAME"].alias("name")
     )
 
 
-@check(MEMBERS_SQL)
+@check(f"""SELECT page_id, year, status, "order", CAST(i AS INTEGER) AS i FROM ({BOOK_SQL})""")
 def repeating_sections(spark, sf):
-    dom = parse_pages(render.sections(spark, sf).select("page_id", "html"))
+    """Two kinds of headings: each keeps its label until the next one of its kind."""
+    dom = parse_pages(render.order_books(spark, sf).select("page_id", "html"))
+    href = lambda m: node_attr(nodes(), first_descendant(nodes(), m, "a"), "href")
     found = F.transform(
-        navigate(nodes(), specs.DIRECTORY_STEPS),
-        lambda m: F.struct(m["recons"]["SEGMENT"].alias("segment"), node_text(nodes(), m).alias("member")),
+        navigate(nodes(), specs.BOOK_STEPS),
+        lambda m: F.struct(
+            m["recons"]["YEAR"].alias("year"), m["recons"]["STATUS"].alias("status"), F.replace(href(m), F.lit("/o/"), F.lit("")).alias("order")
+        ),
     )
     rows = dom.select("page_id", F.posexplode(found).alias("i", "m"))
-    return rows.select("page_id", "m.segment", "m.member", "i")
+    return rows.select("page_id", "m.year", "m.status", "m.order", "i")
 
 
-@check("""
-SELECT c_custkey // 50 AS page_id, c_mktsegment AS segment, count(*) AS n_leaves,
-       CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment) AS INTEGER) AS place
-FROM customer GROUP BY 1, 2""", name="group_containers")
-def group_containers_words(spark, sf):
-    dom = parse_pages(render.sections(spark, sf).select("page_id", "html"))
-    grouped = group_containers(matches_table(dom, specs.DIRECTORY_STEPS))
+@check(f"""
+SELECT page_id, year, status, count(*) AS n_leaves, CAST(row_number() OVER (PARTITION BY page_id ORDER BY year, status) AS INTEGER) AS place
+FROM ({BOOK_SQL}) GROUP BY 1, 2, 3""", name="group_containers")
+def group_containers_orders(spark, sf):
+    dom = parse_pages(render.order_books(spark, sf).select("page_id", "html"))
+    grouped = group_containers(dom, specs.BOOK_STEPS)
+    recons = F.col("recons")
     ordered = grouped.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("first_path", F.col("recons")["SEGMENT"].alias("segment"), "n_leaves"))).alias("c")
+        F.array_sort(F.collect_list(F.struct("first_path", recons["YEAR"].alias("year"), recons["STATUS"].alias("status"), "n_leaves"))).alias("c")
     )
     rows = ordered.select("page_id", F.posexplode("c").alias("place", "c"))
-    return rows.select("page_id", "c.segment", "c.n_leaves", (F.col("place") + 1).alias("place"))
+    return rows.select("page_id", "c.year", "c.status", "c.n_leaves", (F.col("place") + 1).alias("place"))
 
 
 # ---- scalars -------------------------------------------------------------------------------------

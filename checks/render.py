@@ -5,7 +5,7 @@ Pages have bounded size: rows are blocked by key ranges, not by values that may
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BASE = "https://shop.example"
 
@@ -27,15 +27,21 @@ def page(body):
     return F.concat(F.lit("<!DOCTYPE html><html><head><title>t</title></head><body>"), body, F.lit("</body></html>"))
 
 
-def sections(spark: SparkSession, directory: str) -> DataFrame:
-    """Customers in blocks of 50: a heading per market segment, names listed under it."""
-    customer = table(spark, directory, "customer").withColumn("page_id", F.expr("c_custkey div 50"))
-    items = customer.withColumn("html", fill("<dd>%s</dd>", "c_name"))
-    parts = items.groupBy("page_id", "c_mktsegment").agg(joined("c_custkey").alias("items"))
-    parts = parts.withColumn("html", fill("<h3>%s</h3>\n<dl>%s</dl>\n", "c_mktsegment", "items"))
-    body = fill("<main class=\"directory\"><p>Intro</p><dl><dd>Before</dd></dl>%s</main>", "parts")
-    whole = parts.groupBy("page_id").agg(joined("c_mktsegment").alias("parts"))
-    return whole.select("page_id", fill(BASE + "/words/%d", "page_id").alias("url"), page(body).alias("html"))
+def order_books(spark: SparkSession, directory: str) -> DataFrame:
+    """Orders in blocks of 40, by year and status: a heading where either changes, each order a link in a quote."""
+    orders = table(spark, directory, "orders").select(
+        F.expr("o_orderkey div 40").alias("page_id"), "o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status"), "o_orderpriority"
+    )
+    order = Window.partitionBy("page_id").orderBy("year", "status", "o_orderkey")
+    changed = lambda c: ~F.col(c).eqNullSafe(F.lag(c).over(order))
+    quote = F.concat(
+        F.when(changed("year"), fill("<h4>%d</h4>", "year")).otherwise(""),
+        F.when(changed("status"), fill("<h5>%s</h5>\n", "status")).otherwise(""),
+        fill("<q>%s <a href=\"/o/%d\">open</a></q>", "o_orderpriority", "o_orderkey"),
+    )
+    whole = orders.withColumn("html", quote).groupBy("page_id").agg(joined("year", "status", "o_orderkey").alias("quotes"))
+    body = fill("<fieldset class=\"book\"><legend>Orders</legend><q>none <a href=\"/o/-1\">x</a></q>%s</fieldset>", "quotes")
+    return whole.select("page_id", fill(BASE + "/book/%d", "page_id").alias("url"), page(body).alias("html"))
 
 
 def span_tables(spark: SparkSession, directory: str) -> DataFrame:
@@ -101,26 +107,24 @@ def site(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def profiles(spark: SparkSession, directory: str) -> DataFrame:
-    """One page per customer: a holder, a summary (missing on every seventh), labelled and loose lines."""
-    customer = table(spark, directory, "customer").withColumn("page_id", F.col("c_custkey"))
-    line = lambda label, value: F.concat(
-        F.lit(f"<dd class=\"fact\"><b>{label}</b><i>"), F.col(value).cast("string"), F.lit("</i></dd>")
-    )
-    loose = lambda n: fill("<dd class=\"fact\"><i>note %d of %d</i></dd>", F.lit(n), "c_custkey")
+def part_cards(spark: SparkSession, directory: str) -> DataFrame:
+    """Parts in blocks of 5, each a card: a name, a brand (every sixth has none), labelled values and remarks."""
+    part = table(spark, directory, "part").withColumn("page_id", F.expr("p_partkey div 5"))
+    line = lambda label, value: F.concat(F.lit(f"<p><u>{label}</u>"), value, F.lit("</p>"))
+    every = lambda n, html: F.when(F.col("p_partkey") % n == 0, html).otherwise("")
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
     lines = F.concat(
-        line("Region", "c_nationkey"),
-        F.when(F.col("c_custkey") % 5 == 0, line("Region", "c_mktsegment")).otherwise(""),
-        line("Market", "c_mktsegment"),
-        F.when(F.col("c_custkey") % 3 == 0, F.concat(loose(1), loose(2))).otherwise(""),
-        F.when(F.col("c_custkey") % 2 == 0, line("Other", "c_custkey")).otherwise(""),
-    )
-    summary = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(fill("<p>Trades in <b>%s</b></p>", "c_mktsegment"))
-    body = F.concat(
-        fill("<section class=\"card wide\"><div data-part=\"account\"><h2 data-kind=\"holder\" title=\"No %d\">Account of ", "c_custkey"),
-        F.col("c_name"), F.lit("</h2>"), summary, F.lit("<dl class=\"facts\">"), lines, F.lit("</dl></div></section>"),
+        line("Price:", price),
+        every(4, line("Price now", F.col("p_type"))),
+        line("Size in cm", F.col("p_size").cast("string")),
+        every(3, fill("<p>remark on %d</p>\n<p>seen at %d</p>", "p_partkey", "p_size")),
+        line("Type", F.col("p_type")),
+        every(2, line("Code", F.col("p_partkey").cast("string"))),
     )
-    return customer.select("page_id", fill(BASE + "/p/%d", "page_id").alias("url"), page(body).alias("html"))
+    brand = F.when(F.col("p_partkey") % 6 != 0, fill("<meter class=\"%s\"></meter>", "p_brand")).otherwise("")
+    card = F.concat(fill("<details><summary title=\"No %d\">%s %d</summary><div>", "p_partkey", "p_name", "p_partkey"), brand, lines, F.lit("</div></details>"))
+    whole = part.withColumn("html", card).groupBy("page_id").agg(joined("p_partkey").alias("cards"))
+    return whole.select("page_id", fill(BASE + "/parts/%d", "page_id").alias("url"), page(F.col("cards")).alias("html"))
 
 
 def wide_tables(spark: SparkSession, directory: str) -> DataFrame:

@@ -11,10 +11,11 @@ from webtables.operators.tables import (
     cells_table, cut_tables, expand_colspan, expand_rowspan, find_tables, headers_table, min_columns_guard, parse_table,
     place_units, spans_to_place, table_sections,
 )
-from webtables.plans.extract import extract_entities, extract_errors
+from webtables.plans.extract import extract_entities, extract_errors, extract_outcomes
 from webtables.sources.dom import parse_pages
 
 from . import render, specs
+from .pages_checks import BOOK_SQL
 from .registry import check
 from .render import table
 
@@ -30,85 +31,98 @@ def dom(pages):
 # ---- assembly ------------------------------------------------------------------------------------
 
 
-@check("""
-SELECT c_custkey // 50 AS page_id, c_mktsegment AS segment, c_name AS member, 'SHOP' AS source,
-       row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_mktsegment, c_custkey) - 1 AS entity_idx
-FROM customer""")
+@check(f"""SELECT page_id, year, status, "order", 'ORDERS' AS book, i AS entity_idx FROM ({BOOK_SQL})""")
 def extract_words(spark, sf):
-    found = extract_entities(render.sections(spark, sf), specs.DIRECTORY)
+    """Orders under two kinds of repeating headings."""
+    found = extract_entities(render.order_books(spark, sf), specs.BOOKS)
     data = F.col("data")
     return found.select(
-        "page_id", data["SEGMENT"].alias("segment"), data["MEMBER"].alias("member"),
-        data["SOURCE"].alias("source"), "entity_idx",
+        "page_id", data["YEAR"].alias("year"), data["STATUS"].alias("status"), data["ORDER"].alias("order"), data["BOOK"].alias("book"), "entity_idx"
     )
 
 
 @check("""
 SELECT page_id, label, any_value(value) AS value FROM (
-  SELECT c_custkey // 50 AS page_id, c_mktsegment AS label,
-         first_value(c_name) OVER (PARTITION BY c_custkey // 50, c_mktsegment ORDER BY c_custkey) AS value FROM customer)
+  SELECT p_partkey // 5 AS page_id, p_name || ' ' || p_partkey AS label, 'Price:' || CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS value FROM part)
 GROUP BY 1, 2""", name="entity_per_node")
 def entity_per_node_first_item(spark, sf):
     """A target with a tag reads only the first matching child of each leaf."""
-    navigation = {"tag": "main", "nav": {"tag": "dl", "recon": [specs.SEGMENT_HEADING]}}
-    extraction = specs.DIRECTORY["extraction"]
-    spec = extraction | {"navigation": navigation, "target": extraction["target"] | {"tag": "dd"}}
-    found = extract_entities(render.sections(spark, sf), spec)
-    return found.select("page_id", F.col("data")["SEGMENT"].alias("label"), F.col("data")["MEMBER"].alias("value"))
+    navigation = {"tag": "details", "nav": {"tag": "div", "recon": specs.CARD_RECONS[:1]}}
+    target = {"tag": "p", "value": "InnerText", "recon": {"classification": [{"name": "FIRST"}]}, "classType": "Line"}
+    found = extract_entities(render.part_cards(spark, sf), {"navigation": navigation, "target": target})
+    return found.select("page_id", F.col("data")["PART"].alias("label"), F.col("data")["FIRST"].alias("value"))
 
 
-@check("""
-SELECT c_custkey AS page_id, c_name AS holder, 'Trades in ' || c_mktsegment AS summary, CAST(c_nationkey AS VARCHAR) AS region,
-       CAST(NULL AS VARCHAR) AS agent, c_mktsegment AS market,
-       nullif(concat_ws(' ', CASE WHEN c_custkey % 3 = 0 THEN 'note 1 of ' || c_custkey || ' note 2 of ' || c_custkey END,
-                        CASE WHEN c_custkey % 2 = 0 THEN c_custkey END), '') AS misc
-FROM customer WHERE c_custkey % 7 <> 0""")
+CARD_SQL = """
+SELECT p_partkey AS k, p_partkey // 5 AS page_id, p_name || ' ' || p_partkey AS part, replace(p_brand, 'Brand#', '') AS brand,
+       CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price, CAST(p_size AS VARCHAR) AS size, p_type AS kind,
+       CASE WHEN p_partkey % 3 = 0 THEN 'remark on ' || p_partkey || ' seen at ' || p_size END AS remarks,
+       CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) END AS code FROM part"""
+
+
+@check(f"""
+SELECT page_id, part, brand, price, size, kind, CAST(NULL AS VARCHAR) AS stock, nullif(concat_ws(' ', remarks, code), '') AS misc
+FROM ({CARD_SQL}) WHERE k % 6 <> 0""")
 def extract_profiles(spark, sf):
+    """Several cards a page, each an entity; labels stand beside the values."""
     data = F.col("data")
-    names = ("HOLDER", "SUMMARY", "REGION", "AGENT", "MARKET", "MISC")
-    found = extract_entities(render.profiles(spark, sf), specs.ACCOUNTS)
+    names = ("PART", "BRAND", "PRICE", "SIZE", "KIND", "STOCK", "MISC")
+    found = extract_entities(render.part_cards(spark, sf), specs.CARDS)
     return found.select("page_id", *[data[n].alias(n.lower()) for n in names])
 
 
-def profile_leaves(spark, sf, target):
-    steps = [*specs.ACCOUNT_STEPS[:2], {"tag": "dl", "keyProperty": "class"}, specs.ACCOUNT_STEPS[3]]
-    return leaves(dom(render.profiles(spark, sf)), navigate(nodes(), steps), target)
+TARGET = specs.CARDS["extraction"]["target"]
+#: Cards with or without a brand.
+ANY_CARD = [specs.CARD_STEPS[0], specs.CARD_STEPS[1] | {"recon": specs.CARD_RECONS[:1]}]
 
 
-@check("""
-SELECT c_custkey AS page_id, CAST(c_nationkey AS VARCHAR) AS region, c_mktsegment AS market FROM customer""", name="entity_pivot")
-def entity_pivot_profiles(spark, sf):
-    target = specs.ACCOUNTS["extraction"]["target"]
-    found = entity_pivot(profile_leaves(spark, sf, target), target)
-    return found.select("page_id", F.col("data")["REGION"].alias("region"), F.col("data")["MARKET"].alias("market"))
+def card_dom(spark, sf):
+    return dom(render.part_cards(spark, sf))
 
 
-@check("""
-SELECT c_custkey AS page_id, concat_ws(' ',
-  CASE WHEN c_custkey % 3 = 0 THEN 'note 1 of ' || c_custkey || ' note 2 of ' || c_custkey END,
-  CASE WHEN c_custkey % 2 = 0 THEN c_custkey END) AS misc
-FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""", name="misc_bucket")
-def misc_bucket_profiles(spark, sf):
-    target = specs.ACCOUNTS["extraction"]["target"]
-    found = entity_pivot(profile_leaves(spark, sf, target), target)
-    return found.select("page_id", F.col("data")["MISC"].alias("misc")).where("misc IS NOT NULL")
+@check(f"SELECT page_id, part, price, size, kind FROM ({CARD_SQL})", name="entity_pivot")
+def entity_pivot_cards(spark, sf):
+    found = entity_pivot(card_dom(spark, sf), navigate(nodes(), ANY_CARD), TARGET)
+    data = F.col("data")
+    return found.select("page_id", *[data[n].alias(n.lower()) for n in ("PART", "PRICE", "SIZE", "KIND")])
 
 
-@check("""
-SELECT c_custkey AS page_id, 'REGION' AS label, c_mktsegment AS value, 'label set twice' AS error FROM customer WHERE c_custkey % 5 = 0""", name="pivot_conflicts")
+@check(f"SELECT page_id, part, concat_ws(' ', remarks, code) AS misc FROM ({CARD_SQL}) WHERE remarks IS NOT NULL OR code IS NOT NULL", name="misc_bucket")
+def misc_bucket_cards(spark, sf):
+    found = entity_pivot(card_dom(spark, sf), navigate(nodes(), ANY_CARD), TARGET)
+    return found.select("page_id", F.col("data")["PART"].alias("part"), F.col("data")["MISC"].alias("misc")).where("misc IS NOT NULL")
+
+
+@check(f"SELECT page_id, 'PRICE' AS label, kind AS value, 'label set twice' AS error FROM ({CARD_SQL}) WHERE k % 4 = 0", name="pivot_conflicts")
 def pivot_conflict_rows(spark, sf):
-    target = specs.ACCOUNTS["extraction"]["target"]
-    return pivot_conflicts(profile_leaves(spark, sf, target)).select("page_id", "label", "value", "error")
+    return pivot_conflicts(card_dom(spark, sf), navigate(nodes(), ANY_CARD), TARGET).select("page_id", "label", "value", "error")
 
 
-@check("""
-SELECT c_custkey AS page_id, 'REGION' AS label, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM customer
-UNION ALL SELECT c_custkey, 'MARKET', 1 FROM customer
-UNION ALL SELECT c_custkey, 'NONE', CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END
-FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""", name="target_classification")
+@check(f"""
+SELECT * FROM (
+  SELECT page_id, part, unnest(['PRICE', 'SIZE', 'KIND', 'NONE']) AS label,
+         unnest([1 + CAST(k % 4 = 0 AS BIGINT), 1, 1, 2 * CAST(k % 3 = 0 AS BIGINT) + CAST(k % 2 = 0 AS BIGINT)]) AS n FROM ({CARD_SQL}))
+WHERE n > 0""", name="target_classification")
 def target_classification_labels(spark, sf):
-    found = profile_leaves(spark, sf, specs.ACCOUNTS["extraction"]["target"])
-    return found.groupBy("page_id", F.coalesce("label", F.lit("NONE")).alias("label")).agg(F.count("*").alias("n"))
+    found = leaves(card_dom(spark, sf), navigate(nodes(), ANY_CARD), TARGET)
+    return found.groupBy("page_id", F.col("recons")["PART"].alias("part"), F.coalesce("label", F.lit("NONE")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@check(f"""
+SELECT page_id, 'entity' AS kind, part AS detail FROM ({CARD_SQL}) WHERE k % 6 <> 0
+UNION ALL SELECT page_id, 'label set twice', kind FROM ({CARD_SQL}) WHERE k % 6 <> 0 AND k % 4 = 0
+UNION ALL SELECT DISTINCT -1 - page_id, 'no body', NULL FROM ({CARD_SQL})
+UNION ALL SELECT DISTINCT 1000000000 + page_id, 'marker missing', NULL FROM ({CARD_SQL})""")
+def extract_outcomes_cards(spark, sf):
+    """Entities and errors of every kind, from one parse: cards as they are, without body, and without the marker."""
+    pages = render.part_cards(spark, sf).withColumn("html", F.replace("html", F.lit("<body>"), F.lit("<body><!--cards-->")))
+    bare = pages.select((-1 - F.col("page_id")).alias("page_id"), "url", F.lit("no page").alias("html"))
+    unmarked = pages.select((1_000_000_000 + F.col("page_id")).alias("page_id"), "url", F.replace("html", F.lit("<!--cards-->"), F.lit("")).alias("html"))
+    spec = specs.CARDS["extraction"] | {"separatorId": "<!--cards-->"}
+    found = extract_outcomes(pages.unionByName(unmarked), spec)
+    nobody = extract_outcomes(bare, specs.CARDS)
+    every = found.unionByName(nobody)
+    return every.select("page_id", F.coalesce("message", F.lit("entity")).alias("kind"), F.coalesce("detail", F.col("data")["PART"]).alias("detail"))
 
 
 @check("""
@@ -204,7 +218,7 @@ def table_headers_wide(spark, sf):
 
 @check("SELECT DISTINCT p_partkey // 10 AS page_id, 'Left' AS a, 'Sid' AS b FROM part", name="split_wide_header")
 def split_wide_header_pieces(spark, sf):
-    tables = wides(spark, sf).where("error IS NULL AND path_id = 0")
+    tables = wides(spark, sf).where("error IS NULL AND size(columns) > 3")
     return tables.select("page_id", F.get("columns", F.lit(3)).alias("a"), F.get("columns", F.lit(4)).alias("b"))
 
 
@@ -214,7 +228,7 @@ SELECT p_partkey // 10 AS page_id, 0 AS path_id, CAST(p_partkey % 10 AS INTEGER)
        CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS name FROM part
 UNION ALL SELECT DISTINCT p_partkey // 10, 1, 0, '3', NULL, NULL FROM part""", name="pad_short_rows")
 def pad_short_rows_wide(spark, sf):
-    rows = wides(spark, sf).select("page_id", "path_id", F.posexplode("rows").alias("row_idx", "r"))
+    rows = wides(spark, sf).select("page_id", F.col("path_id").cast("int").alias("path_id"), F.posexplode("rows").alias("row_idx", "r"))
     cell = lambda i: F.get("r", F.lit(i))
     return rows.select("page_id", "path_id", "row_idx", cell(2).alias("type"), cell(3).alias("size"), cell(4).alias("name"))
 
@@ -248,7 +262,7 @@ SELECT DISTINCT p_partkey // 10 AS page_id, 0 AS path_id, CAST(NULL AS VARCHAR)
 UNION ALL SELECT DISTINCT p_partkey // 10, 1, 'too few columns' FROM part""", name="min_columns_guard")
 def min_columns_guard_wide(spark, sf):
     wide, narrow = min_columns_guard(wides(spark, sf))
-    return wide.unionByName(narrow).select("page_id", "path_id", "error")
+    return wide.unionByName(narrow).select("page_id", F.col("path_id").cast("int").alias("path_id"), "error")
 
 
 @check("SELECT DISTINCT p_partkey // 10 AS page_id, 'too few columns' AS message FROM part")

@@ -13,7 +13,7 @@ from webtables.operators.navigate import matches_table, navigate
 from webtables.operators.select import (
     descendants, first_child, first_descendant, has_child, node_attr, node_by_id, node_own_text, node_text, root, target_value,
 )
-from webtables.plans.extract import extract_entities, extract_errors, spec_pages
+from webtables.plans.extract import extract_entities, extract_errors, extract_outcomes, spec_pages
 from webtables.sources.dom import NodeColumns, store_dom
 
 
@@ -60,7 +60,19 @@ def test_absent_nodes_give_null(dom_of):
 
 
 def test_bag_semantics(dom_of):
-    assert texts(dom_of("<body><div><div><i>1</i></div><i>2</i></div>"), [{"tag": "div"}, {"tag": "i"}]) == [["1", "2", "1"]]
+    steps = [{"tag": "div"}, {"tag": "i"}]
+    dom = dom_of("<body><div><div><i>1</i></div><i>2</i></div>")
+    assert texts(dom, steps) == [["1", "2"]]  # each node once, with its number of routes
+    rows = leaves(dom, navigate(F.col("nodes"), steps), {"value": "InnerText"}).orderBy("path_id").collect()
+    assert [r.value for r in rows] == ["1", "2", "1"]
+
+
+def test_a_million_routes_take_the_room_of_the_page(dom_of):
+    deep = dom_of("<body>" + "<div>" * 1_000 + "x")
+    found = deep.select(F.inline(navigate(F.col("nodes"), [{"tag": "div"}] * 3))).agg(F.count("*").alias("nodes"), F.sum("n").alias("routes")).first()
+    assert (found["nodes"], found["routes"]) == (998, 1_000 * 999 * 998 // 6)
+    rows = matches_table(dom_of("<body>" + "<div>" * 60), [{"tag": "div"}] * 3)
+    assert rows.count() == 60 * 59 * 58 // 6 and rows.select("path_id").distinct().count() == rows.count()
 
 
 def test_gate_drops_branch_and_prefers_direct_child(dom_of):
@@ -115,73 +127,91 @@ def test_target_values(dom_of):
     assert read({"value": "Title"}) == ["one!two", "none"]
 
 
-SHELF = {
-    "navigation": {
-        "tag": "main", "keyProperty": "class", "valueProperty": "shelf",
-        "nav": {"tag": "div", "keyProperty": "data-row", "valueProperty": "1",
-                "nav": {"tag": "ol", "recon": [recon("h4", "GENUS", reconRelation="REPEATING")]}},
-    },
+MENU = {
+    "navigation": [{"tag": "aside", "recon": [recon("em", "DAY")]}, {"tag": "var", "recon": [recon("h6", "COURSE", reconRelation="REPEATING")]}],
     "target": {
-        "tag": "li", "value": "InnerText", "recon": {"classification": [{"name": "SPECIES"}]},
-        "HCValues": [{"name": "ORIGIN", "value": "S"}], "classType": "Plant",
+        "tag": "a", "value": "Href", "regex": {"action": "REMOVE", "regex": "#"}, "recon": {"classification": [{"name": "DISH"}]},
+        "HCValues": [{"name": "HOUSE", "value": "H"}], "classType": "Dish",
     },
 }
 
 
 def test_single_field_entities(pages_of):
-    page = "<body><main class='shelf'><div data-row='1'>t<h4>V</h4><ol><li>go<li>run</ol><h4>N</h4><ol><li>dog</ol><ol></ol></div></main>"
-    rows = extract_entities(pages_of(page), SHELF).orderBy("entity_idx").collect()
+    page = "<body><em>Monday</em><aside><var><a href='#0'>x</a></var><h6>Cold</h6><var>1<a href='#a'>x</a></var><h6>Warm</h6><var><a href='#b'>y</a></var><var>none</var></aside>"
+    rows = extract_entities(pages_of(page), MENU).orderBy("entity_idx").collect()
     assert [(r.data, r.class_type) for r in rows] == [
-        ({"SPECIES": "go", "GENUS": "V", "ORIGIN": "S"}, "Plant"),
-        ({"SPECIES": "dog", "GENUS": "N", "ORIGIN": "S"}, "Plant"),
+        ({"DISH": "a", "DAY": "Monday", "COURSE": "Cold", "HOUSE": "H"}, "Dish"),
+        ({"DISH": "b", "DAY": "Monday", "COURSE": "Warm", "HOUSE": "H"}, "Dish"),
     ]
-    assert [(r.message) for r in extract_errors(pages_of(page, "no body"), SHELF).collect()] == ["no target value", "no body"]
+    assert [(r.message) for r in extract_errors(pages_of(page, "no body"), MENU).collect()] == ["no target value", "no body"]
 
 
-DEVICE = {
-    "navigation": {"tag": "section", "nav": {"tag": "dd", "recon": [recon("h2", "MODEL"), recon("p", "USE")]}},
+FARES = {
+    "navigation": [{"tag": "table"}, {"tag": "samp", "recon": [recon("caption", "LINE")]}],
     "target": {
-        "tag": "i", "value": "InnerText", "reconRelation": "SIBLING", "classType": "Device",
-        "recon": {"tag": "b", "reconValue": "InnerText", "classification": [
-            {"name": "MAKER", "findBy": "Maker%"}, {"name": "PORTS", "findBy": "Ports"}]},
+        "value": "_SharpText", "reconRelation": "CHILD", "classType": "Fare",
+        "recon": {"tag": "sup", "reconValue": "InnerText", "classification": [
+            {"name": "ADULT", "findBy": "Adult%"}, {"name": "CHILD", "findBy": "Child|Pupil"}, {"name": "DOG", "findBy": "%og"}]},
     },
 }
 LINES = (
-    "<dl><dd><b>Makers</b><i>D1</i></dd><dd><b>Maker</b><i>D1</i></dd>"
-    "<dd><b>Maker</b><i>D2</i></dd><dd><i>m1</i></dd><dd><b>Ports</b><i>S</i></dd>"
-    "<dd><b>Else</b><i>m2</i></dd><dd><b>Ports</b></dd></dl></section>"
+    "<samp><sup>Adults</sup>3.10</samp><samp><sup>Adult</sup>3.10</samp><samp><sup>Adult</sup>3.50</samp><samp>from May</samp>"
+    "<samp><sup>Pupil</sup>1.20</samp><samp><sup>Bike</sup>2.00</samp><samp><sup>Child</sup></samp>"
 )
 
 
+def lines(*captions):
+    """A page with one table of fares for each caption, None for a table without."""
+    caption = lambda c: f"<caption>{c}</caption>" if c else ""
+    return "<body>" + "".join(f"<table>{caption(c)}<tbody><tr><td>{LINES}</td></tr></tbody></table>" for c in captions)
+
+
+FARE = {"ADULT": "3.10", "CHILD": "1.20", "MISC": "from May 2.00"}
+
+
 def test_pivot_entities(pages_of):
-    pages = pages_of("<body><section><h2>T</h2><p>P</p>" + LINES, "<body><section><h2>No use</h2>" + LINES)
-    rows = extract_entities(pages, DEVICE).collect()
-    assert [r.data for r in rows] == [{"MODEL": "T", "USE": "P", "MAKER": "D1", "PORTS": "S", "MISC": "m1 m2"}]
-    errors = {(r.page_id, r.message, r.detail) for r in extract_errors(pages, DEVICE).collect()}
-    assert errors == {(0, "label set twice", "D2"), (0, "no target value", None)}
+    pages = pages_of(lines("U1", None, "U2"), lines(None))
+    rows = extract_entities(pages, FARES).orderBy("entity_idx").collect()
+    assert [r.data for r in rows] == [FARE | {"LINE": "U1"}, FARE | {"LINE": "U2"}]
+    assert sorted((r.page_id, r.message, r.detail or "") for r in extract_errors(pages, FARES).collect()) == 2 * [(0, "label set twice", "3.50")] + 2 * [(0, "no target value", "")]
+
+
+def test_containers_of_one_label_are_one_entity(pages_of):
+    rows = extract_entities(pages_of(lines("U1", "U2", "U1")), FARES).orderBy("entity_idx").collect()
+    assert [(r.data["LINE"], r.data["MISC"]) for r in rows] == [("U1", "from May 2.00 from May 2.00"), ("U2", "from May 2.00")]
+
+
+def test_everything_from_one_pass(pages_of, spark, tmp_path):
+    pages_of(lines("U1", "ADULT"), "none", lines()).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    found = extract_outcomes(pages, FARES)
+    assert sorted((r.page_id, r.message or "") for r in found.collect()) == [(0, ""), (0, "")] + 2 * [(0, "label set twice")] + 2 * [(0, "no target value")] + [(1, "no body")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    tables = extract_outcomes(pages, {"navigation": [{"tag": "table"}], "target": {"value": "Table", "recon": {"tag": "tr", "classification": [{"name": "A"}]}}})
+    assert sorted((r.page_id, r.message) for r in tables.collect()) == [(0, "row too wide"), (0, "row too wide"), (1, "no body")]
+    assert tables._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
 def test_field_set_twice_fails_the_entity(pages_of):
-    spec = DEVICE | {"target": DEVICE["target"] | {"HCValues": [{"name": "MODEL", "value": "x"}]}}
-    pages = pages_of("<body><section><h2>T</h2><p>P</p>" + LINES)
-    assert extract_entities(pages, spec).count() == 0
-    assert "field set twice" in [r.message for r in extract_errors(pages, spec).collect()]
+    spec = FARES | {"target": FARES["target"] | {"HCValues": [{"name": "LINE", "value": "x"}]}}
+    assert extract_entities(pages_of(lines("U1")), spec).count() == 0
+    assert "field set twice" in [r.message for r in extract_errors(pages_of(lines("U1")), spec).collect()]
 
 
 def test_label_misc_shares_the_field(pages_of):
-    labels = [{"name": "MISC", "findBy": "Maker%"}, {"name": "PORTS", "findBy": "Ports"}]
-    spec = DEVICE | {"target": DEVICE["target"] | {"recon": DEVICE["target"]["recon"] | {"classification": labels}}}
-    pages = pages_of("<body><section><h2>T</h2><p>P</p>" + LINES)
-    assert [r.data["MISC"] for r in extract_entities(pages, spec).collect()] == ["D1 D1 D2 m1 m2"]
+    labels = [{"name": "MISC", "findBy": "Adult%"}, {"name": "CHILD", "findBy": "Pupil"}]
+    spec = FARES | {"target": FARES["target"] | {"recon": FARES["target"]["recon"] | {"classification": labels}}}
+    pages = pages_of(lines("U1"))
+    assert [r.data["MISC"] for r in extract_entities(pages, spec).collect()] == ["3.10 3.10 3.50 from May 2.00"]
     assert [r.message for r in extract_errors(pages, spec).collect()] == ["no target value"]
 
 
 def test_constant_given_twice_fails_the_entity_only(pages_of):
     twice = [{"name": "A", "value": "x"}, {"name": "A", "value": "y"}]
-    pages = pages_of("<body><section><h2>T</h2><p>P</p>" + LINES)
-    spec = DEVICE | {"target": DEVICE["target"] | {"HCValues": twice}}
-    assert extract_entities(pages, spec).count() == 0
-    assert "field set twice" in [r.message for r in extract_errors(pages, spec).collect()]
+    spec = FARES | {"target": FARES["target"] | {"HCValues": twice}}
+    assert extract_entities(pages_of(lines("U1")), spec).count() == 0
+    assert "field set twice" in [r.message for r in extract_errors(pages_of(lines("U1")), spec).collect()]
 
 
 def test_table_classifications_may_share_a_name(pages_of):
@@ -194,24 +224,25 @@ def test_table_classifications_may_share_a_name(pages_of):
 
 
 def test_separator_cuts_before_the_parse(pages_of):
-    spec = SHELF | {"separatorId": "<!--start-->", "navigation": {"tag": "li"}, "target": SHELF["target"] | {"tag": None}}
+    spec = {"separatorId": "<!--start-->", "navigation": {"tag": "li"}, "target": {"value": "InnerText", "recon": {"classification": [{"name": "ITEM"}]}}}
     pages = pages_of("<head><!--start--></head><body><li>a<!--start--><li>b</body>", "<body><li>c")
-    assert [r.data["SPECIES"] for r in extract_entities(pages, spec).collect()] == ["b"]
+    assert [r.data["ITEM"] for r in extract_entities(pages, spec).collect()] == ["b"]
     assert [(r.page_id, r.message) for r in extract_errors(pages, spec).collect()] == [(1, "marker missing")]
 
 
 def test_extraction_needs_no_shuffle(pages_of, spark, tmp_path):
     pages_of("<body><p>x").write.parquet(str(tmp_path / "pages"))
-    plan = extract_entities(spark.read.parquet(str(tmp_path / "pages")), SHELF)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "ReadSchema: struct<page_id:bigint,html:string>" in plan
-    assert plan.count("MapInArrow") == 1
+    for spec in (MENU, FARES):
+        plan = extract_entities(spark.read.parquet(str(tmp_path / "pages")), spec)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "ReadSchema: struct<page_id:bigint,html:string>" in plan
+        assert plan.count("MapInArrow") == 1
 
 
 def test_extractions_share_a_stored_parse(pages_of, tmp_path):
-    pages = pages_of("<body><section><h2>T</h2><p>P</p>" + LINES)
-    dom = store_dom(spec_pages(pages, DEVICE), str(tmp_path / "dom"))
-    assert [r.data["MAKER"] for r in extract_entities(pages, DEVICE, dom).collect()] == ["D1"]
-    assert extract_errors(pages, DEVICE, dom).count() == 2
+    pages = pages_of(lines("U1"))
+    dom = store_dom(spec_pages(pages, FARES), str(tmp_path / "dom"))
+    assert [r.data["ADULT"] for r in extract_entities(pages, FARES, dom).collect()] == ["3.10"]
+    assert extract_errors(pages, FARES, dom).count() == 2
 
 
 def test_leaves_are_in_document_order(dom_of):
@@ -270,9 +301,15 @@ def test_navigation_equals_a_plain_recursion(dom_of, name):
     draw = random.Random(7)
     pages = ["<body>" + "".join(draw.choices(PIECES, k=draw.randrange(40))) for _ in range(150)]
     found = navigate(F.col("nodes"), STEPS[name])
-    got = {r.page_id: [(m.node_id, m.recons) for m in r.m] for r in dom_of(*pages).select("page_id", found.alias("m")).collect()}
+    got = {r.page_id: [(m.node_id, m.recons, m.n) for m in r.m] for r in dom_of(*pages).select("page_id", found.alias("m")).collect()}
+    order = lambda node, recons, n: (node, sorted(recons.items(), key=str), n)
     for number, page in enumerate(pages):
         columns = NodeColumns()
         columns.add_page(page)
-        assert got[number] == plain_walk(columns.to_arrow()[0].as_py(), STEPS[name]), page
-    assert any(got.values())
+        routes = {}
+        for node, recons in plain_walk(columns.to_arrow()[0].as_py(), STEPS[name]):
+            key = (node, tuple(sorted(recons.items())))
+            routes[key] = routes.get(key, 0) + 1
+        assert [m[0] for m in got[number]] == sorted(m[0] for m in got[number])
+        assert sorted((order(*m) for m in got[number]), key=str) == sorted((order(k[0], dict(k[1]), n) for k, n in routes.items()), key=str), page
+    assert any(got.values()) and any(m[2] > 1 for found in got.values() for m in found) == (name in ("bag", "attribute", "gate", "sections", "two headers"))

@@ -95,3 +95,12 @@ def brute_force(table):
 def test_row_span_placement(table):
     placed = _place(pa.array([table, None], pa.list_(pa.list_(pa.int32())))).to_pylist()
     assert placed == [brute_force(table), None]
+
+
+def test_a_span_of_millions_is_not_built(dom_of):
+    wide = "<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td colspan=100000000>x</td></tr></tbody></table>"
+    head = "<table><thead><tr><th colspan=100000000>A</th></tr></thead><tbody><tr><td>x</td></tr></tbody></table>"
+    many = "<table><thead><tr><th>A</th></tr></thead><tbody><tr>" + "<td colspan=2000000000>x</td>" * 3 + "</tr></tbody></table>"
+    tall = "<table><thead><tr><th rowspan=2 colspan=9000>A</th></tr><tr><th colspan=9000>B</th></tr></thead><tbody><tr><td>x</td></tr></tbody></table>"
+    tables = parse_table(find_tables(dom_of(*("<body>" + t for t in (wide, head, many, tall))), navigate(F.col("nodes"), [{"tag": "table"}])))
+    assert [r["error"] for r in tables.orderBy("page_id").collect()] == ["row too wide", "header too wide", "row too wide", "header too wide"]

@@ -10,7 +10,7 @@ from ..functions.urls import resolve_url
 from ..session import bucketed, forget, scratch_path, written
 from ..sources.dom import parse_pages
 from ..sources.pages import newest_pages
-from .navigate import from_body, navigate
+from .navigate import from_body, navigate, routes
 from .select import children, children_by_tag, first_child, has_child, let
 
 URL_TYPE = "Url"
@@ -50,22 +50,22 @@ def backtrack(ledger: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def link_values(nodes: Column, matches: Column, target: dict) -> Column:
-    """Attribute values of the matching direct children of each match that passes the recon."""
+    """`{href, n}` of the matching direct children of each match that passes the recon; `n`: routes that lead there."""
     recon = target.get("recon")
     if recon:
         where = (recon.get("tag"), recon.get("keyProperty"), recon.get("valueProperty"))
         matches = F.filter(matches, lambda m: has_child(nodes, m, *where))
     where = (target.get("tag"), target.get("keyProperty"), target.get("valueProperty"))
-    values = lambda m: F.transform(children(nodes, m, *where), lambda n: _attr(n, target.get("value")))
-    return F.array_compact(F.flatten(F.transform(matches, values)))
+    values = lambda m: F.transform(children(nodes, m, *where), lambda n: F.struct(_attr(n, target.get("value")).alias("href"), m["n"].alias("n")))
+    return F.filter(F.flatten(F.transform(matches, values)), lambda v: v["href"].isNotNull())
 
 
 def extract_links(pages: DataFrame, spec: dict) -> DataFrame:
     """`src_url, position, dst_url`; a link that stands twice on a page is there twice."""
     extraction = spec.get("extraction", spec)
-    dom = parse_pages(pages.select("url", "html"))
+    dom = parse_pages(pages.select(F.col("url").alias("page_id"), "html"))
     hrefs = link_values(F.col("nodes"), navigate(F.col("nodes"), extraction.get("navigation")), extraction["target"])
-    rows = dom.select(F.col("url").alias("src_url"), F.posexplode(hrefs).alias("position", "href"))
+    rows = routes(dom, hrefs).select(F.col("page_id").alias("src_url"), F.col("path_id").cast("int").alias("position"), "href")
     resolved = resolve_url(F.lit(extraction.get("urlBase")).cast("string"), apply_regex(F.col("href"), extraction["target"].get("regex")))
     return rows.select("src_url", "position", resolved.alias("dst_url"))
 

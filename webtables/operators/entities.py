@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.match import blank, match_value, tag_name
 from ..functions.text import first_classification
-from .navigate import RECONS
+from .navigate import RECONS, containers, routes
 from .select import first_child, let, node_text, target_value
 
 MISC = "MISC"
@@ -45,18 +45,22 @@ def target_classification(nodes: Column, anchor: Column, target: dict) -> Column
     return let(child, lambda n: F.when(n.isNotNull(), let(node_text(nodes, n), label)))
 
 
-def leaves(dom: DataFrame, matches: Column, target: dict) -> DataFrame:
-    """One row per match: `page_id, path_id, node_id, recons, label, value`."""
-    nodes = F.col("nodes")
+def leaf_array(nodes: Column, matches: Column, target: dict) -> Column:
+    """What stands at each match: `{node_id, recons, label, value, n}`."""
     label = F.lit(None).cast("string") if is_single_field(target) else None
     leaf = lambda m: F.struct(
         m["node_id"].alias("node_id"),
         m["recons"].alias("recons"),
         (label if label is not None else target_classification(nodes, m, target)).alias("label"),
         target_value(nodes, m, target).alias("value"),
+        m["n"].alias("n"),
     )
-    rows = dom.select("page_id", F.posexplode(F.transform(matches, leaf)).alias("path_id", "x"))
-    return rows.select("page_id", "path_id", "x.*")
+    return F.transform(matches, leaf)
+
+
+def leaves(dom: DataFrame, matches: Column, target: dict) -> DataFrame:
+    """One row per route to a leaf: `page_id, path_id, node_id, recons, label, value`."""
+    return routes(dom, leaf_array(F.col("nodes"), matches, target))
 
 
 def attach_group_data(entities: DataFrame, fixed: Column, broken: Column | bool = False) -> DataFrame:
@@ -71,67 +75,108 @@ def attach_group_data(entities: DataFrame, fixed: Column, broken: Column | bool
     return entities.withColumns({"error": reason, "data": F.coalesce(merged, F.col("data"))}).drop("recons")
 
 
-def entity_per_node(found: DataFrame, target: dict) -> DataFrame:
+def entity_per_node(found: DataFrame, target: dict, *kept: str) -> DataFrame:
     """One entity per leaf: `{name: value}` plus group data. A leaf without a value fails."""
     name = F.lit(target["recon"]["classification"][0]["name"])
     rows = found.select(
-        "page_id", F.col("path_id").cast("bigint").alias("entity_idx"), F.create_map(name, "value").alias("data"), "recons", "value"
+        "page_id", F.col("path_id").cast("bigint").alias("entity_idx"), F.create_map(name, "value").alias("data"), "recons", "value", *kept
     )
     made = attach_group_data(rows, constants(target), given_twice(target))
     lost = F.when(F.col("value").isNull(), F.lit("no target value"))
     return made.withColumn("error", F.coalesce("error", lost)).drop("value")
 
 
-def misc_bucket(value: Column, order: Column) -> Column:
-    """Aggregate: unlabelled values in document order, joined with a blank."""
-    texts = F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    return F.nullif(F.array_join(texts["v"], " "), F.lit(""))
+def misc_bucket(loose: Column) -> Column:
+    """Values of unlabelled leaves (`{value, n}`) in document order, joined with a blank; null if there is none."""
+    again = lambda c: F.transform(F.filter(loose, lambda x: x["n"] > c), lambda x: x["value"])
+    most = F.coalesce(F.array_max(F.transform(loose, lambda x: x["n"])), F.lit(1))
+    return F.nullif(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), most - 1), again)), " "), F.lit(""))
+
 
+def label_names(target: dict) -> list[str]:
+    return list(dict.fromkeys(c["name"] for c in (target.get("recon") or {}).get("classification") or () if c["name"] != MISC))
 
-def entity_pivot(found: DataFrame, target: dict) -> DataFrame:
+
+def folded(found: Column, target: dict) -> Column:
+    """The containers of a page's leaves, by first appearance: `{entity_idx, recons, values, members}`.
+
+    `values`: the first value of each label of the spec, then the unlabelled ones (MISC). `members`: the leaves with
+    their place `at`. A container is there even if none of its leaves has a value; `entity_idx` is then null.
+    """
+    names = label_names(target)
+
+    def container(of: Column):
+        def one(members: Column) -> Column:
+            held = F.filter(members, lambda x: x["value"].isNotNull())
+            first = lambda vs, name: F.get(F.filter(vs, lambda x: x["label"] == name), F.lit(0))["value"]
+            loose = lambda vs: F.filter(vs, lambda x: F.coalesce(x["label"] == MISC, F.lit(True)))
+            return let(
+                held,
+                lambda vs: F.struct(
+                    F.get(vs, F.lit(0))["at"].cast("bigint").alias("entity_idx"),
+                    F.get(members, F.lit(0))["recons"].alias("recons"),
+                    F.array(*[first(vs, n) for n in names], let(loose(vs), misc_bucket)).cast("array<string>").alias("values"),
+                    members.alias("members"),
+                ),
+            )
+
+        member = lambda i: F.get(of, i).withField("at", i)
+        return lambda c: let(F.transform(c, member), one)
+
+    return let(found, lambda of: F.transform(containers(of), container(of)))
+
+
+def pivoted(fold: Column, target: dict) -> Column:
+    """`{entity_idx, recons, data}` of the containers that have a value."""
+    names = F.array(*[F.lit(n) for n in [*label_names(target), MISC]])
+    data = lambda c: F.map_filter(F.map_from_arrays(names, c["values"]), lambda k, v: v.isNotNull())
+    made = lambda c: F.struct(c["entity_idx"].alias("entity_idx"), c["recons"].alias("recons"), data(c).alias("data"))
+    return F.transform(F.filter(fold, lambda c: c["entity_idx"].isNotNull()), made)
+
+
+def entity_pivot(dom: DataFrame, matches: Column, target: dict) -> DataFrame:
     """One entity per container (equal recons): the first value of each label, the rest in MISC.
 
-    The labels are known from the spec, so this is one aggregation with a conditional first per label. A label
-    that is MISC itself shares the field with the unlabelled values.
+    Folded inside the page row, so nothing is shuffled. A label that is MISC itself shares the field with the
+    unlabelled values.
     """
-    names = list(dict.fromkeys(c["name"] for c in (target.get("recon") or {}).get("classification") or () if c["name"] != MISC))
-    has = F.col("value").isNotNull()
-    first = lambda n: F.min_by(F.when(F.col("label") == n, F.col("value")), F.when(has & (F.col("label") == n), F.col("path_id")))
-    loose = has & F.coalesce(F.col("label") == MISC, F.lit(True))
-    misc = misc_bucket(F.when(loose, F.col("value")), F.when(loose, F.col("path_id")))
-    held = found.where(has).groupBy("page_id", "recons").agg(
-        F.min("path_id").cast("bigint").alias("entity_idx"),
-        F.array(*[first(n) for n in names], misc).cast("array<string>").alias("_values"),
-    )
-    data = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(n) for n in [*names, MISC]]), F.col("_values")), lambda k, v: v.isNotNull()
-    )
-    return attach_group_data(held.withColumn("data", data).drop("_values"), constants(target), given_twice(target))
-
-
-def pivot_conflicts(found: DataFrame) -> DataFrame:
-    """Leaves the pivot does not use: no value, or another value for a label already set."""
-    container = F.array_sort(F.map_entries("recons"))
-    order = Window.partitionBy("page_id", "_container", "label").orderBy("path_id")
-    kept = F.first("value", ignorenulls=True).over(order)
-    seen = found.withColumn("_container", container).withColumn("_kept", kept)
-    clash = (F.col("label") != MISC) & (F.col("value") != F.col("_kept"))
-    reason = F.when(F.col("value").isNull(), "no target value").when(clash, "label set twice")
-    return seen.withColumn("error", reason).where("error IS NOT NULL").select(
-        "page_id", "path_id", "label", "value", "error"
-    )
+    fold = folded(leaf_array(F.col("nodes"), matches, target), target)
+    return attach_group_data(dom.select("page_id", F.inline(pivoted(fold, target))), constants(target), given_twice(target))
+
+
+def conflicts(fold: Column, target: dict) -> Column:
+    """Leaves the pivot does not use, `{at, label, value, error, n}`: no value, or another value for a label already set."""
+    names = label_names(target)
+
+    def judged(c: Column):
+        kept = lambda x: F.coalesce(*[F.when(x["label"] == n, F.get(c["values"], F.lit(i))) for i, n in enumerate(names)], F.lit(None).cast("string"))
+        reason = lambda x: F.when(x["value"].isNull(), "no target value").when(x["value"] != kept(x), "label set twice")
+        return lambda x: F.struct(x["at"].alias("at"), x["label"].alias("label"), x["value"].alias("value"), reason(x).alias("error"), x["n"].alias("n"))
+
+    every = F.flatten(F.transform(fold, lambda c: F.transform(c["members"], judged(c))))
+    return F.array_sort(F.filter(every, lambda x: x["error"].isNotNull()), lambda a, b: a["at"] - b["at"])
+
+
+def pivot_conflicts(dom: DataFrame, matches: Column, target: dict) -> DataFrame:
+    """`page_id, path_id, label, value, error` of the leaves the pivot does not use."""
+    found = conflicts(folded(leaf_array(F.col("nodes"), matches, target), target), target)
+    rows = dom.select("page_id", F.inline(found)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return rows.select("page_id", F.col("at").alias("path_id"), "label", "value", "error")
 
 
 def entity_from_table_row(tables: DataFrame, classifications: list[dict], fixed: Column, broken: bool = False) -> DataFrame:
     """One entity per table row: per classification the first column whose name satisfies `findBy`.
 
-    Classifications may share a name: the one that finds a column fills the field; a row where both do fails.
+    Classifications may share a name: the one that finds a column fills the field; a row where both do fails. A table
+    that cannot be read (`error`) is one row without data and with that `error`.
     """
     wanted = lambda k: lambda n: F.lit(True) if blank(k.get("findBy")) else match_value(n, k["findBy"])
     place = lambda k: F.array_position(F.transform("columns", wanted(k)), True)
     indexes = F.array(*[place(k) for k in classifications]).cast("array<int>")
+    lost = F.struct(F.lit(None).cast("int").alias("row_idx"), F.lit(None).cast("array<string>").alias("row"), F.col("error").alias("flaw"))
+    good = F.transform("rows", lambda r, i: F.struct(i.alias("row_idx"), r.alias("row"), F.lit(None).cast("string").alias("flaw")))
     rows = tables.withColumn("_at", indexes).select(
-        "page_id", "path_id", "table_id", "recons", "_at", F.posexplode("rows").alias("row_idx", "row")
+        "page_id", "path_id", "table_id", "recons", "_at", F.inline(F.when(F.col("error").isNotNull(), F.array(lost)).otherwise(good))
     )
     names = F.array(*[F.lit(k["name"]) for k in classifications])
     pairs = F.arrays_zip(names.alias("name"), F.col("_at").alias("at"))
@@ -145,8 +190,11 @@ def entity_from_table_row(tables: DataFrame, classifications: list[dict], fixed:
         F.map_from_entries(once).alias("data"),
         "recons",
         (F.size(once) < F.size(entries)).alias("_twice"),
+        "flaw",
+        "table_id",
     )
-    return attach_group_data(filled, fixed, F.col("_twice") | broken).drop("_twice")
+    made = attach_group_data(filled, fixed, F.coalesce(F.col("_twice"), F.lit(False)) | broken)
+    return made.withColumn("error", F.coalesce("flaw", "error")).drop("_twice", "flaw")
 
 
 def missing_classifications(tables: DataFrame, classifications: list[dict]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Navigation steps of an extraction spec, inside the page row.
 
-`matches` is an array of `{node_id, last_id, recons}` in visiting order. A step maps every match to the
-matching descendants of its node, so a node reached by several routes is there once per route.
+`matches` is an array of `{node_id, last_id, recons, n}` in document order. A step maps every match to the matching
+descendants of its node. A node that several routes reach with the same recon values is there once, with their number
+`n`; only the explode that makes rows multiplies it out (`routes`). So nested steps that lead to one node in a million
+ways take no more room than its page.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from .select import below, descendants, first_child, first_descendant, let, node
 RECONS = "map<string,string>"
 
 
-def _match(node: Column, recons: Column) -> Column:
-    return F.struct(node["node_id"].alias("node_id"), node["last_id"].alias("last_id"), recons.alias("recons"))
+def _match(node: Column, recons: Column, n: Column) -> Column:
+    return F.struct(node["node_id"].alias("node_id"), node["last_id"].alias("last_id"), recons.alias("recons"), n.alias("n"))
 
 
 def no_recons() -> Column:
@@ -27,7 +29,7 @@ def no_recons() -> Column:
 
 def from_body(nodes: Column) -> Column:
     """The starting matches: the body, or nothing for a page without one."""
-    return F.transform(F.slice(nodes, 1, 1), lambda n: _match(n, no_recons()))
+    return F.transform(F.slice(nodes, 1, 1), lambda n: _match(n, no_recons(), F.lit(1).cast("long")))
 
 
 def recon_key(recon: dict) -> str:
@@ -68,7 +70,7 @@ def recon_gate(nodes: Column, matches: Column, recons: list[dict]) -> Column:
     passed = F.filter(tried, lambda t: F.forall(t["v"], lambda v: v.isNotNull()))
     values = lambda t: F.array(*[F.get(t["v"], F.lit(last[k])) for k in by_key])
     return F.transform(
-        passed, lambda t: _match(t["m"], recon_carry(t["m"]["recons"], F.map_from_arrays(keys, values(t))))
+        passed, lambda t: _match(t["m"], recon_carry(t["m"]["recons"], F.map_from_arrays(keys, values(t))), t["m"]["n"])
     )
 
 
@@ -124,35 +126,59 @@ def repeating_sections(nodes: Column, anchor: Column, recons: list[dict]) -> Col
     )
 
 
-def in_section(nodes: Column, section: Column, tag: str, key: str | None = None, pattern: str | None = None) -> Column:
-    """Matching nodes of a section: its members and their subtrees, the header included."""
-    members = F.slice(nodes, section["node_id"] + 1, section["last_id"] - section["node_id"] + 1)
-    return F.filter(members, lambda n: match_element(n, tag, key, pattern))
+def recons_text(recons: Column) -> Column:
+    """A text that two maps share only if they are equal, whatever the order of their entries."""
+    sized = lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)
+    part = lambda e: F.concat(sized(e["key"]), F.when(e["value"].isNull(), "-").otherwise(sized(e["value"])))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(recons)), part), "")
+
+
+def within(nodes: Column, ranges: Column, fits) -> Column:
+    """Matches among the nodes of ranges `{low, high, recons, n}`, which come in the order of `low`.
+
+    Ranges that lie apart are read one after the other. Where some overlap (nested anchors), each node is taken once for
+    each different recons, with the sum of `n` over the ranges around it: nodes times ranges, but no list of routes.
+    """
+    members = lambda r: F.filter(F.slice(nodes, r["low"] + 1, r["high"] - r["low"] + 1), fits)
+    apart = lambda rs: F.flatten(F.transform(rs, lambda r: F.transform(members(r), lambda x: _match(x, r["recons"], r["n"]))))
+
+    def overlap(rs: Column) -> Column:
+        start = F.struct(F.lit(-1).alias("to"), F.lit(False).alias("any"))
+        more = lambda a, r: F.struct(F.greatest(a["to"], r["high"]).alias("to"), (a["any"] | (r["low"] <= a["to"])).alias("any"))
+        return F.aggregate(rs, start, more, lambda a: a["any"])
+
+    def together(rs: Column) -> Column:
+        keyed = F.transform(rs, lambda r: F.struct(recons_text(r["recons"]).alias("key"), r.alias("r")))
+
+        def of(own: Column) -> Column:
+            around = lambda x: F.aggregate(
+                own, F.lit(0).cast("long"), lambda t, r: t + F.when(x["node_id"].between(r["r"]["low"], r["r"]["high"]), r["r"]["n"]).otherwise(0)
+            )
+            found = F.transform(F.filter(nodes, fits), lambda x: _match(x, F.get(own, F.lit(0))["r"]["recons"], around(x)))
+            return F.filter(found, lambda m: m["n"] > 0)
+
+        every = lambda ks: F.flatten(
+            F.transform(F.array_distinct(F.transform(ks, lambda k: k["key"])), lambda key: let(F.filter(ks, lambda k: k["key"] == key), of))
+        )
+        return F.array_sort(let(keyed, every), lambda a, b: a["node_id"] - b["node_id"])
+
+    return let(ranges, lambda rs: F.when(overlap(rs), together(rs)).otherwise(apart(rs)))
 
 
 def step(nodes: Column, matches: Column, navigation: dict) -> Column:
-    where = (navigation.get("tag"), navigation.get("keyProperty"), navigation.get("valueProperty"))
+    """The next matches: in the sections of each anchor (headers included) if its recons repeat, else below it."""
+    fits = lambda n: match_element(n, navigation.get("tag"), navigation.get("keyProperty"), navigation.get("valueProperty"))
     recons = navigation.get("recon") or []
+    span = lambda low, high, recons_, n: F.struct(low.alias("low"), high.alias("high"), recons_.alias("recons"), n.alias("n"))
     if recons and is_repeating(recons):
-        sections = F.flatten(
-            F.transform(
-                matches,
-                lambda m: F.transform(
-                    repeating_sections(nodes, m, recons),
-                    lambda s: F.struct(
-                        s["node_id"].alias("node_id"),
-                        s["last_id"].alias("last_id"),
-                        recon_carry(m["recons"], s["recons"]).alias("recons"),
-                    ),
-                ),
-            )
+        sections = lambda m: F.transform(
+            repeating_sections(nodes, m, recons), lambda s: span(s["node_id"], s["last_id"], recon_carry(m["recons"], s["recons"]), m["n"])
         )
-        reach = lambda s: F.transform(in_section(nodes, s, *where), lambda n: _match(n, s["recons"]))
-        return F.flatten(F.transform(sections, reach))
+        by_start = lambda rs: F.array_sort(rs, lambda a, b: a["low"] - b["low"])
+        return within(nodes, by_start(F.flatten(F.transform(matches, sections))), fits)
     if recons:
         matches = recon_gate(nodes, matches, recons)
-    reach = lambda m: F.transform(descendants(nodes, m, *where), lambda n: _match(n, m["recons"]))
-    return F.flatten(F.transform(matches, reach))
+    return within(nodes, F.transform(matches, lambda m: span(m["node_id"] + 1, m["last_id"], m["recons"], m["n"])), fits)
 
 
 def navigate(nodes: Column, navigation: dict | list[dict] | None, start: Column | None = None) -> Column:
@@ -173,23 +199,63 @@ def steps_of(navigation: dict | list[dict] | None) -> list[dict]:
     return steps
 
 
+def routes(dom: DataFrame, found: Column, *kept: str) -> DataFrame:
+    """One row per route to each element of `found`: `page_id, path_id`, the other fields and `kept` columns.
+
+    `path_id` numbers the elements of a page from 0, in order, then those that are reached again, and so on.
+    """
+    number = lambda fs: F.transform(fs, lambda x, i: F.struct(i.alias("at"), F.size(fs).alias("of"), x.alias("x")))
+    rows = dom.select("page_id", *kept, F.inline(let(found, number)))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.n") - 1)))
+    return rows.select("page_id", (F.col("at") + F.col("copy") * F.col("of")).alias("path_id"), *kept, "x.*").drop("n")
+
+
 def matches_table(dom: DataFrame, navigation: dict | list[dict] | None) -> DataFrame:
-    """Long form of `navigate`: `page_id, path_id, node_id, last_id, recons`."""
-    found = dom.select("page_id", F.posexplode(navigate(F.col("nodes"), navigation)).alias("path_id", "m"))
-    return found.select("page_id", "path_id", "m.*")
+    """Long form of `navigate`: `page_id, path_id, node_id, last_id, recons`, one row per route."""
+    return routes(dom, navigate(F.col("nodes"), navigation))
 
 
-def group_containers(matches: DataFrame) -> DataFrame:
-    """Leaves with equal recon values form one container; `first_path` is its order of appearance."""
-    return matches.groupBy("page_id", "recons").agg(
-        F.min("path_id").alias("first_path"),
-        F.count("*").alias("n_leaves"),
-        F.sort_array(F.collect_list(F.struct("path_id", "node_id", "last_id"))).alias("leaves"),
-    )
+def containers(found: Column) -> Column:
+    """Places (from 0) of the elements with equal `recons`: an array for each container, by first appearance."""
+    keyed = F.transform(found, lambda x, i: F.struct(recons_text(x["recons"]).alias("key"), i.alias("at")))
+
+    def cut(order: Column) -> Column:
+        starts = F.filter(
+            F.transform(order, lambda o, j: F.when((j == 0) | (o["key"] != F.get(order, j - 1)["key"]), j)), lambda j: j.isNotNull()
+        )
+        upto = lambda js, g: F.coalesce(F.get(js, g + 1), F.size(order))
+        one = lambda js: lambda j, g: F.transform(F.slice(order, j + 1, upto(js, g) - j), lambda o: o["at"])
+        return let(starts, lambda js: F.transform(js, one(js)))
+
+    return F.array_sort(let(F.array_sort(keyed), cut))
+
+
+def _grouped(nodes: Column, navigation: dict | list[dict] | None) -> Column:
+    """`{recons, first_path, n_leaves, leaves}` of every container of a page."""
+
+    def container(found: Column):
+        leaf = lambda i: F.struct(i.alias("path_id"), F.get(found, i)["node_id"].alias("node_id"), F.get(found, i)["last_id"].alias("last_id"), F.get(found, i)["n"].alias("n"))
+        first = lambda c: F.get(c, F.lit(0))
+        return lambda c: F.struct(
+            F.get(found, first(c))["recons"].alias("recons"),
+            first(c).alias("first_path"),
+            F.aggregate(c, F.lit(0).cast("long"), lambda t, i: t + F.get(found, i)["n"]).alias("n_leaves"),
+            F.transform(c, leaf).alias("leaves"),
+        )
+
+    return let(navigate(nodes, navigation), lambda found: F.transform(containers(found), container(found)))
+
+
+def group_containers(dom: DataFrame, navigation: dict | list[dict] | None) -> DataFrame:
+    """Leaves with equal recon values form one container; `first_path` is its order of appearance.
+
+    Folded inside the page row: `page_id, recons, first_path, n_leaves` (routes) and `leaves`, each with its routes `n`.
+    """
+    return dom.select("page_id", F.inline(_grouped(F.col("nodes"), navigation)))
 
 
 def navigate_flat(dom: DataFrame, navigation: dict | list[dict] | None) -> DataFrame:
     """Matches in container order: by the container's first appearance, then as visited in it."""
-    containers = group_containers(matches_table(dom, navigation))
-    leaves = containers.select("page_id", "first_path", F.inline("leaves"))
-    return leaves.select("page_id", F.struct("first_path", "path_id").alias("position"), "node_id", "last_id")
+    each = lambda c: F.transform(c["leaves"], lambda x: F.struct(c["first_path"].alias("first_path"), x["node_id"].alias("node_id"), x["last_id"].alias("last_id"), x["n"].alias("n")))
+    flat = routes(dom, F.flatten(F.transform(_grouped(F.col("nodes"), navigation), each)))
+    return flat.select("page_id", F.struct("first_path", "path_id").alias("position"), "node_id", "last_id")

@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import clean_cell, header_name
+from .navigate import routes
 from .select import all_children, children, first_child, let, node_text
 
 MIN_COLUMNS = 4
+#: Columns beyond which a header is taken for a mistake, such as a span of millions.
+MOST_COLUMNS = 1 << 14
 
 
 # ---- cells ---------------------------------------------------------------------------------------
@@ -95,6 +98,21 @@ def expand_colspan(rows: Column, is_header: bool) -> Column:
     return F.transform(rows, lambda r: F.flatten(F.transform(r, units)))
 
 
+def width_bound(rows: Column) -> Column:
+    """Columns that rows take at most, from the spans alone: the widest row, or all rows side by side where cells reach down."""
+    spans = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda t, c: t + F.greatest(c["colspan"], F.lit(0)))
+    widths = F.transform(rows, spans)
+    tall = F.exists(F.flatten(rows), lambda c: c["rowspan"] > 1)
+    every = lambda ws: F.when(tall, F.aggregate(ws, F.lit(0).cast("long"), lambda t, w: t + w)).otherwise(F.coalesce(F.array_max(ws), F.lit(0)))
+    return let(widths, every)
+
+
+def widest(rows: Column) -> Column:
+    """Columns of the widest row by its own cells."""
+    spans = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda t, c: t + F.greatest(c["colspan"], F.lit(0)))
+    return F.coalesce(F.array_max(F.transform(rows, spans)), F.lit(0))
+
+
 def _place(spans: pa.Array) -> pa.Array:
     """Row spans of a table's units -> per row and column the number of the unit shown there.
 
@@ -175,13 +193,19 @@ def pad_short_rows(grid: Column, width: Column) -> Column:
 def parse_table(cut: DataFrame) -> DataFrame:
     """Rows with `header` and `body` cells -> the same rows with `columns`, `rows` and `error`.
 
-    `error` says why a table cannot be read; its `columns` and `rows` are then null.
+    `error` says why a table cannot be read; its `columns` and `rows` are then null. Widths are compared as sums of
+    spans before any cell is spread over its columns, so a span of millions costs nothing.
     """
     kept = [c for c in cut.columns if c not in ("header", "body")]
     spans = lambda part: F.flatten(F.transform(F.col(part), lambda r: F.transform(r, lambda c: c["colspan"] + c["rowspan"])))
     bad_span = F.exists(F.flatten(F.array(spans("header"), spans("body"))), lambda n: n.isNull())
     lacking = F.col("header").isNull() | F.col("body").isNull()
-    units = cut.withColumn("_flaw", F.when(lacking, "no tbody").when(bad_span, "bad span")).select(
+    bound = width_bound(F.col("header"))
+    flaw = (
+        F.when(lacking, "no tbody").when(bad_span, "bad span").when(widest(F.col("header")) > MOST_COLUMNS, "header too wide")
+        .when(widest(F.col("body")) > bound, "row too wide").when(bound > MOST_COLUMNS, "header too wide")
+    )
+    units = cut.withColumn("_flaw", flaw).select(
         *kept,
         "_flaw",
         F.when(F.col("_flaw").isNull(), expand_colspan(F.col("header"), True)).alias("_head"),
@@ -196,11 +220,11 @@ def parse_table(cut: DataFrame) -> DataFrame:
     )
 
     def judged(g: Column) -> Column:
-        widest = F.coalesce(F.array_max(F.transform(g["rows"], lambda r: F.size(r))), F.lit(0))
+        most = F.coalesce(F.array_max(F.transform(g["rows"], lambda r: F.size(r))), F.lit(0))
         twice = F.size(F.array_distinct(g["columns"])) < F.size(g["columns"])
         error = F.coalesce(
             F.col("_flaw"),
-            F.when(widest > F.size(g["columns"]), "row too wide"),
+            F.when(most > F.size(g["columns"]), "row too wide"),
             F.when(twice, "duplicate header"),
         )
         return F.struct(
@@ -215,10 +239,19 @@ def parse_table(cut: DataFrame) -> DataFrame:
 
 def find_tables(dom: DataFrame, matches: Column) -> DataFrame:
     """Cut the table at each match: `page_id, path_id, table_id, recons, header, body`."""
-    nodes = F.col("nodes")
-    cut = lambda m: F.struct(m["node_id"].alias("table_id"), m["recons"].alias("recons"), cut_tables(nodes, m).alias("t"))
-    found = dom.select("page_id", F.posexplode(F.transform(matches, cut)).alias("path_id", "x"))
-    return found.select("page_id", "path_id", "x.table_id", "x.recons", "x.t.header", "x.t.body")
+    return routes(dom, table_array(F.col("nodes"), matches))
+
+
+def table_array(nodes: Column, matches: Column) -> Column:
+    """`{table_id, recons, header, body, n}` of the table at each match."""
+
+    def cut(m: Column) -> Column:
+        fields = lambda t: F.struct(
+            m["node_id"].alias("table_id"), m["recons"].alias("recons"), t["header"].alias("header"), t["body"].alias("body"), m["n"].alias("n")
+        )
+        return let(cut_tables(nodes, m), fields)
+
+    return F.transform(matches, cut)
 
 
 def headers_table(tables: DataFrame) -> DataFrame:
@@ -233,8 +266,12 @@ def cells_table(tables: DataFrame) -> DataFrame:
     return cells.select("page_id", "table_id", "row_idx", "col_idx", "c.*")
 
 
+def too_narrow(tables: DataFrame, n: int = MIN_COLUMNS) -> DataFrame:
+    """The tables with an `error` also for those of fewer than `n` columns."""
+    return tables.withColumn("error", F.coalesce("error", F.when(F.size("columns") < n, "too few columns")))
+
+
 def min_columns_guard(tables: DataFrame, n: int = MIN_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """(tables with at least `n` columns, the rest with the reason in `error`)."""
-    wide = F.col("error").isNull() & (F.size("columns") >= n)
-    narrow = tables.where(~wide).withColumn("error", F.coalesce("error", F.lit("too few columns")))
-    return tables.where(wide), narrow
+    judged = too_narrow(tables, n)
+    return judged.where("error IS NULL"), judged.where("error IS NOT NULL")

@@ -41,6 +41,13 @@ def _position(marker: str):
     return F.call_function("locate", F.lit(marker), F.col("html"), start)
 
 
+def marked(pages: DataFrame, marker: str) -> DataFrame:
+    """All pages, cut before the first `marker` of the body, with `marked`; a page without it has null HTML."""
+    placed = pages.withColumn("_at", F.coalesce(_position(marker), F.lit(0)))
+    cut = F.when(F.col("_at") > 0, F.concat(F.lit("<body>"), F.expr("substring(html, _at)")))
+    return placed.select(*[cut.alias("html") if c == "html" else F.col(c) for c in pages.columns], (F.col("_at") > 0).alias("marked"))
+
+
 def truncate_before(pages: DataFrame, marker: str) -> tuple[DataFrame, DataFrame]:
     """Drop the body's HTML before the first `marker`: (cut pages, pages without the marker)."""
     placed = pages.withColumn("_at", _position(marker))
