@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webtables.llm import bpe, token_files
+from webtables.llm import bpe, token_files, units
 
 from .conftest import ODD
 
@@ -80,6 +81,17 @@ def test_automaton_of_any_merges():
             assert got == plain_bpe([*word[:-1], word[-1] + "</w>"], merges), (word, merges)
 
 
+def test_query_columns_equal_the_library(spark, odd_docs, library):
+    docs = odd_docs.unionByName(spark.createDataFrame(list(enumerate(texts(5, 20), 100)), "doc_id BIGINT, text STRING"))
+    found = bpe.round_trip(docs, PATH).collect()
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False).encode()
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+
+
 def test_decode_in_pieces(encoder, monkeypatch):
     ids = encoder.encode(b"some words in a row, and more")
     whole = b"".join(encoder.decode(ids))
@@ -87,11 +99,42 @@ def test_decode_in_pieces(encoder, monkeypatch):
     assert b"".join(encoder.decode(ids)) == whole
 
 
-def test_memory_starts_anew(encoder, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+def test_units_cover_a_text_in_order(library):
+    text = "Ab cd9, x's <|endoftext|> É-ñ ×a\u0130 日本\ttail..\n".encode()
+    values, starts, odd = units.split(text)
+    found = values.to_pylist()
+    assert [u.decode() for u in found] == ["ab", "cd", "9", ",", "x's", "<|endoftext|>", "É", "-", "ñ", "×a\u0130", "日本", "tail", ".."]
+    assert odd.tolist() == [False, False, False, False, True, True, False, False, False, True, True, False, False]
+    assert [text[s:].startswith(u) or text[s:].lower().startswith(u) for s, u in zip(starts, found)] == [True] * len(found)
+
+
+def test_memory_is_bounded_in_bytes(library):
+    """Texts without blanks, each one unit, and many short units: what is held stays below the bound."""
+    for many in ([f"日本{i}" * 400 for i in range(300)], [f"word{i}x{i}" for i in range(5_000)], [f"日{i}本" for i in range(3_000)]):
+        held = token_files.Library(library).units
+        held.most = 100_000
+        coded = list(held.encode([t.encode() for t in many]))
+        assert held.size() <= held.most and max(map(len, [*held.known.to_pylist(), b""])) <= units.LONG
+        assert len(held.known) == len(held.lengths) == len(held.hits) and held.lengths.sum() == len(held.ids)
+        assert list(held.encode([t.encode() for t in many])) == coded
+        for text, ids in list(zip(many, coded))[:40]:
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_forgotten_unit_is_learnt_again(encoder):
     fresh = bpe.Encoder.__new__(bpe.Encoder)
     fresh.__setstate__(encoder.__getstate__())
-    assert fresh.encode(b"one two three four one two") == encoder.encode(b"one two three four one two")
+    fresh.units.most = 300
+    text = b"one two three four five six seven one two three"
+    assert [fresh.encode(text) for _ in range(3)] == [encoder.encode(text)] * 3
+
+
+def test_long_text_without_blanks(encoder, library):
+    text = "日本語テキスト" * 30_000 + "a" * 100_000
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(token_files.Library(library).units.encode([text.encode()])), "<u4").tolist() == want
+    short = text[:3_000] + "a" * 300
+    assert np.frombuffer(encoder.encode(short.encode()), "<u4").tolist() == library.encode(short, add_special_tokens=False).ids
 
 
 def test_encode_and_decode_tables(odd_docs, clashing, no_docs, library):
@@ -123,10 +166,14 @@ def test_outliers_cost_little():
     assert len(token_files.write_segment(ids)) < 128 * 100
 
 
-def test_chunks_like_the_library(library):
-    every = texts(7)
-    for text, ids in zip(every, token_files.Encoded(library).encode([t.encode() for t in every])):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+@pytest.mark.parametrize("finer", [True, False])
+def test_units_like_the_library(library, finer):
+    every, own = texts(7), token_files.Library(library)
+    assert own.units.finer
+    held = units.Units(own.learn, finer)
+    for _ in range(2):
+        for text, ids in zip(every, held.encode([t.encode() for t in every])):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("segment", [1 << 20, 50])

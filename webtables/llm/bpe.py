@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from webtables.llm.common import documents, free_name, widened
+from webtables.llm.units import PATTERN, Units, byte_symbols
 
-#: Entries of a worker's memory of chunks, and of its table of transitions, before it starts anew.
-REMEMBERED = 1_000_000
+#: Entries of a worker's table of transitions before it starts anew (two numbers each).
+TRANSITIONS = 1_000_000
 #: Ids that are decoded at a time.
 PIECE = 1 << 18
 START = -1
@@ -37,13 +39,6 @@ NEVER = 1 << 60
 PLAIN = "ɐ"
 
 
-def byte_symbols() -> dict[str, int]:
-    """Vocabulary symbol -> byte: printable bytes stand for themselves, the others for code points from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Automaton:
     """Deterministic automaton over token ids; its only accepted spelling of a word is the word's BPE tokens."""
 
@@ -129,7 +124,7 @@ class Encoder:
         self.words = regex.compile(self.pattern)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.table: dict[int, bool] = {}
-        self.memory = Memory(self)
+        self.units = Units(self.learn, self.pattern == PATTERN)
 
     # words
 
@@ -152,7 +147,7 @@ class Encoder:
                     key = state * automaton.size + token
                     leads = table.get(key)
                     if leads is None:
-                        if len(table) >= REMEMBERED:
+                        if len(table) >= TRANSITIONS:
                             table.clear()
                         leads = table[key] = automaton.leads(state, token)
                     if not leads:
@@ -175,7 +170,11 @@ class Encoder:
                 return [t for _, t in path]
             ways.append(self.arcs(word, *step))
 
-    def chunk(self, chunk: bytes) -> bytes:
+    def learn(self, units: pa.Array, odd: bool) -> tuple[np.ndarray, np.ndarray]:
+        each = list(map(self.chunk if odd else self.simple, units.to_pylist()))
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def chunk(self, chunk: bytes) -> list[int]:
         ids: list[int] = []
         for part in self.specials.split(chunk.decode()):
             if part in self.special:
@@ -183,11 +182,19 @@ class Encoder:
             elif part:
                 for word in self.split(part):
                     ids += self.word(word)
-        return np.array(ids, "<u4").tobytes()
+        return ids
+
+    def simple(self, unit: bytes) -> list[int]:
+        """The ids of a run of letters, of a digit or of a run of signs: it is one word."""
+        word = unit.decode("latin-1") if unit.isascii() else unit.decode().lower().encode().decode("latin-1")
+        return self.word(word)
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit integers; no token, word or rule reaches over a unit's ends."""
+        return self.units.encode(texts)
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian 32-bit integers; no token, word or rule reaches over ASCII white space."""
-        return b"".join(map(self.memory.__getitem__, text.split()))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> Iterator[bytes]:
         """The labels of the ids with a space between them, in pieces."""
@@ -196,25 +203,12 @@ class Encoder:
             yield (b" " if at else b"") + b" ".join(map(labels.__getitem__, every[at : at + PIECE].tolist()))
 
 
-class Memory(dict):
-    """Ids of the chunks seen; a new chunk is encoded when asked for."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[chunk] = self.encoder.chunk(chunk)
-        return ids
-
-
 def shared_encoder(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(Encoder(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """`docs` with `ids` (array of int) more, from whole texts; null and empty texts have none.
+    """`docs` with `ids` (array of int) more, from whole texts, however long; null and empty texts have none.
 
     A column that has this name already is kept, the new one gets underscores in front.
     """
@@ -223,7 +217,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(encoder.value.encode((t or "").encode()), "<u4").astype(np.int32) for t in batch.column(text).to_pylist()]
+            coded = encoder.value.encode_all([(t or "").encode() for t in batch.column(text).to_pylist()])
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coded]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, widened(docs, name, "array<int>"))
@@ -249,8 +244,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, coded, decoded = [], [], []
-            for text in batch["text"]:
-                ids = encoder.value.encode(text.as_py() or b"")
+            for ids in encoder.value.encode_all([t or b"" for t in batch["text"].to_pylist()]):
                 digest = hashlib.sha256()
                 for piece in encoder.value.decode(ids):
                     digest.update(piece)

@@ -11,9 +11,11 @@ lengths of its documents beside them, so that any store works and a failed task
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from webtables.llm.common import documents
+from webtables.llm.units import PATTERN, Units, byte_symbols
 from webtables.session import scratch_path
 
 MAGIC = b"PFR1"
@@ -32,8 +35,6 @@ LANES = 64  # values that fill a whole number of 64-bit words at any width
 FITTING = 0.9
 #: Ids after which a segment ends with the document.
 SEGMENT = 1 << 20
-#: Chunks whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
 
 
 # blocks
@@ -127,92 +128,50 @@ def read_segment(data: bytes) -> np.ndarray:
 # ids
 
 
-#: ASCII signs that end a chunk without being part of its word: all but the apostrophe and what begins a special token.
-SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
-#: Letters whose UTF-8 has no byte from this one on are Latin, and already in their Unicode normal form.
-LATIN = 0xC9
-#: Documents that are encoded together hold about as many bytes.
-TOGETHER = 1 << 20
+class Library:
+    """Ids of units from the tokenizers library.
 
-
-class Encoded:
-    """Chunks between ASCII white space -> ids as bytes, from the tokenizers library; nothing in it reaches over such space.
-
-    New chunks are encoded many at a time: the simple words of all of them as one text, which is cut after each token
-    that ends a word; others one by one. A tokenizer without such tokens gets all chunks one by one.
+    Simple units are single words already, so the library's model gets them as they are, in the characters that its
+    byte-level step would make of them; odd ones, and all of a tokenizer whose words are not known, go through all steps.
     """
 
     def __init__(self, library: Tokenizer):
-        self.library, self.chunks, self.words = library, {}, {}
+        self.library = library
         library.no_truncation()
         library.no_padding()
-        suffix = getattr(library.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(library.get_vocab_size(), bool)
-        if suffix:
-            self.ends[[i for token, i in library.get_vocab().items() if token.endswith(suffix)]] = True
-
-    def alone(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def together(self, words: list[bytes]) -> None:
-        """Remember the ids of simple words."""
-        ids = np.array(self.library.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(cuts) != len(words):
-            raise ValueError("the tokenizer does not end every word with a token of its own")
-        data, start = ids.tobytes(), 0
-        for word, end in zip(words, cuts.tolist()):
-            self.words[word] = data[start:end]
-            start = end
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Remember the ids of all these chunks."""
-        new = chunks.difference(self.chunks)
-        if len(self.chunks) + len(new) > REMEMBERED:
-            self.chunks.clear()
-            new = chunks
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-        simple, parts = bool(self.ends.any()), []
-        for chunk in new:
-            word = chunk.lower().rstrip(SIGNS)
-            if simple and word.isalpha():  # ASCII letters
-                parts.append((chunk, word, chunk[len(word) :]))
-                continue
-            if simple and word and max(word) < LATIN and (low := word.decode().lower()).isalpha():
-                parts.append((chunk, low.encode(), chunk[len(word) :]))
-            else:
-                self.chunks[chunk] = self.alone(chunk.decode())
-        fresh = {word for _, word, _ in parts}.difference(self.words)
-        if fresh:
-            self.together(list(fresh))
-        for sign in {tail for _, _, tail in parts}.difference(self.words):
-            self.words[sign] = self.alone(sign.decode())
-        words = self.words
-        self.chunks.update((chunk, words[word] + words[tail]) for chunk, word, tail in parts)
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text, texts of about TOGETHER bytes at a time."""
-        at = 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size + len(texts[at]) <= TOGETHER):
-                size += len(texts[at])
-                group.append(texts[at].split())
-                at += 1
-            self.learn(set().union(*group))
-            ids = self.chunks.__getitem__
-            yield from (b"".join(map(ids, chunks)) for chunks in group)
-
-
-#: Of this worker: tokenizer (as JSON) -> its chunks.
-WORKERS: dict[str, Encoded] = {}
-
-
-def chunks_of(tokenizer: Broadcast) -> Encoded:
+        self.model = library.model
+        held = json.loads(library.to_str())
+        steps = [held["normalizer"] or {}, *(held["normalizer"] or {}).get("normalizers", [])]
+        cuts = [held["pre_tokenizer"] or {}, *(held["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        known = (
+            held["model"]["type"] == "BPE"
+            and {x.get("type") for x in cuts} == {"Sequence", "Split", "ByteLevel"}
+            and PATTERN in [x.get("pattern", {}).get("Regex") for x in cuts]
+            and not any(x.get("add_prefix_space") for x in cuts)
+            and any(x.get("type") == "Lowercase" for x in steps)
+        )
+        self.shown = {b: s for s, b in byte_symbols().items()}
+        self.units = Units(self.learn, known)
+
+    def words(self, units: pa.Array) -> list[list[int]]:
+        as_bytes = lambda word: word.lower().encode().decode("latin-1").translate(self.shown)
+        tokens = self.model.tokenize
+        return [[t.id for t in tokens(word if word.isascii() else as_bytes(word))] for word in units.cast(pa.string()).to_pylist()]
+
+    def learn(self, units: pa.Array, odd: bool) -> tuple[np.ndarray, np.ndarray]:
+        whole = lambda unit: self.library.encode(unit.decode(), add_special_tokens=False).ids
+        each = list(map(whole, units.to_pylist())) if odd else self.words(units)
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+
+#: Of this worker: tokenizer (as JSON) -> its units.
+WORKERS: dict[str, Units] = {}
+
+
+def units_of(tokenizer: Broadcast) -> Units:
     if tokenizer.value not in WORKERS:
         WORKERS.clear()
-        WORKERS[tokenizer.value] = Encoded(Tokenizer.from_str(tokenizer.value))
+        WORKERS[tokenizer.value] = Library(Tokenizer.from_str(tokenizer.value)).units
     return WORKERS[tokenizer.value]
 
 
@@ -230,7 +189,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, part = chunks_of(tokenizer), TaskContext.get().partitionId()
+        units, part = units_of(tokenizer), TaskContext.get().partitionId()
         seq, held, size, doc_ids = 0, [], 0, []
 
         def segment() -> pa.RecordBatch:
@@ -241,7 +200,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
         names = [x.split()[0] for x in SEGMENTS.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), chunks.encode([t or b"" for t in batch["text"].to_pylist()])):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), units.encode([t or b"" for t in batch["text"].to_pylist()])):
                 doc_ids.append(doc_id)
                 held.append(ids + end)
                 size += len(held[-1]) // 4
