@@ -34,8 +34,14 @@ def test_hashes_stand_for_windows():
     assert len(set(names.values())) == len(names)
 
 
+def best(text, item, share=D.SHARE):
+    """The best place by any reading."""
+    every = [f for t in D.readings_of(text) for q in D.readings_of(item) if (f := D.compare(t, q, share))]
+    return max(every, key=lambda f: f[0], default=None)
+
+
 def found(text):
-    return D.compare(D.template(text), D.template(QUESTION))
+    return best(text, QUESTION)
 
 
 def test_slots_must_fit():
@@ -50,7 +56,7 @@ def test_slots_must_fit():
 @pytest.mark.parametrize("case", [str.lower, str.upper, str.title])
 def test_copies_in_another_case(spark, docs_of, case):
     text = "some words before. " + case(QUESTION)
-    assert D.compare(D.template(text), D.template(QUESTION))[0] == 1.0
+    assert found(text)[0] == 1.0
     rows = D.leaks(docs_of(text, "quite another text"), spark.createDataFrame([(1, QUESTION)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["share"]) for r in rows] == [(0, 1.0)]
 
@@ -102,12 +108,12 @@ def test_leaks_against_all_pairs(docs_of, spark):
     want = set()
     for i, t in enumerate(texts):
         for k, q in items:
-            c = D.compare(D.template(t), D.template(q or ""))
-            if k != 23 and c and c[0] >= D.SHARE:
+            c = best(t, q or "")
+            if c and c[0] >= D.SHARE:
                 want.add((i, k, c[1], c[2]))
     rows = D.leaks(docs_of(*texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"], r["first_word"], r["end_word"]) for r in rows} == want and len(rows) == len(want)
-    assert {(80, 20), (81, 20)} <= {w[:2] for w in want} and want
+    assert {(80, 20), (81, 20), (80, 23), (81, 23)} <= {w[:2] for w in want} and want
 
 
 @pytest.mark.parametrize("benchmark", [[(1, "one two three four five six seven")], [(1, None)], []])
@@ -120,3 +126,85 @@ def test_odd_rows(spark, odd_docs, clashing, no_docs, benchmark):
     assert sorted(i for i in ids if i is not None) == sorted(i for i, _ in ODD if i is not None and i not in leaking)
     assert ids.count(None) == (1 if leaking else 2)  # the row with neither id nor text stays
     assert D.decontaminate(no_docs, items).count() == 0
+
+
+WORDS = ["Tom", "five", "12", "kg", "word", "end.", "|", "...", "Karl!", "%", "m", "und", "É", "日本", "\n", " ", "\x85", "\xa0", "\x1c", "　", "\r\n", "\t"]
+
+
+def test_many_texts_are_read_as_each_alone():
+    pick = random.Random(4)
+    texts = ["", "\n", " ", *("".join(pick.choice(WORDS) + pick.choice([" ", " ", "", "\n"]) for _ in range(pick.randrange(30))) for _ in range(300))]
+    alone = [{int(x) for _, h in D.Coded([t]).windows() for x in h} for t in texts]
+    together = [set() for _ in texts]
+    for of, h in D.Coded(texts).windows():
+        for i, x in zip(of.tolist(), h.tolist()):
+            together[i].add(x)
+    assert together == alone
+    for t in texts:
+        for wrapped, (codes, begins) in ((False, next(iter(D.Coded([t]).readings()))), (True, list(D.Coded([t]).readings())[2])):
+            words, starts = D.read(t, wrapped)
+            assert [D.word_code(w) & ~15 if w[0] != "<" else D.word_code(w) for w, _ in words] == codes.tolist() and starts == begins.tolist(), t
+
+
+def test_memory_of_chunks_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(D, "KINDS", D.Kinds())
+    monkeypatch.setattr(D, "REMEMBERED", 20_000)
+    for i in range(40):
+        D.Coded([" ".join(f"w{i}x{j}" for j in range(60)), "日本" * 500 + str(i)])
+    assert D.KINDS.held <= 20_000 and D.KINDS.held == sum(len(c) + D.OVERHEAD for c in D.KINDS) and max(map(len, D.KINDS)) <= D.LONG
+
+
+def test_short_items_must_be_sentences(spark, docs_of):
+    items = [(1, "Kappa lambda mu?"), (2, "Red means stop"), (3, "Yes.")]
+    yes = ["He said nothing. Kappa lambda mu? And so on", "a heading\nred means stop\nand more", "Kappa lambda mu?", "yes", "one. KAPPA LAMBDA MU"]
+    no = ["the kappa lambda mu is", "where red means stop and go", "He said it. Yes. And went", "Kappa lambda"]
+    rows = D.leaks(docs_of(*yes, *no), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 1), (1, 2), (2, 1), (3, 3), (4, 1)}
+
+
+def test_a_document_with_the_whole_benchmark(spark, docs_of):
+    """300 items in one document: several rows of candidates, and a comparison costs the item, not the document."""
+    pick = random.Random(9)
+    items = [(k, " ".join(pick.choice(["of", "the"]) if j % 5 == 0 else f"w{k}x{j}" for j in range(40))) for k in range(300)]
+    text = "\n".join(t for _, t in items)
+    steps = [0]
+    places = D.Reading.places
+
+    def counted(self, window):
+        found = places(self, window)
+        steps[0] += 1 + len(found)
+        return found
+
+    D.Reading.places = counted
+    try:
+        whole = D.readings_of(text)
+        assert all(any(f and f[0] == 1.0 for f in (D.compare(t, q) for t in whole for q in D.readings_of(i))) for _, i in items[:50])
+    finally:
+        D.Reading.places = places
+    assert steps[0] < 50 * 40 * 8
+    rows = D.leaks(docs_of(text, "other words"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(0, k) for k in range(300)] and {r["share"] for r in rows} == {1.0}
+
+
+CHANGES = {
+    "as it is": lambda t, pick: t,
+    "lower case": lambda t, pick: t.lower(),
+    "upper case": lambda t, pick: t.upper(),
+    "in mid-line": lambda t, pick: f"so {t} it goes",
+    "after a heading": lambda t, pick: f"Question 1\n{t}",
+    "wrapped": lambda t, pick: "\n".join(" ".join(t.split()[i : i + 7]) for i in range(0, len(t.split()), 7)),
+    "other numbers": lambda t, pick: " ".join(str(pick.randrange(1_000)) if w.strip(".,?").isdigit() else w for w in t.split()),
+    "one word in forty": lambda t, pick: " ".join("changed" if i % 40 == 20 else w for i, w in enumerate(t.split())),
+}
+
+
+@pytest.mark.parametrize("change", CHANGES)
+def test_recall_by_kind_of_change(spark, docs_of, change):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    items += [(1_000 + k, f"If Anna has {k + 2} apples and gives {k + 1} of them to her friend Ben, how many of the apples does Anna have?") for k in range(20)]
+    pick = random.Random(1)
+    texts = [(i, f"Some words before it.\n{CHANGES[change](t, pick)}\nSome words after it.") for i, t in items]
+    rows = D.leaks(docs_of(*texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r["doc_id"] for r in rows if r["item_id"] == r["doc_id"] or min(r["item_id"], r["doc_id"]) >= 1_000}
+    assert len(found) >= 0.9 * len(items), (change, len(found) / len(items))
+    print(change, len(found) / len(items))

@@ -5,11 +5,13 @@ typed placeholders, other words lose case and punctuation. Case tells names, so
 words without case: it finds copies in another case. Line ends may end sentences or just wrap lines, so texts are read
 both ways; and an item's first word may be a name where the document has it in mid-sentence. An item is in a document if at least `share` of its distinct
 windows of five template words stand there close together and its slots are filled consistently: each value of the
-item stands for one value in the document, and no two values of a type for the same one. Either reading will do.
+item stands for one value in the document, and no two values of a type for the same one. Either reading will do. An item
+of three or four words must be a sentence or a line of its own; a shorter one the whole document.
 
 An item with n windows that shares k of them must share one of any n - k + 1, so only that many windows of an item, the
 rarest among items, are joined with the documents, by hash. A bitmap of fixed size of their hashes goes to the tasks and
-keeps windows that no item has from being shuffled. The pairs found are then compared word by word.
+keeps windows that no item has from being shuffled. Documents are read many at a time, each different chunk once. The
+pairs found are then compared word by word, at the places where the document's index of windows has the item's.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,8 +33,12 @@ WINDOW = 5
 SHARE = 0.8
 #: Entries of the bitmap: 2 ** this many bytes are sent to each task.
 BITMAP = 22
-#: Chunks whose template a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Words of the shortest item that is looked for inside documents.
+INSIDE = 3
+#: Bytes that a worker remembers of chunks and their codes, what Python needs for one besides its letters, and the longest one kept.
+REMEMBERED, OVERHEAD, LONG = 128 << 20, 150, 64
+#: Bytes of texts that are read at a time, and items that one row of candidates holds.
+TOGETHER, ITEMS = 8 << 20, 64
 
 # Words that stand for numbers, and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve".split())
@@ -64,9 +71,12 @@ def chunk_kind(chunk: str) -> tuple[int, str]:
     return LITERAL | ends, low
 
 
-def template(text: str, wrapped: bool = False) -> list[tuple[str, str | None]]:
-    """Template words: (placeholder, value), or (word, None). A line end starts a sentence, unless lines are just wrapped."""
-    words, before, fresh = [], None, True
+Words = list[tuple[str, str | None]]
+
+
+def read(text: str, wrapped: bool = False) -> tuple[Words, list[bool]]:
+    """Template words, (placeholder, value) or (word, None), and which begin a sentence or a line; lines may be just wrapped."""
+    words, begins, before, fresh = [], [], None, True
     for chunk, starts in chunks_of(text):
         fresh = fresh or (starts and not wrapped)
         kind, bare = chunk_kind(chunk)
@@ -80,9 +90,15 @@ def template(text: str, wrapped: bool = False) -> list[tuple[str, str | None]]:
                 words.append(("<name>", bare))
             else:
                 words.append((bare, None))
+            begins.append(fresh)
             before = kind
         fresh = bool(ends) or (fresh and kind == NOTHING)
-    return words
+    return words, begins
+
+
+def template(text: str, wrapped: bool = False) -> Words:
+    """Template words. A line end starts a sentence, unless lines are just wrapped."""
+    return read(text, wrapped)[0]
 
 
 def chunks_of(text: str) -> Iterator[tuple[str, bool]]:
@@ -92,89 +108,133 @@ def chunks_of(text: str) -> Iterator[tuple[str, bool]]:
             yield chunk, i == 0
 
 
-def templates(text: str) -> list[list[tuple[str, str | None]]]:
-    """The template, and the one with wrapped lines if that differs."""
-    plain, wrapped = template(text), template(text, True)
-    return [plain] if plain == wrapped else [plain, wrapped]
-
-
-def literals(words: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
-    """The literal reading: names as words."""
-    return [(value, None) if word == "<name>" else (word, value) for word, value in words]
-
-
 # window hashes
 
 
 class Kinds(dict):
-    """Chunk -> hash of its bare word with its kind in the low four bits."""
-
-    def __missing__(self, chunk: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        kind, bare = chunk_kind(chunk)
-        code = self[chunk] = (xxhash.xxh64_intdigest(bare) & ~15) | kind
+    """Chunk -> hash of its bare word with its kind in the low four bits. Bounded in bytes: the older half goes first."""
+
+    held = 0
+
+    def __missing__(self, chunk: bytes) -> int:
+        kind, bare = chunk_kind(chunk.decode())
+        code = (xxhash.xxh64_intdigest(bare) & ~15) | kind
+        if len(chunk) <= LONG:
+            self[chunk] = code
+            self.held += len(chunk) + OVERHEAD
+            if self.held > REMEMBERED:
+                for old in list(islice(self, len(self) // 2)):
+                    self.held -= len(old) + OVERHEAD
+                    del self[old]
         return code
 
 
 KINDS = Kinds()
 FACTOR = 0x9E3779B97F4A7C15
+#: Bytes that part chunks, and those that end lines, as Python's `split` and `splitlines` have them.
+BLANK, LINE = np.zeros(256, bool), np.zeros(256, bool)
+BLANK[[*range(9, 14), *range(28, 33)]] = True
+LINE[[10, 11, 12, 13, 28, 29, 30]] = True
+#: Other white space in UTF-8; those with True end lines.
+WIDE = {"\x85": True, "\u2028": True, "\u2029": True, **dict.fromkeys("\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", False)}
+WIDE_BYTES = {c.encode(): (b"\n" if ends else b" ") + b" " * (len(c.encode()) - 1) for c, ends in WIDE.items()}
+
+
+class Coded:
+    """The words of many texts one after the other: codes, of which text, and which begin a sentence or a line."""
+
+    def __init__(self, texts: list[str]):
+        raw = "\n".join([*texts, ""]).encode()
+        sizes = [len(t) + 1 if t.isascii() else len(t.encode()) + 1 for t in texts]
+        if not raw.isascii():
+            for wide, plain in WIDE_BYTES.items():
+                raw = raw.replace(wide, plain)
+        text = np.frombuffer(raw, np.uint8)
+        edges = np.flatnonzero(np.diff((~BLANK[text]).view(np.int8), prepend=0, append=0))
+        first, end = edges[::2], edges[1::2]
+        offsets = np.zeros(len(first) + 1, np.int32)
+        np.cumsum(end - first, out=offsets[1:])
+        chunks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(text[~BLANK[text]])]).dictionary_encode()
+        known = np.fromiter(map(KINDS.__getitem__, chunks.dictionary.to_pylist()), np.uint64, len(chunks.dictionary))
+        codes = known[chunks.indices.to_numpy()] if len(first) else np.zeros(0, np.uint64)
+        of = np.searchsorted(np.cumsum(sizes), first, "right")
+        lines = np.searchsorted(np.flatnonzero(LINE[text]), first)
+        place = np.arange(len(codes))
+        begun = np.maximum.accumulate(np.where(np.diff(lines, prepend=-1) != 0, place, -1)) if len(codes) else place
+        own = np.searchsorted(of, of)  # the first chunk of the text
+        kinds, ends = (codes & np.uint64(7)).astype(np.int8), (codes & np.uint64(ENDS)) != 0
+        solid = kinds != NOTHING
+        # fresh: what stood last, other than chunks without a word, ended a sentence; such a chunk may itself end one
+        last = np.maximum.accumulate(np.where(solid | ends, place, -1)) if len(codes) else place
+        previous = np.concatenate([[-1], last[:-1]])[: len(codes)]
+        fresh = (previous < own) | ends[previous] if len(codes) else np.zeros(0, bool)
+        # a line that starts with chunks without a word stays fresh until its first word, unless something else was said
+        self.by_line = (fresh | (previous < begun))[solid]
+        self.fresh, self.of, kinds = fresh[solid], of[solid], kinds[solid]
+        self.codes = codes[solid] & ~np.uint64(15)
+        own = np.searchsorted(self.of, self.of)
+        after_number = np.concatenate([[False], kinds[:-1] == DIGITS])[: len(kinds)] & (np.arange(len(kinds)) > own)
+        self.codes[kinds == DIGITS] = PLACEHOLDERS["number"]
+        self.codes[(kinds == UNIT) & after_number] = PLACEHOLDERS["unit"]
+        self.capital = kinds == CAPITAL
+
+    def readings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes and beginnings of the template, of the one with wrapped lines, and of the literal reading by either."""
+        name = np.uint64(PLACEHOLDERS["name"])
+        for begins in (self.by_line, self.fresh):
+            yield np.where(self.capital & ~begins, name, self.codes), begins
+            yield self.codes, begins
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Text and hash of the windows of every reading: WINDOW words, short sentences and lines, short texts."""
+        own = np.searchsorted(self.of, self.of)
+        for k, (codes, begins) in enumerate(self.readings()):
+            if k != 3:  # the literal codes are the same by either
+                yield from whole_windows(codes, self.of)
+            yield from short_windows(codes, self.of, begins)
+            yield from short_windows(codes, self.of, np.arange(len(codes)) == own, 1)  # short texts
+
+
+def mixed(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of `size` codes from each of `starts` on."""
+    found = np.full(len(starts), size, np.uint64)
+    for i in range(size):
+        found = (found ^ (found >> np.uint64(29))) * np.uint64(FACTOR) + codes[starts + i]
+    return found ^ (found >> np.uint64(32))
 
 
-def window_hashes(text: str) -> np.ndarray:
-    """A hash of each window of WINDOW template words, in order; of the whole if there are fewer words, nothing without any."""
-    return readings(text)[0]
+def whole_windows(codes: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    starts = np.flatnonzero(of[: 1 - WINDOW] == of[WINDOW - 1 :]) if len(codes) >= WINDOW else np.zeros(0, np.int64)
+    yield of[starts], mixed(codes, starts, WINDOW)
 
 
-def readings(text: str, item: bool = False) -> list[np.ndarray]:
-    """window_hashes of the template, of the one with wrapped lines and of the literal reading, if they differ.
+def short_windows(codes: np.ndarray, of: np.ndarray, begins: np.ndarray, least: int = INSIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The stretches from one beginning to the next that have `least` words or more, but fewer than a window."""
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(starts, append=len(codes))
+    for size in range(least, WINDOW):
+        own = starts[sizes == size]
+        yield of[own], mixed(codes, own, size)
 
-    Of an item also its first window with the first word as a name.
-    """
-    lines = [line.split(None) for line in text.splitlines()]
-    chunks = [chunk for line in lines for chunk in line]
-    starts = np.zeros(len(chunks) + 1, bool)
-    starts[np.cumsum([0, *map(len, lines)])] = True
-    starts = starts[:-1]
-    codes = np.fromiter(map(KINDS.__getitem__, chunks), np.uint64, len(chunks))
-    kinds, ends = (codes & np.uint64(7)).astype(np.int8), (codes & np.uint64(ENDS)) != 0
-    solid = kinds != NOTHING
-    # fresh: what stood last, other than chunks without a word, ended a sentence; such a chunk may itself end one
-    mark = solid | ends
-    last = np.maximum.accumulate(np.where(mark, np.arange(len(codes)), -1)) if len(codes) else np.zeros(0, np.int64)
-    previous = np.concatenate([[-1], last[:-1]])[: len(codes)]
-    fresh = (previous < 0) | ends[previous] if len(codes) else np.zeros(0, bool)
-    # a line that starts with chunks without a word stays fresh until its first word, unless something else was said
-    begun = np.maximum.accumulate(np.where(starts, np.arange(len(codes)), -1)) if len(codes) else np.zeros(0, np.int64)
-    by_line = fresh | (previous < begun)
-    codes, kinds, fresh, by_line = codes[solid] & ~np.uint64(15), kinds[solid], fresh[solid], by_line[solid]
-    after_number = np.concatenate([[False], kinds[:-1] == DIGITS])[: len(kinds)]
-    codes[kinds == DIGITS] = PLACEHOLDERS["number"]
-    codes[(kinds == UNIT) & after_number] = PLACEHOLDERS["unit"]
-    capital = kinds == CAPITAL
-    masks = [capital & ~by_line]
-    if (capital & by_line & ~fresh).any():
-        masks.append(capital & ~fresh)
-    found = [hashed(np.where(names, np.uint64(PLACEHOLDERS["name"]), codes)) for names in masks]
-    if masks[-1].any():
-        found.append(hashed(codes))
-    if item and len(codes) and codes[0] not in PLACEHOLDERS.values():
-        found = [*found, *(hashed(np.concatenate([NAME, np.where(names, NAME, codes)[1:]]))[:1] for names in masks)]
-    return found
 
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """A hash of each window of WINDOW codes, in order; of the whole if there are fewer, nothing without any."""
+    size = min(WINDOW, len(codes))
+    return mixed(codes, np.arange(len(codes) - size + 1), size) if size else codes
 
-NAME = np.array([PLACEHOLDERS["name"]], np.uint64)
 
+def window_hashes(text: str) -> np.ndarray:
+    return hashed(next(Coded([text]).readings())[0])
 
-def hashed(codes: np.ndarray) -> np.ndarray:
-    n = len(codes)
-    if n == 0:
-        return codes
-    size = min(WINDOW, n)
-    found = np.full(n - size + 1, size, np.uint64)
-    for i in range(size):
-        found = (found ^ (found >> np.uint64(29))) * np.uint64(FACTOR) + codes[i : n - size + 1 + i]
-    return found ^ (found >> np.uint64(32))
+
+def item_readings(text: str) -> list[np.ndarray]:
+    """The distinct windows of every reading of an item that differs; also its first one with the first word as a name."""
+    found, name = [], np.uint64(PLACEHOLDERS["name"])
+    for codes, _ in Coded([text]).readings():
+        found.append(hashed(codes))
+        if len(codes) and codes[0] not in PLACEHOLDERS.values():
+            found.append(hashed(np.concatenate([[name], codes[1:]]).astype(np.uint64))[:1])
+    return list({h.tobytes(): h for h in map(np.unique, found)}.values())
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -182,7 +242,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, np.unique(h).view(np.int64)) for i, t in zip(batch["item"].to_pylist(), batch["text"].to_pylist()) for k, h in enumerate(readings(t, True))]
+            rows = [(i, k, h.view(np.int64)) for i, t in zip(batch["item"].to_pylist(), batch["text"].to_pylist()) for k, h in enumerate(item_readings(t))]
             item, reading, found = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(reading, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["item", "reading", "h"])
 
@@ -216,16 +276,30 @@ def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, _key, text, h: documents with windows whose hash is among `wanted`, or only looks so in the bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
 
+    def found_in(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        of, hashes = [], []
+        for at, h in Coded(texts).windows():
+            for side in (0, 1):
+                hit = shared.value[places(h)[side]]
+                at, h = at[hit], h[hit]
+            of.append(at)
+            hashes.append(h)
+        of, hashes = np.concatenate(of), np.concatenate(hashes)
+        for text in np.unique(of):
+            yield int(text), np.unique(hashes[of == text]).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
-            for i, text in enumerate(batch["text"]):
-                hashes = np.concatenate(readings(text.as_py() or ""))
-                for side in (0, 1):
-                    hashes = hashes[shared.value[places(hashes)[side]]]
-                if len(hashes):
-                    at.append(i)
-                    found.append(np.unique(hashes).view(np.int64))
+            texts, at, found, first = [t or "" for t in batch["text"].to_pylist()], [], [], 0
+            while first < len(texts):
+                end, size = first, 0
+                while end < len(texts) and (end == first or size + len(texts[end]) <= TOGETHER):
+                    size += len(texts[end])
+                    end += 1
+                for text, h in found_in(texts[first:end]):
+                    at.append(first + text)
+                    found.append(h)
+                first = end
             kept = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept["doc_id"], kept["_key"], kept["text"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_key", "text", "h"])
 
@@ -235,35 +309,85 @@ def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 # word by word
 
 
-def compare(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]], share: float = SHARE) -> tuple[float, int, int, bool] | None:
+class Reading:
+    """Template words with an index of their windows by hash."""
+
+    def __init__(self, words: Words, begins: list[bool]):
+        self.words, self.begins = words, begins
+        self.names = [w for w, _ in words]
+        codes = np.fromiter(map(word_code, self.names), np.uint64, len(words))
+        starts = np.arange(max(0, len(words) - WINDOW + 1))
+        hashes = mixed(codes, starts, WINDOW)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.sorted = hashes, hashes[self.order]
+        ends = [*np.flatnonzero(begins)[1:].tolist(), len(words)]
+        self.short: dict[tuple, list[int]] = defaultdict(list)  # short sentences and lines; a whole short text
+        for start, end in zip(np.flatnonzero(begins).tolist(), ends):
+            if INSIDE <= end - start < WINDOW:
+                self.short[tuple(self.names[start:end])].append(start)
+        if 0 < len(words) < WINDOW and 0 not in self.short[tuple(self.names)]:
+            self.short[tuple(self.names)].append(0)
+
+    def places(self, window: tuple) -> list[int]:
+        """Where a window's names stand, in order."""
+        if len(window) < WINDOW:
+            return self.short.get(window, [])
+        wanted = mixed(np.fromiter(map(word_code, window), np.uint64, WINDOW), np.zeros(1, np.int64), WINDOW)[0]
+        low, high = np.searchsorted(self.sorted, wanted), np.searchsorted(self.sorted, wanted, "right")
+        return [p for p in self.order[low:high].tolist() if tuple(self.names[p : p + WINDOW]) == window]
+
+    def literal(self) -> Reading:
+        """The same with names as words."""
+        return Reading([(value, None) if word == "<name>" else (word, value) for word, value in self.words], self.begins)
+
+
+def word_code(word: str) -> int:
+    return PLACEHOLDERS.get(word[1:-1], 0) if word[:1] == "<" and word[1:-1] in PLACEHOLDERS else xxhash.xxh64_intdigest(word)
+
+
+def readings_of(text: str) -> list[list[Reading]]:
+    """The template and, if lines may be wrapped, the one that says so; each with its literal reading if it has names."""
+    plain, wrapped = read(text), read(text, True)
+    return [[r, r.literal()] if "<name>" in r.names else [r] for r in (Reading(*x) for x in ([plain] if plain == wrapped else [plain, wrapped]))]
+
+
+@lru_cache(1_024)
+def short_item_readings(text: str) -> list[list[Reading]]:
+    return readings_of(text)
+
+
+Found = tuple[float, int, int, bool]
+
+
+def compare(doc: list[Reading], item: list[Reading], share: float = SHARE) -> Found | None:
     """The best place of the item in the document, by either reading: share of its windows, first word, word after the last, whether slots differ.
 
     Places with less than `share` are not looked at further.
     """
-    found = [placed(doc, item, share)]
-    if any(word == "<name>" for word, _ in (*doc, *item)):
-        found.append(placed(literals(doc), literals(item), share))
+    found = [placed(doc[0], item[0], share)]
+    if len(doc) > 1 or len(item) > 1:
+        found.append(placed(doc[-1], item[-1], share))
     return max((f for f in found if f), key=lambda f: f[0], default=None)
 
 
-def placed(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]], share: float) -> tuple[float, int, int, bool] | None:
-    """compare() by one reading."""
-    size = min(WINDOW, len(item))
-    if not item or len(doc) < size or (size < WINDOW and len(doc) != len(item)):
+def placed(doc: Reading, item: Reading, share: float) -> Found | None:
+    """compare() by one reading: the document's index says where each window of the item stands."""
+    size = min(WINDOW, len(item.words))
+    if not size or len(doc.words) < size or (size < INSIDE and len(doc.words) != size):
         return None
-    names_of = lambda words: [w for w, _ in words]
-    mine, theirs = names_of(item), names_of(doc)
+    mine = item.names
+    windows: dict[tuple, int] = {}
+    for q in range(len(mine) - size + 1):
+        windows.setdefault(tuple(mine[q : q + size]), q)
+    hits = [(p - q, p, q) for window, q in windows.items() for p in doc.places(window)]
     # the first word as a name: any name where the item uses it as one, else the same word
-    first, rest = item[0], tuple(mine[1:size])
-    free, named = ("<name>", first[0]) in item, ("<name>", *rest)
-    places: dict[tuple, int] = {}
-    for q in range(len(item) - size + 1):
-        places.setdefault(tuple(mine[q : q + size]), q)
-    hits = [(p - q, p, q) for p in range(len(doc) - size + 1) if (q := places.get(tuple(theirs[p : p + size]))) is not None]
+    first = item.words[0]
     if first[1] is None:
-        hits += [(p, p, 0) for p in range(len(doc) - size + 1) if theirs[p] == "<name>" and (free or doc[p][1] == first[0]) and tuple(theirs[p : p + size]) == named]
+        free = ("<name>", first[0]) in item.words
+        named = doc.places(("<name>", *mine[1:size]))
+        hits += [(p, p, 0) for p in named if free or doc.words[p][1] == first[0]]
     hits.sort()
-    slack, best = size + len(item) // 10, None
+    slack, best = size + len(mine) // 10, None
     shifts = np.array([h[0] for h in hits], np.int64)
     counts = Counter(shifts.tolist())
     done: set[int] = set()
@@ -272,11 +396,11 @@ def placed(doc: list[tuple[str, str | None]], item: list[tuple[str, str | None]]
             continue
         near = hits[np.searchsorted(shifts, shift - slack) : np.searchsorted(shifts, shift + slack, "right")]
         done.update(h[0] for h in near if abs(h[0] - shift) <= 1)
-        if len({q for _, _, q in near}) < share * len(places) - 1e-9:
+        if len({q for _, _, q in near}) < share * len(windows) - 1e-9:
             continue
-        found = filled(doc, item, near, size)
-        if found and (best is None or found[0] / len(places) > best[0]):
-            best = (found[0] / len(places), *found[1:])
+        found = filled(doc.words, item.words, near, size)
+        if found and (best is None or found[0] / len(windows) > best[0]):
+            best = (found[0] / len(windows), *found[1:])
     return best
 
 
@@ -307,45 +431,53 @@ def filled(doc, item, hits, size: int) -> tuple[int, int, int, bool] | None:
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, _key (hash of the text), item_id, share, first_word, end_word, reparameterised: items found in documents.
 
-    Null and empty texts, of documents or items, have no words and never match. An item with fewer words than a window
-    matches only documents that have just its template. Items with equal texts count once, under their smallest
-    item_id. Rows equal in doc_id and text count once; a doc_id may be null.
+    Null and empty texts, of documents or items, have no words and never match. An item of three or four words must be a
+    sentence or a line of its own, a shorter one matches only documents that have just its template. Items with equal
+    texts are all named. Rows equal in doc_id and text count once; a doc_id may be null. Texts are read whole.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_key", F.xxhash64("text"))
-    items = benchmark.filter("text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = stored(items.withColumn("item", F.xxhash64("text")), "items")
+    named = stored(benchmark.filter("text IS NOT NULL").select("item_id", "text", F.xxhash64("text").alias("item")).distinct(), "item-ids")
+    items = stored(named.select("item", "text").distinct(), "items")
     wanted = stored(telling(item_windows(items), share), "item-windows")
     hits = stored(document_hits(keyed, wanted), "leak-hits")  # whole texts, of documents that share a telling window
     pairs = hits.select("doc_id", "_key", F.explode("h").alias("h")).join(wanted, "h").select("doc_id", "_key", "item").distinct()
-    asked = pairs.join(items, "item").groupBy("doc_id", "_key").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"))).alias("items"))
+    # a document that shares windows with very many items is several rows
+    count = pairs.groupBy("doc_id", "_key").agg(F.ceil(F.count("*") / ITEMS).cast("long").alias("rows")).filter("rows > 1")
+    count = stored(count, "leak-counts").withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    block = F.pmod(F.xxhash64("item"), F.coalesce("rows", F.lit(1))).alias("_block")
+    asked = pairs.join(count, same, "left").select("doc_id", "_key", block, "item").join(items, "item")
+    asked = asked.groupBy("doc_id", "_key", "_block").agg(F.collect_list(F.struct("item", F.col("text").alias("item_text"))).alias("items"))
     asked = stored(asked, "leak-candidates").withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc in batch.to_pylist():
-                texts = templates(doc["text"])
+                texts = readings_of(doc["text"])
                 for item in doc["items"]:
-                    every = [f for words in texts for wanted in templates(item["item_text"]) if (f := compare(words, wanted, share))]
+                    text = item["item_text"]
+                    wanted = short_item_readings(text) if len(text) <= 10_000 else readings_of(text)
+                    every = [f for words in texts for other in wanted if (f := compare(words, other, share))]
                     found = max(every, key=lambda f: f[0], default=None)
-                    if found and found[0] >= share:
-                        rows.append((doc["doc_id"], doc["_key"], item["item_id"], *found))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=LEAK_COLUMNS).astype(LEAK_KINDS), schema=LEAK_ARROW, preserve_index=False)
+                    if found and found[0] >= share - 1e-9:
+                        rows.append((doc["doc_id"], doc["_key"], item["item"], *found))
+            columns = list(zip(*rows)) or [()] * len(LEAK_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, LEAK_ARROW)], schema=LEAK_ARROW)
 
-    both = hits.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("doc_id", "_key", "text", "items")
-    return both.mapInArrow(run, "doc_id long, _key long, item_id long, share double, first_word long, end_word long, reparameterised boolean").distinct()
+    both = hits.join(asked, same).select("doc_id", "_key", "text", "items")
+    found = both.mapInArrow(run, "doc_id long, _key long, item long, share double, first_word long, end_word long, reparameterised boolean").distinct()
+    return found.join(named.select("item", "item_id"), "item").select("doc_id", "_key", "item_id", "share", "first_word", "end_word", "reparameterised")
 
 
 LEAK_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("_key", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("reparameterised", pa.bool_())]
+    [("doc_id", pa.int64()), ("_key", pa.int64()), ("item", pa.int64()), ("share", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("reparameterised", pa.bool_())]
 )
-LEAK_COLUMNS = LEAK_ARROW.names
-LEAK_KINDS = {"doc_id": "Int64", "_key": "int64", "item_id": "Int64", "share": "float64", "first_word": "int64", "end_word": "int64", "reparameterised": "bool"}
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of `docs` that hold no item of the benchmark, with their own columns."""
-    found = stored(leaks(docs, benchmark, share).select("doc_id", "_key").distinct(), "leaks").hint("merge")  # one plan at every size
+    found = stored(leaks(docs, benchmark, share).select("doc_id", "_key").distinct(), "leaks")
     held = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["_key"])
     return docs.join(found, held, "left_anti")
 
