@@ -16,11 +16,11 @@ from webtables.operators.load import (
 from webtables.operators.crawl import url_messages
 from webtables.operators.queues import bounded_queue, failure_policy, queue_depth, retry_or_dead_letter, route_by_type
 from webtables.plans.extract import extract_errors
-from webtables.session import scratch_path
-from webtables.sources.pages import page_source
+from webtables.session import names_in, scratch_path
+from webtables.sources.pages import page_source, store_snapshot
 from webtables.sources.sinks import EntityColumn, entity_ddl, entity_sink, error_log_sink
 from webtables.streaming.feed import (
-    EntityTable, entity_stream_load, run, stream_dedup, stream_extract, stream_not_crawled, url_stream,
+    EntityTable, PacedQueue, entity_stream_load, run, stream_dedup, stream_extract, stream_not_crawled, url_stream,
 )
 
 from . import specs
@@ -339,6 +339,24 @@ def rate_limit_stream(spark, sf):
     return got.agg(F.count("*").alias("n"), F.countDistinct("batch_id").cast("int").alias("batches")).withColumn("kind", F.lit("all"))
 
 
+@check("SELECT 2 * count(*) AS n, true AS below, true AS several FROM pages")
+def rate_limit_pressure(spark, sf):
+    """A sender that waits while the queue is a fifth of all messages deep, beside a stream that empties it."""
+    out, urls = scratch_path(spark, "paced"), page_source(spark, sf).select("url")
+    messages = urls.union(urls.select(F.concat("url", F.lit("/missing"))))
+    threshold = max(2, messages.count() // 5)
+    queue = PacedQueue(spark, scratch_path(spark, "queue"), "url STRING", threshold)
+    query = run(queue.read(max_files=1), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch_id={n}"), f"{out}-checkpoint", "0 seconds")
+    try:
+        queue.send(messages, query, rows=threshold // 2, poll=0.05)
+        queue.wait(query, 0, poll=0.05)
+    finally:
+        query.stop()
+    got = spark.read.parquet(out)
+    batches = F.countDistinct("batch_id") > 3
+    return got.agg(F.count("*").alias("n"), F.lit(queue.deepest <= threshold).alias("below"), batches.alias("several"))
+
+
 @check(f"""
 WITH p AS (SELECT page_id, url, regexp_extract_all({BODY}, '<p>(?:<b>)?([^<]*)', 1) AS l FROM pages)
 SELECT 'entity' AS kind, page_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS text FROM p
@@ -348,8 +366,9 @@ UNION ALL SELECT 'malformed message', -1, 0, NULL""", name="stream_extract")
 def stream_extract_articles(spark, sf):
     """Every message ends as entities, dead after two tries, or among the errors."""
     out, queue = scratch_path(spark, "extracted"), url_queue(spark, sf)
+    pages = store_snapshot(page_source(spark, sf), scratch_path(spark, "snapshot"), parts=16)
     extract = lambda: finished(stream_extract(
-        url_stream(spark, queue, "url STRING", max_files=2), page_source(spark, sf), specs.ARTICLES, out, f"{out}-checkpoint", k=2
+        url_stream(spark, queue, "url STRING", max_files=2), pages, specs.ARTICLES, out, f"{out}-checkpoint", k=2
     ))
     extract()
     spark.createDataFrame([(None,)], "url STRING").write.mode("append").parquet(queue)  # the last batch takes the last retries
@@ -363,9 +382,8 @@ def stream_extract_articles(spark, sf):
 MEMBER_RULES = {"SEGMENT": (True, 600), "MEMBER": (True, 16)}
 
 
-def member_queue(spark, sf):
-    """Entity messages: parts, customers, some of another type and some without data, every one twice, in several files."""
-    path = scratch_path(spark, "words")
+def member_messages(spark, sf):
+    """Entity messages: parts, customers, some of another type and some without data."""
     word = lambda kind, value, n: F.create_map(F.lit("SEGMENT"), kind, F.lit("MEMBER"), value, F.lit("N"), F.col(n).cast("string"))
     parts = table(spark, sf, "part").select(F.lit("Part").alias("type"), word("p_type", "p_name", "p_partkey").alias("EntityData"))
     names = table(spark, sf, "customer").select(F.lit("Name").alias("type"), word("c_mktsegment", "c_name", "c_custkey").alias("EntityData"))
@@ -373,8 +391,7 @@ def member_queue(spark, sf):
     other = region.select(F.lit("Other"), F.create_map(F.lit("SEGMENT"), "r_name", F.lit("MEMBER"), F.lit("x")))
     empty = region.select(F.lit("Part"), F.lit(None).cast("map<string,string>"))
     both = parts.union(names).union(other).union(empty).withColumn("ts", F.lit(SEEN).cast("timestamp"))
-    both.union(both).repartition(4).write.parquet(path)
-    return path
+    return both
 
 
 @check("""
@@ -385,14 +402,16 @@ UNION ALL SELECT 'Name: unknown field N', NULL, NULL, NULL FROM customer, range(
 UNION ALL SELECT 'Other: unknown type', r_name, 'x', NULL FROM region, range(2)
 UNION ALL SELECT 'Part: malformed message', NULL, NULL, NULL FROM region, range(2)""", name="stream_load")
 def stream_load_members(spark, sf):
-    """Every message is loaded once or among the rejects, with the reason."""
-    out = scratch_path(spark, "loaded")
+    """Every message is loaded once or among the rejects, with the reason; all come again in other batches after a restart."""
+    out, queue = scratch_path(spark, "loaded"), scratch_path(spark, "words")
     targets = {
         name: EntityTable(f"{out}/{name}", MEMBER_RULES, ["SEGMENT", "MEMBER"]) for name in ("Part", "Name")
     }
     schema = "type STRING, EntityData MAP<STRING,STRING>, ts TIMESTAMP"
-    stream = url_stream(spark, member_queue(spark, sf), schema, max_files=1)
-    finished(entity_stream_load(stream, targets, f"{out}/rejects", f"{out}-checkpoint"))
+    for _ in range(2):
+        member_messages(spark, sf).repartition(3).write.mode("append").parquet(queue)
+        stream = url_stream(spark, queue, schema, max_files=1)
+        finished(entity_stream_load(stream, targets, f"{out}/rejects", f"{out}-checkpoint"))
     loaded = [
         spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("type"), F.col("SEGMENT").alias("segment"), F.col("MEMBER").alias("member"), "id")
         for name in targets
@@ -437,11 +456,15 @@ def stream_not_crawled_urls(spark, sf):
     return spark.read.parquet(out).select("url")
 
 
-@check("SELECT DISTINCT user_id, event_type FROM events", name="stream_dedup")
+@check("SELECT DISTINCT user_id, event_type, true AS several FROM events", name="stream_dedup")
 def stream_dedup_events(spark, sf):
-    out = scratch_path(spark, "deduped")
-    events = table(spark, sf, "events")
-    stream = url_stream(spark, sf, events.schema, files="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    first = stream_dedup(stream, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
-    finished(run(first, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch_id={n}"), f"{out}-checkpoint"))
-    return spark.read.parquet(out).drop("batch_id")
+    """Messages of a key arrive in six batches, with a restart between them; the first one counts."""
+    out, queue = scratch_path(spark, "deduped"), scratch_path(spark, "events")
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for odd in range(2):
+        events.where(F.col("event_id") % 2 == odd).repartition(3).write.mode("append").parquet(queue)
+        stream = url_stream(spark, queue, events.schema, max_files=1)
+        first = stream_dedup(stream, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
+        finished(run(first, lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch_id={n}"), f"{out}-checkpoint"))
+    batches = sum(name.startswith("batch_id=") for name in names_in(spark, out))
+    return spark.read.parquet(out).select("user_id", "event_type", F.lit(batches > 5).alias("several"))

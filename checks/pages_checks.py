@@ -20,7 +20,8 @@ from webtables.operators.select import (
 from webtables.plans.extract import extract_entities
 from webtables.sources.dom import dom_nodes, page_text, parse_pages
 from webtables.sources.ledger import append_crawl_ledger, read_crawl_ledger
-from webtables.sources.pages import page_source, resolve_pages, truncate_before, truncate_until
+from webtables.session import scratch_path
+from webtables.sources.pages import page_source, resolve_pages, store_snapshot, truncate_before, truncate_until
 
 from . import render, specs
 from .registry import check
@@ -66,6 +67,19 @@ def resolve_pages_lookup(spark, sf):
     return found.select("url", F.length("html").alias("n")).union(missing.select("url", F.lit(-1)))
 
 
+@check("""
+SELECT url, CAST(length(html) AS INTEGER) AS n FROM pages WHERE page_id % 50 = 3
+UNION ALL SELECT url || '/missing', -1 FROM pages WHERE page_id % 50 = 3""")
+def snapshot_lookup(spark, sf):
+    """A few URLs of a snapshot stored by URL, where every page also has an older copy."""
+    pages = page_source(spark, sf)
+    older = pages.select((-1 - F.col("page_id")).alias("page_id"), "url", F.lit("old").alias("html"))
+    stored = store_snapshot(pages.unionByName(older), scratch_path(spark, "snapshot"), parts=32)
+    few = pages.where("page_id % 50 = 3")
+    found, missing = resolve_pages(few.select("url").union(few.select(F.concat("url", F.lit("/missing")))), stored)
+    return found.select("url", F.length("html").alias("n")).union(missing.select("url", F.lit(-1)))
+
+
 @check(f"""
 SELECT page_id, len(regexp_extract_all({BODY}, '<p>')) AS p, len(regexp_extract_all({BODY}, '<li>')) AS li,
        len(regexp_extract_all({BODY}, '<a ')) AS a, len(regexp_extract_all({BODY}, '<h1>')) AS h1,

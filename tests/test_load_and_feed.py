@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F, types as T
 from webtables.functions.messages import ENTITY_MESSAGE, URL_MESSAGE, parse_message
 from webtables.functions.text import clean_cell, text_remove_ci
 from webtables.functions.urls import resolve_url
+from webtables.operators.chains import intervals, rank_chains
 from webtables.operators.crawl import crawl_frontier, crawl_sources, paginate, start_url
 from webtables.operators.errors import error_log_rows, retention
 from webtables.operators.load import (
@@ -18,9 +20,10 @@ from webtables.operators.load import (
 )
 from webtables.operators.queues import bounded_queue, failure_policy
 from webtables.plans.crawl import crawl
-from webtables.session import written
+from webtables.session import names_in, shared_dir, written
 from webtables.sources.pages import resolve_pages
 from webtables.sources.sinks import EntityColumn, entity_ddl
+from webtables.sources.tiers import Tiers
 from webtables.streaming.feed import EntityTable, entity_stream_load, run, stream_extract, url_stream
 
 
@@ -182,6 +185,29 @@ def test_frontier_depths_cycles_and_limit(spark):
     assert rows(crawl_frontier(links, seeds, max_depth=1)) == [("a", 0), ("b", 1), ("c", 1)]
 
 
+def test_a_long_frontier_keeps_few_tiers(spark, monkeypatch):
+    """A chain: URLs seen are written again log2 times, a level looks its URL up in one partition."""
+    asked, merged = [], []
+    known, add = Tiers.known, Tiers.add
+
+    def watched(self, batch, parts):
+        asked.append(len(parts))
+        return known(self, batch, parts)
+
+    def counted(self, batch, found):
+        add(self, batch, found)
+        merged.append(len(self.before(batch + 1)))
+
+    monkeypatch.setattr(Tiers, "known", watched)
+    monkeypatch.setattr(Tiers, "add", counted)
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(14)] + [("n9", "n2")], "src_url STRING, dst_url STRING")
+    before = set(names_in(spark, f"{shared_dir(spark)}/webtables"))
+    found = crawl_frontier(links, spark.createDataFrame([("n0",)], "url STRING"))
+    assert rows(found) == sorted((f"n{i}", i) for i in range(15))
+    assert max(asked) <= 2 and max(merged) <= 4
+    assert len(set(names_in(spark, f"{shared_dir(spark)}/webtables")) - before) == 1  # the levels
+
+
 NEXT = {"urlBase": "", "next": [{"level": 1, "tag": "a", "value": "href", "navigation": {"tag": "div"}}]}
 
 
@@ -200,8 +226,7 @@ def test_crawl_takes_the_first_open_link(spark):
     assert rows(walked) == [("s", "/0", 1), ("s", "/1", 0), ("s", "/9", 2), ("t", "/0", 2), ("t", "/1", 1), ("t", "/2", 0), ("t", "/9", 3)]
 
 
-def test_long_crawl_is_compacted(spark, monkeypatch):
-    monkeypatch.setattr("webtables.operators.crawl.COMPACT_EVERY", 2)
+def test_long_crawl(spark):
     chain = [(i, f"/{i}", f"<body><div><a href='/{i - 1}'>x</a><a href='/{i + 1}'>y</a></div>") for i in range(1, 9)]
     pages = spark.createDataFrame(chain, "page_id BIGINT, url STRING, html STRING")
     starts = spark.createDataFrame([("s", "/3")], "source STRING, url STRING")
@@ -210,6 +235,34 @@ def test_long_crawl_is_compacted(spark, monkeypatch):
     assert rows(crawl_sources(pages, NEXT, starts.select("source", F.lit("/1").alias("url")), max_rounds=5))[-1][2] <= 5
 
 
+def walk_by_hand(links, start):
+    """Pages from a start to the end, or to the first that comes again."""
+    to, found = {}, [start]
+    for a, b in links:
+        to[a] = min(b, to.get(a, b))
+    while to.get(found[-1]) not in (None, *found):
+        found.append(to[found[-1]])
+    return [(start, url, step) for step, url in enumerate(found)]
+
+
+def test_pagination_of_trees_and_circles(spark):
+    draw = random.Random(5)
+    links = [(f"p{i}", f"p{draw.randrange(60)}") for i in range(45)]  # pages that meet, run in circles, or end
+    links += [("p3", "p9"), ("self", "self"), ("c2", "c0"), ("c0", "c1"), ("c1", "c2"), ("in", "c1"), *[(f"line{i:02}", f"line{i + 1:02}") for i in range(70)]]
+    starts = sorted({a for a, _ in links} | {b for _, b in links} | {"alone"})
+    tables = spark.createDataFrame(links, "src_url STRING, next_url STRING"), spark.createDataFrame([(s,) for s in [*starts, "p1"]], "url STRING")
+    assert rows(paginate(*tables)) == sorted(r for s in starts for r in walk_by_hand(links, s))
+
+
+def test_every_start_of_a_chain_is_one_interval(spark):
+    n = 300
+    links = spark.range(n).select(F.format_string("u%04d", "id").alias("src_url"), F.format_string("u%04d", F.col("id") + 1).alias("next_url"))
+    chains = rank_chains(links)
+    found = intervals(chains, links.select(F.col("src_url").alias("url")))
+    assert found.count() == n and found.select("chain").distinct().count() == 1
+    assert found.agg(F.sum(F.col("high") - F.col("low") + 1)).first()[0] == sum(range(2, n + 2))
+
+
 def test_crawl_resumes_and_backtracks(spark):
     ledger = spark.createDataFrame(
         [("s", "/2", datetime(2024, 1, 1)), ("s", "/3", datetime(2024, 1, 2)), ("s", "/1", datetime(2023, 1, 1))],

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.match import tag_name
 from ..functions.text import apply_regex
 from ..functions.urls import resolve_url
-from ..session import bucketed, forget, scratch_path, written
+from ..session import bucketed, forget, removed, scratch, scratch_path, written
 from ..sources.dom import parse_pages
 from ..sources.pages import newest_pages
+from ..sources.tiers import Tiers
+from .chains import intervals, pages_of, rank_chains
 from .navigate import from_body, navigate, routes
 from .select import children, children_by_tag, first_child, has_child, let
 
@@ -119,103 +121,104 @@ def find_next(pages: DataFrame, spec: dict, ledger: DataFrame) -> DataFrame:
 def paginate(next_links: DataFrame, starts: DataFrame) -> DataFrame:
     """Follow `src_url -> next_url` from each `url` of `starts` to the end: `start, url, step`.
 
-    Instead of one job per page, the jump table is composed with itself: after round k it leaps 2^k pages,
-    so a chain of n pages needs about log2(n) rounds. A chain that runs into itself stops there. Of several
-    next links of a page the smallest counts.
+    Pages are ranked in their chains once (`rank_chains`), a start is one interval of a chain (`intervals`), and only
+    the result has a row per start and page. A chain that runs into itself stops there. Of several next links of a page
+    the smallest counts.
     """
-    jumps = written(next_links.groupBy("src_url").agg(F.min("next_url").alias("next_url")), "jumps")
-    first = starts.select(F.col("url").alias("start"), "url", F.lit(0).cast("bigint").alias("step"))
-    reached = written(first.distinct(), "reached")
-    leap, size = 1, reached.count()
-    while True:
-        ahead = reached.join(jumps, reached["url"] == jumps["src_url"]).select(
-            "start", F.col("next_url").alias("url"), (F.col("step") + leap).alias("step")
-        )
-        union = reached.unionByName(ahead).groupBy("start", "url").agg(F.min("step").alias("step"))
-        reached = written(union, "reached")
-        grown = reached.count()
-        if grown == size:
-            return reached
-        onward = jumps.select(F.col("src_url").alias("next_url"), F.col("next_url").alias("after"))
-        jumps = written(jumps.join(onward, "next_url").select("src_url", F.col("after").alias("next_url")), "jumps")
-        leap, size = leap * 2, grown
-
-
-def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    chains = rank_chains(next_links)
+    return pages_of(chains, intervals(chains, starts))
+
+
+#: URLs for which links are looked up by value, so that other buckets and row groups are not read.
+LOOKED_UP = 256
+
+
+def links_from(links: DataFrame, urls: DataFrame) -> DataFrame:
+    """The bucketed `links` that may start at one of `urls`: all of them, or for few URLs those of their buckets."""
+    few = [r[0] for r in urls.select("url").limit(LOOKED_UP + 1).collect()]
+    return links.where(F.col("src_url").isin(few)) if len(few) <= LOOKED_UP else links
+
+
+def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, parts: int = 64) -> DataFrame:
     """Every URL reachable from the seeds with its least number of hops: `url, depth`.
 
     One level per round: the frontier's links, without duplicates and without URLs seen before. Levels are
     written to the shared folder, so the plan does not grow and a lost executor costs no earlier level.
-    The links are bucketed once, so rounds shuffle the frontier only. The driver only learns whether a
-    level is empty.
+    The links are bucketed once, so rounds shuffle the frontier only, and a small frontier reads its buckets only.
+    URLs seen before are kept in `Tiers` of `parts` partitions: a level reads those that its URLs fall into. The driver
+    learns whether a level is empty, and the URLs of one with a few.
     """
     spark = links.sparkSession
     edges, table = bucketed(
         links.select("src_url", "dst_url").where("dst_url IS NOT NULL").distinct(), "src_url", "edges"
     )
     path = scratch_path(spark, "frontier")
-    level = lambda *depths: spark.read.schema("url STRING").parquet(*[f"{path}/depth={k}" for k in depths])
+    seen = Tiers(spark, scratch_path(spark, "seen"), T.StructType().add("url", T.StringType()), ["url"], parts)
+    level = lambda k: spark.read.schema("url STRING").parquet(f"{path}/depth={k}")
     depth = 0
     try:
         seeds.select("url").where("url IS NOT NULL").distinct().write.parquet(f"{path}/depth=0")
         while (max_depth is None or depth < max_depth) and not level(depth).isEmpty():
-            found = level(depth).join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"))
-            seen = level(*range(depth + 1))  # levels are disjoint and without duplicates
-            found.distinct().join(seen, "url", "left_anti").write.parquet(f"{path}/depth={depth + 1}")
+            seen.add(depth, level(depth))
+            found = level(depth).join(links_from(edges, level(depth)), F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"))
+            with scratch(spark) as keep:
+                seen.absent(depth + 1, found.distinct(), keep).write.parquet(f"{path}/depth={depth + 1}")
             depth += 1
     finally:
         forget(spark, table)
+        removed(spark, seen.path)
     return spark.read.schema("url STRING, depth INT").parquet(path)
 
 
-COMPACT_EVERY = 25
-
-
 def crawl_sources(
-    pages: DataFrame, spec: dict, starts: DataFrame, ledger: DataFrame | None = None, max_rounds: int | None = None
+    pages: DataFrame, spec: dict, starts: DataFrame, ledger: DataFrame | None = None, max_rounds: int | None = None, parts: int = 64
 ) -> DataFrame:
     """Crawl every source page by page, all sources side by side: `source, url, step`.
 
     `starts` holds one `source, url` each. A source moves to the page `choose_next` picks among links it
     has not been to; without one it goes back to its newest ledger entry not revisited yet, and ends when
-    there is none. Of several copies of a page the newest counts. Step n of all sources is one job, so the number of jobs is that of the longest crawl;
-    where each page has one fixed next link, `paginate` needs far fewer.
+    there is none. Of several copies of a page the newest counts. Step n of all sources is one round, so the number of
+    rounds is that of the longest crawl; where each page has one fixed next link, `paginate` needs far fewer. A round
+    reads the links of its own pages (see `links_from`) and, of the pages visited before and of the ledger, the
+    partitions that its candidates fall into.
     """
     spark = pages.sparkSession
     places = len(spec.get("extraction", spec).get("next") or [])
     copies = newest_pages(pages).withColumnRenamed("url", "src_url")
     candidates = next_candidates(pages, spec).join(copies, ["src_url", "page_id"], "left_semi")
     links, table = bucketed(candidates.drop("page_id"), "src_url", "candidates")
-    keys = "source STRING, url STRING"
+    columns = T.StructType().add("source", T.StringType()).add("url", T.StringType())
+    path = scratch_path(spark, "crawl")
+    been = Tiers(spark, scratch_path(spark, "been"), columns, columns.names, parts)
+    entered = Tiers(spark, scratch_path(spark, "entered"), columns, columns.names, parts)
     known = None
     if ledger is not None:
         known = written(ledger.select(F.col("source").cast("string"), "url", "crawl_ts"), "known")
-    path = scratch_path(spark, "crawl")
-    at = lambda *steps: spark.read.schema(keys).parquet(*[f"{path}/step={k}" for k in steps])
-    step, old, old_steps = 0, None, 0  # `old`: the first `old_steps` steps in one table
+        entered.add(0, known.select("source", "url").distinct())
+    at = lambda step: spark.read.schema(columns).parquet(f"{path}/step={step}")
+    step = 0
     try:
         starts.select(F.col("source").cast("string"), "url").distinct().write.parquet(f"{path}/step=0")
         while places and (max_rounds is None or step < max_rounds) and not at(step).isEmpty():
-            recent = at(*range(old_steps, step + 1))
-            been = recent if old is None else old.unionByName(recent)
-            if step - old_steps >= COMPACT_EVERY:
-                been = old = written(been, "visited")
-                old_steps = step + 1
-            closed = been if known is None else been.unionByName(known.select("source", "url"))
-            onward = at(step).join(links.withColumnRenamed("url", "to"), F.col("url") == F.col("src_url"))
-            onward = onward.select("source", "place", "position", "href", F.col("to").alias("url"))
-            moves = choose_next(not_crawled(onward, closed, ["source", "url"]), places, "source")
-            moves = moves.select("source", F.col("next_url").alias("url"))
-            if known is not None:
-                stuck = at(step).select("source").join(moves, "source", "left_anti")
-                left = written(stuck, "stuck")  # few: the ledger and the visited pages are cut to their sources first
-                mine = lambda df: df.join(left, "source", "left_semi")
-                moves = moves.unionByName(left.join(backtrack(mine(known), mine(been)), "source"))
-            moves.write.parquet(f"{path}/step={step + 1}")
+            been.add(step, at(step))
+            with scratch(spark) as keep:
+                onward = at(step).join(links_from(links.withColumnRenamed("url", "to"), at(step)), F.col("url") == F.col("src_url"))
+                onward = onward.select("source", "place", "position", "href", F.col("to").alias("url"))
+                open_ = keep(been.absent(step + 1, onward, keep), "open")
+                moves = choose_next(open_ if known is None else entered.absent(1, open_, keep), places, "source")
+                moves = keep(moves.select("source", F.col("next_url").alias("url")), "moves")
+                stuck = keep(at(step).select("source").join(moves, "source", "left_anti"), "stuck")
+                if known is not None and not stuck.isEmpty():  # the ledger and the visited pages are cut to their sources
+                    mine = lambda df: df.join(stuck, "source", "left_semi")
+                    visited = been.read(been.before(step + 1)).select("source", "url")
+                    moves = moves.unionByName(stuck.join(backtrack(mine(known), mine(visited)), "source"))
+                moves.write.parquet(f"{path}/step={step + 1}")
             step += 1
     finally:
         forget(spark, table)
-    visited = spark.read.schema(keys + ", step INT").parquet(path)
+        removed(spark, been.path)
+        removed(spark, entered.path)
+    visited = spark.read.schema("source STRING, url STRING, step INT").parquet(path)
     return visited if known is None else not_crawled(visited, known, ["source", "url"])
 
 

@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+
 def rules_schema(rules: dict) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in rules])
 
@@ -65,23 +66,39 @@ def keys_of(df: DataFrame, key: Sequence[str], *more: Column) -> DataFrame:
     return df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *more)
 
 
+def fixed_width(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def dedup_natural_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The first row of each key by `order_by`, which must be unique within a key.
+    """The first row of each key by `order_by`, which must tell a key's different rows apart; nulls come first.
 
-    An aggregation and not a window: copies of a hot key are reduced before the shuffle. It groups by a hash of
-    the key, so that long keys travel once, in the row.
+    In two phases: the least order of each key is found from a digest of the key and the order alone, then the rows that
+    have it are looked up, so no row is sorted or carried along. Numbers and times are narrowed one after the other;
+    where texts must decide, among what is left of a key, they do so by themselves.
     """
-    row = F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("_row")
-    return df.groupBy(key_digest(key).alias("_digest")).agg(row).select("_row.*")
+    rows = df.withColumn("_digest", key_digest(key))
+    order, left = [], list(order_by)
+    while left and fixed_width(df.schema[left[0]].dataType):
+        order.append(left.pop(0))
+    for column in order:
+        least = F.struct(F.min(F.when(F.col(column).isNotNull(), F.col(column))).alias("value"), F.max(F.col(column).isNull()).alias("null"))
+        firsts = rows.groupBy(F.col("_digest").alias("_of")).agg(least["null"].alias("_null"), least["value"].alias("_value"))
+        same = F.when(F.col("_null"), F.col(column).isNull()).otherwise(F.col(column) == F.col("_value"))
+        rows = rows.join(firsts, (F.col("_digest") == F.col("_of")) & same, "left_semi")
+    if left:
+        firsts = rows.groupBy(F.col("_digest").alias("_of")).agg(F.min(F.struct(*left)).alias("_value"))
+        rows = rows.join(firsts, (F.col("_digest") == F.col("_of")) & F.struct(*left).eqNullSafe(F.col("_value")), "left_semi")
+    return rows.select(*df.columns).distinct()  # copies of a row
 
 
 def one_per_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None) -> DataFrame:
-    """The first row of each key by `order_by`; without it, a key that comes twice fails the job."""
+    """The first row of each key by `order_by`; without it, keys are counted at once, and one that comes twice is an error."""
     if order_by:
         return dedup_natural_key(df, key, order_by)
-    names = F.lit(f"a key ({', '.join(key)}) comes twice: give order_by")
-    rows = df.groupBy(key_digest(key).alias("_digest")).agg(F.any_value(F.struct(*df.columns)).alias("_row"), F.count("*").alias("_n"))
-    return rows.select(F.when(F.col("_n") > 1, F.raise_error(names)).otherwise(F.col("_row")).alias("_row")).select("_row.*")
+    if not df.groupBy(key_digest(key).alias("_digest")).count().where("count > 1").isEmpty():
+        raise ValueError(f"a key ({', '.join(key)}) comes twice: give order_by")
+    return df
 
 
 # ---- writes as new table states ------------------------------------------------------------------

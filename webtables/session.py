@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +60,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever store it is."""
+    store, where = _folder(spark, path)
+    store.delete(where, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    store, where = _folder(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables like those of `written` that are deleted at the end of the block, in which they must be used up."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            removed(spark, path)
+
+
 def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> tuple[DataFrame, str]:
     """Write to the shared folder in buckets of `key` and read back, with the table's name for `forget`.
 
@@ -72,6 +109,10 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) ->
     return spark.table(table), table
 
 
-def forget(spark: SparkSession, table: str) -> None:
-    """Drop a table made by `bucketed` from the catalog."""
+def forget(spark: SparkSession, table: str, path: str | None = None) -> None:
+    """Drop a table made by `bucketed` from the catalog, and its files."""
+    files = spark.table(table).inputFiles() if path is None else []
     spark.sql(f"DROP TABLE IF EXISTS {table}")
+    folder = path or (files[0].rpartition("/")[0] if files else None)
+    if folder and "/webtables/" in folder:
+        removed(spark, folder)
