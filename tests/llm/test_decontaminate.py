@@ -170,8 +170,8 @@ def test_a_document_with_the_whole_benchmark(spark, docs_of):
     steps = [0]
     places = D.Reading.places
 
-    def counted(self, window):
-        found = places(self, window)
+    def counted(self, window, code=None):
+        found = places(self, window, code)
         steps[0] += 1 + len(found)
         return found
 

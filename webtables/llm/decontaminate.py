@@ -74,12 +74,17 @@ def chunk_kind(chunk: str) -> tuple[int, str]:
 Words = list[tuple[str, str | None]]
 
 
+@lru_cache(100_000)
+def short_chunk_kind(chunk: str) -> tuple[int, str]:
+    return chunk_kind(chunk)
+
+
 def read(text: str, wrapped: bool = False) -> tuple[Words, list[bool]]:
     """Template words, (placeholder, value) or (word, None), and which begin a sentence or a line; lines may be just wrapped."""
     words, begins, before, fresh = [], [], None, True
     for chunk, starts in chunks_of(text):
         fresh = fresh or (starts and not wrapped)
-        kind, bare = chunk_kind(chunk)
+        kind, bare = (short_chunk_kind if len(chunk) <= LONG else chunk_kind)(chunk)
         ends, kind = kind & ENDS, kind & 7
         if kind != NOTHING:
             if kind == DIGITS:
@@ -131,13 +136,34 @@ class Kinds(dict):
 
 KINDS = Kinds()
 FACTOR = 0x9E3779B97F4A7C15
-#: Bytes that part chunks, and those that end lines, as Python's `split` and `splitlines` have them.
-BLANK, LINE = np.zeros(256, bool), np.zeros(256, bool)
-BLANK[[*range(9, 14), *range(28, 33)]] = True
-LINE[[10, 11, 12, 13, 28, 29, 30]] = True
-#: Other white space in UTF-8; those with True end lines.
-WIDE = {"\x85": True, "\u2028": True, "\u2029": True, **dict.fromkeys("\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", False)}
-WIDE_BYTES = {c.encode(): (b"\n" if ends else b" ") + b" " * (len(c.encode()) - 1) for c, ends in WIDE.items()}
+#: What bytes are, as Python's `split` and `splitlines` have it: 1 parts chunks, 2 ends lines too.
+BLANKS = bytes(2 if i in (10, 11, 12, 13, 28, 29, 30) else 1 if i in (9, 31, 32) else 0 for i in range(256))
+#: Other white space; that with 2 ends lines.
+WIDE = {"\x85": 2, "\u2028": 2, "\u2029": 2} | dict.fromkeys("\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", 1)
+
+
+LEADS = bytes(any(c.encode()[0] == i for c in WIDE) for i in range(256))
+
+
+def blanks(raw: bytes) -> np.ndarray:
+    """For each byte of UTF-8 whether it is white space (1), or ends a line (2)."""
+    found = np.frombuffer(bytearray(raw.translate(BLANKS)), np.uint8)
+    if not raw.isascii():
+        text = np.frombuffer(raw, np.uint8)
+        at = np.flatnonzero(np.frombuffer(raw.translate(LEADS), np.uint8)[:-2])
+        code = text[at].astype(np.int64) << 16 | text[at + 1].astype(np.int64) << 8 | text[at + 2]
+        code = np.where(text[at] == 0xC2, code & ~255, code)
+        for wide, kind in WIDE.items():
+            size = len(wide.encode())
+            for place in at[code == int.from_bytes(wide.encode().ljust(3, b"\0"))]:
+                found[place : place + size] = kind
+    return found
+
+
+def runs(of: np.ndarray) -> np.ndarray:
+    """For each element of a sorted array the place of the first that equals it."""
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    return np.repeat(starts, np.diff(starts, append=len(of)))
 
 
 class Coded:
@@ -145,23 +171,23 @@ class Coded:
 
     def __init__(self, texts: list[str]):
         raw = "\n".join([*texts, ""]).encode()
-        sizes = [len(t) + 1 if t.isascii() else len(t.encode()) + 1 for t in texts]
-        if not raw.isascii():
-            for wide, plain in WIDE_BYTES.items():
-                raw = raw.replace(wide, plain)
-        text = np.frombuffer(raw, np.uint8)
-        edges = np.flatnonzero(np.diff((~BLANK[text]).view(np.int8), prepend=0, append=0))
+        bounds = np.cumsum([len(t) + 1 if t.isascii() else len(t.encode()) + 1 for t in texts])
+        blank = blanks(raw)
+        inside = blank == 0
+        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
         first, end = edges[::2], edges[1::2]
         offsets = np.zeros(len(first) + 1, np.int32)
         np.cumsum(end - first, out=offsets[1:])
-        chunks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(text[~BLANK[text]])]).dictionary_encode()
+        data = np.frombuffer(raw, np.uint8)[inside]
+        chunks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         known = np.fromiter(map(KINDS.__getitem__, chunks.dictionary.to_pylist()), np.uint64, len(chunks.dictionary))
         codes = known[chunks.indices.to_numpy()] if len(first) else np.zeros(0, np.uint64)
-        of = np.searchsorted(np.cumsum(sizes), first, "right")
-        lines = np.searchsorted(np.flatnonzero(LINE[text]), first)
+        upto = np.searchsorted(first, bounds)
+        of = np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0))
+        lines = np.cumsum(blank == 2, dtype=np.int32)[first] if len(first) else np.zeros(0, np.int32)
         place = np.arange(len(codes))
         begun = np.maximum.accumulate(np.where(np.diff(lines, prepend=-1) != 0, place, -1)) if len(codes) else place
-        own = np.searchsorted(of, of)  # the first chunk of the text
+        own = runs(of)  # the first chunk of the text
         kinds, ends = (codes & np.uint64(7)).astype(np.int8), (codes & np.uint64(ENDS)) != 0
         solid = kinds != NOTHING
         # fresh: what stood last, other than chunks without a word, ended a sentence; such a chunk may itself end one
@@ -172,8 +198,8 @@ class Coded:
         self.by_line = (fresh | (previous < begun))[solid]
         self.fresh, self.of, kinds = fresh[solid], of[solid], kinds[solid]
         self.codes = codes[solid] & ~np.uint64(15)
-        own = np.searchsorted(self.of, self.of)
-        after_number = np.concatenate([[False], kinds[:-1] == DIGITS])[: len(kinds)] & (np.arange(len(kinds)) > own)
+        self.own = runs(self.of)
+        after_number = np.concatenate([[False], kinds[:-1] == DIGITS])[: len(kinds)] & (np.arange(len(kinds)) > self.own)
         self.codes[kinds == DIGITS] = PLACEHOLDERS["number"]
         self.codes[(kinds == UNIT) & after_number] = PLACEHOLDERS["unit"]
         self.capital = kinds == CAPITAL
@@ -187,12 +213,12 @@ class Coded:
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Text and hash of the windows of every reading: WINDOW words, short sentences and lines, short texts."""
-        own = np.searchsorted(self.of, self.of)
-        for k, (codes, begins) in enumerate(self.readings()):
-            if k != 3:  # the literal codes are the same by either
-                yield from whole_windows(codes, self.of)
+        texts, base = np.arange(len(self.of)) == self.own, None
+        for codes, begins in self.readings():
+            yield from whole_windows(codes, self.of, None if base is None else codes != base)  # only what the first reading lacks
+            base = codes if base is None else base
             yield from short_windows(codes, self.of, begins)
-            yield from short_windows(codes, self.of, np.arange(len(codes)) == own, 1)  # short texts
+            yield from short_windows(codes, self.of, texts, 1)
 
 
 def mixed(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -203,8 +229,17 @@ def mixed(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return found ^ (found >> np.uint64(32))
 
 
-def whole_windows(codes: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    starts = np.flatnonzero(of[: 1 - WINDOW] == of[WINDOW - 1 :]) if len(codes) >= WINDOW else np.zeros(0, np.int64)
+def whole_windows(codes: np.ndarray, of: np.ndarray, among: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows that lie in one text; with `among`, those that hold one of these words."""
+    if len(codes) < WINDOW:
+        return
+    within = of[: 1 - WINDOW] == of[WINDOW - 1 :]
+    if among is not None:
+        if not among.any():
+            return
+        upto = np.concatenate([[0], np.cumsum(among, dtype=np.int32)])
+        within &= upto[WINDOW:] > upto[:-WINDOW]
+    starts = np.flatnonzero(within)
     yield of[starts], mixed(codes, starts, WINDOW)
 
 
@@ -309,13 +344,21 @@ def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 # word by word
 
 
+class Codes(dict):
+    """Template word -> code, for the readings of one text."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = word_code(word)
+        return code
+
+
 class Reading:
     """Template words with an index of their windows by hash."""
 
-    def __init__(self, words: Words, begins: list[bool]):
-        self.words, self.begins = words, begins
+    def __init__(self, words: Words, begins: list[bool], known: Codes | None = None):
+        self.words, self.begins, self.known = words, begins, Codes() if known is None else known
         self.names = [w for w, _ in words]
-        codes = np.fromiter(map(word_code, self.names), np.uint64, len(words))
+        codes = np.fromiter(map(self.known.__getitem__, self.names), np.uint64, len(words))
         starts = np.arange(max(0, len(words) - WINDOW + 1))
         hashes = mixed(codes, starts, WINDOW)
         self.order = np.argsort(hashes, kind="stable")
@@ -328,17 +371,23 @@ class Reading:
         if 0 < len(words) < WINDOW and 0 not in self.short[tuple(self.names)]:
             self.short[tuple(self.names)].append(0)
 
-    def places(self, window: tuple) -> list[int]:
-        """Where a window's names stand, in order."""
+    def places(self, window: tuple, code: int | None = None) -> list[int]:
+        """Where a window's names stand, in order; `code` is its hash, if known."""
         if len(window) < WINDOW:
             return self.short.get(window, [])
-        wanted = mixed(np.fromiter(map(word_code, window), np.uint64, WINDOW), np.zeros(1, np.int64), WINDOW)[0]
-        low, high = np.searchsorted(self.sorted, wanted), np.searchsorted(self.sorted, wanted, "right")
+        if code is None:
+            code = mixed(np.fromiter(map(word_code, window), np.uint64, WINDOW), np.zeros(1, np.int64), WINDOW)[0]
+        low, high = np.searchsorted(self.sorted, code), np.searchsorted(self.sorted, code, "right")
         return [p for p in self.order[low:high].tolist() if tuple(self.names[p : p + WINDOW]) == window]
 
+    def shared(self, other: Reading) -> np.ndarray:
+        """Which windows of another reading may be among these, by hash."""
+        at = np.searchsorted(self.sorted, other.hashes)
+        return self.sorted[np.minimum(at, len(self.sorted) - 1)] == other.hashes if len(self.sorted) else np.zeros(len(other.hashes), bool)
+
     def literal(self) -> Reading:
         """The same with names as words."""
-        return Reading([(value, None) if word == "<name>" else (word, value) for word, value in self.words], self.begins)
+        return Reading([(value, None) if word == "<name>" else (word, value) for word, value in self.words], self.begins, self.known)
 
 
 def word_code(word: str) -> int:
@@ -348,7 +397,9 @@ def word_code(word: str) -> int:
 def readings_of(text: str) -> list[list[Reading]]:
     """The template and, if lines may be wrapped, the one that says so; each with its literal reading if it has names."""
     plain, wrapped = read(text), read(text, True)
-    return [[r, r.literal()] if "<name>" in r.names else [r] for r in (Reading(*x) for x in ([plain] if plain == wrapped else [plain, wrapped]))]
+    known = Codes()
+    found = [Reading(*x, known) for x in ([plain] if plain == wrapped else [plain, wrapped])]
+    return [[r, r.literal()] if "<name>" in r.names else [r] for r in found]
 
 
 @lru_cache(1_024)
@@ -379,7 +430,11 @@ def placed(doc: Reading, item: Reading, share: float) -> Found | None:
     windows: dict[tuple, int] = {}
     for q in range(len(mine) - size + 1):
         windows.setdefault(tuple(mine[q : q + size]), q)
-    hits = [(p - q, p, q) for window, q in windows.items() for p in doc.places(window)]
+    if size < WINDOW:
+        hits = [(p - q, p, q) for window, q in windows.items() for p in doc.places(window)]
+    else:
+        here = set(np.flatnonzero(doc.shared(item)).tolist())
+        hits = [(p - q, p, q) for window, q in windows.items() if q in here for p in doc.places(window, item.hashes[q])]
     # the first word as a name: any name where the item uses it as one, else the same word
     first = item.words[0]
     if first[1] is None:
