@@ -12,20 +12,26 @@ from .conftest import ODD
 
 
 def by_hand(rows, shards, seed=42):
-    """Shard and slot by sorting everything: rows are (doc_id, source, text)."""
+    """(doc_id, source, size, crc, shard, slot) by sorting everything: rows are (doc_id, source, text)."""
     import hashlib
 
-    key = lambda i: int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
-    full = [(key(i), i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8, "" if s is None else f"={s}") for i, s, t in rows]
+    copies, full = Counter(), []
+    for i, s, t in rows:
+        text = (t or "").encode()
+        row = (i, "" if s is None else f"={s}", len(text) + 8, zlib.crc32(text))
+        copies[row] += 1
+        key = int(hashlib.md5(f"{seed}:{'' if i is None else i}:{row[3]}:{copies[row]}".encode()).hexdigest()[:15], 16)
+        full.append((key, i is not None, i, row[3], row[2], copies[row], row[1], s))
     placed = []
-    for source in {r[4] for r in full}:
-        own = sorted((r for r in full if r[4] == source), key=lambda r: r[:4])
-        placed += [((n + 0.5) / len(own), source, *r[:4]) for n, r in enumerate(own)]
-    placed.sort()
-    n, found, slots = len(placed), {}, Counter()
+    for source in {r[6] for r in full}:
+        own = sorted((r for r in full if r[6] == source), key=lambda r: r[:6])
+        share = zlib.crc32(f"{seed}:{source}".encode()) / 2**32
+        placed += [((n + share) / len(own), source, *r) for n, r in enumerate(own)]
+    placed.sort(key=lambda r: r[:8])
+    n, found, slots = len(placed), [], Counter()
     for position, r in enumerate(placed):
         shard = position * shards // n
-        found[r[3]] = (shard, slots[shard])
+        found.append((r[4], r[9], r[6], r[5], shard, slots[shard]))
         slots[shard] += 1
     return found
 
@@ -33,13 +39,19 @@ def by_hand(rows, shards, seed=42):
 @pytest.mark.parametrize("bucket_rows", [3, 50, 10_000])
 def test_against_sorting(spark, bucket_rows):
     rows = [(i, [None, "", "hot", "hot", "hot", "b"][i % 6], f"text {i % 11}" if i % 7 else None) for i in range(500)]
+    rows += [(None, "b", f"text {i}") for i in range(40)] + [(7, "hot", "copy")] * 60 + [(1_000 + i, f"site{i}", "one row") for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    found = sharding.shard(docs, 7, bucket_rows=bucket_rows).collect()
-    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in found} == by_hand(rows, 7)
-    texts = {i: (s, t or "") for i, s, t in rows}
-    for r in found:
-        s, t = texts[r["doc_id"]]
-        assert (r["source"], r["size"], r["text_crc32"]) == (s, len(t.encode()) + 8, zlib.crc32(t.encode()))
+    found = sharding.shard(docs.repartition(5), 7, bucket_rows=bucket_rows).collect()
+    names = ("doc_id", "source", "size", "text_crc32", "shard", "slot")
+    assert sorted((tuple(r[c] for c in names) for r in found), key=repr) == sorted(by_hand(rows, 7), key=repr)
+
+
+def test_many_small_sources_are_spread(spark):
+    """Sources of one or two rows go to all shards alike, and no fine bucket holds many rows."""
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.format_string("site%d", F.col("id").cast("int") % 4_000).alias("source"), F.lit("x").alias("text"))
+    found = sharding.shard(docs, 10, bucket_rows=100)
+    small = found.filter("CAST(substr(source, 5) AS INT) >= 2000").groupBy("shard").count().collect()
+    assert len(small) == 10 and all(140 < r["count"] < 260 for r in small)
 
 
 def test_every_shard_has_the_mixture(spark):
