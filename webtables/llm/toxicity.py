@@ -8,11 +8,13 @@ of one half of the documents that gain bytes by a dictionary trained on the othe
 
 A list of telling words stands beside it, found by compression too. A dictionary trained on toxic documents gains bytes
 in some of their windows; the word that accounts for a window's gain is a candidate, and is taken if it is far more
-frequent in toxic documents than in others. Toxic documents that still gain nothing train the next dictionary, until
+frequent in toxic documents than in others. So is the beginning of a candidate, where toxic words are many that each
+are rare but begin alike. Toxic documents that still gain nothing train the next dictionary, until
 nothing new is found. The list is added to the trained dictionary, and is also a dictionary by itself.
 
-A document's score is a logistic function of how many windows gain how much with either, fitted on labelled documents
-that trained no dictionary, so that thresholds are calibrated.
+A document's score is a logistic function of how many windows gain how much with the first, and how much
+with the list alone, fitted on labelled documents that trained no dictionary, so that thresholds
+are calibrated.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ EXAMPLES = 30_000
 #: A word is telling if it is in this share of toxic documents, and this many times more frequent there than elsewhere.
 LEAST_SHARE, TIMES = 0.012, 10
 ROUNDS = 5
+#: Bytes of a word's beginning that may be telling by itself.
+STEM = range(4, 13)
 GAINS = (2, 3, 4, 5)  # bytes
 #: Bytes that a window of one half gains by the other half's dictionary, from which on it trains the toxic one.
 SHARED = 3
@@ -47,10 +51,14 @@ SHARED = 3
 CALIBRATION = 4
 
 
+#: Behind each window: zstandard looks for no match that begins in the last eight bytes.
+TAIL = b" " * 10
+
+
 def windows(text: bytes, words: int, step: int | None = None) -> list[bytes]:
-    """Each window with a space at either end; ASCII letters in lower case."""
+    """Each window with a space in front and TAIL behind; ASCII letters in lower case."""
     every = text.lower().split()
-    return [b" " + b" ".join(every[i : i + words]) + b" " for i in range(0, len(every), step or words)]
+    return [b" " + b" ".join(every[i : i + words]) + TAIL for i in range(0, len(every), step or words)]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -88,7 +96,7 @@ class Model:
     def both_gains(self, text: bytes, words: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
         """Bytes that each window is shorter with the toxic dictionary, and with the telling words alone."""
         if self.by is None:
-            self.by = tuple(compressor(front + self.ordinary) for front in (b"", self.toxic, self.words))
+            self.by = tuple(compressor(more + self.ordinary) for more in (b"", self.toxic, self.words))
         parts = windows(text, words)
         ordinary, toxic, telling = (lengths(by, parts) for by in self.by)
         return ordinary - toxic, ordinary - telling
@@ -133,14 +141,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w / scale
 
 
+def beginnings(word: bytes) -> list[bytes]:
+    """The beginnings of a word, shortest first, without cut characters."""
+    return [word[:n] for n in STEM if n < len(word) and word[n] & 0xC0 != 0x80]
+
+
 def telling_words(toxic: list[bytes], plain: list[bytes], ordinary: bytes, pick: random.Random) -> list[bytes]:
-    """Words that account for what a toxic dictionary gains and that ordinary documents hardly have, rarest first."""
+    """Words, and beginnings of words, that account for what a toxic dictionary gains and that ordinary documents hardly have, rarest first."""
     by_ordinary = compressor(ordinary)
     parts = [windows(t, NARROW, NARROW - 1) for t in toxic]
     base = [lengths(by_ordinary, p) for p in parts]
-    in_toxic, in_plain = (Counter(w for t in texts for w in set(t.lower().split())) for texts in (toxic, plain))
+    words_of = [[Counter(t.lower().split()) for t in texts] for texts in (toxic, plain)]
+    in_toxic, in_plain = (Counter(w for words in texts for w in words) for texts in words_of)
     least = max(3, LEAST_SHARE * len(toxic))
+    telling = lambda w: in_toxic[w] >= least and in_toxic[w] * len(plain) >= TIMES * (in_plain[w] + 0.5) * len(toxic)
+
+    def stem(word: bytes) -> bytes:
+        """The longest telling beginning that nearly as many toxic documents have as the shortest one."""
+        every = [s for s in beginnings(word) if telling(s)]
+        return [s for s in every if in_toxic[s] >= 0.8 * in_toxic[every[0]]][-1]
+
     chosen: set[bytes] = set()
+    tried: set[bytes] = set()
     left = list(range(len(toxic)))
     for _ in range(ROUNDS):
         pool = [p for i in left for p in parts[i]]
@@ -153,11 +175,19 @@ def telling_words(toxic: list[bytes], plain: list[bytes], ordinary: bytes, pick:
                 if gain < 2:
                     continue
                 words = part.split()
-                without = [b" " + b" ".join([*words[:k], *words[k + 1 :]]) + b" " for k in range(len(words))]
+                without = [b" " + b" ".join([*words[:k], *words[k + 1 :]]) + TAIL for k in range(len(words))]
                 rest = lengths(by_ordinary, without) - lengths(taught, without)
                 if gain > rest.min():
                     found.add(words[int(rest.argmin())])
-        new = {w for w in found - chosen if in_toxic[w] >= least and in_toxic[w] * len(plain) >= TIMES * (in_plain[w] + 0.5) * len(toxic)}
+        stems = {s for w in found for s in beginnings(w)} - tried - in_toxic.keys() - in_plain.keys()
+        tried |= stems
+        for counts, texts in zip((in_toxic, in_plain), words_of):  # documents that have two words with such a beginning: one may be chance
+            for words in texts:
+                begun = Counter(s for w, n in words.items() for s in beginnings(w) if s in stems for _ in range(n))
+                counts.update(s for s, n in begun.items() if n > 1)
+        new = {w for w in found if telling(w)}
+        new |= {stem(w) for w in found - new if any(map(telling, beginnings(w)))}
+        new -= chosen
         if not new:
             break
         chosen |= new
