@@ -73,7 +73,7 @@ def lengths(by: zstandard.ZstdCompressor, parts: list[bytes]) -> np.ndarray:
 
 def dictionary(size: int, parts: list[bytes], pick: random.Random) -> bytes:
     """Content of a zstandard dictionary trained on windows; all of the windows where they are too few to train on."""
-    some = pick.sample(parts, min(len(parts), EXAMPLES))
+    some = [p.rstrip(b" ") + b" " for p in pick.sample(parts, min(len(parts), EXAMPLES))]
     try:
         return zstandard.train_dictionary(size, some).as_bytes()
     except zstandard.ZstdError:
