@@ -20,7 +20,7 @@ from webtables.session import names_in, scratch_path
 from webtables.sources.pages import page_source, store_snapshot
 from webtables.sources.sinks import EntityColumn, entity_ddl, entity_sink, error_log_sink
 from webtables.streaming.feed import (
-    EntityTable, PacedQueue, entity_stream_load, run, stream_dedup, stream_extract, stream_not_crawled, url_stream,
+    EntityTable, PacedQueue, entity_stream_load, finish_retries, run, stream_dedup, stream_extract, stream_not_crawled, url_stream,
 )
 
 from . import specs
@@ -367,12 +367,10 @@ def stream_extract_articles(spark, sf):
     """Every message ends as entities, dead after two tries, or among the errors."""
     out, queue = scratch_path(spark, "extracted"), url_queue(spark, sf)
     pages = store_snapshot(page_source(spark, sf), scratch_path(spark, "snapshot"), parts=16)
-    extract = lambda: finished(stream_extract(
-        url_stream(spark, queue, "url STRING", max_files=2), pages, specs.ARTICLES, out, f"{out}-checkpoint", k=2
-    ))
-    extract()
-    spark.createDataFrame([(None,)], "url STRING").write.mode("append").parquet(queue)  # the last batch takes the last retries
-    extract()
+    spark.createDataFrame([(None,)], "url STRING").write.mode("append").parquet(queue)
+    stream = url_stream(spark, queue, "url STRING", max_files=2)
+    finished(stream_extract(stream, pages, specs.ARTICLES, out, f"{out}-checkpoint", k=2))
+    finish_retries(spark, pages, specs.ARTICLES, out, k=2)
     found = spark.read.parquet(f"{out}/entities").select(F.lit("entity").alias("kind"), "page_id", F.col("entity_idx").alias("n"), F.col("data")["PARAGRAPH"].alias("text"))
     dead = spark.read.parquet(f"{out}/dead").select("reason", F.lit(-1), "attempts", "url")
     errors = spark.read.parquet(f"{out}/errors").select("message", F.lit(-1), F.lit(0), "log_message")
@@ -411,14 +409,14 @@ def stream_load_members(spark, sf):
     for _ in range(2):
         member_messages(spark, sf).repartition(3).write.mode("append").parquet(queue)
         stream = url_stream(spark, queue, schema, max_files=1)
-        finished(entity_stream_load(stream, targets, f"{out}/rejects", f"{out}-checkpoint"))
+        finished(entity_stream_load(stream, targets, f"{out}/rejects", f"{out}-checkpoint", f"{out}/errors"))
     loaded = [
         spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("type"), F.col("SEGMENT").alias("segment"), F.col("MEMBER").alias("member"), "id")
         for name in targets
     ]
-    row = F.from_json("row", "map<string,string>")
-    rejects = spark.read.parquet(f"{out}/rejects").select(
-        F.concat("type", F.lit(": "), "message"), row["SEGMENT"], row["MEMBER"], F.lit(None).cast("string")
+    row = F.from_json("log_message", "map<string,string>")
+    rejects = spark.read.parquet(f"{out}/errors").select(
+        F.concat("source", F.lit(": "), "message"), row["SEGMENT"], row["MEMBER"], F.lit(None).cast("string")
     )
     return loaded[0].union(loaded[1]).union(rejects)
 

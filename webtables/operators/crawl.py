@@ -202,7 +202,9 @@ def crawl_sources(
         while places and (max_rounds is None or step < max_rounds) and not at(step).isEmpty():
             been.add(step, at(step))
             with scratch(spark) as keep:
-                onward = at(step).join(links_from(links.withColumnRenamed("url", "to"), at(step)), F.col("url") == F.col("src_url"))
+                here = at(step).select("url").distinct()  # many sources may stand on one page
+                from_here = keep(links_from(links.withColumnRenamed("url", "to"), here).join(here, F.col("src_url") == F.col("url"), "left_semi"), "from-here")
+                onward = at(step).join(from_here, F.col("url") == F.col("src_url"))
                 onward = onward.select("source", "place", "position", "href", F.col("to").alias("url"))
                 open_ = keep(been.absent(step + 1, onward, keep), "open")
                 moves = choose_next(open_ if known is None else entered.absent(1, open_, keep), places, "source")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 QUEUE_LIMIT = 10_000
+#: Fixed value: what a database says of a key that it holds already.
+DUPLICATE = "Cannot insert duplicate key"
 PART_ROWS = 1_000_000  # messages of a part of a queue, about
 
 
@@ -50,5 +52,5 @@ def retry_or_dead_letter(
 
 def failure_policy(causes: Column) -> Column:
     """`ack` (drop) when any cause is a duplicate key, else `retry`; `causes` are messages, outermost first."""
-    duplicate = F.exists(causes, lambda c: F.contains(c, F.lit("Cannot insert duplicate key")))
+    duplicate = F.exists(causes, lambda c: F.contains(c, F.lit(DUPLICATE)))
     return F.when(F.coalesce(duplicate, F.lit(False)), "ack").otherwise("retry")

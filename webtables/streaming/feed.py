@@ -138,12 +138,33 @@ def log_rows(service: str, failed: DataFrame) -> DataFrame:
 RETRY = T.StructType().add("url", T.StringType()).add("reason", T.StringType()).add("attempts", T.IntegerType())
 
 
+def extracted(sent: DataFrame, again: DataFrame, pages: DataFrame | Snapshot, newest: DataFrame | None, spec: dict, out: str, batch: int, k: int, keep) -> DataFrame:
+    """One batch of `stream_extract`, written under `batch_id=batch`; returns the messages to retry."""
+    to = lambda name: f"{out}/{name}/batch_id={batch}"
+    asked = sent.where("url IS NOT NULL").select("url").union(again.select("url")).distinct()
+    found, missing = resolve_pages(asked, pages, newest, keep)
+    made = keep(assemble(spec_pages(found, spec), spec), "assembled")
+    good = made.where("error IS NULL").drop("error")
+    good.write.mode("overwrite").parquet(to("entities"))
+    at = found.select("url", "page_id")
+    empty = at.join(good.select("page_id").distinct(), "page_id", "left_anti")
+    failed = missing.select("url", F.lit("no page").alias("reason")).union(empty.select("url", F.lit("no entities")))
+    retry, dead = retry_or_dead_letter(failed, again, k, ["url"])
+    retry = keep(retry.select(*RETRY.names), "retry")
+    dead.select(*RETRY.names).write.mode("overwrite").parquet(to("dead"))
+    broken = made.where("error IS NOT NULL").join(at, "page_id")
+    broken = broken.select(F.col("url").alias("source"), F.col("error").alias("message"), F.to_json("data").alias("detail"))
+    malformed = sent.where("url IS NULL").select(F.lit(None).cast("string").alias("source"), F.lit("malformed message").alias("message"), F.col("raw").alias("detail"))
+    log_rows("extract", broken.union(malformed)).write.mode("overwrite").parquet(to("errors"))
+    return retry
+
+
 def stream_extract(stream: DataFrame, pages: DataFrame | Snapshot, spec: dict, out: str, checkpoint: str, k: int = 3) -> StreamingQuery:
     """URL messages (`url`, or JSON in `body`) -> entities in `out/entities`; every message has an end.
 
-    A URL without a page, or whose page gives no entity, goes to `out/retry` and comes again with the next batch; its
-    k-th failure takes it to `out/dead`. Malformed messages and failed entities are in `out/errors`, in the shape of
-    the error log. A URL that a batch has several times is looked up once.
+    A URL without a page, or whose page gives no entity, goes to `out/retry` and comes again with the next batch (or with
+    `finish_retries`); its k-th failure takes it to `out/dead`. Malformed messages and failed entities are in
+    `out/errors`, in the shape of the error log. A URL that a batch has several times is looked up once.
 
     Of a stored `Snapshot` a batch reads the partitions of its URLs only. Other pages are scanned for the text of the
     URLs asked for, and their URLs are indexed once per start. What a batch writes for itself is deleted at its end.
@@ -152,29 +173,35 @@ def stream_extract(stream: DataFrame, pages: DataFrame | Snapshot, spec: dict, o
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        to = lambda name: f"{out}/{name}/batch_id={batch_id}"
         with scratch(spark) as keep:
             sent = keep(url_messages_of(batch), "sent")
             again = earlier(spark, f"{out}/retry", batch_id, RETRY, since=batch_id - 1).select("url", "attempts")
-            asked = sent.where("url IS NOT NULL").select("url").union(again.select("url")).distinct()
-            found, missing = resolve_pages(asked, pages, newest, keep)
-            made = keep(assemble(spec_pages(found, spec), spec), "assembled")
-            good = made.where("error IS NULL").drop("error")
-            good.write.mode("overwrite").parquet(to("entities"))
-            at = found.select("url", "page_id")
-            empty = at.join(good.select("page_id").distinct(), "page_id", "left_anti")
-            failed = missing.select("url", F.lit("no page").alias("reason")).union(empty.select("url", F.lit("no entities")))
-            retry, dead = retry_or_dead_letter(failed, again, k, ["url"])
-            retry.select(*RETRY.names).write.mode("overwrite").parquet(to("retry"))
-            dead.select(*RETRY.names).write.mode("overwrite").parquet(to("dead"))
-            broken = made.where("error IS NOT NULL").join(at, "page_id")
-            broken = broken.select(F.col("url").alias("source"), F.col("error").alias("message"), F.to_json("data").alias("detail"))
-            malformed = sent.where("url IS NULL").select(F.lit(None).cast("string").alias("source"), F.lit("malformed message").alias("message"), F.col("raw").alias("detail"))
-            log_rows("extract", broken.union(malformed)).write.mode("overwrite").parquet(to("errors"))
+            retry = extracted(sent, again, pages, newest, spec, out, batch_id, k, keep)
+            retry.write.mode("overwrite").parquet(f"{out}/retry/batch_id={batch_id}")
 
     return run(stream, each_batch, checkpoint)
 
 
+def finish_retries(spark: SparkSession, pages: DataFrame | Snapshot, spec: dict, out: str, k: int = 3) -> None:
+    """Try what the last batch of an ended `stream_extract` left for retry until it has entities or is dead.
+
+    No message need come for that. Tries are written as batches -1, -2, ...; those left over are gone afterwards, so that a
+    stream which goes on does not try them again.
+    """
+    batches = [int(n.split("=")[1]) for n in names_in(spark, f"{out}/retry") if n.startswith("batch_id=")]
+    last, lowest = max(batches, default=-1), min([0, *(int(n.split("=")[1]) for n in names_in(spark, f"{out}/dead") if n.startswith("batch_id="))])
+    if last < 0:
+        return
+    path = f"{out}/retry/batch_id={last}"
+    with scratch(spark) as keep:
+        again = keep(spark.read.schema(RETRY).parquet(path), "left")
+        nothing = spark.createDataFrame([], "url STRING, raw STRING")
+        while not again.isEmpty():
+            lowest -= 1
+            again = extracted(nothing, again.select("url", "attempts"), pages, None, spec, out, lowest, k, keep)
+        again.write.mode("overwrite").parquet(path)
+
+
 @dataclass
 class EntityTable:
     """Where entities of one type go: rules `{column: (required, length)}` and the natural key.
@@ -208,13 +235,14 @@ def entity_messages_of(batch: DataFrame) -> DataFrame:
 
 
 def entity_stream_load(
-    stream: DataFrame, targets: dict[str, EntityTable], rejects: str, checkpoint: str
+    stream: DataFrame, targets: dict[str, EntityTable], rejects: str, checkpoint: str, errors: str | None = None
 ) -> StreamingQuery:
     """Entity messages (see `entity_messages_of`) -> one table per type, inserted when the key is absent.
 
     A batch appends its new rows only, and reads only those partitions of the keys loaded before that its own keys fall
     into. What is not loaded goes to `rejects` (type, message, row as JSON): rows that break a rule, messages of an
-    unknown type, malformed ones; so do the names of fields that a table lacks.
+    unknown type, malformed ones; so do the names of fields that a table lacks. With `errors` they are also written there, in
+    the shape of the error log.
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
@@ -241,7 +269,11 @@ def entity_stream_load(
             keys.add(batch_id, fresh)
             lost.append(bad.select(F.lit(class_type), F.array_join("violations", "; "), F.to_json(F.struct(*table.rules))))
             lost.append(unknown.select(F.lit(class_type), F.concat(F.lit("unknown field "), "unknown_field"), F.lit(None).cast("string")))
-        reduce(DataFrame.union, lost).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+        lost = keep(reduce(DataFrame.union, lost), "rejects")
+        lost.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+        if errors:
+            failed = lost.select(F.col("type").alias("source"), "message", F.col("row").alias("detail"))
+            log_rows("load", failed).write.mode("overwrite").parquet(f"{errors}/batch_id={batch_id}")
 
     return run(stream, each_batch, checkpoint)
 
