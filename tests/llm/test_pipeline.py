@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -17,6 +18,7 @@ from webtables.llm import decontaminate, toxicity
 from webtables.llm.queries import QUERIES
 
 from .test_dedup import connected, fingerprint, plain_line_dedup
+from .test_models import by_rules
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,8 +87,8 @@ def test_stages_against_plain_code(spark, corpus):
     assert {r["doc_id"]: r["text"] for r in rows} == now and docs.columns == columns
 
     rows = step("benchmark decontamination")
-    item = decontaminate.template(spark.read.parquet(f"{corpus}/benchmark.parquet").first()["text"])
-    share = lambda t: (decontaminate.compare(decontaminate.template(t or ""), item) or (0,))[0]
+    item = decontaminate.readings_of(spark.read.parquet(f"{corpus}/benchmark.parquet").first()["text"])
+    share = lambda t: max((f[0] for r in decontaminate.readings_of(t or "") for q in item if (f := decontaminate.compare(r, q))), default=0)
     now = {i: t for i, t in now.items() if share(t) < decontaminate.SHARE}
     assert {r["doc_id"]: r["text"] for r in rows} == now and docs.columns == columns
 
@@ -103,9 +105,74 @@ def test_stages_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_on_odd_rows(spark, odd_docs, tmp_path):
+    """Null ids and texts, a repeated row, ties, a long text, columns with names of helpers: every stage keeps what is clean."""
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = spark.createDataFrame([(20, f"Words before. {item} and words behind."), (21, "quite another text"), (21, "quite another text")], "doc_id BIGINT, text STRING")
+    names = "gone ids decoded toxicity n_lines n_removed _doc _hash fp c0 x".split()
+    docs = odd_docs.unionByName(more).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"), *(F.lit(n).alias(n) for n in names))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "odd")
+        if name != "bpe encoding and decoding":
+            assert docs.columns == columns and all(docs.filter(F.col(n) != n).count() == 0 for n in names)
+        ids = [r["doc_id"] for r in docs.collect()]
+        assert {1, 6, 7, 21} <= set(ids) and ids.count(21) == 2  # a repeated row is one document
+        assert (20 in ids) == (name in ("toxicity", "line dedup", "simhash near-dedup"))
+    assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+
+
+def write_documents(spark, path, rows):
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS).write.parquet(f"{path}/documents.parquet")
+
+
+def test_registered_columns_of_near_duplicates(spark, tmp_path):
+    pick = random.Random(5)
+    base = [" ".join(pick.choice("abcdefghijkl") * pick.randrange(1, 4) for _ in range(300)) for _ in range(5)]
+    rows = [(i, t) for i, t in enumerate([*base, *(t.replace(" a ", " b ", 1) for t in base), None, "", *base[:2]])]
+    write_documents(spark, tmp_path, rows)
+    found = QUERIES["op1_simhash_near_dedup"][0](spark, str(tmp_path)).collect()
+    fps = [fingerprint(t) for _, t in rows]
+    first = connected(fps, 2)
+    assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in found) == [(i, f"{fps[i]:016x}", first[i]) for i, _ in rows]
+
+
+def test_registered_columns_of_secrets(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    kinds = ("assign", "access", "hex")
+    for r in QUERIES["op4_secret_scan"][0](spark, folder).collect():
+        base = [(a, k, b) for a, k, b in by_rules(texts[r["doc_id"]])]
+        said = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in base)
+        assert [r[f"n_{kind}"] for kind in kinds] == [sum(k == n for _, k, _ in base) for n in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        assert [x for x in spans if x[0] in kinds] == [x.split(":") for x in said.split(",") if x]
+        assert all(int(a) < int(b) <= len(texts[r["doc_id"]]) for _, a, b in spans) and spans == sorted(spans, key=lambda x: (int(x[1]), (*kinds, "markov").index(x[0])))
+
+
+def test_registered_columns_of_files_and_lines(spark, tmp_path):
+    run = "\n".join(f"a line of the passage with number {i}" for i in range(12))
+    rows = [(3, f"own three\n{run}"), (1, f"own one\n{run}\nend"), (2, None), (9, "plain")]
+    write_documents(spark, tmp_path, rows)
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in QUERIES["op8_line_dedup"][0](spark, str(tmp_path)).collect()}
+    assert found == {1: (rows[1][1], 14, 0), 2: (None, 0, 0), 3: ("own three", 13, 12), 9: ("plain", 1, 0)}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    at, want = 0, []
+    for i, t in sorted(rows):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+        at += len(ids)
+    got = QUERIES["op7_token_files"][0](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *QUERIES} <= names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert {"pipeline", *QUERIES} <= names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
@@ -113,7 +180,8 @@ def test_queries_with_sql(spark, name):
     folder = "/root/testdata/sf0.01"
     found = QUERIES[name][0](spark, folder).toPandas()
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "conversations", "embeddings"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     want = connection.execute(QUERIES[name][1]).df()
     assert sorted(found.columns) == sorted(want.columns)
     plain = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).to_numpy().tolist()))

@@ -200,7 +200,10 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and score of every row of `docs`; the text is read once, for its statistics."""
+    """doc_id and score of every row of `docs`; the text is read once, whole, for its statistics.
+
+    Null and empty texts have statistics of zero and the score of these; rows that repeat give rows that repeat.
+    """
     rows = stored(with_statistics(docs), "statistics")
     return scored(rows, fit(rows, labels))
 

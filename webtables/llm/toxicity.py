@@ -238,10 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, pl
     many = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     sample = None
     for label, most in ((1, toxic_sample), (0, plain_sample)):
-        part = known.filter(F.col("_toxic") == label).filter(F.col("_at") < most / max(1, many.get(label, 0))).limit(2 * most)
+        part = known.filter(F.col("_toxic") == label).filter(F.col("_at") < most / max(1, many.get(label, 0)))
         sample = part if sample is None else sample.unionByName(part)
     aside = (F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(CALIBRATION)) == 0).alias("aside")
-    chosen = F.broadcast(sample.select("_id", "_toxic", aside))  # twice the sample's bound at most
+    chosen = F.broadcast(sample.select("_id", "_toxic", aside))  # about the sample's bound: ids chosen evenly by hash
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text")).filter(F.length("text") <= LONGEST).join(chosen, "_id")
     found = sorted((bytes(r["text"]), int(r["_toxic"]), bool(r["aside"])) for r in rows.select("text", "_toxic", "aside").collect())
     known.unpersist()
@@ -249,7 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, pl
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with `toxicity` (0 to 1) more, from whole texts; null counts as empty. A column of that name is kept."""
+    """`docs` with `toxicity` (0 to 1) more, from whole texts, however long; null counts as empty.
+
+    Rows that repeat get the same score. A column of that name is kept.
+    """
     shared, name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "toxicity")
     at = docs.columns.index("text")
 
