@@ -451,11 +451,12 @@ def placed(doc: Reading, item: Reading, share: float) -> Found | None:
             continue
         near = hits[np.searchsorted(shifts, shift - slack) : np.searchsorted(shifts, shift + slack, "right")]
         done.update(h[0] for h in near if abs(h[0] - shift) <= 1)
-        if len({q for _, _, q in near}) < share * len(windows) - 1e-9:
-            continue
-        found = filled(doc.words, item.words, near, size)
-        if found and (best is None or found[0] / len(windows) > best[0]):
-            best = (found[0] / len(windows), *found[1:])
+        # as it stands, then with words left out or put in
+        for some in ([h for h in near if h[0] == shift], near):
+            if len({q for _, _, q in some}) >= share * len(windows) - 1e-9:
+                found = filled(doc.words, item.words, some, size)
+                if found and (best is None or found[0] / len(windows) > best[0]):
+                    best = (found[0] / len(windows), *found[1:])
     return best
 
 
