@@ -313,13 +313,17 @@ def finished(query):
         raise query.exception()
 
 
-@check("SELECT event_id, event_type, CAST(value AS DOUBLE) AS value FROM events")
+@check("SELECT event_id, event_type, CAST(value AS DOUBLE) AS value, true AS several FROM events")
 def stream_scan(spark, sf):
-    schema = table(spark, sf, "events").schema
-    out = scratch_path(spark, "scan")
-    stream = url_stream(spark, sf, schema, files="events.parquet").select("event_id", "event_type", "value")
-    finished(run(stream, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch_id={n}"), f"{out}-checkpoint"))
-    return spark.read.parquet(out).drop("batch_id")
+    """Files of two rounds, one a batch, with a restart between the rounds."""
+    out, queue = scratch_path(spark, "scan"), scratch_path(spark, "files")
+    events = table(spark, sf, "events")
+    for odd in range(2):
+        events.where(F.col("event_id") % 2 == odd).repartition(2).write.mode("append").parquet(queue)
+        stream = url_stream(spark, queue, events.schema, max_files=1).select("event_id", "event_type", "value")
+        finished(run(stream, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch_id={n}"), f"{out}-checkpoint"))
+    several = F.lit(len(names_in(spark, out)) >= 4).alias("several")
+    return spark.read.parquet(out).select("event_id", "event_type", "value", several)
 
 
 def url_queue(spark, sf, files=4):

@@ -380,6 +380,17 @@ def group_containers_orders(spark, sf):
 # ---- scalars -------------------------------------------------------------------------------------
 
 
+@check("""
+SELECT p_partkey, p_name || chr(CAST(65 + p_partkey % 26 AS INTEGER)) || chr(CAST(97 + p_partkey % 26 AS INTEGER)) || ' & ' || p_brand || '"' AS text FROM part""")
+def clean_cell_references(spark, sf):
+    """Numeric references, decimal and hexadecimal, with zeros in front, beside named ones and line ends."""
+    number = F.col("p_partkey") % 26
+    cell = F.concat(
+        F.lit(" \n "), "p_name", F.format_string("&#%05d;", number + 65), F.format_string("&#x%x;", number + 97), F.lit("\r\n &amp; "), "p_brand", F.lit("&quot;&nbsp; ")
+    )
+    return table(spark, sf, "part").select("p_partkey", clean_cell(cell).alias("text"))
+
+
 @check("""
 SELECT event_id, replace(CASE WHEN event_type LIKE 'er%' THEN 'bad event' WHEN event_type LIKE '%i%' THEN event_type END, 'e', '') AS value
 FROM events""", name="classify_node")
