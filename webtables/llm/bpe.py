@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from webtables.llm.common import documents, free_name, widened
-from webtables.llm.units import PATTERN, Units, byte_symbols
+from webtables.llm.units import PATTERN, Units, byte_symbols, slices
 
 #: Entries of a worker's table of transitions before it starts anew (two numbers each).
 TRANSITIONS = 1_000_000
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     text = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, text)):
             coded = encoder.value.encode_all([(t or "").encode() for t in batch.column(text).to_pylist()])
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coded]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, name])
@@ -242,7 +242,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     encoder = shared_encoder(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, "text")):
             counts, coded, decoded = [], [], []
             for ids in encoder.value.encode_all([t or b"" for t in batch["text"].to_pylist()]):
                 digest = hashlib.sha256()

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from webtables.llm.common import documents, stored
+from webtables.llm.units import slices
 
 WINDOW = 5
 SHARE = 0.8
@@ -36,9 +37,9 @@ BITMAP = 22
 #: Words of the shortest item that is looked for inside documents.
 INSIDE = 3
 #: Bytes that a worker remembers of chunks and their codes, what Python needs for one besides its letters, and the longest one kept.
-REMEMBERED, OVERHEAD, LONG = 128 << 20, 150, 64
+REMEMBERED, OVERHEAD, LONG = 48 << 20, 150, 64
 #: Bytes of texts that are read at a time, and items that one row of candidates holds.
-TOGETHER, ITEMS = 8 << 20, 64
+TOGETHER, ITEMS = 4 << 20, 64
 
 # Words that stand for numbers, and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve".split())
@@ -324,17 +325,11 @@ def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield int(text), np.unique(hashes[of == text]).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, at, found, first = [t or "" for t in batch["text"].to_pylist()], [], [], 0
-            while first < len(texts):
-                end, size = first, 0
-                while end < len(texts) and (end == first or size + len(texts[end]) <= TOGETHER):
-                    size += len(texts[end])
-                    end += 1
-                for text, h in found_in(texts[first:end]):
-                    at.append(first + text)
-                    found.append(h)
-                first = end
+        for batch in (some for whole in batches for some in slices(whole, "text", TOGETHER)):
+            at, found = [], []
+            for text, h in found_in([t or "" for t in batch["text"].to_pylist()]):
+                at.append(text)
+                found.append(h)
             kept = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept["doc_id"], kept["_key"], kept["text"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_key", "text", "h"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from webtables.llm.common import documents
-from webtables.llm.units import PATTERN, Units, byte_symbols
+from webtables.llm.units import PATTERN, Units, byte_symbols, slices
 from webtables.session import scratch_path
 
 MAGIC = b"PFR1"
@@ -199,7 +199,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
 
         names = [x.split()[0] for x in SEGMENTS.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, "text")):
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), units.encode([t or b"" for t in batch["text"].to_pylist()])):
                 doc_ids.append(doc_id)
                 held.append(ids + end)

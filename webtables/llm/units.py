@@ -31,7 +31,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of texts that are split at a time, and of one unit that is worth remembering.
-TOGETHER, LONG = 8 << 20, 64
+TOGETHER, LONG = 4 << 20, 64
 #: Bytes that a worker remembers, and of them for each unit besides the unit and its ids (offsets, lengths, hits).
 HELD, OVERHEAD = 24 << 20, 24
 
@@ -87,6 +87,17 @@ def spread(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.
     return ids[np.repeat(first[codes] - (upto - own), own) + np.arange(total)], upto
 
 
+def slices(batch: pa.RecordBatch, column: int | str, size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces whose texts have about `size` bytes together, so that little of it is held as Python objects."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < batch.num_rows:
+        before = int(upto[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(upto, before + size, "right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 class Units:
     """Texts to ids, with a memory of units that is bounded in bytes.
 
