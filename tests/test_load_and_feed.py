@@ -24,7 +24,7 @@ from webtables.session import names_in, shared_dir, written
 from webtables.sources.pages import resolve_pages
 from webtables.sources.sinks import EntityColumn, entity_ddl
 from webtables.sources.tiers import Tiers
-from webtables.streaming.feed import EntityTable, entity_stream_load, run, stream_extract, url_stream
+from webtables.streaming.feed import EntityTable, PacedQueue, entity_stream_load, finish_retries, run, stream_extract, url_stream
 
 
 def rows(df):
@@ -342,6 +342,36 @@ def test_stream_extract_retries_then_gives_up(spark, tmp_path, pages_of):
     assert rows(spark.read.parquet(f"{out}/dead").select("url", "attempts")) == [("https://gone.example/", 3)]
 
 
+def test_last_retries_end_without_a_message(spark, tmp_path, pages_of):
+    queue, out = str(tmp_path / "queue"), str(tmp_path / "out")
+    pages = pages_of("<body><p>a", "<body><i>no line")
+    spark.createDataFrame([("https://x.example/0",), ("https://x.example/1",), ("https://gone.example/",)], "url STRING").write.parquet(queue)
+    stream = lambda: finish(stream_extract(url_stream(spark, queue, "url STRING"), pages, LINES, out, f"{out}-checkpoint", k=3))
+    stream()
+    finish_retries(spark, pages, LINES, out, k=3)
+    finish_retries(spark, pages, LINES, out, k=3)  # nothing is left
+    dead = lambda: rows(spark.read.parquet(f"{out}/dead").select("url", "attempts", "reason"))
+    assert dead() == [("https://gone.example/", 3, "no page"), ("https://x.example/1", 3, "no entities")]
+    spark.createDataFrame([("https://x.example/0",)], "url STRING").write.mode("append").parquet(queue)
+    stream()
+    assert len(dead()) == 2 and spark.read.parquet(f"{out}/entities").count() == 2
+
+
+def test_a_queue_holds_its_sender_back(spark, tmp_path):
+    queue = PacedQueue(spark, str(tmp_path / "queue"), "url STRING", threshold=7)
+    messages = spark.range(40).selectExpr("CAST(id AS STRING) AS url").repartition(3)
+    seen = []
+    query = run(queue.read(max_files=1), lambda batch, n: seen.append(batch.count()), str(tmp_path / "checkpoint"), "0 seconds")
+    try:
+        queue.send(messages, query, rows=3, poll=0.05)
+        queue.wait(query, 0, poll=0.05)
+    finally:
+        query.stop()
+    assert sum(seen) == 40 and max(seen) <= 3 and 3 <= queue.deepest <= 7
+    with pytest.raises(RuntimeError, match="ended"):
+        queue.send(messages, query, rows=3, poll=0.01)
+
+
 @pytest.mark.parametrize("limit, batches", [({"max_files": 1}, 3), ({"max_bytes": "1"}, 3), ({"max_files": 2}, 2), ({}, 1)])
 def test_rate_limit(spark, tmp_path, limit, batches):
     queue, seen = str(tmp_path / "queue"), []
@@ -362,7 +392,9 @@ def test_stream_load_inserts_once(spark, tmp_path):
     targets = {"F": EntityTable(f"{out}/F", RULES, ["LABEL"])}
     for batch in batches:
         spark.createDataFrame(batch, schema).write.mode("append").parquet(queue)
-        finish(entity_stream_load(url_stream(spark, queue, schema), targets, f"{out}/rejects", f"{out}-checkpoint"))
+        finish(entity_stream_load(url_stream(spark, queue, schema), targets, f"{out}/rejects", f"{out}-checkpoint", f"{out}/errors"))
+    errors = spark.read.parquet(f"{out}/errors")
+    assert sorted((r.service, r.source, r.message) for r in errors.collect()) == [("load", "?", "unknown type"), ("load", "F", "BODY is required; OWNER is required")]
     table = spark.read.parquet(f"{out}/F")
     assert rows(table.select("LABEL", "batch_id")) == [("t", 0), ("u", 1)]
     assert sorted(r.message for r in spark.read.parquet(f"{out}/rejects").collect()) == ["BODY is required; OWNER is required", "unknown type"]
