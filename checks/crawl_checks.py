@@ -113,16 +113,19 @@ SELECT 'message' AS kind, '{{"url":"{BASE}/order/' || o_orderkey || '"}}' AS tex
 UNION ALL SELECT 'message', '{{"url":"{BASE}/order/1"}}' FROM (SELECT count(*) FROM page)
 UNION ALL SELECT 'entry', '{BASE}/list/' || s || '/' || k FROM visited
 UNION ALL SELECT 'entry', '{BASE}/order/1' FROM (SELECT count(*) FROM page)
-UNION ALL SELECT 'left', '{BASE}/list/0/2' FROM (SELECT count(*) FROM page)""", name="crawl")
+UNION ALL SELECT 'left', '{BASE}/list/0/2' FROM (SELECT count(*) FROM page)
+UNION ALL SELECT 'crawl: no page', '{BASE}/more/0' FROM (SELECT count(*) FROM page)""", name="crawl")
 def crawl_listing(spark, sf):
     """Direct URLs, the newest ledger entry, next links both ways and the way back from dead ends."""
     pages = render.listings(spark, sf)
     # the crawl stood at block 5, and before at block 2: from 5 it goes back to 3, then on from 2 to 0
     entered = [("listing", f"{BASE}/list/0/2", "2024-01-01"), ("listing", f"{BASE}/list/0/5", "2024-01-02"), ("listing", f"{BASE}/order/0", "2023-01-01"), ("other", f"{BASE}/list/0/3", "2024-01-03")]
     known = spark.createDataFrame(entered, "source STRING, url STRING, crawl_ts STRING").withColumn("crawl_ts", F.col("crawl_ts").cast("timestamp"))
-    messages, entries = crawl(pages, CRAWL, known, F.lit("2024-02-01").cast("timestamp"))
+    errors = scratch_path(spark, "crawl-errors")
+    messages, entries = crawl(pages, CRAWL, known, F.lit("2024-02-01").cast("timestamp"), errors=errors)
+    lost = spark.read.parquet(errors).select(F.concat_ws(": ", "service", "message"), "log_message")
     back = backtrack(known.where("source = 'listing'"), entries.select("source", "url").union(known.select("source", "url").where("url NOT LIKE '%/2'")))
-    return messages.select(F.lit("message").alias("kind"), F.col("body").alias("text")).union(entries.select(F.lit("entry"), "url")).union(back.select(F.lit("left"), "url"))
+    return messages.select(F.lit("message").alias("kind"), F.col("body").alias("text")).union(entries.select(F.lit("entry"), "url")).union(back.select(F.lit("left"), "url")).union(lost)
 
 
 @check("""SELECT '{"url":"' || url || '"}' AS body, 'Url' AS type FROM pages""", name="crawl_to_queue")

@@ -27,6 +27,16 @@ def error_log_rows(failed: DataFrame, utc: bool = False) -> DataFrame:
     )
 
 
+def log_rows(service: str, failed: DataFrame) -> DataFrame:
+    """`source, message, detail` of now in the shape of the error log."""
+    return error_log_rows(
+        failed.select(
+            F.lit(service).alias("service"), "source", "message", F.col("detail").alias("log_message"),
+            F.lit(None).cast("string").alias("exception"), F.current_timestamp().alias("ts"),
+        )
+    )
+
+
 def retention(log: DataFrame, as_of: Column, period: timedelta, ts: str = "ts") -> DataFrame:
     """Entries not older than `period`, which counts as at least 30 minutes."""
     seconds = max(period, MIN_RETENTION).total_seconds()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.messages import ENTITY_MESSAGE, URL_MESSAGE, parse_message
-from ..operators.errors import error_log_rows
+from ..operators.errors import log_rows
 from ..operators.load import check_constraints, dedup_natural_key, key_digest, rules_schema, to_typed_row, with_row_identity
 from ..operators.queues import retry_or_dead_letter, route_by_type
 from ..plans.extract import assemble, spec_pages
@@ -125,16 +125,6 @@ def url_messages_of(batch: DataFrame) -> DataFrame:
     return batch.select("url", F.col("url").alias("raw"))
 
 
-def log_rows(service: str, failed: DataFrame) -> DataFrame:
-    """`source, message, detail` in the shape of the error log."""
-    return error_log_rows(
-        failed.select(
-            F.lit(service).alias("service"), "source", "message", F.col("detail").alias("log_message"),
-            F.lit(None).cast("string").alias("exception"), F.current_timestamp().alias("ts"),
-        )
-    )
-
-
 RETRY = T.StructType().add("url", T.StringType()).add("reason", T.StringType()).add("attempts", T.IntegerType())
 
 
