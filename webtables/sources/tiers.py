@@ -47,10 +47,9 @@ class Tiers:
         self.spark, self.path, self.columns, self.key, self.parts = spark, path, columns, list(key), parts
 
     def written(self) -> list[Tier]:
-        """All tiers whose writing has ended."""
+        """All tiers. One whose writing broke off is the last batch's, which comes again and does not read it."""
         found = [n.split("-") for n in names_in(self.spark, self.path) if n.startswith("batches-")]
-        tiers = [Tier(int(n[1]), int(n[2]), int(n[4])) for n in found]
-        return [t for t in tiers if "_SUCCESS" in names_in(self.spark, f"{self.path}/{t.name}")]
+        return [Tier(int(n[1]), int(n[2]), int(n[4])) for n in found]
 
     def before(self, batch: int) -> list[Tier]:
         """The tiers that hold all batches before one, oldest first: those of which none is part of another."""
