@@ -139,16 +139,17 @@ def links_from(links: DataFrame, urls: DataFrame) -> DataFrame:
     return links.where(F.col("src_url").isin(few)) if len(few) <= LOOKED_UP else links
 
 
-def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, parts: int = 64) -> DataFrame:
+def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, parts: int | None = None) -> DataFrame:
     """Every URL reachable from the seeds with its least number of hops: `url, depth`.
 
     One level per round: the frontier's links, without duplicates and without URLs seen before. Levels are
     written to the shared folder, so the plan does not grow and a lost executor costs no earlier level.
     The links are bucketed once, so rounds shuffle the frontier only, and a small frontier reads its buckets only.
-    URLs seen before are kept in `Tiers` of `parts` partitions: a level reads those that its URLs fall into. The driver
+    URLs seen before are kept in `Tiers` of `parts` partitions (as many as shuffles have, unless given): a level reads those that its URLs fall into. The driver
     learns whether a level is empty, and the URLs of one with a few.
     """
     spark = links.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges, table = bucketed(
         links.select("src_url", "dst_url").where("dst_url IS NOT NULL").distinct(), "src_url", "edges"
     )
@@ -171,7 +172,7 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = N
 
 
 def crawl_sources(
-    pages: DataFrame, spec: dict, starts: DataFrame, ledger: DataFrame | None = None, max_rounds: int | None = None, parts: int = 64
+    pages: DataFrame, spec: dict, starts: DataFrame, ledger: DataFrame | None = None, max_rounds: int | None = None, parts: int | None = None
 ) -> DataFrame:
     """Crawl every source page by page, all sources side by side: `source, url, step`.
 
@@ -183,6 +184,7 @@ def crawl_sources(
     partitions that its candidates fall into.
     """
     spark = pages.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = len(spec.get("extraction", spec).get("next") or [])
     copies = newest_pages(pages).withColumnRenamed("url", "src_url")
     candidates = next_candidates(pages, spec).join(copies, ["src_url", "page_id"], "left_semi")
