@@ -286,3 +286,20 @@ def test_lines_odd_rows(odd_docs, clashing, no_docs):
     assert wide.columns == [*clashing.columns, "_n_lines", "_n_removed"]
     assert {r["gone"] for r in wide.collect()} == {"gone"}
     assert line_dedup.line_dedup(no_docs).count() == 0
+
+
+def test_lines_made_from_runs_are_not_broadcast(docs_of, monkeypatch):
+    """Their size is that of the stored runs to Spark, however many lines each run makes."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    passage = "\n".join(f"the same line {i}" for i in range(12))
+    found = line_dedup.line_dedup(docs_of(*(f"begin {i}\n{passage}\nend {i}" for i in range(4)))).collect()
+    assert sorted(r["n_removed"] for r in found) == [0, 12, 12, 12]
+    first_join = lambda name: re.search(r"\w+Join", plans[name])[0]
+    assert first_join("run-tails") == first_join("repeated-lines") == "SortMergeJoin"

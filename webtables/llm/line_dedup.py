@@ -93,14 +93,17 @@ def extended(found: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     To the left a run is whole: each of its lines from which a window still fits has matched. On the right fewer than
     `words` words are missing, so the lines that follow are asked whether the window that *ends* there, and begins in the
     run, occurs earlier anywhere.
+
+    Merge joins, as elsewhere where rows are made from a few (`explode`) or stored rows repeat much: Spark takes their
+    size from the files they come from, and would send through the driver, to be broadcast, many times of that.
     """
     found = stored(found, "runs")
     after = found.select(*KEY, "low", "high", F.explode(F.sequence(F.col("high") + 1, F.col("high") + words - 1)).alias("n")) if words > 1 else found.withColumn("n", F.lit(0))
-    tails = after.join(rows.select(*KEY, "n", "back", "back_size", "back_covers"), [*KEY, "n"])
+    tails = after.hint("merge").join(rows.select(*KEY, "n", "back", "back_size", "back_covers"), [*KEY, "n"])
     tails = stored(tails.filter((F.col("back_covers") >= words) & (F.col("n") - F.col("back_size") < F.col("high"))).select(*KEY, "low", "n", "back"), "run-tails")
     first = rows.filter(F.col("back_covers") >= words).select(*KEY, "n", "back").join(tails.select("back").distinct(), "back", "left_semi")
     first = first.groupBy("back").agg(F.min(place()).alias("first"))
-    reached = tails.join(first, "back").filter(place() > F.col("first")).groupBy(*KEY, "low").agg(F.max("n").alias("_to"))
+    reached = tails.hint("merge").join(first, "back").filter(place() > F.col("first")).groupBy(*KEY, "low").agg(F.max("n").alias("_to"))
     return found.join(reached, [*KEY, "low"], "left").select(*KEY, "low", F.greatest("high", "_to").alias("high"))
 
 
@@ -109,7 +112,7 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = stored(windows(lines(docs), words), "line-windows")
     later = extended(runs(matches(rows, words)), rows, words)
     gone = later.select(*KEY, F.explode(F.sequence("low", "high")).alias("n"))
-    return gone.join(rows.select(*KEY, "n", "line"), [*KEY, "n"]).groupBy(*KEY).agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    return gone.hint("merge").join(rows.select(*KEY, "n", "line"), [*KEY, "n"]).groupBy(*KEY).agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
