@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -53,6 +54,24 @@ def test_toxic_words_that_begin_alike():
     assert np.mean([(model.score(t) >= 0.5) == bool(y) for t, y in fresh]) > 0.8
 
 
+def test_toxicity_training_makes_windows_when_they_are_needed():
+    """The windows of all texts as objects at once take many times the texts' room, and stay with the driver's Python."""
+    pick = random.Random(4)
+    rows = [(" ".join(f"w{pick.randrange(30_000)}" for _ in range(400)).encode(), int(i % 10 == 0), i % 4 == 0) for i in range(400)]
+    tracemalloc.start()
+    toxicity.train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(len(t) for t, _, _ in rows)
+
+
+def test_windows_of_several_texts():
+    texts = [b"", b"A b c d e", b"one two", b" \n", b"x y z w v u t"]
+    every = [w for t in texts for w in toxicity.windows(t, 3, 2)]
+    row = toxicity.Windows(texts, 3, 2)
+    assert list(row) == every and row.at([3, 0, 6]) == [every[3], every[0], every[6]] and len(toxicity.Windows([], 3, 2)) == 0
+
+
 def test_quality_on_held_out_documents(spark):
     found = held_out_rows(spark, "op10_quality_classifier", "quality")
     assert auc(found.score, found.quality) > 0.98

@@ -20,8 +20,8 @@ are calibrated.
 from __future__ import annotations
 
 import random
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +55,36 @@ CALIBRATION = 4
 TAIL = b" " * 10
 
 
-def windows(text: bytes, words: int, step: int | None = None) -> list[bytes]:
-    """Each window with a space in front and TAIL behind; ASCII letters in lower case."""
+def windows(text: bytes, words: int, step: int | None = None, at: Sequence[int] | None = None) -> list[bytes]:
+    """Each window, or those at some places, with a space in front and TAIL behind; ASCII letters in lower case."""
     every = text.lower().split()
-    return [b" " + b" ".join(every[i : i + words]) + TAIL for i in range(0, len(every), step or words)]
+    step = step or words
+    return [b" " + b" ".join(every[i * step : i * step + words]) + TAIL for i in (range(-(-len(every) // step)) if at is None else at)]
+
+
+class Windows(Sequence):
+    """All windows of some texts in a row, made when they are asked for: together they take several times the texts' room."""
+
+    def __init__(self, texts: list[bytes], words: int, step: int):
+        self.texts, self.words, self.step = texts, words, step
+        self.upto = np.cumsum([-(-len(t.split()) // step) for t in texts])
+
+    def __len__(self) -> int:
+        return int(self.upto[-1]) if len(self.upto) else 0
+
+    def __getitem__(self, i):
+        return self.at([i])[0]
+
+    def at(self, places: Sequence[int]) -> list[bytes]:
+        """The windows at some places, in that order; the words of a text are split once."""
+        found: list[bytes] = [b""] * len(places)
+        by_text = defaultdict(list)
+        for k, (i, text) in enumerate(zip(places, np.searchsorted(self.upto, places, side="right").tolist())):
+            by_text[text].append((k, i - (int(self.upto[text - 1]) if text else 0)))
+        for text, own in by_text.items():
+            for (k, _), part in zip(own, windows(self.texts[text], self.words, self.step, [i for _, i in own])):
+                found[k] = part
+        return found
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -71,9 +97,10 @@ def lengths(by: zstandard.ZstdCompressor, parts: list[bytes]) -> np.ndarray:
     return np.fromiter((len(by.compress(p)) for p in parts), np.int64, len(parts))
 
 
-def dictionary(size: int, parts: list[bytes], pick: random.Random) -> bytes:
+def dictionary(size: int, parts: list[bytes] | Windows, pick: random.Random) -> bytes:
     """Content of a zstandard dictionary trained on windows; all of the windows where they are too few to train on."""
-    some = [p.rstrip(b" ") + b" " for p in pick.sample(parts, min(len(parts), EXAMPLES))]
+    chosen = pick.sample(range(len(parts)), min(len(parts), EXAMPLES))
+    some = [p.rstrip(b" ") + b" " for p in (parts.at(chosen) if isinstance(parts, Windows) else [parts[i] for i in chosen])]
     try:
         return zstandard.train_dictionary(size, some).as_bytes()
     except zstandard.ZstdError:
@@ -151,8 +178,8 @@ def telling_words(toxic: list[bytes], plain: list[bytes], ordinary: bytes, pick:
     by_ordinary = compressor(ordinary)
     parts = [windows(t, NARROW, NARROW - 1) for t in toxic]
     base = [lengths(by_ordinary, p) for p in parts]
-    words_of = [[Counter(t.lower().split()) for t in texts] for texts in (toxic, plain)]
-    in_toxic, in_plain = (Counter(w for words in texts for w in words) for texts in words_of)
+    # texts are split again in each round: the words of all of them as objects take ten times the texts' room
+    in_toxic, in_plain = (Counter(w for t in texts for w in Counter(t.lower().split())) for texts in (toxic, plain))
     least = max(3, LEAST_SHARE * len(toxic))
     telling = lambda w: in_toxic[w] >= least and in_toxic[w] * len(plain) >= TIMES * (in_plain[w] + 0.5) * len(toxic)
 
@@ -181,9 +208,9 @@ def telling_words(toxic: list[bytes], plain: list[bytes], ordinary: bytes, pick:
                     found.add(words[int(rest.argmin())])
         stems = {s for w in found for s in beginnings(w)} - tried - in_toxic.keys() - in_plain.keys()
         tried |= stems
-        for counts, texts in zip((in_toxic, in_plain), words_of):  # documents that have two words with such a beginning: one may be chance
-            for words in texts:
-                begun = Counter(s for w, n in words.items() for s in beginnings(w) if s in stems for _ in range(n))
+        for counts, texts in zip((in_toxic, in_plain), (toxic, plain)):  # documents that have two words with such a beginning: one may be chance
+            for text in texts if stems else ():
+                begun = Counter(s for w, n in Counter(text.lower().split()).items() for s in beginnings(w) if s in stems for _ in range(n))
                 counts.update(s for s, n in begun.items() if n > 1)
         new = {w for w in found if telling(w)}
         new |= {stem(w) for w in found - new if any(map(telling, beginnings(w)))}
@@ -214,8 +241,7 @@ def train(rows: list[tuple[bytes, int, bool]], seed: int = 42) -> Model:
     teach = {y: sorted({t for t, label, aside in rows if label == y and not aside}) for y in (0, 1)}
     if len(teach[0]) < 2 or len(teach[1]) < 2:
         return Model(b"", b"", b"", None, base)
-    parts = [p for t in teach[0] for p in windows(t, NARROW, NARROW - 1)]
-    ordinary = dictionary(ORDINARY_BYTES, parts, pick)
+    ordinary = dictionary(ORDINARY_BYTES, Windows(teach[0], NARROW, NARROW - 1), pick)
     words = b" " + b" ".join(telling_words(teach[1], teach[0], ordinary, pick)) + b" "
     toxic = dictionary(TOXIC_BYTES, shared_windows(teach[1], ordinary, pick), pick)
     model = Model(ordinary, toxic + words, words, None, base)
