@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import tracemalloc
@@ -209,6 +210,35 @@ def test_runs_that_set_the_threshold_are_chosen_by_hash(spark, docs_of, monkeypa
     assert len(every) > 60 and secrets.fit(docs) == sorted(bytes(r["run"]) for r in hashed)
 
 
+def test_secret_models_learn_from_all_documents(spark, docs_of, monkeypatch):
+    """Counts are those of plain code over every document, and all calibrating runs set the threshold."""
+    pick = random.Random(9)
+    run = lambda: "".join(pick.choice("abcdefghijklmnop_") for _ in range(pick.randrange(4, 40)))
+    texts = ["", "é", *(" ".join([run() for _ in range(15)] + ["token=" + run() + "x" * 6, "12345678"]) for _ in range(300))]
+    want, aside = np.zeros((2, secrets.STATES**2), int), set()
+    for text in map(str.encode, texts):
+        every = np.frombuffer(text, np.uint8)
+        rules = secrets.rule_spans(text, every)
+        for start, _, end in rules:
+            a, b = max(secrets.runs(secrets.IN_RUN[every[start:end]], 1), key=lambda x: x[1] - x[0])
+            np.add.at(want[0], secrets.transitions(every[start + a : start + b]), 1)
+        for a, b in secrets.free_runs(every, rules, secrets.TAUGHT):
+            if (secrets.CODE[every[a:b]] >= 52).all():
+                continue
+            if b - a >= secrets.RUN and hashlib.md5(text[a:b]).digest()[0] % 10 == 0:
+                aside.add(text[a:b])
+            else:
+                np.add.at(want[1], secrets.transitions(every[a:b]), 1)
+    for name, value in (("SAMPLE", 20), ("CALIBRATION", 20), ("PASSING", 0.1), ("LEAST", -1000.0)):
+        monkeypatch.setattr(secrets, name, value, raising=False)
+    docs = docs_of(*texts, None)
+    whole = secrets.Model(*want, sorted(aside))
+    assert len(aside) > 100 and np.array_equal(secrets.fit(docs).ratio, whole.ratio)
+    counts = secrets.counted(docs)
+    assert secrets.calibrated(secrets.fit(docs, counts), counts).threshold == whole.threshold
+    assert secrets.fit(docs, counts).threshold != whole.threshold
+
+
 def test_secrets_odd_rows(spark, odd_docs, clashing, no_docs):
     more = odd_docs.unionByName(spark.createDataFrame([(20, "é key: token = abcdef12 " + "0f" * 12)], "doc_id long, text string"))
     found = {(r["doc_id"], tuple((s["kind"], s["start"], s["end"]) for s in r["spans"])) for r in secrets.secret_spans(more, secrets.fit(more)).collect()}
