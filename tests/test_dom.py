@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -118,3 +119,17 @@ def test_parse_keeps_columns_and_splits_batches(spark):
     assert dom.columns == ["page_id", "url", "nodes"]
     assert {(r.page_id, r.text) for r in page_text(dom).collect()} == {(i, str(i)) for i in range(50)}
     assert dom_nodes(dom).count() == 150
+
+
+def test_parsed_pages_leave_in_batches_of_bounded_nodes(spark, monkeypatch):
+    """Short pages hold many nodes for their length; what a worker holds does not grow with the rows Spark sends at a time."""
+    sizes = []
+    to_arrow = NodeColumns.to_arrow
+    monkeypatch.setattr(NodeColumns, "to_arrow", lambda self: sizes.append(len(self.tag)) or to_arrow(self))
+    pages = spark.createDataFrame([], "page_id BIGINT, html STRING")
+    parses = []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, parse, schema: parses.append(parse))
+    parse_pages(pages)
+    rows = pa.RecordBatch.from_pydict({"page_id": list(range(8_000)), "html": ["<body><p>a<p>b<p>c</body>"] * 8_000})
+    assert sum(out.num_rows for out in parses[0](iter([rows]))) == 8_000
+    assert sum(sizes) == 7 * 8_000 and max(sizes) <= 20_007
