@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webtables.llm import phrases as P
@@ -103,3 +105,17 @@ def test_large_counts_are_exact(spark):
 def test_nothing_to_count(spark):
     assert P.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert P.collocations(spark.createDataFrame([(1, None, None), (2, "x", "en")], SCHEMA)).count() == 0
+
+
+def test_counting_holds_one_chunk_at_a_time():
+    """A worker that counts pairs holds few arrays of one chunk, however many chunks reach it together."""
+    rng = np.random.default_rng(4)
+    most = P.CHUNK // 4  # words in a chunk, or more
+    blobs = [P.pack(np.minimum(rng.zipf(1.3, most) - 1, 60_000).astype(np.int64)) for _ in range(4)]
+    batch = pa.RecordBatch.from_pydict({"chunk": list(range(4)), "lang": ["en"] * 4, "ids": blobs, "phrases": blobs})
+    tracemalloc.start()
+    pairs = sum(sum(P.unpack(c).sum() for c in found.column("counts").to_pylist()) for found in P.counter(2, {"en": 3})(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == 4 * (most - 1)
+    assert peak < 64 << 20

@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from webtables.llm.common import documents, full_text, stored
 
 #: Bytes of text in a chunk, about.
-CHUNK = 16 << 20
+CHUNK = 2 << 20
 #: Ids on a side of a dense tile (2 to this power), and tiles on a side of the grid.
 BITS, GRID = 11, 4
 SIDE = 1 << BITS
 #: Pairs in a dense tile from which a chunk counts it by address.
 BY_ADDRESS = SIDE * SIDE // 32
 #: Words of the corpus for each sparse tile; chunks whose counts meet in one task.
-SPARSE, FAN = 32_000_000, 32
+SPARSE, FAN = 8_000_000, 128
 #: Bits of a word's id in a key; a phrase's id has the rest of 63.
 WORD_BITS = 28
 
@@ -44,14 +44,22 @@ BYTES[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 10
 
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers from -1 on, in the smallest width that holds them."""
-    values = values + 1
-    most = int(values.max(initial=0))
+    most = int(values.max(initial=-1)) + 1
     width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w) or w == 8)
-    return bytes([width]) + zstandard.compress(values.astype(f"<u{width}").tobytes(), 1)
+    narrow = values.astype(f"<u{width}")
+    narrow += 1  # -1 wraps around to 0
+    return bytes([width]) + zstandard.compress(narrow, 1)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64) - 1
+    values = np.frombuffer(zstandard.decompress(memoryview(blob)[1:]), f"<u{blob[0]}").astype(np.int64)
+    values -= 1
+    return values
+
+
+def rows_in(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows, one at a time: each holds a chunk or a tile."""
+    return ({c: batch.column(c)[i].as_py() for c in batch.schema.names} for i in range(batch.num_rows))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -148,7 +156,7 @@ def vocabulary(chunks: DataFrame, least: int) -> DataFrame:
 
 
 def known_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """chunk, lang, tokens, ids, phrases: each chunk's words as ids, -1 for rare words and between pieces."""
+    """chunk, lang, tokens, ids: each chunk's words as ids, -1 for rare words and between pieces."""
     asked = chunks.select("chunk", "lang", F.posexplode("words").alias("code", "word"))
     told = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("asks"), "code", "id")
 
@@ -157,29 +165,29 @@ def known_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
         of = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)  # the last one for -1
         of[right["code"].to_numpy()] = right["id"].to_numpy()
         blob = pack(of[codes])
-        return pa.table({"chunk": left["chunk"], "lang": left["lang"], "tokens": left["tokens"], "ids": pa.array([blob], pa.binary()), "phrases": pa.array([blob], pa.binary())})
+        return pa.table({"chunk": left["chunk"], "lang": left["lang"], "tokens": left["tokens"], "ids": pa.array([blob], pa.binary())})
 
     by_chunk = chunks.select("chunk", "lang", "tokens", "codes").groupBy("chunk")
-    return by_chunk.cogroup(told.groupBy("asks")).applyInArrow(ids, "chunk long, lang string, tokens long, ids binary, phrases binary")
+    return by_chunk.cogroup(told.groupBy("asks")).applyInArrow(ids, "chunk long, lang string, tokens long, ids binary")
 
 
 def tile_counts(a: np.ndarray, b: np.ndarray, sparse: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(tile, sorted keys, counts) of pairs: dense tiles by their number in the grid, sparse ones after them."""
-    head = (a < GRID * SIDE) & (b < GRID * SIDE)
-    x, y = a[head], b[head]
-    tile = (x >> BITS) * GRID + (y >> BITS)
-    for t, n in enumerate(np.bincount(tile, minlength=GRID * GRID)):
+    tile = np.where((a < GRID * SIDE) & (b < GRID * SIDE), (a >> BITS) * GRID + (b >> BITS), GRID * GRID).astype(np.uint8)
+    *dense, rest = np.bincount(tile, minlength=GRID * GRID + 1)
+    for t, n in enumerate(dense):
         if n:
             own = tile == t
-            key = ((x[own] & (SIDE - 1)) << BITS) | (y[own] & (SIDE - 1))
+            key = ((a[own] & (SIDE - 1)) << BITS) | (b[own] & (SIDE - 1))
             if n >= BY_ADDRESS:
                 counts = np.bincount(key, minlength=SIDE * SIDE)
                 keys = np.flatnonzero(counts)
                 yield t, keys, counts[keys]
             else:
                 yield t, *np.unique(key, return_counts=True)
-    if not head.all():
-        keys, counts = np.unique((a[~head] << WORD_BITS) | b[~head], return_counts=True)
+    if rest:
+        own = tile == GRID * GRID
+        keys, counts = np.unique((a[own] << WORD_BITS) | b[own], return_counts=True)
         block = (keys >> (WORD_BITS + BITS)) * 40_503 + ((keys & ((1 << WORD_BITS) - 1)) >> BITS) * 10_007
         part = (block ^ (block >> 7)) % sparse
         for p in np.unique(part):
@@ -208,14 +216,17 @@ def counter(words: int, sparse: dict[str, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_in(batch):
                 phrases, ids = unpack(row["phrases"]), unpack(row["ids"])
                 a, b = phrases[: 1 - words], ids[words - 1 :]
-                good = np.flatnonzero((a >= 0) & (phrases[1 : len(a) + 1] >= 0) & (b >= 0)) if len(b) else np.zeros(0, np.int64)
-                if len(good) and (int(ids.max()) >> WORD_BITS or int(phrases.max()) >> (63 - WORD_BITS)):
+                good = (a >= 0) & (phrases[1 : len(a) + 1] >= 0) & (b >= 0)
+                if good.any() and (int(ids.max()) >> WORD_BITS or int(phrases.max()) >> (63 - WORD_BITS)):
                     raise OverflowError("more words or phrases than keys can tell apart")
-                for tile, keys, counts in tile_counts(a[good], b[good], sparse[row["lang"]]):
-                    yield table_of(COUNTED, [(row["chunk"], row["lang"], tile, pack_keys(keys), pack(counts))])
+                a, b = a[good], b[good]
+                chunk, lang = row["chunk"], row["lang"]
+                del phrases, ids, good, row
+                for tile, keys, counts in tile_counts(a, b, sparse[lang]):
+                    yield table_of(COUNTED, [(chunk, lang, tile, pack_keys(keys), pack(counts))])
 
     return run
 
@@ -227,21 +238,29 @@ def summed(tile: int, blobs: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray,
             total[unpack_keys(keys)] += unpack(counts)
         keys = np.flatnonzero(total)
         return keys, total[keys]
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for more_keys, more in blobs:  # two sorted rows at a time
-        keys, counts = np.concatenate([keys, unpack_keys(more_keys)]), np.concatenate([counts, unpack(more)])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-    return keys, counts
+    held, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for blob in blobs:
+        held.append((unpack_keys(blob[0]), unpack(blob[1])))
+        more += len(held[-1][0])
+        if 2 * more >= len(held[0][0]):  # the sum so far is sorted again only when it has grown by half
+            held, more = [added(held)], 0
+    return added(held)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Rows of sorted batches by equal `names`; each group must be used up before the next."""
     from itertools import groupby
 
-    rows = ({c: batch.column(c)[i].as_py() for c in batch.schema.names} for batch in batches for i in range(batch.num_rows))
+    rows = (row for batch in batches for row in rows_in(batch))
     return groupby(rows, lambda r: tuple(r[n] for n in names))
 
 
@@ -274,13 +293,13 @@ def ranked(frequent: DataFrame) -> DataFrame:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_in(batch):
                 found, n = np.unique(grades(unpack(row["counts"])), return_counts=True)
                 yield table_of("lang string, grade long, part long, n long", [(row["lang"], int(g), row["tile"], int(c)) for g, c in zip(found, n)])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_in(batch):
                 of = grades(unpack(row["counts"]))
                 order = np.argsort(-of, kind="stable")
                 found, start, n = np.unique(-of[order], return_index=True, return_counts=True)
@@ -300,7 +319,7 @@ def pair_rows(tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_in(batch):
                 a, b = ends(row["tile"], unpack_keys(row["keys"]))
                 columns = [a, b, unpack(row["counts"]), unpack(row["ids"])]
                 for i in range(0, len(a), 100_000):
@@ -369,7 +388,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, chunk: int
     sizes = {r["lang"]: (r["total"], r["chunks"]) for r in totals.collect()}  # languages
     of, sparse = {lang: n for lang, (_, n) in sizes.items()}, {lang: -(-max(1, t) // SPARSE) for lang, (t, _) in sizes.items()}
     words = stored(vocabulary(chunks, least), "phrase-vocabulary")
-    known = stored(known_words(chunks, words), "phrase-ids")
+    known = stored(known_words(chunks, words), "phrase-ids").withColumn("phrases", F.col("ids"))
     levels = [words.select("lang", "id", F.col("word").alias("phrase"), F.lit(1).alias("k"), F.col("n").alias("f"))]
     for k in range(2, longest + 1):
         counted = stored(known.mapInArrow(counter(k, sparse), COUNTED), "phrase-pairs")
@@ -378,8 +397,8 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, chunk: int
         pairs = pairs.join(levels[0].select("lang", F.col("id").alias("b"), F.col("phrase").alias("end")), ["lang", "b"])
         levels.append(stored(pairs.select("lang", "id", F.concat_ws(" ", "begin", "end").alias("phrase"), F.lit(k).alias("k"), F.col("n").alias("f")), "phrase-level"))
         if k < longest:
-            known = known_phrases(known, counted, tiles, k, of)
-            known = stored(known, "phrase-ids") if k + 1 < longest else known
+            # stored, so that no task has the Python workers of this step and of the next count at once
+            known = stored(known_phrases(known, counted, tiles, k, of), "phrase-ids")
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
