@@ -84,8 +84,10 @@ def listings(spark: SparkSession, directory: str) -> DataFrame:
 
 def site(spark: SparkSession, directory: str) -> DataFrame:
     """Index pages of 100 orders -> order pages -> customer pages, which link back to an index page."""
-    orders = table(spark, directory, "orders")
-    customer = table(spark, directory, "customer")
+    # a page is many times larger than its row: rows are spread, so that every core makes and parses pages
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(parts, F.expr("o_orderkey div 100"))
+    customer = table(spark, directory, "customer").select("c_custkey", "c_name").repartition(parts, "c_custkey")
     block = "<div id=\"main\"><div class=\"list\">%s<div class=\"list\">%s</div></div></div>"
     entry = orders.select(
         F.expr("o_orderkey div 100").alias("key"),

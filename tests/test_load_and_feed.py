@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from checks import render
 from webtables.functions.messages import ENTITY_MESSAGE, URL_MESSAGE, parse_message
 from webtables.functions.text import clean_cell, text_remove_ci
 from webtables.functions.urls import resolve_url
@@ -20,7 +21,7 @@ from webtables.operators.load import (
 )
 from webtables.operators.queues import bounded_queue, failure_policy
 from webtables.plans.crawl import crawl
-from webtables.session import names_in, shared_dir, written
+from webtables.session import bucketed, forget, names_in, shared_dir, written
 from webtables.sources.pages import resolve_pages
 from webtables.sources.sinks import EntityColumn, entity_ddl
 from webtables.sources.tiers import Tiers
@@ -185,6 +186,21 @@ def test_frontier_depths_cycles_and_limit(spark):
     assert rows(crawl_frontier(links, seeds, max_depth=1)) == [("a", 0), ("b", 1), ("c", 1)]
 
 
+def test_pages_of_a_small_table_are_made_in_many_tasks(spark):
+    """The tables are one split each; the pages made from them are many times larger."""
+    pages = render.site(spark, "/root/testdata/sf0.01")
+    tasks = pages.select(F.regexp_extract("url", "example/([a-z])/", 1).alias("kind"), F.spark_partition_id().alias("task")).distinct()
+    assert rows(tasks.groupBy("kind").count()) == [("c", 8), ("i", 8), ("o", 8)]
+
+
+def test_links_are_shuffled_once_for_their_buckets(spark):
+    rows_of = [("a", "b"), ("a", "b"), ("b", "c"), (None, "d")]
+    table, name = bucketed(spark.createDataFrame(rows_of, "src_url STRING, dst_url STRING"), "src_url", "links", 4, distinct=True)
+    assert rows(table.where("src_url IS NOT NULL")) == [("a", "b"), ("b", "c")] and table.count() == 3
+    assert [r for r in table.groupBy("src_url").count().collect() if r["count"] > 1] == []
+    forget(spark, name)
+
+
 def test_a_long_frontier_keeps_few_tiers(spark, monkeypatch):
     """A chain: URLs seen are written again log2 times, a level looks its URL up in one partition."""
     asked, merged = [], []

@@ -150,9 +150,7 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int | None = N
     """
     spark = links.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges, table = bucketed(
-        links.select("src_url", "dst_url").where("dst_url IS NOT NULL").distinct(), "src_url", "edges"
-    )
+    edges, table = bucketed(links.select("src_url", "dst_url").where("dst_url IS NOT NULL"), "src_url", "edges", distinct=True)
     path = scratch_path(spark, "frontier")
     seen = Tiers(spark, scratch_path(spark, "seen"), T.StructType().add("url", T.StringType()), ["url"], parts)
     level = lambda k: spark.read.schema("url STRING").parquet(f"{path}/depth={k}")

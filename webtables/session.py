@@ -95,17 +95,19 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             removed(spark, path)
 
 
-def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None, distinct: bool = False) -> tuple[DataFrame, str]:
     """Write to the shared folder in buckets of `key` and read back, with the table's name for `forget`.
 
     For the side of a join that is used again and again: later joins on `key` read it without a shuffle. The
-    number of buckets is the caller's, by default that of shuffle partitions; size it to the data.
+    number of buckets is the caller's, by default that of shuffle partitions; size it to the data. Equal rows meet in one
+    bucket, so `distinct` needs no other shuffle.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"webtables_{uuid.uuid4().hex}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    dealt = df.repartition(buckets, key)
+    (dealt.distinct() if distinct else dealt).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
     return spark.table(table), table
 
 
