@@ -119,3 +119,26 @@ def test_counting_holds_one_chunk_at_a_time():
     tracemalloc.stop()
     assert pairs == 4 * (most - 1)
     assert peak < 64 << 20
+
+
+def test_chunks_are_small_however_large_the_batch(spark):
+    """All rows reach a worker in one batch; no chunk has much more than its size, and no word is lost."""
+    rows = [(i, f"w{i} " * 250, "en" if i % 3 else "fr") for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("lang", "text").coalesce(1)
+    found = docs.mapInArrow(P.chunker(5_000), P.CHUNKS).select("chunk", "lang", "tokens").collect()
+    assert Counter({lang: sum(r["tokens"] for r in found if r["lang"] == lang) for lang in ("en", "fr")}) == {"en": 133 * 250, "fr": 67 * 250}
+    assert len({r["chunk"] for r in found}) == len(found)
+    assert max(r["tokens"] for r in found) <= 2 * 5_000 / 3  # three bytes a word at least
+
+
+def test_a_worker_holds_one_chunk_of_its_batch(monkeypatch):
+    """Making chunks takes arrays of one chunk, not of all texts that reach the worker together."""
+    monkeypatch.setattr(P.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    text = " ".join(f"w{i % 5_000}" for i in range(20_000))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 200, "text": [text] * 200})
+    tracemalloc.start()
+    said = sum(row.column("tokens")[0].as_py() for row in P.chunker(P.CHUNK)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert said == 200 * 20_000
+    assert peak < 64 << 20

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from webtables.llm.common import documents, full_text, stored
+from webtables.llm.units import slices
 
 #: Bytes of text in a chunk, about.
 CHUNK = 2 << 20
@@ -109,7 +110,7 @@ def chunker(size: int):
         chunk = TaskContext.get().partitionId() << 32
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, "text", max(1, size // 4))):  # a batch may hold many chunks
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 texts = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_buffer().to_pybytes()
