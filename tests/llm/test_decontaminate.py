@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import pickle
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from webtables.llm import decontaminate as D
@@ -208,3 +211,27 @@ def test_recall_by_kind_of_change(spark, docs_of, change):
     found = {r["doc_id"] for r in rows if r["item_id"] == r["doc_id"] or min(r["item_id"], r["doc_id"]) >= 1_000}
     assert len(found) >= 0.9 * len(items), (change, len(found) / len(items))
     print(change, len(found) / len(items))
+
+
+def test_reading_many_texts_takes_few_bytes_of_each():
+    """A worker's arrays for the texts that are read together are several times these, not twenty times."""
+    pick = random.Random(6)
+    words = [f"word{i}" for i in range(2_000)]
+    texts = [" ".join(pick.choices(words, k=4_000)) for _ in range(D.TOGETHER // 33_000)]
+    D.Coded(texts[:10])
+    tracemalloc.start()
+    n = sum(len(h) for _, h in D.Coded(texts).windows())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= len(texts) * 3_996
+    assert peak < 13 * D.TOGETHER
+
+
+def test_what_is_remembered_goes_with_the_broadcast(monkeypatch):
+    """Chunks are remembered beside the bitmap that was sent, so that a worker drops them when that step is over."""
+    monkeypatch.setattr(D, "KINDS", D.Kinds())
+    wanted = D.Wanted(np.zeros(8, bool))
+    D.Coded(["one two three"], wanted.kinds)
+    assert len(wanted.kinds) == 3 and not D.KINDS
+    sent = pickle.loads(pickle.dumps(wanted))
+    assert len(sent.kinds) == 0 and (sent.bitmap == wanted.bitmap).all()

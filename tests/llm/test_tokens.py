@@ -190,3 +190,10 @@ def test_files(spark, odd_docs, no_docs, library, tmp_path, monkeypatch, segment
         start += len(ids)
     token_files.write_token_files(no_docs, PATH, 2, str(tmp_path / "none"))
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_edges_of_runs():
+    pick = np.random.default_rng(8)
+    for n in (0, 1, 2, 50, 300):
+        for inside in (pick.random(n) < 0.5, np.zeros(n, bool), np.ones(n, bool)):
+            assert units.edges_of(inside).tolist() == np.flatnonzero(np.diff(inside.astype(np.int64), prepend=0, append=0)).tolist()

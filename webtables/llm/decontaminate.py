@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from webtables.llm.common import documents, stored
-from webtables.llm.units import slices
+from webtables.llm.units import edges_of, slices
 
 WINDOW = 5
 SHARE = 0.8
@@ -40,6 +40,8 @@ INSIDE = 3
 REMEMBERED, OVERHEAD, LONG = 128 << 20, 150, 64
 #: Bytes of texts that are read at a time, and items that one row of candidates holds.
 TOGETHER, ITEMS = 8 << 20, 64
+#: Windows that are hashed at a time.
+BLOCK = 1 << 17
 
 # Words that stand for numbers, and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve".split())
@@ -163,40 +165,47 @@ def blanks(raw: bytes) -> np.ndarray:
 
 def runs(of: np.ndarray) -> np.ndarray:
     """For each element of a sorted array the place of the first that equals it."""
-    starts = np.flatnonzero(np.diff(of, prepend=-1))
-    return np.repeat(starts, np.diff(starts, append=len(of)))
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+    return np.repeat(starts.astype(np.int32), np.diff(starts, append=len(of)))
 
 
 class Coded:
-    """The words of many texts one after the other: codes, of which text, and which begin a sentence or a line."""
+    """The words of many texts one after the other: codes, of which text, and which begin a sentence or a line.
 
-    def __init__(self, texts: list[str]):
+    Texts of 2 GB and more together are beyond it; places have four bytes each.
+    """
+
+    def __init__(self, texts: list[str], kinds: Kinds | None = None):
+        kinds = KINDS if kinds is None else kinds
         raw = "\n".join([*texts, ""]).encode()
         bounds = np.cumsum([len(t) + 1 if t.isascii() else len(t.encode()) + 1 for t in texts])
         blank = blanks(raw)
         inside = blank == 0
-        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        edges = edges_of(inside).astype(np.int32)
         first, end = edges[::2], edges[1::2]
         offsets = np.zeros(len(first) + 1, np.int32)
         np.cumsum(end - first, out=offsets[1:])
         data = np.frombuffer(raw, np.uint8)[inside]
         chunks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        known = np.fromiter(map(KINDS.__getitem__, chunks.dictionary.to_pylist()), np.uint64, len(chunks.dictionary))
+        known = np.fromiter(map(kinds.__getitem__, chunks.dictionary.to_pylist()), np.uint64, len(chunks.dictionary))
         codes = known[chunks.indices.to_numpy()] if len(first) else np.zeros(0, np.uint64)
-        upto = np.searchsorted(first, bounds)
-        of = np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0))
-        lines = np.cumsum(blank == 2, dtype=np.int32)[first] if len(first) else np.zeros(0, np.int32)
-        place = np.arange(len(codes))
-        begun = np.maximum.accumulate(np.where(np.diff(lines, prepend=-1) != 0, place, -1)) if len(codes) else place
+        del raw, inside, offsets, data, chunks, known  # arrays as long as the texts or their words go when they are used up
+        upto = np.searchsorted(first, bounds.astype(np.int32))
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(upto, prepend=0))
+        lines = np.searchsorted(np.flatnonzero(blank == 2).astype(np.int32), first).astype(np.int32)  # how many ended before
+        del blank, edges, first, end
+        place = np.arange(len(codes), dtype=np.int32)
+        begun = np.maximum.accumulate(np.where(np.diff(lines, prepend=np.int32(-1)) != 0, place, -1)) if len(codes) else place
         own = runs(of)  # the first chunk of the text
         kinds, ends = (codes & np.uint64(7)).astype(np.int8), (codes & np.uint64(ENDS)) != 0
         solid = kinds != NOTHING
         # fresh: what stood last, other than chunks without a word, ended a sentence; such a chunk may itself end one
         last = np.maximum.accumulate(np.where(solid | ends, place, -1)) if len(codes) else place
-        previous = np.concatenate([[-1], last[:-1]])[: len(codes)]
+        previous = np.concatenate([np.full(1, -1, np.int32), last[:-1]])[: len(codes)]
         fresh = (previous < own) | ends[previous] if len(codes) else np.zeros(0, bool)
         # a line that starts with chunks without a word stays fresh until its first word, unless something else was said
         self.by_line = (fresh | (previous < begun))[solid]
+        del own, last, previous, begun, lines, place
         self.fresh, self.of, kinds = fresh[solid], of[solid], kinds[solid]
         self.codes = codes[solid] & ~np.uint64(15)
         self.own = runs(self.of)
@@ -240,8 +249,10 @@ def whole_windows(codes: np.ndarray, of: np.ndarray, among: np.ndarray | None =
             return
         upto = np.concatenate([[0], np.cumsum(among, dtype=np.int32)])
         within &= upto[WINDOW:] > upto[:-WINDOW]
-    starts = np.flatnonzero(within)
-    yield of[starts], mixed(codes, starts, WINDOW)
+    for at in range(0, len(within), BLOCK):
+        starts = np.flatnonzero(within[at : at + BLOCK]) + at
+        if len(starts):
+            yield of[starts], mixed(codes, starts, WINDOW)
 
 
 def short_windows(codes: np.ndarray, of: np.ndarray, begins: np.ndarray, least: int = INSIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -308,15 +319,25 @@ def bitmap_of(wanted: DataFrame) -> np.ndarray:
     return bitmap
 
 
+class Wanted:
+    """The bitmap, and what a worker remembers of chunks: that goes with the broadcast, so later steps have its room."""
+
+    def __init__(self, bitmap: np.ndarray):
+        self.bitmap, self.kinds = bitmap, Kinds()
+
+    def __reduce__(self):
+        return Wanted, (self.bitmap,)
+
+
 def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, _key, text, h: documents with windows whose hash is among `wanted`, or only looks so in the bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(Wanted(bitmap_of(wanted)))
 
     def found_in(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         of, hashes = [], []
-        for at, h in Coded(texts).windows():
+        for at, h in Coded(texts, shared.value.kinds).windows():
             for side in (0, 1):
-                hit = shared.value[places(h)[side]]
+                hit = shared.value.bitmap[places(h)[side]]
                 at, h = at[hit], h[hit]
             of.append(at)
             hashes.append(h)
@@ -504,7 +525,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc in batch.to_pylist():
+            for doc in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # its items and their texts may be many
                 texts = readings_of(doc["text"])
                 for item in doc["items"]:
                     text = item["item_text"]

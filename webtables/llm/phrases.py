@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from webtables.llm.common import documents, full_text, stored
-from webtables.llm.units import slices
+from webtables.llm.units import edges_of, slices
 
 #: Bytes of text in a chunk, about.
 CHUNK = 2 << 20
@@ -75,7 +75,7 @@ def tokens(text: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Words of UTF-8 bytes, and which of them begin a piece."""
     text = BYTES[text]
     inside = (text != 32) & (text != 10)
-    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    edges = edges_of(inside)
     starts, ends = edges[::2], edges[1::2]
     breaks = np.flatnonzero(text == 10)
     piece = np.searchsorted(breaks, starts)

@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webtables.llm.common import documents, free_name, held_out, widened
+from webtables.llm.units import slices
 
 #: Words of a window when scoring, and when training, where a small window tells which word it was.
 WINDOW, NARROW = 8, 3
@@ -283,7 +284,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, at)):
             found = [shared.value.score((t.as_py() or "").encode()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 

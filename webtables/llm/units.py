@@ -43,6 +43,14 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def edges_of(inside: np.ndarray) -> np.ndarray:
+    """Where runs of true values begin and end, in turn: `np.diff` would make eight bytes of each value."""
+    change = np.empty(len(inside) + 1, bool)
+    change[0], change[-1] = (inside[0], inside[-1]) if len(inside) else (False, False)
+    np.not_equal(inside[1:], inside[:-1], out=change[1:-1])
+    return np.flatnonzero(change)
+
+
 def split(raw: bytes, finer: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The units of UTF-8 bytes that end with white space: values (ASCII in lower case, unless odd), starts, and which are odd.
 
@@ -59,7 +67,7 @@ def split(raw: bytes, finer: bool = True) -> tuple[pa.Array, np.ndarray, np.ndar
     inside = kind != SPACE
     lower = np.frombuffer(raw.translate(LOWER.tobytes()), np.uint8)
     if len(strange) or not finer:  # a stretch with anything odd in it is odd as a whole
-        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
+        edges = edges_of(inside)
         if finer:
             which = np.unique(np.searchsorted(edges, strange, "right") - 1)
             mark = np.zeros(len(text), np.int8)
