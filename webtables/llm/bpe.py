@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from webtables.llm.common import documents, free_name, widened
+from webtables.llm.common import documents, free_name, lean, widened
 from webtables.llm.units import PATTERN, Units, byte_symbols, slices
 
 #: Entries of a worker's table of transitions before it starts anew (two numbers each).
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coded]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, widened(docs, name, "array<int>"))
+    return docs.mapInArrow(lean(run), widened(docs, name, "array<int>"))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:

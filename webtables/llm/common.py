@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from webtables.session import written as stored  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Rows of a few short columns that one file holds, where a table between two steps is packed.
+PACKED = 250_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +25,33 @@ def full_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """`stored`, for a table of at most `rows` short rows: a file for every core, more where they have more than `PACKED` rows.
+
+    For the tables of loops. As many files as shuffles have partitions would be a task, a listing and (where Hadoop has no
+    native library) a process started by the executor for each, however few their rows.
+    """
+    return stored(df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PACKED))), name)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for `mapInArrow` after which the Python worker, kept for later tasks, gives back what it has freed.
+
+    C's allocator keeps freed arrays for itself, so workers would hold the largest need of all steps before, beside a
+    step that may need none of it.
+    """
+
+    def lent(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return lent
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, with underscores in front until no column of `df` has that name in any case."""
     taken = {c.lower() for c in df.columns}

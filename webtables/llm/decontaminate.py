@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from webtables.llm.common import documents, stored
+from webtables.llm.common import documents, lean, stored
 from webtables.llm.units import edges_of, slices
 
 WINDOW = 5
@@ -354,7 +354,7 @@ def document_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             kept = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept["doc_id"], kept["_key"], kept["text"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_key", "text", "h"])
 
-    return docs.select("doc_id", "_key", "text").mapInArrow(run, "doc_id long, _key long, text string, h array<bigint>")
+    return docs.select("doc_id", "_key", "text").mapInArrow(lean(run), "doc_id long, _key long, text string, h array<bigint>")
 
 
 # word by word
@@ -538,7 +538,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, LEAK_ARROW)], schema=LEAK_ARROW)
 
     both = hits.join(asked, same).select("doc_id", "_key", "text", "items")
-    found = both.mapInArrow(run, "doc_id long, _key long, item long, share double, first_word long, end_word long, reparameterised boolean").distinct()
+    found = both.mapInArrow(lean(run), "doc_id long, _key long, item long, share double, first_word long, end_word long, reparameterised boolean").distinct()
     return found.join(named.select("item", "item_id"), "item").select("doc_id", "_key", "item_id", "share", "first_word", "end_word", "reparameterised")
 
 

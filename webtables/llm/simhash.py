@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webtables.llm.common import documents, stored
+from webtables.llm.common import documents, lean, packed, stored
 from webtables.llm.units import slices
 
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made)], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, fp long")
 
 
 # the join
@@ -171,11 +171,11 @@ def links(fps: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
     head = lambda column, d: F.shiftrightunsigned(column, BITS - d)
     # a cell: two nodes of one trie, low and high, `spent` bits apart; side 0 holds the values below low
     cells = rows.select("trie", F.lit(width).alias("depth"), head("v", width).alias("low"), head("v", width).alias("high"), F.lit(0).alias("spent"), F.lit(0).alias("side"), "v")
-    key, ready, depth = ["trie", "depth", "low", "high", "spent"], [], width
+    key, ready, depth, among = ["trie", "depth", "low", "high", "spent"], [], width, len(at) * fps.count()
     while True:
         sizes = cells.groupBy(*key).agg(F.count("*").alias("_n"), F.min("side").alias("_one"), F.max("side").alias("_two"))
         paired = F.when(F.col("low") == F.col("high"), F.col("_n") > 1).otherwise(F.col("_one") < F.col("_two"))
-        sizes = stored(sizes.filter(paired).select(*key, "_n"), "cell-sizes")  # of cells that hold a pair at all
+        sizes = packed(sizes.filter(paired).select(*key, "_n"), among, "cell-sizes")  # of cells that hold a pair at all
         last = depth + STEP >= BITS
         small = sizes if last else sizes.filter(F.col("_n") <= cell)
         ready.append((cells.join(small, key, "left_semi"), small.agg(F.sum("_n")).first()[0] or 0))
@@ -197,6 +197,7 @@ def links(fps: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
             (F.col("spent") + F.col("_flip.bits")).alias("spent"), F.when(first, 0).otherwise(1).alias("side"), "v",
         )
         cells = stored(parts, "trie-cells")
+        among = cells.count()
     shifts = [a for a, _ in at]
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
@@ -220,10 +221,15 @@ def links(fps: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
 # groups
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (its smallest connected node) for every node of the links a, b; alternating large and small stars."""
-    spark, before = edges.sparkSession, None
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, root (its smallest connected node) for every node of the links a, b; alternating large and small stars.
+
+    `most`: how many links there are about, at most, if known. A round has as many as the one before, or fewer.
+    """
+    before = None
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = stored(edges, "links") if most is None else packed(edges, most, "links")
+    most = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
@@ -231,7 +237,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(least.select("a", F.col("_m").alias("b")))
-        edges = stored(small.filter("a <> b").distinct(), "links")
+        edges = packed(small.filter("a <> b").distinct(), most, "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -244,9 +250,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, budget: int = 2, cell: int
     component_id is the smallest doc_id of the component, null if none of it has one. Texts without a word, null ones
     included, all have fingerprint 0 and are linked like any other. Rows that repeat give rows that repeat.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), budget, cell)).withColumnRenamed("node", "fp")
+    return grouped(stored(fingerprints(docs, shingle), "fingerprints"), budget, cell)
+
+
+def grouped(rows: DataFrame, budget: int, cell: int = CELL) -> DataFrame:
+    """`simhash_groups` of stored fingerprints."""
+    distinct = packed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), rows.count(), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), budget, cell), (budget + 1) * distinct.count()).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.select("fp", "root").join(smallest, "root").drop("root")
@@ -258,7 +268,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFra
 
     Rows that repeat that doc_id all stay; so do the rows without doc_id of a component that has none.
     """
-    keep = stored(simhash_groups(docs, shingle, budget).filter("doc_id <=> component_id").select("doc_id").distinct(), "kept-ids")
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    keep = packed(grouped(rows, budget).filter("doc_id <=> component_id").select("doc_id").distinct(), rows.count(), "kept-ids")
     return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")  # one plan at every size
 
 

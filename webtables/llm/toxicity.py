@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webtables.llm.common import documents, free_name, held_out, widened
+from webtables.llm.common import documents, free_name, held_out, lean, widened
 from webtables.llm.units import slices
 
 #: Words of a window when scoring, and when training, where a small window tells which word it was.
@@ -288,7 +288,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             found = [shared.value.score((t.as_py() or "").encode()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, widened(docs, name, "double"))
+    return docs.mapInArrow(lean(run), widened(docs, name, "double"))
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
