@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from webtables.llm import exact_dedup, line_dedup, simhash
+from webtables.llm.common import packed
 
 from .conftest import ODD
 
@@ -158,6 +159,23 @@ def test_components_of_chain_and_star(spark):
     assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)}
 
 
+def test_tables_of_rounds_have_few_files(spark):
+    """However many partitions shuffles have, a loop's small table is a file for every core, not one for each partition."""
+    cores = spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 3 * cores)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(2_000).selectExpr("id div 2 * 2 AS a", "id div 2 * 2 + id % 2 AS b")
+        roots = simhash.components(edges, 1_000)
+        assert len(roots.inputFiles()) <= cores
+        assert {(r["node"], r["root"]) for r in roots.collect()} == {(i + 1, i) for i in range(0, 2_000, 2)}
+        assert len(packed(spark.range(0, 9, 1, 3 * cores), 9, "few").inputFiles()) <= cores
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_groups(docs_of):
     pick = random.Random(2)
     words = [f"w{i}" for i in range(300)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webtables.llm import bpe, token_files, units
+from webtables.llm import bpe, common, token_files, units
 
 from .conftest import ODD
 
@@ -197,3 +198,25 @@ def test_edges_of_runs():
     for n in (0, 1, 2, 50, 300):
         for inside in (pick.random(n) < 0.5, np.zeros(n, bool), np.ones(n, bool)):
             assert units.edges_of(inside).tolist() == np.flatnonzero(np.diff(inside.astype(np.int64), prepend=0, append=0)).tolist()
+
+
+def test_workers_give_back_what_they_freed(monkeypatch):
+    """After the last batch, and after an error, the allocator is asked to return freed memory."""
+    asked = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: SimpleNamespace(malloc_trim=asked.append))
+    rows = common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(rows) == 2 and not asked
+    assert list(rows) == [4] and asked == [0]
+    with pytest.raises(ZeroDivisionError):
+        list(common.lean(lambda batches: (1 // b for b in batches))(iter([0])))
+    assert asked == [0, 0]
+
+
+def test_an_encoder_remembers_twelve_megabytes_at_most(encoder):
+    """Units that never come again fill a worker's memory only so far; their ids stay right."""
+    learnt = bpe.Encoder(PATH)
+    assert learnt.units.most == bpe.HELD <= 12 << 20
+    learnt.units.most = 2_000
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}".encode() for i in range(2_000)]
+    assert [learnt.encode(w) for w in words[::50]] == [encoder.encode(w) for w in words[::50]]
+    assert learnt.units.size() <= 2_000

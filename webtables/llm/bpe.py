@@ -33,6 +33,8 @@ from webtables.llm.units import PATTERN, Units, byte_symbols, slices
 TRANSITIONS = 1_000_000
 #: Ids that are decoded at a time.
 PIECE = 1 << 18
+#: Bytes of texts that are encoded at a time, and bytes of units that a worker remembers; both halve what one needs beside the tables.
+TOGETHER, HELD = 2 << 20, 12 << 20
 START = -1
 NEVER = 1 << 60
 #: Below this code point, splitting in Python agrees with the tokenizers library whatever Unicode versions they know.
@@ -124,7 +126,7 @@ class Encoder:
         self.words = regex.compile(self.pattern)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.table: dict[int, bool] = {}
-        self.units = Units(self.learn, self.pattern == PATTERN)
+        self.units = Units(self.learn, self.pattern == PATTERN, HELD)
 
     # words
 
@@ -216,7 +218,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     text = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in batches for some in slices(whole, text)):
+        for batch in (some for whole in batches for some in slices(whole, text, TOGETHER)):
             coded = encoder.value.encode_all([(t or "").encode() for t in batch.column(text).to_pylist()])
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coded]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, name])
@@ -242,7 +244,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     encoder = shared_encoder(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in batches for some in slices(whole, "text")):
+        for batch in (some for whole in batches for some in slices(whole, "text", TOGETHER)):
             counts, coded, decoded = [], [], []
             for ids in encoder.value.encode_all([t or b"" for t in batch["text"].to_pylist()]):
                 digest = hashlib.sha256()

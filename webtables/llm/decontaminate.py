@@ -37,9 +37,9 @@ BITMAP = 22
 #: Words of the shortest item that is looked for inside documents.
 INSIDE = 3
 #: Bytes that a worker remembers of chunks and their codes, what Python needs for one besides its letters, and the longest one kept.
-REMEMBERED, OVERHEAD, LONG = 128 << 20, 150, 64
+REMEMBERED, OVERHEAD, LONG = 64 << 20, 150, 64
 #: Bytes of texts that are read at a time, and items that one row of candidates holds.
-TOGETHER, ITEMS = 8 << 20, 64
+TOGETHER, ITEMS = 4 << 20, 64
 #: Windows that are hashed at a time.
 BLOCK = 1 << 17
 
